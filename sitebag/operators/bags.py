@@ -52,7 +52,7 @@ def ratio_calibration(
         # a grand total has both spreads; inside one ratio the target is constant and the correlation undefined
         F.when(
             (F.count(F.lit(1)) > 1) & (F.min("target") < F.max("target")) & (F.min("score") < F.max("score")),
-            F.corr("score", "target"),
+            F.try_divide(F.covar_pop("score", "target"), F.stddev_pop("score") * F.stddev_pop("target")),
         ).alias("corr"),
     )
     stats = stats.withColumn("corr", F.coalesce("corr", F.lit(missing_corr).cast("double")))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import indices, total
 from ..functions.sequence import bases
+from ..session import broadcast_if_small
 
 
 def attach_signal(
@@ -99,6 +100,24 @@ def assign_best_window(units: DataFrame, chunk: int, overlap: int, length: str =
     ).drop("_best")
 
 
+SEGMENT = 1024
+
+
+def segments(reads: DataFrame, pad: int, read_id: str = "read_id", seq: str = "seq") -> DataFrame:
+    """Reads cut into pieces of 1024 bases plus ``pad`` bases on both sides: (read, seg_start, seg_from, piece).
+
+    Positions of a piece are then found inside a short string, so scanning stays linear for very long reads.
+    """
+    cuts = F.transform(indices(F.ceil(F.length("_seq") / F.lit(float(SEGMENT)))), lambda k: (k * SEGMENT).cast("int"))
+    rows = reads.select(F.col(read_id), F.col(seq).alias("_seq"), F.length(seq).alias("read_length"))
+    rows = rows.select(read_id, "read_length", "_seq", F.explode(cuts).alias("seg_start"))
+    low = F.greatest(F.col("seg_start") - pad, F.lit(0))
+    return rows.select(
+        read_id, "read_length", "seg_start", low.alias("seg_from"),
+        F.substring("_seq", low + 1, F.col("seg_start") + SEGMENT + pad - low).alias("piece"),
+    )
+
+
 def pattern_hits(
     reads: DataFrame,
     patterns: DataFrame,
@@ -111,9 +130,10 @@ def pattern_hits(
     """Every placement of a pattern on a read with few enough mismatches.
 
     Pigeonhole seeds: of max_mismatches+1 disjoint blocks of a pattern at least one matches exactly. Reads emit
-    their k-mers once per seed length and meet the patterns in an equi-join on (length, k-mer); only such
-    candidates are compared base by base, so no read x pattern x start product is formed and no hit is lost.
-    ``patterns`` has pattern_id, pattern and center.
+    their k-mers, each with a few bases around it, and meet the pattern blocks in an equi-join on (length, k-mer);
+    only such candidates are compared base by base. No read x pattern x start product is formed and no hit is lost.
+    A placement that several blocks find is kept for the first of them alone, so no shuffle is needed.
+    ``patterns`` (pattern_id, pattern, center) is a lookup list: its size is checked before it is broadcast.
     """
     parts = max_mismatches + 1
     both = patterns.select("pattern_id", "pattern", "center", F.lit("+").alias("orientation"))
@@ -126,55 +146,72 @@ def pattern_hits(
                 F.lit("-").alias("orientation"),
             )
         )
+    extent = patterns.agg(F.max(F.length("pattern")).alias("longest")).first()
+    longest = int(extent["longest"] or 1)
     size = F.length("pattern")
-    cuts = F.transform(
+
+    def edge(b: Column) -> Column:
+        return F.floor(size * b / float(parts)).cast("int")
+
+    blocks = F.transform(
         indices(F.lit(parts)),
         lambda b: F.struct(
-            F.floor(size * b / float(parts)).cast("int").alias("at"),
-            (F.floor(size * (b + 1) / float(parts)) - F.floor(size * b / float(parts))).cast("int").alias("len"),
+            b.alias("block"), edge(b).alias("at"), (edge(b + 1) - edge(b)).alias("len"),
+            F.substring("pattern", edge(b) + 1, edge(b + 1) - edge(b)).alias("kmer"),
         ),
     )
-    seeds = both.select("*", F.explode(cuts).alias("_b")).select(
-        "pattern_id", "pattern", "center", "orientation",
-        F.col("_b.at").alias("_at"), F.col("_b.len").alias("_len"),
-        F.expr("substring(pattern, _b.at + 1, _b.len)").alias("_kmer"),
+    seeds = both.withColumn("_blocks", F.filter(blocks, lambda x: x["len"] > 0)).withColumn("_b", F.explode("_blocks"))
+    seeds = seeds.select(
+        "pattern_id", "pattern", "center", "orientation", "_blocks", F.col("_b.block").alias("_block"), F.col("_b.at").alias("_at"),
+        F.col("_b.len").alias("_len"), F.col("_b.kmer").alias("_kmer"),
     )
-    lengths = seeds.select("_len").distinct().agg(F.sort_array(F.collect_set("_len")).alias("_l"))
-    kmers = (
-        reads.select(read_id, F.col(seq).alias("_seq"), F.explode(lengths.scalar()).alias("_len"))
-        .where("_len > 0")
-        .select(
-            read_id, "_seq", "_len",
-            F.posexplode(F.transform(indices(F.length("_seq") - F.col("_len") + 1), lambda i: F.substring("_seq", i + 1, F.col("_len")))).alias("_pos", "_kmer"),
-        )
+    lengths = sorted(r["_len"] for r in seeds.select("_len").distinct().collect())  # a handful of block lengths
+    pieces = segments(reads, longest, read_id, seq)
+    own = F.least(F.lit(SEGMENT), F.col("read_length") - F.col("seg_start"))
+    offset = F.col("seg_start") - F.col("seg_from")
+    kmers = pieces.select(
+        read_id, "read_length", "seg_start", offset.alias("_shift"), "piece", F.explode(F.transform(indices(own), lambda i: i + offset)).alias("_p")
+    )
+    # the window around a position: `longest` bases before it and after it, cut once from the short piece
+    before = F.least(F.col("_p"), F.lit(longest))
+    kmers = kmers.select(
+        read_id, "read_length", (F.col("seg_start") + F.col("_p") - F.col("_shift")).alias("_pos"), before.alias("_before"),
+        F.substring("piece", F.col("_p") - before + 1, before + longest).alias("_context"),
+    )
+    kmers = kmers.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    kmers = kmers.withColumn("_kmer", F.substring("_context", F.col("_before") + 1, F.col("_len")))
+    joined = kmers.join(broadcast_if_small(seeds), ["_len", "_kmer"])
+    joined = joined.withColumn("start", F.col("_pos") - F.col("_at"))
+    joined = joined.where((F.col("start") >= 0) & (F.col("start") + size <= F.col("read_length")))
+    joined = joined.withColumn("_window", F.substring("_context", F.col("_before") - F.col("_at") + 1, size))
+    earlier = F.exists(
+        "_blocks",
+        lambda x: (x["block"] < F.col("_block")) & (F.substring("_window", x["at"] + 1, x["len"]) == x["kmer"]),
     )
-    joined = kmers.join(seeds.where("_len > 0"), ["_len", "_kmer"]).withColumn("start", F.col("_pos") - F.col("_at"))
-    inside = (F.col("start") >= 0) & (F.col("start") + size <= F.length("_seq"))
-    window = F.substring("_seq", F.col("start") + 1, size)
-    mism = total(F.zip_with(bases(window), bases(F.col("pattern")), lambda a, b: (a != b).cast("int"))).cast("int")
-    hits = joined.where(inside).withColumn("mismatches", mism)
-    hits = hits.withColumn("identity", 1.0 - F.col("mismatches") / F.length("pattern"))
-    hits = hits.where((F.col("mismatches") <= max_mismatches) & (F.col("identity") >= min_identity))
-    keys = [read_id, "pattern_id", "orientation", "start"]
-    # a placement found through several seeds is one hit
-    return hits.groupBy(*keys).agg(
-        F.max((F.col("start") + F.length("pattern")).cast("int")).alias("end"),
-        F.max((F.col("start") + F.col("center")).cast("int")).alias("center_index"),
-        F.max("mismatches").alias("mismatches"),
-        F.max("identity").alias("identity"),
+    mism = total(F.zip_with(bases(F.col("_window")), bases(F.col("pattern")), lambda a, b: (a != b).cast("int"))).cast("int")
+    hits = joined.where(~earlier).withColumn("mismatches", mism)
+    hits = hits.withColumn("identity", 1.0 - F.col("mismatches") / size)
+    return hits.where((F.col("mismatches") <= max_mismatches) & (F.col("identity") >= min_identity)).select(
+        read_id, "pattern_id", "orientation", "start", (F.col("start") + size).alias("end"),
+        (F.col("start") + F.col("center")).alias("center_index"), "mismatches", "identity",
     )
 
 
 def select_non_overlapping(hits: DataFrame, read_id: str = "read_id") -> DataFrame:
     """Greedy choice per read by (identity desc, mismatches, start, pattern id), skipping overlaps; ordered by start.
 
-    The fold runs over one read's hits, a list bounded by the read's length.
+    Hits of different runs of overlapping hits never compete, so each run is decided on its own: the sequential
+    fold works on one run, and a read with very many hits does not form one long list.
     """
+    w = Window.partitionBy(read_id).orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = hits.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
+    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     entry = F.struct(
         (-F.col("identity")).alias("neg_identity"), F.col("mismatches"), F.col("start"), F.col("pattern_id"),
         F.col("orientation"), F.col("end"), F.col("center_index"),
     )
-    per_read = hits.groupBy(read_id).agg(F.sort_array(F.collect_list(entry)).alias("_c"))
+    per_run = marked.groupBy(read_id, "_run").agg(F.sort_array(F.collect_list(entry)).alias("_c"))
     kept = F.aggregate(
         "_c",
         F.slice("_c", 1, 0),
@@ -182,7 +219,7 @@ def select_non_overlapping(hits: DataFrame, read_id: str = "read_id") -> DataFra
             F.exists(acc, lambda o: (c["start"] < o["end"]) & (c["end"] > o["start"])), acc
         ).otherwise(F.concat(acc, F.array(c))),
     )
-    return per_read.select(read_id, F.explode(kept).alias("_u")).select(
+    return per_run.select(read_id, F.explode(kept).alias("_u")).select(
         read_id, "_u.pattern_id", "_u.orientation", "_u.start", "_u.end", "_u.center_index", "_u.mismatches",
         (-F.col("_u.neg_identity")).alias("identity"),
     )

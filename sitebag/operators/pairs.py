@@ -86,10 +86,17 @@ def _band(a: np.ndarray, b: np.ndarray, half: int) -> tuple[int, int, int, int]
     return matches, mismatches, n - matches - mismatches, m - matches - mismatches
 
 
-def align_totals(a: str, b: str) -> tuple[int, int, int, int]:
-    """Operation totals of a unit-cost global alignment with the most matches; the band doubles until it is exact."""
+def align_totals(a: str, b: str, distance: int | None = None) -> tuple[int, int, int, int]:
+    """Operation totals of a unit-cost global alignment with the most matches.
+
+    A band as wide as the edit distance is exact; without a known distance the band doubles until it is. The
+    shorter sequence gives the rows.
+    """
+    if len(a) > len(b):
+        m, x, i, d = align_totals(b, a, distance)
+        return m, x, d, i
     x, y = np.frombuffer(a.encode(), dtype=np.uint8), np.frombuffer(b.encode(), dtype=np.uint8)
-    half = 16
+    half = 16 if distance is None else max(int(distance), 1)
     while True:
         found = _band(x, y, half)
         if found is not None:
@@ -101,10 +108,11 @@ OPS = ("matches", "mismatches", "insertions", "deletions")
 
 
 @F.pandas_udf(T.StructType([T.StructField(name, T.IntegerType()) for name in OPS]))
-def _align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for left, right in batches:
+def _align(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for left, right, cost in batches:
         rows = [
-            (None,) * 4 if a is None or b is None else align_totals(a, b) for a, b in zip(left, right, strict=True)
+            (None,) * 4 if a is None or b is None else align_totals(a, b, c)
+            for a, b, c in zip(left, right, cost, strict=True)
         ]
         yield pd.DataFrame(rows, columns=list(OPS), dtype="Int32")
 
@@ -112,10 +120,12 @@ def _align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
 def alignment_ops(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b") -> DataFrame:
     """Match / mismatch / insertion / deletion totals, identity and the coverage of both sides for shared pairs.
 
-    Opt-in: the only Python step, Arrow-batched and after every filter. Equal sequences skip it.
+    Opt-in: the only Python step, Arrow-batched and after every filter. Equal sequences skip it, and the edit
+    distance from the JVM bounds the band that Python has to fill.
     """
     same = F.col(a) == F.col(b)
-    ops = pairs.withColumn("_o", F.when(~same, _align(F.when(~same, F.col(a)), F.when(~same, F.col(b)))))
+    cost = F.col("edit_distance") if "edit_distance" in pairs.columns else F.levenshtein(a, b)
+    ops = pairs.withColumn("_o", _align(F.when(~same, F.col(a)), F.when(~same, F.col(b)), F.when(~same, cost)))
     n = F.length(a)
     full = F.struct(n.alias("matches"), F.lit(0).alias("mismatches"), F.lit(0).alias("insertions"), F.lit(0).alias("deletions"))
     ops = ops.withColumn("_o", F.when(same, full).otherwise(F.col("_o")))
@@ -136,11 +146,11 @@ def event_totals(pairs: DataFrame) -> DataFrame:
 
 
 def error_rates(totals: DataFrame) -> DataFrame:
-    """Substitution, insertion and deletion rates over the aligned reference bases (matches + mismatches + deletions)."""
-    ref = F.col("matches") + F.col("mismatches") + F.col("deletions")
+    """Substitution, insertion and deletion counts per correctly called base (at least 1)."""
+    right = F.greatest(F.col("matches"), F.lit(1))
     return totals.select(
-        "*", ratio(F.col("mismatches"), ref).alias("substitution_rate"), ratio(F.col("insertions"), ref).alias("insertion_rate"),
-        ratio(F.col("deletions"), ref).alias("deletion_rate"),
+        "*", ratio(F.col("mismatches"), right).alias("substitution_rate"), ratio(F.col("insertions"), right).alias("insertion_rate"),
+        ratio(F.col("deletions"), right).alias("deletion_rate"),
     )
 
 

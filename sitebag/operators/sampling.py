@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ordering import attach, ordered_prefix, seed_key, seeded_rank
+from ..session import staged
 
 NO_SITE = "no_A"
 
@@ -54,6 +55,7 @@ def stratified_bags(
     bags = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("bag_reads")).where(F.col("bag_reads") >= min_size)
     if max_per_stratum > 0:
         bags = seeded_rank(bags, "_bag", [ratio, *strata], seed, rank="_r").where(F.col("_r") <= max_per_stratum).drop("_r")
+    bags = staged(bags, "bags")  # one row per bag; counted, ranked and numbered below
     per_ratio = bags.groupBy(ratio).agg(F.count(F.lit(1)).alias("_n"))
     made = per_ratio.agg(F.count(F.lit(1)).alias("made"), F.min("_n").alias("fewest"))
     wanted = df.select(ratio).distinct().agg(F.count(F.lit(1)).alias("wanted"))
@@ -68,7 +70,7 @@ def stratified_bags(
         bags = seeded_rank(uid, "_uid", [ratio], seed, rank="_r").where(F.col("_r") <= fewest).drop("_r", "_uid")
     else:
         bags = bags.where(fewest > 0)
-    return attach(ranked, _numbered(bags, keys), keys).drop("_bag")
+    return attach(ranked, _numbered(staged(bags, "kept"), keys), keys).drop("_bag")
 
 
 def common_strata_sample(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ordering import attach, quantiles
+from ..session import staged
 from . import metrics as M
 
 SITE = ("contig", "pos", "strand")
@@ -148,7 +149,7 @@ def convention_sweep(
     """
     both = site_stats(calls, **stats).select(*SITE, "coverage", "score").withColumn("view", F.lit("strand"))
     flat = site_stats(collapse_strand(calls), **stats).select(*SITE, "coverage", "score").withColumn("view", F.lit("flat"))
-    sites = both.unionByName(flat)
+    sites = staged(both.unionByName(flat), "sites")  # one row per site: scored against every combination below
     moved = convention_grid(gold, shifts, conventions).withColumn(
         "view", F.when(F.col("convention") == "ignore", F.lit("flat")).otherwise(F.lit("strand"))
     )
@@ -182,6 +183,7 @@ def convention_sweep(
         .select(*combo, "score", "p", (-F.col("p")).alias("n"))
     )
     hist = spread.unionByName(matched).groupBy(*combo, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    hist = staged(hist, "hist")
     areas = M.auc_summary(M.cumulate(hist, combo), combo)
     at = F.col("score") >= threshold
     counts = hist.groupBy(*combo).agg(

@@ -18,9 +18,9 @@ def chunk_windows(reads: DataFrame, length: str, chunk: int, overlap: int, signa
     """One row per overlapping window, anchored at the end of the read; with ``signal`` also its slice."""
     first, last = regular_windows(F.col(length), chunk, overlap)
     numbers = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    start = first + F.explode(numbers) * (chunk - overlap)
+    starts = F.transform(numbers, lambda k: first + k * (chunk - overlap))
     kept = [c for c in reads.columns if c != signal]
-    rows = reads.select(*kept, *([F.col(signal).alias("_sig")] if signal else []), start.alias("window_start"))
+    rows = reads.select(*kept, *([F.col(signal).alias("_sig")] if signal else []), F.explode(starts).alias("window_start"))
     rows = rows.withColumn("window_end", F.col("window_start") + chunk)
     if signal:
         rows = rows.withColumn("window_signal", F.slice("_sig", F.col("window_start") + 1, F.lit(chunk))).drop("_sig")

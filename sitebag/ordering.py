@@ -57,19 +57,19 @@ def ordered_prefix(
     """
     key = order[0] if len(order) == 1 else F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     keyed = df.withColumn("_k", key)
-    present = F.lit(False)
+    # reading the sums here keeps the sample on the same aggregated exchange as the other two uses of ``df``
+    weighted = F.lit(False)
     for s in sums:
-        present = present | F.col(s).isNotNull()
+        weighted = weighted | (F.col(s) >= 0)
     sample = (
-        keyed.where(present)
+        keyed.where(weighted)
         .select("_k", F.xxhash64(*[F.col(c) for c in by], "_k").alias("_h"))
         .orderBy("_h", "_k")
         .limit(borders)
         .agg(F.sort_array(F.collect_set("_k")).alias("_b"))
     )
     placed = (
-        keyed.where(present)
-        .withColumn("_borders", sample.scalar())
+        keyed.withColumn("_borders", sample.scalar())
         .withColumn("_bucket", search_sorted(F.col("_borders"), F.col("_k"), borders))
         .drop("_borders")
     )

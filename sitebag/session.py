@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -20,6 +21,7 @@ def build_session(app: str = "sitebag", master: str = "local[*]", shuffle_partit
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
@@ -43,9 +45,29 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of the executors that made them."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` below the shared folder and read it back.
+
+    For small derived tables that feed several branches of one plan: the branches then share one computation, the
+    rows survive the loss of executors, and the optimiser sees their real size.
+    """
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-distribute rows of heavy per-row work when they come from fewer files than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a lookup table for broadcast after counting it (at most ``max_rows`` + 1 rows are read).
+
+    A larger table comes back unmarked, and the join is planned by size as usual.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
