@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..ordering import seed_key, seeded_rank
 
 # Fixed values of the SAM format: flag bits.
@@ -15,12 +16,15 @@ FLAG_UNMAPPED, FLAG_REVERSE, FLAG_SECONDARY, FLAG_SUPPLEMENTARY = 0x4, 0x10, 0x1
 
 def primary_only(reads: DataFrame, need_tags: Sequence[str] = ("mv", "ns"), flag: str = "flag", tags: str = "tags") -> DataFrame:
     """Mapped primary records that are no duplex parents (``dx`` = 1) and carry the needed tags."""
-    f = F.col(flag)
-    bad = f.bitwiseAND(FLAG_UNMAPPED | FLAG_SECONDARY | FLAG_SUPPLEMENTARY) != 0
-    keep = ~bad & (F.coalesce(F.col(tags)["dx"], F.lit("0")) != "1")
-    for tag in need_tags:
-        keep = keep & F.map_contains_key(F.col(tags), tag)
-    return reads.where(keep)
+    def usable(t: Column) -> Column:
+        keep = F.coalesce(t["dx"], F.lit("0")) != "1"
+        for tag in need_tags:
+            keep = keep & F.map_contains_key(t, tag)
+        return keep
+
+    # the filter is pushed below the parsing projection, so it names each parsed column once
+    good = F.col(flag).bitwiseAND(FLAG_UNMAPPED | FLAG_SECONDARY | FLAG_SUPPLEMENTARY) == 0
+    return reads.where(good).where(let(F.col(tags), usable))
 
 
 # The published rule presets (a value below the limit is rejected).

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.alignment import alignment_metrics
 from ..functions.signal import decode_overflow
 from ..ordering import attach, quantiles
+from ..session import staged
 from ..sources.sam import tag_int, tag_ints
 
 # Reported percentiles.
@@ -38,7 +39,7 @@ def read_measures(reads: DataFrame) -> DataFrame:
 
 def alignment_profile(reads: DataFrame, approx: bool = False) -> DataFrame:
     """One row per measure with its percentiles, plus the reverse and tagged fractions of all records."""
-    rows = read_measures(reads)
+    rows = staged(read_measures(reads), "measures")  # a few numbers per record; the records are parsed once
     long = rows.select(*[F.col(c).cast("double").alias(c) for c in MEASURES]).unpivot([], list(MEASURES), "measure", "value")
     counts = long.groupBy("measure").agg(F.count("value").alias("records"))
     shares = rows.agg(

@@ -116,7 +116,7 @@ def read_sites(spark: SparkSession, path: str, fmt: str = "auto", ignore_strand:
 
     Strands other than + and - become ``.``. A site listed twice keeps its last line.
     """
-    first = _first_line(spark, path)
+    first = _first_line(spark, path, r"^\s*(#|track |browser |$)")
     if fmt == "auto":
         fields = re.split(r"\s+", first.strip())
         fmt = "bed" if len(fields) >= 3 and _is_int(fields[1]) and _is_int(fields[2]) else "table"
@@ -170,6 +170,11 @@ def _site_table(spark: SparkSession, path: str, header: str) -> DataFrame:
     return rows.withColumn("name", F.coalesce("name", made_up))
 
 
+def _file_path() -> Column:
+    """Path of the source file with URI escapes undone."""
+    return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+
+
 def read_result_tree(
     spark: SparkSession,
     glob: str,
@@ -190,7 +195,7 @@ def read_result_tree(
     lost = [c for c in required if c not in df.columns]
     if lost:
         raise ValueError(f"{glob}: missing columns {lost}")
-    path = F.col("_metadata.file_path")
+    path = _file_path()
     out = df.select("*", *[F.regexp_extract(path, path_pattern, i + 1).alias(n) for i, n in enumerate(names)], path.alias("source_path"))
     out = out.where(F.col("source_path").rlike(path_pattern))
     for name, prefixes in (strip_prefixes or {}).items():
@@ -203,7 +208,7 @@ def read_history(
 ) -> DataFrame:
     """Epoch logs of many runs as one scan: listed columns coerced to numbers (NULL where not), run from the path."""
     df = spark.read.option("header", True).option("sep", sep).csv(glob)
-    path = F.col("_metadata.file_path")
+    path = _file_path()
     return df.select(
         *[F.col(c) for c in df.columns if c not in numeric],
         *[(F.col(c).try_cast("double") if c in df.columns else F.lit(None).cast("double")).alias(c) for c in numeric],
