@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import let, running_sum, sorted_quantile
+from .arrays import let, sorted_quantile
 
 # Quantile normalisation and the clipping range of normalised signals.
 QUANTILE_A, QUANTILE_B = 0.2, 0.9
@@ -16,19 +16,27 @@ EPS = 1e-6
 
 
 def decode_overflow(values: Column) -> Column:
-    """Sum runs of saturated int8 values (-128, 127) with the value that ends each run; NULL if the last run is open."""
-    def split_runs(v: Column) -> Column:
-        ends = F.filter(
-            F.zip_with(v, running_sum(v), lambda x, s: F.when(~x.isin(-128, 127), s)), lambda s: s.isNotNull()
-        )
-        decoded = let(
-            ends,
-            lambda e: F.transform(e, lambda s, i: s - F.coalesce(F.get(e, i - 1), F.lit(0).cast("bigint"))),
-        )
-        is_open = F.coalesce(F.get(v, F.size(v) - 1).isin(-128, 127), F.lit(True))
-        return F.when(~is_open, decoded)
+    """Sum runs of saturated int8 values (-128, 127) with the value that ends each run; NULL if the last run is open.
+
+    Each run is summed over its own slice, so the work is linear; a table without saturated values passes through.
+    """
+    def saturated(x: Column) -> Column:
+        return (x == -128) | (x == 127)
+
+    def sum_runs(v: Column) -> Column:
+        ends = F.filter(F.transform(v, lambda x, i: F.when(~saturated(x), i)), lambda i: i.isNotNull())
+
+        def run(e: Column, last: Column) -> Column:
+            whole = F.aggregate(F.slice(v, last + 2, e - last), F.lit(0), lambda a, x: a + x)
+            return F.when(e - last == 1, F.get(v, e)).otherwise(whole)
+
+        return let(ends, lambda es: F.transform(es, lambda e, i: run(e, F.coalesce(F.get(es, i - 1), F.lit(-1)))))
+
+    def decode(v: Column) -> Column:
+        is_open = F.coalesce(saturated(F.get(v, F.size(v) - 1)), F.lit(True))
+        return F.when(is_open, F.lit(None)).when(F.exists(v, saturated), sum_runs(v)).otherwise(v)
 
-    return let(values, split_runs)
+    return let(values.cast("array<int>"), decode)
 
 
 def decode_moves(mv: Column) -> Column:
@@ -40,7 +48,7 @@ def decode_moves(mv: Column) -> Column:
         stride = F.get(decoded, 0)
         moves = F.slice(decoded, 2, F.greatest(F.size(decoded) - 1, F.lit(0)))
         emitted = F.flatten(
-            F.transform(moves, lambda m, i: F.array_repeat(i * stride + F.floor(stride / 2), m.cast("int")))
+            F.transform(moves, lambda m, i: F.array_repeat((i * stride + F.floor(stride / 2)).cast("int"), m))
         )
         valid = decoded.isNotNull() & (stride > 0) & ~F.exists(moves, lambda m: m < 0)
         return F.when(valid, F.struct(stride.alias("stride"), emitted.alias("emitted")))

@@ -170,7 +170,7 @@ def pattern_hits(
     own = F.least(F.lit(SEGMENT), F.col("read_length") - F.col("seg_start"))
     offset = F.col("seg_start") - F.col("seg_from")
     kmers = pieces.select(
-        read_id, "read_length", "seg_start", offset.alias("_shift"), "piece", F.explode(F.transform(indices(own), lambda i: i + offset)).alias("_p")
+        read_id, "read_length", "seg_start", offset.alias("_shift"), "piece", F.explode(F.sequence(offset, offset + own - 1)).alias("_p")
     )
     # the window around a position: `longest` bases before it and after it, cut once from the short piece
     before = F.least(F.col("_p"), F.lit(longest))

@@ -27,21 +27,26 @@ def site_stats(
     """Coverage, called fraction and mean probabilities per site, with a chosen score and its prediction.
 
     Counts and sums are map-side combined, so a site holding a large share of all rows costs one partial row per
-    task. The median is computed only when selected: ``exact`` ranks value counts in bounded buckets, ``approx``
-    uses the sketch. ``exact_sum=u`` sums ``round(prob/u)`` as integers for probabilities stored on a grid of
-    step ``u`` (e.g. 1/255), which makes the sum independent of row order.
+    task. ``exact_sum=u`` sums ``round(prob/u)`` as integers for probabilities stored on a grid of step ``u`` (e.g.
+    1/255), which makes the sum independent of row order. The median is computed only when selected: on a grid it
+    joins the same aggregate (at most 1/u + 1 distinct values per site); otherwise ``exact`` ranks value counts in
+    bounded buckets and ``approx`` uses the sketch.
     """
     if score not in SCORES:
         raise ValueError(f"unknown score {score!r}")
     if score == "median_called_prob" and median is None:
         median = "exact"
     p = F.col(prob)
+    on_grid = median == "exact" and exact_sum
+    middle = []
+    if on_grid:
+        middle = [(F.percentile(F.round(p / exact_sum).cast("bigint"), 0.5) * F.lit(float(exact_sum))).alias("median_called_prob")]
     if exact_sum:
         called_sum = F.sum(F.round(p / exact_sum).cast("bigint")) * F.lit(float(exact_sum))
     else:
         called_sum = F.sum(p)
     out = calls.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("coverage"), F.count(p).alias("num_mod_calls"), called_sum.alias("_sum")
+        F.count(F.lit(1)).alias("coverage"), F.count(p).alias("num_mod_calls"), called_sum.alias("_sum"), *middle
     )
     out = out.select(
         *keys,
@@ -50,8 +55,9 @@ def site_stats(
         (F.col("num_mod_calls") / F.col("coverage")).alias("mod_fraction"),
         (F.coalesce(F.col("_sum"), F.lit(0.0)) / F.col("coverage")).alias("mean_prob_zero_filled"),
         F.when(F.col("num_mod_calls") > 0, F.col("_sum") / F.col("num_mod_calls")).alias("mean_called_prob"),
+        *(["median_called_prob"] if on_grid else []),
     )
-    if median:
+    if median and not on_grid:
         middle = quantiles(calls, prob, {"median_called_prob": 0.5}, keys, approx=median == "approx")
         out = attach(out, middle, keys, "left")
     out = out.withColumn("score", F.coalesce(F.col(score), F.lit(0.0)))
@@ -238,17 +244,17 @@ def site_context(
     contig: str = "contig",
     pos: str = "pos",
     strand: str = "strand",
+    bin_size: int = 10000,
 ) -> DataFrame:
-    """Reference base and strand-aware k-mer of each site; ``bins`` comes from ``read_fasta_bins``.
+    """Reference base and strand-aware k-mer of each site; ``bins`` comes from ``read_fasta_bins`` with ``bin_size``.
 
     An equi-join on (contig, bin): a hot contig spreads over its bins. Sites outside the reference keep NULLs.
     """
     from ..functions.sequence import motif_match, reference_kmer, revcomp
 
-    size = F.col("bin_size")
-    keyed = sites.withColumn("_bin", F.floor(F.col(pos) / bins.select("bin_size").limit(1).scalar()))
+    keyed = sites.withColumn("_bin", F.floor(F.col(pos) / F.lit(float(bin_size))))
     right = bins.select(
-        F.col("contig").alias("_c"), F.col("bin").alias("_b"), F.col("start").alias("_s"), F.col("seq").alias("_seq"), size
+        F.col("contig").alias("_c"), F.col("bin").alias("_b"), F.col("start").alias("_s"), F.col("seq").alias("_seq")
     )
     joined = keyed.join(right, (F.col(contig) == F.col("_c")) & (F.col("_bin") == F.col("_b")), "left")
     at = F.col(pos) - F.col("_s")
@@ -257,7 +263,7 @@ def site_context(
     out = joined.withColumn("ref_base", F.when(base != "", base)).withColumn(
         "kmer", F.when(F.col(strand) == "-", revcomp(kmer)).otherwise(kmer)
     )
-    out = out.drop("_c", "_b", "_s", "_seq", "_bin", "bin_size")
+    out = out.drop("_c", "_b", "_s", "_seq", "_bin")
     return out.where(motif_match(F.col("kmer"), motif)) if motif else out
 
 

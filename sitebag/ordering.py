@@ -18,16 +18,15 @@ BORDERS = 256
 HASH_HEX = 3  # 16**3 = 4096 sub-buckets per group for hash-ordered ranks
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equality of all ``keys`` in which NULL matches NULL."""
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[key])
-    return cond
-
-
 def attach(df: DataFrame, extra: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join ``extra`` on ``keys`` (NULL-safe) and keep one copy of the key columns."""
+    """Join ``extra`` on ``keys`` (NULL-safe) and keep one copy of the key columns.
+
+    Without keys ``extra`` is one row; its columns then come from a scalar subquery instead of from a cross join.
+    """
+    if not keys:
+        row = extra.select(F.struct(*extra.columns).alias("_row")).scalar()
+        packed = df.withColumn("_row", row)
+        return packed.select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in extra.columns])
     right = extra.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in extra.columns if c not in keys])
     cond = F.lit(True)
     for key in keys:

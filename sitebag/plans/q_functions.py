@@ -223,11 +223,10 @@ def _(get, spark):
 
 def move_table(seq):
     """One emission per base; A waits a step after it, G before it, T uses a saturated run that sums to 1."""
-    step = F.create_map(
-        F.lit("A"), F.array(F.lit(1), F.lit(0)), F.lit("C"), F.array(F.lit(1)), F.lit("G"), F.array(F.lit(0), F.lit(1)),
-        F.lit("T"), F.array(F.lit(-128), F.lit(127), F.lit(2)),
-    )
-    return F.concat(F.array(F.lit(5)), F.flatten(F.transform(Q.bases(seq), lambda b: step[b])))
+    steps = F.translate(seq, "ACGT", "abcd")
+    for code, text in (("a", "1,0,"), ("b", "1,"), ("c", "0,1,"), ("d", "-128,127,2,")):
+        steps = F.replace(steps, F.lit(code), F.lit(text))
+    return F.split(F.concat(F.lit("5,"), F.rtrim(steps, F.lit(","))), ",").cast("array<int>")
 
 
 MOVES = f"""{BASES}, steps AS (SELECT read_id, i, b, CASE WHEN b IN ('A','G') THEN 2 ELSE 1 END AS w FROM bases),

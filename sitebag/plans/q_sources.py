@@ -125,7 +125,7 @@ CONTEXT = """ctx AS (SELECT site_id, s.contig, pos, strand, CASE WHEN pos < leng
 
 
 def contexts(get, spark, motif=None):
-    return S.site_context(get("v_sites"), read_fasta_bins(spark, fasta(get, spark), 500, 16), 5, motif)
+    return S.site_context(get("v_sites"), read_fasta_bins(spark, fasta(get, spark), 500, 16), 5, motif, bin_size=500)
 
 
 @query("j12_site_context", f"WITH {CONTEXT} SELECT * FROM ctx")

@@ -37,5 +37,4 @@ def read_fasta_bins(spark: SparkSession, path: str, bin_size: int = 10000, pad:
     bins = pieces.groupBy("contig", "bin").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("_p"))
     return bins.select(
         "contig", "bin", F.get("_p", 0)["at"].alias("start"), F.array_join(F.transform("_p", lambda p: p["piece"]), "").alias("seq"),
-        F.lit(bin_size).alias("bin_size"),
     ).where(F.col("bin") * bin_size < F.col("start") + F.length("seq"))

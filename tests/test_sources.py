@@ -59,7 +59,7 @@ def test_fasta_context(spark, tmp_path):
             assert r["start"] == lo and r["seq"] == seq[lo : (b + 1) * 16 + 4]
     sites = spark.createDataFrame([("chr1", p, s) for p in range(-1, 97) for s in "+-"] + [("chr2", 2, "+"), ("chr9", 1, "+")], "contig string, pos int, strand string")
     comp = str.maketrans("ACGT", "TGCA")
-    for r in S.site_context(sites, bins, 5).collect():
+    for r in S.site_context(sites, bins, 5, bin_size=16).collect():
         if r["contig"] != "chr1":
             assert r["kmer"] is None
             continue
