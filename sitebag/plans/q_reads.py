@@ -12,8 +12,8 @@ from ..operators import qc
 from ..operators import sites as S
 from ..operators import windows as W
 from ..operators.reads import alignment_profile
-from ..session import staged
-from ..sources.sam import parse_sam
+from ..session import stage_path, staged
+from ..sources.sam import read_sam
 from .q_functions import BASES, CALLS, called_bases
 from .registry import query, rounded
 
@@ -42,12 +42,19 @@ def sam_lines(get):
     )
 
 
+def sam_records(get, spark):
+    """The alignments read back from SAM text."""
+    path = stage_path(spark, "sam")
+    sam_lines(get).write.text(path)
+    return read_sam(spark, path)
+
+
 PRIMARY = "(flag & (4 | 256 | 2048)) = 0 AND dx <> 1 AND read_id % 7 <> 0"
 
 
 @query("f1_primary_only", f"SELECT concat('r', read_id) AS read_id, flag, pos0, md5(seq) AS digest FROM v_aligned WHERE {PRIMARY}")
 def _(get, spark):
-    return qc.primary_only(parse_sam(sam_lines(get))).select("read_id", "flag", "pos0", F.md5("seq").alias("digest"))
+    return qc.primary_only(sam_records(get, spark)).select("read_id", "flag", "pos0", F.md5("seq").alias("digest"))
 
 
 @query(
@@ -63,7 +70,7 @@ def _(get, spark):
     FROM u GROUP BY 1""",
 )
 def _(get, spark):
-    out = alignment_profile(parse_sam(sam_lines(get)))
+    out = alignment_profile(sam_records(get, spark))
     return rounded(out, "p0", "p5", "p25", "p50", "p75", "p95", "p100")
 
 

@@ -10,10 +10,10 @@ from ..operators import sites as S
 from ..session import stage_path
 from ..sources.chunks import read_chunks, write_chunks
 from ..sources.fasta import read_fasta_bins
-from ..sources.sam import read_sam, tag_double, tag_int, tag_ints
+from ..sources.sam import tag_double, tag_int, tag_ints
 from ..sources.tables import read_history, read_manifest, read_result_tree, read_sites, write_report
 from ..streaming import latest, start_updates, stream_counters, stream_site_stats
-from .q_reads import sam_lines
+from .q_reads import sam_records
 from .q_samples import REASON, SPLIT, tagged, with_split
 from .registry import query, rounded
 
@@ -25,10 +25,7 @@ from .registry import query, rounded
       flag & 16 <> 0 AS is_reverse, CAST(nm AS BIGINT) AS nm, (n*5 + 10)::DOUBLE AS ns, CASE WHEN read_id % 4 = 0 THEN 200 END AS ml FROM v_aligned""",
 )
 def _(get, spark):
-    path = stage_path(spark, "sam")
-    sam_lines(get).write.text(path)
-    rows = read_sam(spark, path)
-    return rows.select(
+    return sam_records(get, spark).select(
         "read_id", "flag", "contig", "pos0", "mapq", "cigar", F.md5("seq").alias("digest"), "is_unmapped", "is_secondary", "is_supplementary", "is_reverse",
         tag_int(F.col("tags"), "NM").alias("nm"), tag_double(F.col("tags"), "ns").alias("ns"), F.get(tag_ints(F.col("tags"), "ML"), 0).alias("ml"),
     )
