@@ -129,13 +129,12 @@ def pattern_hits(
 ) -> DataFrame:
     """Every placement of a pattern on a read with few enough mismatches.
 
-    Pigeonhole seeds: of max_mismatches+1 disjoint blocks of a pattern at least one matches exactly. Reads emit
-    their k-mers, each with a few bases around it, and meet the pattern blocks in an equi-join on (length, k-mer);
+    Pigeonhole seeds: with m mismatches allowed, of m+1 disjoint blocks of a pattern at least one matches exactly
+    (m is what max_mismatches and min_identity leave for the pattern's length). Reads emit their k-mers, each with a few bases around it, and meet the pattern blocks in an equi-join on (length, k-mer);
     only such candidates are compared base by base. No read x pattern x start product is formed and no hit is lost.
     A placement that several blocks find is kept for the first of them alone, so no shuffle is needed.
     ``patterns`` (pattern_id, pattern, center) is a lookup list: its size is checked before it is broadcast.
     """
-    parts = max_mismatches + 1
     both = patterns.select("pattern_id", "pattern", "center", F.lit("+").alias("orientation"))
     if both_orientations:
         both = both.unionByName(
@@ -149,12 +148,16 @@ def pattern_hits(
     extent = patterns.agg(F.max(F.length("pattern")).alias("longest")).first()
     longest = int(extent["longest"] or 1)
     size = F.length("pattern")
+    allowed = F.filter(
+        F.sequence(F.lit(0), F.lit(max_mismatches)), lambda m: F.lit(1.0) - m / size >= F.lit(float(min_identity))
+    )
+    both = both.where(size > 0).withColumn("_parts", F.size(allowed)).where("_parts > 0")
 
     def edge(b: Column) -> Column:
-        return F.floor(size * b / float(parts)).cast("int")
+        return F.floor(size * b / F.col("_parts").cast("double")).cast("int")
 
     blocks = F.transform(
-        indices(F.lit(parts)),
+        indices(F.col("_parts")),
         lambda b: F.struct(
             b.alias("block"), edge(b).alias("at"), (edge(b + 1) - edge(b)).alias("len"),
             F.substring("pattern", edge(b) + 1, edge(b + 1) - edge(b)).alias("kmer"),

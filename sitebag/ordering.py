@@ -14,8 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BORDERS = 256
-HASH_HEX = 3  # 16**3 = 4096 sub-buckets per group for hash-ordered ranks
+MIN_BORDERS = 256
+
+
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def attach(df: DataFrame, extra: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -47,13 +50,15 @@ def search_sorted(borders: Column, value: Column, max_len: int) -> Column:
 
 
 def ordered_prefix(
-    df: DataFrame, order: Sequence[Column], sums: Sequence[str], by: Sequence[str] = (), borders: int = BORDERS
+    df: DataFrame, order: Sequence[Column], sums: Sequence[str], by: Sequence[str] = (), borders: int | None = None
 ) -> DataFrame:
     """Add ``<s>_before`` (sum over the rows sorting before this one) and ``<s>_total`` per ``by`` group.
 
     ``order`` lists ascending sort expressions. Borders are the keys of the ``borders`` rows with the smallest
-    hash: a uniform row sample that is a function of the data alone and has a fixed size.
+    hash: a uniform row sample that is a function of the data alone and has a fixed size (by default four times the
+    shuffle partitions, so a larger cluster gets more, smaller buckets).
     """
+    borders = borders or max(MIN_BORDERS, 4 * _shuffle_partitions(df))
     key = order[0] if len(order) == 1 else F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     keyed = df.withColumn("_k", key)
     # reading the sums here keeps the sample on the same aggregated exchange as the other two uses of ``df``
@@ -101,10 +106,11 @@ def seeded_rank(
 ) -> DataFrame:
     """1-based random rank within ``by`` (ordered by :func:`seed_key`, then id) and optionally the group size.
 
-    md5 is uniform, so its leading hex digits split a group of any size evenly; a group that holds a third of
-    all rows is ranked by 4096 independent tasks.
+    md5 is uniform, so its leading hex digits split a group of any size evenly: a group that holds a third of all
+    rows is ranked in 256 independent parts, 4096 on clusters with 256 or more shuffle partitions.
     """
-    keyed = df.withColumn("_key", seed_key(seed, *by, ident)).withColumn("_slot", F.substring("_key", 1, HASH_HEX))
+    digits = 3 if _shuffle_partitions(df) >= 256 else 2
+    keyed = df.withColumn("_key", seed_key(seed, *by, ident)).withColumn("_slot", F.substring("_key", 1, digits))
     group = Window.partitionBy(*by)
     upto = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = keyed.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_c"))

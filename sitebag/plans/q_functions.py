@@ -166,11 +166,11 @@ PLACED = """bases AS (SELECT * EXCLUDE (seq), unnest(range(n)) AS i, unnest(stri
 
 @query(
     "p12_query_to_ref",
-    f"""WITH {PLACED} SELECT read_id, count(*) AS n, count_if(ref_pos >= 0) AS aligned, CAST(sum(ref_pos) AS BIGINT) AS position_sum, max(ref_pos) AS last
-    FROM placed GROUP BY 1""",
+    f"""WITH {PLACED} SELECT v.read_id, count(ref_pos) AS n, coalesce(count(CASE WHEN ref_pos >= 0 THEN 1 END), 0) AS aligned, CAST(coalesce(sum(ref_pos), 0) AS BIGINT) AS position_sum, max(ref_pos) AS last
+    FROM v_aligned v LEFT JOIN placed p ON v.read_id = p.read_id GROUP BY 1""",
 )
 def _(get, spark):
-    rows = get("v_aligned").where("cigar <> '*'").select("read_id", A.query_to_ref(F.col("cigar"), F.col("pos0")).alias("r"))
+    rows = get("v_aligned").select("read_id", A.query_to_ref(F.col("cigar"), F.col("pos0")).alias("r"))
     return rows.select(
         "read_id", F.size("r").alias("n"), F.size(F.filter("r", lambda p: p >= 0)).alias("aligned"),
         F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("position_sum"), F.array_max("r").alias("last"),
@@ -255,7 +255,7 @@ def _(get, spark):
       p AS (SELECT doc_id, sig, greatest(10, 0.51::DOUBLE*(a+b)) AS shift, greatest(1, 0.53::DOUBLE*(b-a)) AS scale FROM e),
       x AS (SELECT doc_id, shift, scale, unnest(sig) AS v FROM p)
     SELECT doc_id, round(shift,6) AS shift, round(scale,6) AS scale, count(*) AS n, round(sum(greatest(-5, least(5, (v-shift)/scale))),6) AS total,
-      count_if(abs((v-shift)/scale) >= 5) AS clipped FROM x GROUP BY ALL""",
+      count(CASE WHEN abs((v-shift)/scale) >= 5 THEN 1 END) AS clipped FROM x GROUP BY ALL""",
 )
 def _(get, spark):
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
@@ -304,7 +304,7 @@ def _(get, spark):
 @query(
     "p19_positive_prob",
     """SELECT source, motif, y, CAST(sum(CASE WHEN y=1 THEN CAST(round(score*1000) AS BIGINT) ELSE 1000-CAST(round(score*1000) AS BIGINT) END) AS BIGINT) AS prob_sum,
-      CAST(count_if(y=1) AS BIGINT) AS positives FROM v_scored GROUP BY ALL""",
+      CAST(count(CASE WHEN y=1 THEN 1 END) AS BIGINT) AS positives FROM v_scored GROUP BY ALL""",
 )
 def _(get, spark):
     name = F.when(F.col("y") == 1, "M6A").otherwise("canonical_A")
@@ -335,7 +335,7 @@ def _(get, spark):
         (SELECT count(*) FROM r WHERE t = class AND q = class) AS hits FROM c),
       m AS (SELECT class, support, predicted, CASE WHEN predicted = 0 THEN 0 ELSE hits/predicted::DOUBLE END AS precision,
         CASE WHEN support = 0 THEN 0 ELSE hits/support::DOUBLE END AS recall, CASE WHEN support + predicted = 0 THEN 0 ELSE 2*hits/(support+predicted)::DOUBLE END AS f1 FROM p),
-      o AS (SELECT count_if(t = q)/count(*)::DOUBLE AS accuracy, round(avg(conf),6) AS mean_confidence FROM r)
+      o AS (SELECT count(CASE WHEN t = q THEN 1 END)/count(*)::DOUBLE AS accuracy, round(avg(conf),6) AS mean_confidence FROM r)
     SELECT class, support, predicted, round(precision,6) AS precision, round(recall,6) AS recall, round(f1,6) AS f1, accuracy, mean_confidence FROM m, o
     UNION ALL SELECT NULL, CAST(sum(support) AS BIGINT), CAST(sum(predicted) AS BIGINT), round(avg(precision),6), round(avg(recall),6), round(avg(f1),6), max(accuracy), max(mean_confidence) FROM m, o""",
 )
@@ -385,8 +385,8 @@ def _(get, spark):
     f"""WITH {PLACED}, j AS (SELECT p.read_id, p.i, p.n, p.ref_pos, p.flag, CASE WHEN (p.flag // 16) % 2 = 1 THEN translate(p.b, 'ACGT', 'TGCA') ELSE p.b END AS b,
         c.b AS r
         FROM placed p LEFT JOIN (SELECT contig, unnest(range(length(ref_seq))) AS ref_pos, unnest(string_split(ref_seq, '')) AS b FROM v_contigs) c USING (contig, ref_pos)),
-      g AS (SELECT read_id, n, count_if(ref_pos >= 0)/count(*)::DOUBLE AS aligned_fraction, max(ref_pos) - min(CASE WHEN ref_pos >= 0 THEN ref_pos END) + 1 AS ref_span,
-        CASE WHEN count(r) = 0 THEN 0 ELSE count_if(b = r)/count(r)::DOUBLE END AS identity FROM j GROUP BY ALL)
+      g AS (SELECT read_id, n, count(CASE WHEN ref_pos >= 0 THEN 1 END)/count(*)::DOUBLE AS aligned_fraction, max(ref_pos) - min(CASE WHEN ref_pos >= 0 THEN ref_pos END) + 1 AS ref_span,
+        CASE WHEN count(r) = 0 THEN 0 ELSE count(CASE WHEN b = r THEN 1 END)/count(r)::DOUBLE END AS identity FROM j GROUP BY ALL)
     SELECT read_id, aligned_fraction, ref_span, identity, ref_span >= 25 AND ref_span <= ceil(2.5*n) AS span_ok FROM g""",
 )
 def _(get, spark):

@@ -60,7 +60,7 @@ def _(get, spark):
 @query(
     "j2_coverage_counts",
     f"""WITH {SITES_SQL} SELECT count(*) AS gold_total, count(coverage) AS covered,
-      count_if(coverage >= 8) AS covered_after_filter, count_if(coverage IS NULL) AS uncovered
+      count(CASE WHEN coverage >= 8 THEN 1 END) AS covered_after_filter, count(CASE WHEN coverage IS NULL THEN 1 END) AS uncovered
     FROM v_gold LEFT JOIN scores USING (contig, pos, strand)""",
 )
 def _(get, spark):
@@ -200,7 +200,7 @@ def _(get, spark):
     "m14_pairwise_ratio_roc",
     """WITH b AS (SELECT ratio_label, prob FROM v_samples), q AS (SELECT DISTINCT ratio_label AS r FROM b),
       pairs AS (SELECT a.r AS lo, c.r AS hi FROM q a JOIN q c ON a.r < c.r),
-      h AS (SELECT lo, hi, prob AS score, count_if(ratio_label = hi) AS p, count_if(ratio_label = lo) AS n
+      h AS (SELECT lo, hi, prob AS score, count(CASE WHEN ratio_label = hi THEN 1 END) AS p, count(CASE WHEN ratio_label = lo THEN 1 END) AS n
         FROM pairs JOIN b ON ratio_label IN (lo, hi) GROUP BY ALL),
       c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM h WINDOW w AS (PARTITION BY lo, hi ORDER BY score DESC))
     SELECT lo AS low_ratio, hi AS high_ratio, CAST(sum(n) AS BIGINT) AS low_bags, CAST(sum(p) AS BIGINT) AS high_bags,
@@ -249,8 +249,8 @@ RATES_SQL = """(tp+tn)/(tp+tn+fp+fn)::DOUBLE AS accuracy, (tp/(tp+fn)::DOUBLE +
 
 @query(
     "m2_threshold_metrics",
-    f"""WITH k AS (SELECT motif, count_if(y=1 AND score>=0.5) AS tp, count_if(y=0 AND score<0.5) AS tn,
-      count_if(y=0 AND score>=0.5) AS fp, count_if(y=1 AND score<0.5) AS fn FROM v_scored GROUP BY 1)
+    f"""WITH k AS (SELECT motif, count(CASE WHEN y=1 AND score>=0.5 THEN 1 END) AS tp, count(CASE WHEN y=0 AND score<0.5 THEN 1 END) AS tn,
+      count(CASE WHEN y=0 AND score>=0.5 THEN 1 END) AS fp, count(CASE WHEN y=1 AND score<0.5 THEN 1 END) AS fn FROM v_scored GROUP BY 1)
     SELECT motif, tp, tn, fp, fn, {RATES_SQL} FROM k""",
 )
 def _(get, spark):
@@ -378,8 +378,8 @@ def _(get, spark):
       h AS (SELECT group_by, source, run_id, motif, score, sum(y) AS p, sum(1-y) AS n FROM g GROUP BY ALL),
       c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM h WINDOW w AS (PARTITION BY group_by, source, run_id, motif ORDER BY score DESC)),
       a AS (SELECT group_by, source, run_id, motif, {AUC_SQL} FROM c GROUP BY ALL),
-      k AS (SELECT group_by, source, run_id, motif, count_if(y=1 AND score>=0.5) AS tp, count_if(y=0 AND score<0.5) AS tn,
-        count_if(y=0 AND score>=0.5) AS fp, count_if(y=1 AND score<0.5) AS fn, round(avg(score),6) AS mean_prob,
+      k AS (SELECT group_by, source, run_id, motif, count(CASE WHEN y=1 AND score>=0.5 THEN 1 END) AS tp, count(CASE WHEN y=0 AND score<0.5 THEN 1 END) AS tn,
+        count(CASE WHEN y=0 AND score>=0.5 THEN 1 END) AS fp, count(CASE WHEN y=1 AND score<0.5 THEN 1 END) AS fn, round(avg(score),6) AS mean_prob,
         round(avg(-CASE WHEN y=1 THEN ln(greatest(1e-7, least(1-1e-7, score))) ELSE ln(1-greatest(1e-7, least(1-1e-7, score))) END),6) AS bce,
         round(avg(score) FILTER (y=1),6) AS mean_positive_prob, round(avg(score) FILTER (y=0),6) AS mean_negative_prob FROM g GROUP BY ALL)
     SELECT k.group_by, k.source, k.run_id, k.motif, tp, tn, fp, fn, {RATES_SQL}, bce, mean_prob, mean_positive_prob, mean_negative_prob,
@@ -396,9 +396,9 @@ def _(get, spark):
 @query(
     "m13_negative_control_curve",
     f"""WITH {SITES_SQL}, t AS (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.8, 0.9, 0.95, 0.99]::DOUBLE[]) AS threshold)
-    SELECT threshold, count(*) AS sites, count_if(mean_prob_zero_filled >= threshold) AS false_positive_sites,
-      count_if(mean_prob_zero_filled >= threshold)/count(*)::DOUBLE AS false_positive_fraction,
-      count_if(mean_prob_zero_filled < threshold)/count(*)::DOUBLE AS specificity FROM t, scores WHERE coverage >= 5 GROUP BY 1""",
+    SELECT threshold, count(*) AS sites, count(CASE WHEN mean_prob_zero_filled >= threshold THEN 1 END) AS false_positive_sites,
+      count(CASE WHEN mean_prob_zero_filled >= threshold THEN 1 END)/count(*)::DOUBLE AS false_positive_fraction,
+      count(CASE WHEN mean_prob_zero_filled < threshold THEN 1 END)/count(*)::DOUBLE AS specificity FROM t, scores WHERE coverage >= 5 GROUP BY 1""",
 )
 def _(get, spark):
     sites = S.min_coverage(site_table(get), 5)
@@ -425,7 +425,7 @@ def _(get, spark):
 
 
 CONTROLS_SQL = """controls AS (SELECT CASE source WHEN 'F' THEN 'ivt' ELSE 'full_mod' END AS dataset, count(*) AS num_sites,
-  count_if(score < 0.5)/count(*)::DOUBLE AS accuracy, count_if(score >= 0.5)/count(*)::DOUBLE AS recall, avg(score) AS mean_prob,
+  count(CASE WHEN score < 0.5 THEN 1 END)/count(*)::DOUBLE AS accuracy, count(CASE WHEN score >= 0.5 THEN 1 END)/count(*)::DOUBLE AS recall, avg(score) AS mean_prob,
   quantile_cont(score, 0.5) AS median_prob FROM v_scored GROUP BY 1)"""
 
 
@@ -453,8 +453,8 @@ def _(get, spark):
     return rounded(out, *[c for c in out.columns if not c.startswith("num_")])
 
 
-RUNS_SQL = """runs AS (SELECT motif, run_id, y, count_if(y=1) AS num_positive, count_if(y=0) AS num_negative,
-  count_if(score >= 0.5)/count(*)::DOUBLE AS predicted_positive_rate,
+RUNS_SQL = """runs AS (SELECT motif, run_id, y, count(CASE WHEN y=1 THEN 1 END) AS num_positive, count(CASE WHEN y=0 THEN 1 END) AS num_negative,
+  count(CASE WHEN score >= 0.5 THEN 1 END)/count(*)::DOUBLE AS predicted_positive_rate,
   avg(-CASE WHEN y=1 THEN ln(greatest(1e-7, least(1-1e-7, score))) ELSE ln(1-greatest(1e-7, least(1-1e-7, score))) END) AS bce,
   avg(score) AS mean_prob FROM v_scored GROUP BY motif, run_id, y)"""
 
@@ -499,7 +499,7 @@ def _(get, spark):
       u AS (SELECT * FROM t WHERE fold = motif), h AS (SELECT fold, score, sum(y) AS p, sum(1-y) AS n FROM u GROUP BY ALL),
       c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM h WINDOW w AS (PARTITION BY fold ORDER BY score DESC)),
       a AS (SELECT fold, {AUC_SQL} FROM c GROUP BY 1),
-      k AS (SELECT fold, count_if(y=1 AND score>=0.5) AS tp, count_if(y=0 AND score<0.5) AS tn, count_if(y=0 AND score>=0.5) AS fp, count_if(y=1 AND score<0.5) AS fn FROM u GROUP BY 1),
+      k AS (SELECT fold, count(CASE WHEN y=1 AND score>=0.5 THEN 1 END) AS tp, count(CASE WHEN y=0 AND score<0.5 THEN 1 END) AS tn, count(CASE WHEN y=0 AND score>=0.5 THEN 1 END) AS fp, count(CASE WHEN y=1 AND score<0.5 THEN 1 END) AS fn FROM u GROUP BY 1),
       s AS (SELECT fold, count(*) AS scanned_rows, count(DISTINCT run_id) AS dirs_found, count(DISTINCT CASE WHEN fold=motif THEN run_id END) AS dirs_used FROM t GROUP BY 1)
     SELECT fold, scanned_rows, dirs_found, dirs_used, tp, tn, fp, fn, recall, specificity, balanced_accuracy, roc_auc, average_precision
     FROM s JOIN (SELECT *, {RATES_SQL} FROM k) USING (fold) JOIN a USING (fold)""",
@@ -546,9 +546,9 @@ def _(get, spark):
 
 @query(
     "w5_control_bag_summary",
-    """SELECT count(*) AS num_reads, count_if(class='negative') AS num_negative_reads, count_if(class='positive') AS num_positive_reads,
-      count(*)-count_if(class IN ('negative','positive')) AS num_ambiguous_reads, CAST(floor(count_if(class='negative')/20) AS BIGINT) AS num_negative_bags,
-      CAST(floor(count_if(class='positive')/20) AS BIGINT) AS num_positive_bags FROM v_samples""",
+    """SELECT count(*) AS num_reads, count(CASE WHEN class='negative' THEN 1 END) AS num_negative_reads, count(CASE WHEN class='positive' THEN 1 END) AS num_positive_reads,
+      count(*)-count(CASE WHEN class IN ('negative','positive') THEN 1 END) AS num_ambiguous_reads, CAST(floor(count(CASE WHEN class='negative' THEN 1 END)/20) AS BIGINT) AS num_negative_bags,
+      CAST(floor(count(CASE WHEN class='positive' THEN 1 END)/20) AS BIGINT) AS num_positive_bags FROM v_samples""",
 )
 def _(get, spark):
     label = F.when(F.col("class") == "negative", 0.0).when(F.col("class") == "positive", 1.0).otherwise(0.5)

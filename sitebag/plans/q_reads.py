@@ -66,7 +66,7 @@ def _(get, spark):
         UNION ALL SELECT 'identity', idt FROM m UNION ALL SELECT 'move_span_ratio', ms FROM m UNION ALL SELECT 'move_ns_ratio', mn FROM m)
     SELECT measure, count(v) AS records, round(quantile_cont(v,0),6) AS p0, round(quantile_cont(v,0.05),6) AS p5, round(quantile_cont(v,0.25),6) AS p25, round(quantile_cont(v,0.5),6) AS p50,
       round(quantile_cont(v,0.75),6) AS p75, round(quantile_cont(v,0.95),6) AS p95, round(quantile_cont(v,1),6) AS p100,
-      (SELECT count_if(flag & 16 <> 0)/count(*)::DOUBLE FROM v_aligned) AS reverse_fraction, (SELECT count_if(read_id % 4 = 0)/count(*)::DOUBLE FROM v_aligned) AS tagged_fraction
+      (SELECT count(CASE WHEN flag & 16 <> 0 THEN 1 END)/count(*)::DOUBLE FROM v_aligned) AS reverse_fraction, (SELECT count(CASE WHEN read_id % 4 = 0 THEN 1 END)/count(*)::DOUBLE FROM v_aligned) AS tagged_fraction
     FROM u GROUP BY 1""",
 )
 def _(get, spark):
@@ -224,8 +224,8 @@ def _(get, spark):
       c AS (SELECT k.read_id, k.i, ws, row_number() OVER (PARTITION BY k.read_id, k.i ORDER BY least(k.i-ws, ws+60-k.i) DESC, ws) AS r FROM called k JOIN wins w ON k.read_id = w.read_id
         AND k.i >= ws AND k.i < ws + 60), u AS (SELECT read_id, ws, i FROM c WHERE r = 1)
     SELECT w.read_id, CAST(w.ws AS INT) AS window_start, CASE WHEN count(u.i) = 0 THEN 'no_label' END AS reject_reason,
-      CASE WHEN count(u.i) > 0 THEN CAST(count(u.i) AS INT) END AS labeled_count, CASE WHEN count(u.i) > 0 THEN CAST(count_if(u.i % 2 = 0) AS INT) END AS positive_count,
-      CASE WHEN count(u.i) > 0 THEN CAST(count_if(u.i % 2 = 1) AS INT) END AS negative_count, string_agg('p' || u.i, ',' ORDER BY u.i) AS pattern_ids,
+      CASE WHEN count(u.i) > 0 THEN CAST(count(u.i) AS INT) END AS labeled_count, CASE WHEN count(u.i) > 0 THEN CAST(count(CASE WHEN u.i % 2 = 0 THEN 1 END) AS INT) END AS positive_count,
+      CASE WHEN count(u.i) > 0 THEN CAST(count(CASE WHEN u.i % 2 = 1 THEN 1 END) AS INT) END AS negative_count, string_agg('p' || u.i, ',' ORDER BY u.i) AS pattern_ids,
       CASE WHEN count(u.i) > 0 THEN CAST(sum((u.i - w.ws) * CASE WHEN u.i % 2 = 0 THEN 4 ELSE 0 END) AS BIGINT) END AS weighted
     FROM wins w LEFT JOIN u ON w.read_id = u.read_id AND w.ws = u.ws GROUP BY w.read_id, w.ws""",
 )
@@ -290,7 +290,7 @@ def _(get, spark):
     return rounded(out.drop("seq_a", "seq_b", "quality_a", "quality_b"), "quality_delta")
 
 
-@query("j4_presence_counts", f"WITH {SIDES} SELECT count_if(a.seq IS NOT NULL AND b.seq IS NOT NULL) AS shared, count_if(b.seq IS NULL) AS a_only, count_if(a.seq IS NULL) AS b_only FROM a FULL JOIN b USING (read_id)")
+@query("j4_presence_counts", f"WITH {SIDES} SELECT count(CASE WHEN a.seq IS NOT NULL AND b.seq IS NOT NULL THEN 1 END) AS shared, count(CASE WHEN b.seq IS NULL THEN 1 END) AS a_only, count(CASE WHEN a.seq IS NULL THEN 1 END) AS b_only FROM a FULL JOIN b USING (read_id)")
 def _(get, spark):
     return C.presence_counts(C.compare_callsets(*call_sets(get)))
 

@@ -130,8 +130,8 @@ def _(get, spark):
 
 @query(
     "f9_validate_contract",
-    """SELECT 'missing:kmer_context' AS check, 1 AS violations UNION ALL SELECT 'prob_in_range', count_if(NOT (prob >= 0 AND prob <= 1)) FROM v_samples
-    UNION ALL SELECT 'length:reference=target', count_if(ref_len % 7 = 0) FROM v_samples UNION ALL SELECT 'width:reference<=90', count_if(ref_len > 90) FROM v_samples
+    """SELECT 'missing:kmer_context' AS check, 1 AS violations UNION ALL SELECT 'prob_in_range', count(CASE WHEN NOT (prob >= 0 AND prob <= 1) THEN 1 END) FROM v_samples
+    UNION ALL SELECT 'length:reference=target', count(CASE WHEN ref_len % 7 = 0 THEN 1 END) FROM v_samples UNION ALL SELECT 'width:reference<=90', count(CASE WHEN ref_len > 90 THEN 1 END) FROM v_samples
     UNION ALL SELECT 'bag_purity:site_key', count(*) FROM (SELECT site_key FROM v_samples GROUP BY 1 HAVING min(ratio_label) <> max(ratio_label))""",
 )
 def _(get, spark):
@@ -199,7 +199,7 @@ def _(get, spark):
 
 FRACTIONS = """u AS (SELECT ratio_label, 'run_id' AS field, run_id AS value FROM v_samples UNION ALL SELECT ratio_label, 'motif', motif FROM v_samples
     UNION ALL SELECT ratio_label, 'contig', contig FROM v_samples),
-  f AS (SELECT field, value, count_if(ratio_label='25') AS left_count, count_if(ratio_label='75') AS right_count FROM u WHERE ratio_label IN ('25','75') GROUP BY ALL),
+  f AS (SELECT field, value, count(CASE WHEN ratio_label='25' THEN 1 END) AS left_count, count(CASE WHEN ratio_label='75' THEN 1 END) AS right_count FROM u WHERE ratio_label IN ('25','75') GROUP BY ALL),
   g AS (SELECT *, left_count/(sum(left_count) OVER (PARTITION BY field))::DOUBLE AS left_fraction, right_count/(sum(right_count) OVER (PARTITION BY field))::DOUBLE AS right_fraction FROM f)"""
 
 
@@ -236,8 +236,8 @@ def _(get, spark):
 
 @query(
     "a11_class_balance",
-    f"""SELECT {SPLIT} AS split, motif, count_if(class='positive') AS positive, count_if(class='negative') AS negative, count_if(class='mixed') AS mixed,
-      count_if(class='unlabeled') AS unlabeled, count(*) AS total, count_if(class='positive')/nullif(count_if(class='negative'),0)::DOUBLE AS pos_neg_ratio FROM v_samples GROUP BY ALL""",
+    f"""SELECT {SPLIT} AS split, motif, count(CASE WHEN class='positive' THEN 1 END) AS positive, count(CASE WHEN class='negative' THEN 1 END) AS negative, count(CASE WHEN class='mixed' THEN 1 END) AS mixed,
+      count(CASE WHEN class='unlabeled' THEN 1 END) AS unlabeled, count(*) AS total, count(CASE WHEN class='positive' THEN 1 END)/nullif(count(CASE WHEN class='negative' THEN 1 END),0)::DOUBLE AS pos_neg_ratio FROM v_samples GROUP BY ALL""",
 )
 def _(get, spark):
     return P.class_balance(with_split(get), ["split", "motif"])
@@ -254,7 +254,7 @@ def _(get, spark):
 
 @query(
     "a13_count_matrix",
-    """SELECT motif, count_if(run_id='1-URGENT') AS "1-URGENT", count_if(run_id='3-MEDIUM') AS "3-MEDIUM", count_if(run_id='5-LOW') AS "5-LOW" FROM v_samples GROUP BY 1
+    """SELECT motif, count(CASE WHEN run_id='1-URGENT' THEN 1 END) AS "1-URGENT", count(CASE WHEN run_id='3-MEDIUM' THEN 1 END) AS "3-MEDIUM", count(CASE WHEN run_id='5-LOW' THEN 1 END) AS "5-LOW" FROM v_samples GROUP BY 1
     UNION ALL SELECT 'NO_SUCH_ROW', 0, 0, 0""",
 )
 def _(get, spark):
@@ -305,7 +305,7 @@ def _(get, spark):
 
 @query(
     "j17_generalization_gap",
-    """WITH k AS (SELECT motif, source, count_if(y=1 AND score>=0.3)/count_if(y=1)::DOUBLE AS recall, count_if(y=0 AND score<0.3)/count_if(y=0)::DOUBLE AS specificity FROM v_scored GROUP BY ALL),
+    """WITH k AS (SELECT motif, source, count(CASE WHEN y=1 AND score>=0.3 THEN 1 END)/count(CASE WHEN y=1 THEN 1 END)::DOUBLE AS recall, count(CASE WHEN y=0 AND score<0.3 THEN 1 END)/count(CASE WHEN y=0 THEN 1 END)::DOUBLE AS specificity FROM v_scored GROUP BY ALL),
       j AS (SELECT a.motif, a.recall AS recall_internal, b.recall AS recall_heldout, a.specificity AS specificity_internal, b.specificity AS specificity_heldout
         FROM k a JOIN k b ON a.motif=b.motif WHERE a.source='F' AND b.source='O'), s AS (SELECT motif, count(*) AS n FROM v_scored WHERE source='F' AND motif <> 'PROMO' GROUP BY 1)
     SELECT motif, recall_internal, recall_heldout, specificity_internal, specificity_heldout, recall_internal-recall_heldout AS recall_drop,
@@ -362,7 +362,7 @@ RATIOS = [("0", 0.0), ("25", 0.25), ("50", 0.5), ("100", 1.0)]
 @query(
     "w4_synthesize_mixtures",
     f"""WITH s AS (SELECT * FROM v_samples WHERE class IN ('positive','negative')),
-      k AS (SELECT contig, run_id, count_if(class='positive') AS p, count_if(class='negative') AS n FROM s GROUP BY ALL HAVING count_if(class='positive') > 0 AND count_if(class='negative') > 0),
+      k AS (SELECT contig, run_id, count(CASE WHEN class='positive' THEN 1 END) AS p, count(CASE WHEN class='negative' THEN 1 END) AS n FROM s GROUP BY ALL HAVING count(CASE WHEN class='positive' THEN 1 END) > 0 AND count(CASE WHEN class='negative' THEN 1 END) > 0),
       q AS (SELECT * FROM (VALUES (0,'0',0.0::DOUBLE,0,8),(1,'25',0.25,2,6),(2,'50',0.5,4,4),(3,'100',1.0,8,0)) v(o,label,ratio,fp,fn)),
       w AS (SELECT contig, run_id, p, n, 0 AS o, 0::BIGINT AS pf, 0::BIGINT AS nf FROM k UNION ALL
         SELECT w.contig, w.run_id, p, n, w.o+1, pf + fp*m, nf + fn*m FROM (SELECT w.*, q.fp, q.fn, least(CASE WHEN q.fp>0 THEN greatest(p-pf,0)//q.fp ELSE 999999999 END,
@@ -382,7 +382,7 @@ def _(get, spark):
 
 @query(
     "w4_mixture_replacement",
-    """WITH k AS (SELECT contig, count_if(class='positive') AS p, count_if(class='negative') AS n FROM v_samples GROUP BY 1),
+    """WITH k AS (SELECT contig, count(CASE WHEN class='positive' THEN 1 END) AS p, count(CASE WHEN class='negative' THEN 1 END) AS n FROM v_samples GROUP BY 1),
       q AS (SELECT * FROM (VALUES ('0',0.0::DOUBLE,0,8),('25',0.25,2,6),('50',0.5,4,4),('100',1.0,8,0)) v(label,ratio,fp,fn))
     SELECT contig, label AS synthetic_ratio_label, fp AS positives, fn AS negatives, 1 AS bags FROM k, q WHERE p > 0 AND n > 0""",
 )
@@ -405,7 +405,7 @@ def _(get, spark):
 
 @query(
     "w7_balance_classes",
-    f"""WITH s AS (SELECT * FROM v_samples WHERE class IN ('positive','negative')), k AS (SELECT contig, least(count_if(class='positive'), count_if(class='negative')) AS keep FROM s GROUP BY 1),
+    f"""WITH s AS (SELECT * FROM v_samples WHERE class IN ('positive','negative')), k AS (SELECT contig, least(count(CASE WHEN class='positive' THEN 1 END), count(CASE WHEN class='negative' THEN 1 END)) AS keep FROM s GROUP BY 1),
       r AS (SELECT *, {rank(['contig', 'class'])} AS rn FROM s) SELECT sample_id, contig, class FROM r JOIN k USING (contig) WHERE rn <= keep""",
 )
 def _(get, spark):
@@ -424,7 +424,7 @@ def _(get, spark):
 
 
 def mix_sql(plan: str) -> str:
-    return f"""WITH c AS (SELECT count_if(ratio_label='25') AS a, count_if(ratio_label='75') AS b FROM v_samples), p AS ({plan}),
+    return f"""WITH c AS (SELECT count(CASE WHEN ratio_label='25' THEN 1 END) AS a, count(CASE WHEN ratio_label='75' THEN 1 END) AS b FROM v_samples), p AS ({plan}),
       r AS (SELECT sample_id, ratio_label, {rank(['ratio_label'])} AS rn FROM v_samples WHERE ratio_label IN ('25','75'))
     SELECT sample_id, ratio_label FROM r, p WHERE rn <= CASE ratio_label WHEN '25' THEN pa ELSE pb END"""
 
@@ -454,7 +454,7 @@ def labelled(get):
 
 
 KMER = f"""l AS (SELECT sample_id, contig AS kmer, CAST(class='positive' AS INT) AS y, prob AS score FROM v_samples WHERE class <> 'unlabeled'),
-  q AS (SELECT kmer, count_if(y=1) AS positives, count_if(y=0) AS negatives, least(count_if(y=1), count_if(y=0), 60) AS kept_per_class FROM l GROUP BY 1),
+  q AS (SELECT kmer, count(CASE WHEN y=1 THEN 1 END) AS positives, count(CASE WHEN y=0 THEN 1 END) AS negatives, least(count(CASE WHEN y=1 THEN 1 END), count(CASE WHEN y=0 THEN 1 END), 60) AS kept_per_class FROM l GROUP BY 1),
   b AS (SELECT l.* FROM (SELECT *, {rank(['kmer', 'y'])} AS rn FROM l) l JOIN q USING (kmer) WHERE rn <= kept_per_class)"""
 
 

@@ -139,7 +139,7 @@ def _(get, spark):
     "a22_gold_sanity",
     f"""WITH {CONTEXT}, x AS (SELECT strand, ref_base, CASE strand WHEN '+' THEN ref_base = 'A' ELSE ref_base = 'T' END AS fits, kmer IS NOT NULL AS has,
         coalesce(regexp_matches(kmer, '^[AGT][AG]AC[ACT]$'), false) AS m FROM ctx),
-      g AS (SELECT strand, ref_base, count(ref_base) AS checked, count_if(fits) AS compatible, count_if(NOT fits) AS mismatched, count_if(has) AS motif_checked, count_if(has AND m) AS motif_matched FROM x GROUP BY ALL),
+      g AS (SELECT strand, ref_base, count(ref_base) AS checked, count(CASE WHEN fits THEN 1 END) AS compatible, count(CASE WHEN NOT fits THEN 1 END) AS mismatched, count(CASE WHEN has THEN 1 END) AS motif_checked, count(CASE WHEN has AND m THEN 1 END) AS motif_matched FROM x GROUP BY ALL),
       u AS (SELECT * FROM g WHERE ref_base IS NOT NULL UNION ALL SELECT NULL, NULL, CAST(sum(checked) AS BIGINT), CAST(sum(compatible) AS BIGINT), CAST(sum(mismatched) AS BIGINT), CAST(sum(motif_checked) AS BIGINT), CAST(sum(motif_matched) AS BIGINT) FROM g)
     SELECT *, compatible/nullif(checked,0)::DOUBLE AS compatible_fraction, motif_matched/nullif(motif_checked,0)::DOUBLE AS motif_fraction FROM u""",
 )
@@ -172,8 +172,8 @@ def _(get, spark):
 
 
 HISTORY = """hist AS (SELECT run, epoch, f/100::DOUBLE AS train_loss, CASE WHEN m <> 6 THEN o/100::DOUBLE END AS valid_loss FROM
-    (SELECT o_orderpriority AS run, year(o_orderdate)*12 + month(o_orderdate) AS epoch, month(o_orderdate) AS m, count_if(o_orderstatus = 'F') AS f,
-      count_if(o_orderstatus <> 'F') AS o FROM orders GROUP BY 1, 2, 3))"""
+    (SELECT o_orderpriority AS run, year(o_orderdate)*12 + month(o_orderdate) AS epoch, month(o_orderdate) AS m, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS f,
+      count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) AS o FROM orders GROUP BY 1, 2, 3))"""
 
 
 def history(get, spark):
