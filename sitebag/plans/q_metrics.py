@@ -293,8 +293,10 @@ def _(get, spark):
 
 
 AUC_SQL = """CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives,
-  sum(n*(2*(tp-p)+p))::DOUBLE/(2*sum(p)*sum(n))::DOUBLE AS roc_auc, round(sum(p*(tp/(tp+fp)::DOUBLE))/sum(p),6) AS average_precision,
-  round(sum(p*(tp/(tp+fp)::DOUBLE + CASE WHEN tp-p+fp-n > 0 THEN (tp-p)/(tp-p+fp-n)::DOUBLE ELSE 1 END)/2)/sum(p),6) AS pr_auc_trapezoid,
+  CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(n*(2*(tp-p)+p))::DOUBLE/(2*sum(p)*sum(n))::DOUBLE END AS roc_auc,
+  CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN round(sum(p*(tp/(tp+fp)::DOUBLE))/sum(p),6) END AS average_precision,
+  CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN round(sum(p*(tp/(tp+fp)::DOUBLE
+    + CASE WHEN tp-p+fp-n > 0 THEN (tp-p)/(tp-p+fp-n)::DOUBLE ELSE 1 END)/2)/sum(p),6) END AS pr_auc_trapezoid,
   sum(p)::DOUBLE/(sum(p)+sum(n))::DOUBLE AS prevalence"""
 
 
