@@ -381,9 +381,9 @@ def _(get, spark):
       c AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM h WINDOW w AS (PARTITION BY group_by, source, run_id, motif ORDER BY score DESC)),
       a AS (SELECT group_by, source, run_id, motif, {AUC_SQL} FROM c GROUP BY ALL),
       k AS (SELECT group_by, source, run_id, motif, count(CASE WHEN y=1 AND score>=0.5 THEN 1 END) AS tp, count(CASE WHEN y=0 AND score<0.5 THEN 1 END) AS tn,
-        count(CASE WHEN y=0 AND score>=0.5 THEN 1 END) AS fp, count(CASE WHEN y=1 AND score<0.5 THEN 1 END) AS fn, round(avg(score),9) AS mean_prob,
+        count(CASE WHEN y=0 AND score>=0.5 THEN 1 END) AS fp, count(CASE WHEN y=1 AND score<0.5 THEN 1 END) AS fn, round(avg(score),12) AS mean_prob,
         round(avg(-CASE WHEN y=1 THEN ln(greatest(1e-7, least(1-1e-7, score))) ELSE ln(1-greatest(1e-7, least(1-1e-7, score))) END),9) AS bce,
-        round(avg(score) FILTER (y=1),9) AS mean_positive_prob, round(avg(score) FILTER (y=0),9) AS mean_negative_prob FROM g GROUP BY ALL)
+        round(avg(score) FILTER (y=1),12) AS mean_positive_prob, round(avg(score) FILTER (y=0),12) AS mean_negative_prob FROM g GROUP BY ALL)
     SELECT k.group_by, k.source, k.run_id, k.motif, tp, tn, fp, fn, {RATES_SQL}, bce, mean_prob, mean_positive_prob, mean_negative_prob,
       positives, negatives, roc_auc, average_precision, pr_auc_trapezoid, prevalence
     FROM k JOIN a ON k.group_by = a.group_by AND k.source IS NOT DISTINCT FROM a.source AND k.run_id IS NOT DISTINCT FROM a.run_id
@@ -392,9 +392,9 @@ def _(get, spark):
 def _(get, spark):
     sets = [["source"], ["run_id"], ["motif"], ["source", "motif"], ["run_id", "motif"]]
     out = M.grouped_metrics(get("v_scored"), sets, zero_division=0.0)
-    # scores are thousandths, so a mean over 16 rows is a tie at six digits; nine keep clear of ties
-    out = rounded(out, "bce", "mean_prob", "mean_positive_prob", "mean_negative_prob", digits=9)
-    return rounded(out, "average_precision", "pr_auc_trapezoid")
+    # scores are thousandths, so a mean over 16 rows is a tie at six digits; twelve keep clear of ties
+    out = rounded(out, "mean_prob", "mean_positive_prob", "mean_negative_prob", digits=12)
+    return rounded(rounded(out, "bce", digits=9), "average_precision", "pr_auc_trapezoid")
 
 
 @query(
