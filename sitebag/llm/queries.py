@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import sentencepieces
+from .fingerprints import bounded_runs, digests, entropy_ranks, likeness, to_string
 from .jaccard import jaccard_components
+from .neighbours import dealt_descending
+from .packing import pack_documents
 from .spark_help import read
+from .tokenizer_files import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +35,66 @@ def query(name: str, oracle: str | None = None):
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: number and CRC-32 of its ids, SHA-256 of the decoded text."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    docs = read(spark, sf_dir, "documents")
+    back = sentencepieces.decode(sentencepieces.encode(docs, path, "bpe"), path, "bpe")
+    return back.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def _edit_probe(ranks: np.ndarray):
+    """Map over rows in descending order with part tails: fingerprints of each text and of its edited text."""
+
+    def consecutive(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
+        last = None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "tail", "doc_id", "text")), strict=True):
+                if last and last[0] == row[0] and not last[1]:
+                    yield last, row
+                last = row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in bounded_runs(consecutive(batches), lambda r: len(r[0][3] or "")):
+            texts = [r[0][3] or "" for r in rows]
+            nexts = [r[1][3] or "" for r in rows]
+            edited = []
+            for text, after in zip(texts, nexts, strict=True):
+                cut = len(text) // 3
+                edited.append(text[: len(text) - cut] + after[:cut])
+            follow = [a for a, b in zip(nexts, [*texts[1:], None], strict=True) if a != b]
+            found = digests([t.encode() for t in (*texts, *edited, *follow)], ranks)
+            n = len(rows)
+            own, changed, extra = found[:n], found[n : 2 * n], iter(found[2 * n :])
+            ahead = [own[i + 1] if i + 1 < n and nexts[i] == texts[i + 1] else next(extra) for i in range(n)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0][2] for r in rows], pa.int64()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+                    pa.array([to_string(c) for c in own]),
+                    pa.array([to_string(c) for c in changed]),
+                    pa.array([likeness(a, b) for a, b in zip(own, changed, strict=True)], pa.float64()),
+                    pa.array([likeness(a, b) for a, b in zip(own, ahead, strict=True)], pa.float64()),
+                ],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
+
+    return run
+
+
+@query("op2_fingerprints")
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they and the next document's are."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = (
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double"
+    )
+    return dealt_descending(docs).mapInArrow(_edit_probe(entropy_ranks(docs)), schema)
+
+
 @query(
     "op3_jaccard_join",
     rf"""
@@ -33,7 +102,7 @@ UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
       SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
     sets AS (
       SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-        ELSE list_distinct(list_transform(generate_series(1, len(ws) - 4), i -> array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+        ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') for i in generate_series(1, len(ws) - 4)]) END AS s FROM w),
     item AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
     pair AS (
       SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_, any_value(a.n) AS nx, any_value(b.n) AS ny
@@ -47,3 +116,9 @@ UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 )
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
