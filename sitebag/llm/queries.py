@@ -15,6 +15,7 @@ from .fingerprints import bounded_runs, digests, entropy_ranks, likeness, to_str
 from .jaccard import jaccard_components
 from .neighbours import dealt_descending
 from .packing import pack_documents
+from .passages import repeated_passages
 from .spark_help import read
 from .tokenizer_files import tokenizer_file
 
@@ -122,3 +123,9 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document has too, equal or nearly."""
+    return repeated_passages(read(spark, sf_dir, "documents"))

@@ -62,6 +62,18 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    sums: np.ndarray
+
+    def range_hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges of the batch."""
+        return mix((self.sums[end] - self.sums[begin]) * _tables(len(self.data) + 1)[1][begin] + np.uint64(1))
+
+    def prefix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``size`` bytes of the words that are longer, and which words these are."""
+        at = np.flatnonzero(self.end - self.start > size)
+        begin = self.start[at]
+        raw = (self.sums[begin + size] - self.sums[begin]) * _tables(len(self.data) + 1)[1][begin]
+        return mix(raw + np.uint64(size)), at
 
     @property
     def docs(self) -> int:
@@ -74,15 +86,18 @@ class Words:
         return np.repeat(np.arange(self.docs), self.counts())
 
 
-def words(texts: list[bytes], lower: bool = True) -> Words:
-    """Words of the texts, ASCII letters lower-cased if asked; equal words have equal hashes in every batch."""
+def words(texts: list[bytes], lower: bool = True, separators: np.ndarray = SEPARATOR) -> Words:
+    """Words of the texts, ASCII letters lower-cased if asked; equal words have equal hashes in every batch.
+
+    ``separators`` marks the bytes that end words; line feed must be one of them.
+    """
     joined = b"\n".join(texts) + b"\n"
     if lower:
         joined = joined.translate(LOWER)
     data = np.frombuffer(joined, dtype=np.uint8)
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
-    inside = ~SEPARATOR[data]
+    inside = ~separators[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     start, end = edge[::2], edge[1::2]
     powers, inverses = _tables(len(data) + 1)
@@ -90,7 +105,7 @@ def words(texts: list[bytes], lower: bool = True) -> Words:
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
     raw = (sums[end] - sums[start]) * inverses[start]
-    return Words(data, offsets, start, end, mix(raw), np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, mix(raw), np.searchsorted(start, offsets), sums)
 
 
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
