@@ -96,19 +96,31 @@ class Logistic:
 
 
 def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that make ``sigmoid(slope * raw + shift)`` a calibrated probability (Newton, smoothed targets)."""
+    """Slope and shift that make ``sigmoid(slope * raw + shift)`` a calibrated probability.
+
+    Newton steps on smoothed targets, halved until the loss falls; scores that separate the classes stay finite.
+    """
     pos, neg = y.sum(), len(y) - y.sum()
     if not pos or not neg:
         return 1.0, 0.0
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x = np.stack([raw, np.ones(len(raw))], axis=1)
-    theta = np.array([1.0, 0.0])
+    scale = max(float(raw.std()), 1e-6)
+    x = np.stack([raw / scale, np.ones(len(raw))], axis=1)
+
+    def loss(t: np.ndarray) -> float:
+        z = x @ t
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.005 * (t @ t))
+
+    theta = np.array([1.0, float(np.log(pos / neg))])
+    now = loss(theta)
     for _ in range(50):
         p = sigmoid(x @ theta)
-        slope = x.T @ (p - target) + 1e-3 * (theta - [1.0, 0.0])
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(curve, slope)
-        theta -= step
-        if np.abs(step).max() < 1e-6:
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2)
+        step = np.linalg.solve(curve, x.T @ (p - target) + 0.01 * theta)
+        while loss(theta - step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        theta = theta - step
+        before, now = now, loss(theta)
+        if before - now < 1e-9:
             break
-    return float(max(theta[0], 1e-3)), float(theta[1])
+    return float(max(theta[0], 1e-3) / scale), float(theta[1])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepieces
+from . import pii, quality_fm, quality_rules, secret_scan, sentencepieces, toxicity
 from .fingerprints import bounded_runs, digests, entropy_ranks, likeness, to_string
 from .jaccard import jaccard_components
 from .neighbours import dealt_descending
@@ -125,7 +125,56 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each toxicity category of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, read(spark, sf_dir, "labels")))
+
+
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts per kind of the base spans, their SHA-256, and all spans as text."""
+
+    def text(column: str):
+        parts = F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.concat_ws(",", parts)
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return _digest(pii.find_pii(docs, pii.train(docs)), pii.KINDS)
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality_fm.score_quality(docs, quality_fm.train_quality(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op8_secret_scans")
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return _digest(secret_scan.find_secrets(docs, secret_scan.thresholds(docs)), secret_scan.KINDS)
+
+
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that an earlier document has too, equal or nearly."""
     return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counting rules and the n-gram model's verdict on every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.train_rules(docs, read(spark, sf_dir, "labels")))
