@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import indices, total
 from ..functions.sequence import bases
-from ..session import broadcast_if_small
 
 
 def attach_signal(
@@ -183,7 +182,7 @@ def pattern_hits(
     )
     kmers = kmers.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in lengths])))
     kmers = kmers.withColumn("_kmer", F.substring("_context", F.col("_before") + 1, F.col("_len")))
-    joined = kmers.join(broadcast_if_small(seeds), ["_len", "_kmer"])
+    joined = kmers.join(seeds, ["_len", "_kmer"])
     joined = joined.withColumn("start", F.col("_pos") - F.col("_at"))
     joined = joined.where((F.col("start") >= 0) & (F.col("start") + size <= F.col("read_length")))
     joined = joined.withColumn("_window", F.substring("_context", F.col("_before") - F.col("_at") + 1, size))
@@ -284,13 +283,14 @@ def in_common_strata(df: DataFrame, source: str, strata: Sequence[str]) -> DataF
 
 
 def join_manifests(reads: DataFrame, runs: DataFrame, oligos: DataFrame, run: str = "run_id", ids: str = "oligo_ids") -> DataFrame:
-    """Reads -> run row -> listed oligos. Ids without an oligo row stop the query."""
+    """Reads -> run row -> listed oligos. Ids without an oligo row stop the query, whichever columns are used of it."""
     listed = runs.withColumn("oligo_id", F.explode(ids))
     known = listed.join(oligos.withColumn("_known", F.lit(True)), "oligo_id", "left")
     defined = F.when(F.col("_known"), F.col("oligo_id")).otherwise(
         F.raise_error(F.concat(F.lit("oligo not in manifest: "), F.col("oligo_id")))
     )
-    return reads.join(known.withColumn("oligo_id", defined).drop("_known"), run)
+    checked = known.withColumn("_id", defined).where("_id IS NOT NULL")  # a filter on the rows is never pruned
+    return reads.join(checked.drop("_known", "_id"), run)
 
 
 def undefined_oligos(runs: DataFrame, oligos: DataFrame, ids: str = "oligo_ids") -> DataFrame:

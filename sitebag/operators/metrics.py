@@ -255,13 +255,16 @@ def partial_auc(cum: DataFrame, max_fpr: float, by: Sequence[str] = ()) -> DataF
 
 
 def tpr_at_fpr(cum: DataFrame, levels: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Best TPR with FPR <= level and the score that reaches it (highest such score on ties); 0 / NULL if none."""
+    """Best TPR with FPR <= level and the score that reaches it (highest such score on ties); 0 / NULL if none.
+
+    A group without negatives has no such score either, so it too gives 0 / NULL.
+    """
     spread = cum.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
-    allowed = F.col("fp") / F.col("negatives") <= F.col("level")
+    allowed = (F.col("negatives") > 0) & (F.try_divide("fp", "negatives") <= F.col("level"))
     best = F.max_by(
         F.struct("tp", "score", "positives"), F.when(allowed, F.struct(F.col("tp"), F.col("score")))
     )
-    out = spread.where(F.col("negatives") > 0).groupBy(*by, "level").agg(best.alias("_b"))
+    out = spread.groupBy(*by, "level").agg(best.alias("_b"))
     return out.select(
         *by,
         "level",

@@ -151,13 +151,26 @@ def class_group_counts(df: DataFrame, fields: Sequence[str], motif: str = "motif
     return _long_text(df, [motif, cls], fields).groupBy(motif, cls, "field", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def count_matrix(df: DataFrame, row: str, col: str, columns: Sequence[str], rows: Sequence[str] | None = None) -> DataFrame:
-    """Pivot of counts with 0 for empty cells; the column order is fixed, ``rows`` adds rows that have no data."""
-    out = df.groupBy(row).pivot(col, list(columns)).count()
+def count_matrix(
+    df: DataFrame, row: str, col: str, columns: Sequence[str], rows: Sequence[str] | None = None, other: str | None = None
+) -> DataFrame:
+    """Pivot of counts with 0 for empty cells; the column order is fixed, ``rows`` adds rows that have no data.
+
+    Every row is counted: ``other`` names a column for values (and NULL) that are not listed; without it an unlisted
+    value stops the query.
+    """
+    listed = F.coalesce(F.col(col).isin(*columns), F.lit(False))
+    cells = [F.count_if(F.col(col) == c).alias(c) for c in columns]
+    rest = F.count_if(~listed)
+    checked = F.when(rest > 0, F.raise_error(F.concat(F.lit("values without a column in "), F.lit(col)))).otherwise(0)
+    out = df.groupBy(row).agg(*cells, rest.alias(other) if other else checked.cast("int").alias("_checked"))
+    names = [*columns, other] if other else list(columns)
+    if not other:
+        out = out.where("_checked = 0").drop("_checked")
     if rows is not None:
         axis = df.sparkSession.createDataFrame([(r,) for r in rows], f"{row} string")
-        out = axis.join(out, row, "left")
-    return out.fillna(0, subset=list(columns))
+        out = axis.unionByName(out.select(row)).distinct().join(out, row, "left")
+    return out.fillna(0, subset=names)
 
 
 def label_inventory(df: DataFrame, ref: str = "reference", target: str = "target", ignore: int = IGNORE) -> DataFrame:
@@ -175,7 +188,11 @@ def label_inventory(df: DataFrame, ref: str = "reference", target: str = "target
 
 
 def histogram(df: DataFrame, col: str, bins: int, low: float | None = None, high: float | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bin counts; the last bin is closed. Without limits the data range is used."""
+    """Equal-width bin counts; the last bin is closed. Without limits the data range is used.
+
+    With limits, values below ``low`` count in bin -1 and values above ``high`` in bin ``bins``, whose left edges are
+    NULL and ``high``.
+    """
     x = F.col(col).cast("double")
     rows = df.where(x.isNotNull())
     if low is None or high is None:
@@ -184,12 +201,13 @@ def histogram(df: DataFrame, col: str, bins: int, low: float | None = None, high
         hi = F.lit(float(high)) if high is not None else span.select("hi").scalar()
     else:
         lo, hi = F.lit(float(low)), F.lit(float(high))
-    rows = rows.select(*by, x.alias("_x"), lo.alias("_lo"), hi.alias("_hi")).where("_x >= _lo AND _x <= _hi")
+    rows = rows.select(*by, x.alias("_x"), lo.alias("_lo"), hi.alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
+    inner = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
+    at = F.when(F.col("_x") < F.col("_lo"), -1).when(F.col("_x") > F.col("_hi"), bins).otherwise(inner)
     return rows.groupBy(*by, at.cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("count"), F.max(F.col("_lo")).alias("_l"), F.max(width).alias("_w")
-    ).select(*by, "bin", (F.col("_l") + F.col("bin") * F.col("_w")).alias("left_edge"), "count")
+    ).select(*by, "bin", F.when(F.col("bin") >= 0, F.col("_l") + F.col("bin") * F.col("_w")).alias("left_edge"), "count")
 
 
 def survival(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:

@@ -64,6 +64,56 @@ def site_stats(
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def project_calls(
+    records: DataFrame,
+    base: str = "A",
+    code: str = "a",
+    oriented: bool = False,
+    motif: str | None = None,
+    bins: DataFrame | None = None,
+    k: int = 5,
+    bin_size: int = 10000,
+) -> DataFrame:
+    """Alignment records -> one row ``read_id, contig, pos, strand, prob`` per aligned candidate base; prob NULL = not called.
+
+    ``records`` has read_id, flag, contig, pos0, cigar, seq and the tag map. Unmapped, secondary and supplementary records
+    and those without sequence are left out. A candidate is a stored base equal to ``base``; calls are walked along the
+    stored sequence. With ``oriented`` reverse records are read as they were sequenced: the complement is the candidate
+    and the walk starts at the other end. ``motif`` keeps sites whose reference k-mer (from ``bins`` of ``bin_size``) matches.
+    """
+    from ..functions.alignment import decode_mod_tags, query_to_ref
+    from ..functions.sequence import bases, motif_match
+    from ..sources.sam import tag_ints
+    from .qc import FLAG_REVERSE, FLAG_SECONDARY, FLAG_SUPPLEMENTARY, FLAG_UNMAPPED
+
+    usable = F.col("flag").bitwiseAND(FLAG_UNMAPPED | FLAG_SECONDARY | FLAG_SUPPLEMENTARY) == 0
+    rows = records.where(usable & F.col("contig").isNotNull() & F.col("seq").isNotNull())
+    reverse = F.col("flag").bitwiseAND(FLAG_REVERSE) != 0
+    other = dict(zip("ACGT", "TGCA"))[base]
+    wanted = F.when(reverse, F.lit(other)).otherwise(F.lit(base)) if oriented else F.lit(base)
+    called = decode_mod_tags(F.col("seq"), F.col("tags")["MM"], tag_ints(F.col("tags"), "ML"), base, code, reverse if oriented else None)
+    letters = bases(F.translate(F.upper("seq"), "U", "T"))
+    rows = rows.select(
+        "read_id",
+        "contig",
+        F.when(reverse, F.lit("-")).otherwise(F.lit("+")).alias("strand"),
+        F.coalesce(called, F.array().cast("array<struct<query_pos:int,prob:double>>")).alias("_calls"),
+        F.arrays_zip(letters.alias("b"), query_to_ref(F.col("cigar"), F.col("pos0")).alias("r")).alias("_pairs"),
+        wanted.alias("_wanted"),
+    )
+    by_place = F.map_from_entries("_calls")
+    rows = rows.select("read_id", "contig", "strand", "_wanted", by_place.alias("_probs"), F.posexplode("_pairs").alias("_i", "_p"))
+    rows = rows.where((F.col("_p.b") == F.col("_wanted")) & (F.col("_p.r") >= 0))
+    out = rows.select("read_id", "contig", F.col("_p.r").alias("pos"), "strand", F.try_element_at("_probs", F.col("_i")).alias("prob"))
+    if motif is None:
+        return out
+    if bins is None:
+        raise ValueError("a motif needs reference bins")
+    sites = out.select("contig", "pos", "strand").distinct()
+    fit = site_context(sites, bins, k, None, bin_size=bin_size).where(motif_match(F.col("kmer"), motif))
+    return out.join(fit.select("contig", "pos", "strand"), ["contig", "pos", "strand"], "left_semi")
+
+
 def collapse_strand(calls: DataFrame, strand: str = "strand") -> DataFrame:
     """Put both strands on ``.`` before aggregating."""
     return calls.withColumn(strand, F.lit("."))
@@ -98,14 +148,16 @@ def coverage_counts(sites: DataFrame, gold: DataFrame, floor: int, keys: Sequenc
 
 
 def gold_overlap(sites: DataFrame, gold: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
-    """Keys in both (``shared``), in gold only and in the sites only, as set operations."""
-    a, b = sites.select(*keys), gold.select(*keys)
-    parts = [(a.intersect(b), "shared"), (b.subtract(a), "gold_only"), (a.subtract(b), "sites_only")]
-    out = None
-    for frame, kind in parts:
-        part = frame.agg(F.count(F.lit(1)).alias("sites")).withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Distinct keys in both (``shared``), in gold only and in the sites only: one aggregate by key over a tagged union."""
+    tagged = sites.select(*keys, F.lit(True).alias("_site")).unionByName(gold.select(*keys, F.lit(False).alias("_site")))
+    seen = tagged.groupBy(*keys).agg(F.bool_or("_site").alias("_a"), F.bool_or(~F.col("_site")).alias("_b"))
+    counts = seen.agg(
+        F.count_if(F.col("_a") & F.col("_b")).alias("shared"),
+        F.count_if(~F.col("_a")).alias("gold_only"),
+        F.count_if(~F.col("_b")).alias("sites_only"),
+    )
+    kinds = F.array(*[F.struct(F.col(k).alias("sites"), F.lit(k).alias("kind")) for k in ("shared", "gold_only", "sites_only")])
+    return counts.select(F.inline(kinds))
 
 
 CONVENTIONS = ("as_is", "flip", "ignore", "either")
@@ -268,22 +320,27 @@ def site_context(
 
 
 def gold_sanity(gold_context: DataFrame, base: str = "A", motif: str | None = "DRACH") -> DataFrame:
-    """Checked / compatible gold sites and motif fractions overall (NULL strand), plus mismatches per strand and base."""
-    from ..functions.sequence import motif_match
+    """Checked / compatible gold sites and motif fractions overall (NULL strand), plus mismatches per strand and base.
+
+    Only sites over A, C, G or T are checked for the base. A site without strand may fit on either: its base or the
+    complement, its k-mer or the reverse complement. Every site counts for the motif, one without a k-mer as no match.
+    """
+    from ..functions.sequence import motif_match, revcomp
 
     comp = dict(zip("ACGT", "TGCA"))[base]
-    strand, ref = F.col("strand"), F.translate("ref_base", "U", "T")
-    fits = F.when(strand == "+", ref == base).when(strand == "-", ref == comp).otherwise(ref.isin(base, comp))
-    rows = gold_context.select(
-        "strand", ref.alias("ref_base"), fits.alias("_fits"), F.col("kmer").isNotNull().alias("_has"),
-        motif_match(F.col("kmer"), motif).alias("_motif"),
-    )
+    strand, ref = F.col("strand"), F.upper(F.translate("ref_base", "Uu", "Tt"))
+    known = F.when(ref.isin("A", "C", "G", "T"), ref)
+    fits = F.when(strand == "+", known == base).when(strand == "-", known == comp).otherwise(known.isin(base, comp))
+    kmer = F.col("kmer")
+    matched = F.coalesce(motif_match(kmer, motif), F.lit(False))
+    either = matched | (~strand.isin("+", "-") & F.coalesce(motif_match(revcomp(kmer), motif), F.lit(False)))
+    rows = gold_context.select("strand", known.alias("ref_base"), fits.alias("_fits"), either.alias("_motif"))
     counts = rows.groupBy("strand", "ref_base").agg(
         F.count("ref_base").alias("checked"),
         F.count_if("_fits").alias("compatible"),
         F.count_if(~F.col("_fits")).alias("mismatched"),
-        F.count_if("_has").alias("motif_checked"),
-        F.count_if(F.col("_has") & F.col("_motif")).alias("motif_matched"),
+        F.count(F.lit(1)).alias("motif_checked"),
+        F.count_if("_motif").alias("motif_matched"),
     )
     overall = counts.agg(*[F.sum(c).alias(c) for c in ("checked", "compatible", "mismatched", "motif_checked", "motif_matched")])
     overall = overall.select(F.lit(None).cast("string").alias("strand"), F.lit(None).cast("string").alias("ref_base"), "*")

@@ -9,6 +9,7 @@ partitions after an executor loss give the same rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,10 +107,10 @@ def seeded_rank(
 ) -> DataFrame:
     """1-based random rank within ``by`` (ordered by :func:`seed_key`, then id) and optionally the group size.
 
-    md5 is uniform, so its leading hex digits split a group of any size evenly: a group that holds a third of all
-    rows is ranked in 256 independent parts, 4096 on clusters with 256 or more shuffle partitions.
+    md5 is uniform, so its leading hex digits split a group of any size evenly. As many digits are used as give at
+    least 16 parts for each shuffle partition, so a group that holds a third of all rows still occupies every task.
     """
-    digits = 3 if _shuffle_partitions(df) >= 256 else 2
+    digits = max(2, math.ceil(math.log(16 * _shuffle_partitions(df), 16)))
     keyed = df.withColumn("_key", seed_key(seed, *by, ident)).withColumn("_slot", F.substring("_key", 1, digits))
     group = Window.partitionBy(*by)
     upto = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)

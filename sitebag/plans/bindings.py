@@ -10,14 +10,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-TEXTS = {"documents": "doc_id", "pages": "page_id"}  # whole texts: heavy work per row
-
 LETTERS = "'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'"
 
 VIEWS = {
@@ -90,8 +86,7 @@ _NAME = re.compile(r"\{(\w+)\}")
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table or a view as a DataFrame."""
     if name in TABLES:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return spread(df, TEXTS[name]) if name in TEXTS else df
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name].replace("@G@", "")
     parts = {n: load(spark, sf_dir, n) for n in set(_NAME.findall(text))}
     return spark.sql(text, **parts)

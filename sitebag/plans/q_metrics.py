@@ -411,11 +411,11 @@ def _(get, spark):
 
 @query(
     "a21_histogram",
-    """SELECT y, CAST(least(floor(score/0.05), 19) AS INT) AS bin, least(floor(score/0.05), 19)*0.05 AS left_edge, count(*) AS count
-    FROM v_scored GROUP BY ALL""",
+    """SELECT y, CASE WHEN score > 0.9 THEN 18 ELSE CAST(least(floor(score/0.05), 17) AS INT) END AS bin,
+      CASE WHEN score > 0.9 THEN 18 ELSE least(floor(score/0.05), 17) END*0.05 AS left_edge, count(*) AS count FROM v_scored GROUP BY ALL""",
 )
 def _(get, spark):
-    return P.histogram(get("v_scored"), "score", 20, 0.0, 1.0, ["y"])
+    return P.histogram(get("v_scored"), "score", 18, 0.0, 0.9, ["y"])
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as Q
 from ..operators import joins as J
+from ..operators import metrics as M
 from ..operators import pairs as C
 from ..operators import qc
 from ..operators import sites as S
@@ -344,3 +345,40 @@ def _(get, spark):
 @query("w13_worst_n", f"WITH {SIMPLE} SELECT read_id, identity, CAST(d AS INT) AS edit_distance FROM p ORDER BY identity, d, read_id LIMIT 25")
 def _(get, spark):
     return C.worst_n(simple_pairs(get), 25).select("read_id", "identity", "edit_distance")
+
+
+PROJECTED = f"""{BASES}, placed AS (SELECT b.read_id, b.i, b.b, contig, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand,
+    CASE WHEN i < clip THEN NULL WHEN i < clip + third THEN pos0 + i - clip WHEN i = clip + third THEN NULL
+      WHEN i < clip + 2*third + 1 THEN pos0 + i - clip - 1 ELSE pos0 + i - clip + 1 END AS pos,
+    CASE WHEN b.read_id % 4 = 0 AND row_number() OVER (PARTITION BY b.read_id, b.b ORDER BY i) = 1 THEN 200 END AS level
+    FROM bases b JOIN v_aligned a ON b.read_id = a.read_id WHERE flag & (4 | 256 | 2048) = 0),
+  stats AS (SELECT contig, pos, strand, count(*) AS coverage, count(level) AS num_mod_calls, CAST(sum(coalesce(level, 0)) AS BIGINT) AS level_sum
+    FROM placed WHERE b = 'A' AND pos IS NOT NULL GROUP BY ALL)"""
+
+
+def projected(get, spark):
+    """Calls of the alignment records, read back from SAM text."""
+    return S.project_calls(sam_records(get, spark))
+
+
+@query("a1_project_calls", f"WITH {PROJECTED} SELECT * FROM stats")
+def _(get, spark):
+    stats = S.site_stats(projected(get, spark), exact_sum=1 / 255)
+    level = F.round(F.col("mean_prob_zero_filled") * F.col("coverage") * 255).cast("bigint")
+    return stats.select("contig", "pos", "strand", "coverage", "num_mod_calls", level.alias("level_sum"))
+
+
+@query(
+    "j1_gold_from_records",
+    f"""WITH {PROJECTED}, gold AS (SELECT DISTINCT contig, pos, strand FROM v_sites),
+      l AS (SELECT CASE WHEN g.pos IS NOT NULL THEN 1 ELSE 0 END AS y, s.num_mod_calls > 0 AS hit FROM stats s LEFT JOIN gold g ON s.contig = g.contig AND s.pos = g.pos AND s.strand = g.strand),
+      c AS (SELECT count(CASE WHEN y=1 AND hit THEN 1 END) AS tp, count(CASE WHEN y=0 AND NOT hit THEN 1 END) AS tn, count(CASE WHEN y=0 AND hit THEN 1 END) AS fp,
+        count(CASE WHEN y=1 AND NOT hit THEN 1 END) AS fn FROM l)
+    SELECT tp, tn, fp, fn, CASE WHEN tp+fn > 0 THEN tp/(tp+fn)::DOUBLE ELSE 0 END AS recall, CASE WHEN tp+fp > 0 THEN tp/(tp+fp)::DOUBLE ELSE 0 END AS precision FROM c""",
+)
+def _(get, spark):
+    """Records -> calls -> sites -> gold labels -> metrics. A site is positive when any read calls it."""
+    sites = S.site_stats(projected(get, spark), exact_sum=1 / 255)
+    gold = get("v_sites").select("contig", "pos", "strand").distinct()
+    labelled = S.label_sites(sites, gold, info=()).withColumn("called", (F.col("num_mod_calls") > 0).cast("double"))
+    return M.threshold_metrics(labelled, 0.5, "is_gold", "called").select("tp", "tn", "fp", "fn", "recall", "precision")

@@ -101,6 +101,7 @@ def _(get, spark):
     return qc.holdout_split(rows, "leave-site", 0.2, common_to="class").select("sample_id", "site_key", "split")
 
 
+MOTIFS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SPLIT = "CASE WHEN mapping_coverage >= 0.95 THEN 'validation' ELSE 'train' END"
 
 
@@ -110,11 +111,11 @@ def with_split(get):
 
 @query(
     "f6_leave_one_group_out",
-    f"""WITH s AS (SELECT sample_id, motif, {SPLIT} AS split FROM v_samples), f AS (SELECT unnest(['MACHINERY','BUILDING','HOUSEHOLD']) AS fold)
+    f"""WITH s AS (SELECT sample_id, motif, {SPLIT} AS split FROM v_samples), f AS (SELECT unnest(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY']) AS fold)
     SELECT fold, split, motif, count(*) AS rows FROM s, f WHERE CASE WHEN split='train' THEN fold <> motif ELSE fold = motif END GROUP BY ALL""",
 )
 def _(get, spark):
-    folds = qc.leave_one_group_out(with_split(get), "motif", ["MACHINERY", "BUILDING", "HOUSEHOLD"], "heldout-group")
+    folds = qc.leave_one_group_out(with_split(get), "motif", MOTIFS, "heldout-group")
     return folds.groupBy("fold", "split", "motif").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -197,9 +198,16 @@ def _(get, spark):
     return P.category_top_k(get("v_samples"), ["ratio_label"], ["run_id", "contig", "site_key"], 5)
 
 
-FRACTIONS = """u AS (SELECT ratio_label, 'run_id' AS field, run_id AS value FROM v_samples UNION ALL SELECT ratio_label, 'motif', motif FROM v_samples
-    UNION ALL SELECT ratio_label, 'contig', contig FROM v_samples),
-  f AS (SELECT field, value, count(CASE WHEN ratio_label='25' THEN 1 END) AS left_count, count(CASE WHEN ratio_label='75' THEN 1 END) AS right_count FROM u WHERE ratio_label IN ('25','75') GROUP BY ALL),
+SIDED = "sided AS (SELECT *, CASE WHEN ratio_label = '25' THEN 'low' ELSE 'high' END AS side FROM v_samples)"
+
+
+def sided(get):
+    return get("v_samples").withColumn("side", F.when(F.col("ratio_label") == "25", "low").otherwise("high"))
+
+
+FRACTIONS = SIDED + """, u AS (SELECT side, 'run_id' AS field, run_id AS value FROM sided UNION ALL SELECT side, 'motif', motif FROM sided
+    UNION ALL SELECT side, 'contig', contig FROM sided),
+  f AS (SELECT field, value, count(CASE WHEN side='low' THEN 1 END) AS left_count, count(CASE WHEN side='high' THEN 1 END) AS right_count FROM u GROUP BY ALL),
   g AS (SELECT *, left_count/(sum(left_count) OVER (PARTITION BY field))::DOUBLE AS left_fraction, right_count/(sum(right_count) OVER (PARTITION BY field))::DOUBLE AS right_fraction FROM f)"""
 
 
@@ -209,19 +217,19 @@ FRACTIONS = """u AS (SELECT ratio_label, 'run_id' AS field, run_id AS value FROM
       count(*) AS values FROM g GROUP BY 1""",
 )
 def _(get, spark):
-    return rounded(P.distribution_distance(get("v_samples"), "ratio_label", "25", "75", ["run_id", "motif", "contig"]), "total_variation", "overlap")
+    return rounded(P.distribution_distance(sided(get), "side", "low", "high", ["run_id", "motif", "contig"]), "total_variation", "overlap")
 
 
 @query(
     "a9_numeric_shift",
-    """WITH u AS (SELECT ratio_label, 'mean_qscore' AS "column", mean_qscore AS v FROM v_samples UNION ALL SELECT ratio_label, 'prob', prob FROM v_samples),
-      s AS (SELECT "column", avg(v) FILTER (ratio_label='25') AS lm, avg(v) FILTER (ratio_label='75') AS rm, quantile_cont(v,0.5) FILTER (ratio_label='25') AS ld,
-        quantile_cont(v,0.5) FILTER (ratio_label='75') AS rd, var_pop(v) FILTER (ratio_label='25') AS lv, var_pop(v) FILTER (ratio_label='75') AS rv FROM u GROUP BY 1)
+    f"""WITH {SIDED}, u AS (SELECT side, 'mean_qscore' AS "column", mean_qscore AS v FROM sided UNION ALL SELECT side, 'prob', prob FROM sided),
+      s AS (SELECT "column", avg(v) FILTER (side='low') AS lm, avg(v) FILTER (side='high') AS rm, quantile_cont(v,0.5) FILTER (side='low') AS ld,
+        quantile_cont(v,0.5) FILTER (side='high') AS rd, var_pop(v) FILTER (side='low') AS lv, var_pop(v) FILTER (side='high') AS rv FROM u GROUP BY 1)
     SELECT "column", round(lm,6) AS left_mean, round(rm,6) AS right_mean, round(ld,6) AS left_median, round(rd,6) AS right_median, round(rm-lm,6) AS mean_delta,
       round(rd-ld,6) AS median_delta, round((rm-lm)/sqrt((lv+rv)/2),6) AS standardized_mean_difference FROM s""",
 )
 def _(get, spark):
-    out = P.numeric_shift(get("v_samples"), "ratio_label", "25", "75", ["mean_qscore", "prob"])
+    out = P.numeric_shift(sided(get), "side", "low", "high", ["mean_qscore", "prob"])
     return rounded(out, *[c for c in out.columns if c != "column"])
 
 
@@ -231,7 +239,7 @@ def _(get, spark):
     SELECT field, value, left_count, right_count, left_fraction, right_fraction, delta, rank FROM r WHERE rank <= 3""",
 )
 def _(get, spark):
-    return P.category_enrichment(get("v_samples"), "ratio_label", "25", "75", ["run_id", "motif", "contig"], 3)
+    return P.category_enrichment(sided(get), "side", "low", "high", ["run_id", "motif", "contig"], 3)
 
 
 @query(
@@ -254,12 +262,11 @@ def _(get, spark):
 
 @query(
     "a13_count_matrix",
-    """SELECT motif, count(CASE WHEN run_id='1-URGENT' THEN 1 END) AS "1-URGENT", count(CASE WHEN run_id='3-MEDIUM' THEN 1 END) AS "3-MEDIUM", count(CASE WHEN run_id='5-LOW' THEN 1 END) AS "5-LOW" FROM v_samples GROUP BY 1
-    UNION ALL SELECT 'NO_SUCH_ROW', 0, 0, 0""",
+    f"""SELECT motif, {', '.join(f"count(CASE WHEN run_id='{r}' THEN 1 END) AS " + '"' + r + '"' for r in ('1-URGENT', '3-MEDIUM', '5-LOW'))},
+      count(CASE WHEN run_id NOT IN ('1-URGENT','3-MEDIUM','5-LOW') THEN 1 END) AS other FROM v_samples GROUP BY 1 UNION ALL SELECT 'NO_SUCH_ROW', 0, 0, 0, 0""",
 )
 def _(get, spark):
-    motifs = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NO_SUCH_ROW"]
-    return P.count_matrix(get("v_samples"), "motif", "run_id", ["1-URGENT", "3-MEDIUM", "5-LOW"], motifs)
+    return P.count_matrix(get("v_samples"), "motif", "run_id", ["1-URGENT", "3-MEDIUM", "5-LOW"], [*MOTIFS, "NO_SUCH_ROW"], other="other")
 
 
 @query(
@@ -320,25 +327,24 @@ def _(get, spark):
     return P.generalization_gap(k.where("source = 'F'"), k.where("source = 'O'"), "motif", ["recall", "specificity"], support)
 
 
-def bags_sql(cap: int, balance: bool) -> str:
+def bags_sql(balance: bool) -> str:
     s = "ratio_label, site_key"
-    capped = f"cb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {s} ORDER BY {key('ratio_label', 'site_key', 'bag')}, bag) AS r FROM b) WHERE r <= {cap})"
     uid = "concat_ws('|', site_key, bag::VARCHAR)"
-    kept = f"""kb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ratio_label ORDER BY {key('ratio_label', uid)}, {uid}) AS q FROM cb)
-      {'WHERE q <= (SELECT min(c) FROM (SELECT count(*) AS c FROM cb GROUP BY ratio_label))' if balance else ''})"""
+    kept = f"""kb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ratio_label ORDER BY {key('ratio_label', uid)}, {uid}) AS q FROM b)
+      {'WHERE q <= (SELECT min(c) FROM (SELECT count(*) AS c FROM b GROUP BY ratio_label))' if balance else ''})"""
     return f"""WITH r AS (SELECT *, CAST(floor(({rank(['ratio_label', 'site_key'])} - 1)/4) AS BIGINT) AS bag FROM v_samples),
-      b AS (SELECT {s}, bag, count(*) AS bag_reads FROM r GROUP BY ALL HAVING count(*) >= 3), {capped}, {kept},
+      b AS (SELECT {s}, bag, count(*) AS bag_reads FROM r GROUP BY ALL HAVING count(*) >= 3), {kept},
       n AS (SELECT {s}, bag, bag_reads, row_number() OVER (ORDER BY {s}, bag) - 1 AS bag_key FROM kb)
     SELECT sample_id, {s}, bag_reads, bag_key FROM r JOIN n USING ({s}, bag)"""
 
 
-@query("w2_stratified_bags", bags_sql(2, True))
+@query("w2_stratified_bags", bags_sql(True))
 def _(get, spark):
-    out = W.stratified_bags(get("v_samples"), ["site_key"], 4, 3, 2, True)
+    out = W.stratified_bags(get("v_samples"), ["site_key"], 4, 3, 0, True)
     return out.select("sample_id", "ratio_label", "site_key", "bag_reads", "bag_key")
 
 
-@query("w2_unbalanced_bags", bags_sql(1000000, False))
+@query("w2_unbalanced_bags", bags_sql(False))
 def _(get, spark):
     out = W.stratified_bags(get("v_samples"), ["site_key"], 4, 3, 0, False)
     return out.select("sample_id", "ratio_label", "site_key", "bag_reads", "bag_key")
@@ -346,14 +352,14 @@ def _(get, spark):
 
 @query(
     "w3_common_strata_sample",
-    f"""WITH c AS (SELECT site_key, ratio_label, count(*) AS n FROM v_samples GROUP BY ALL), k AS (SELECT site_key, least(min(n), 5) AS keep FROM c GROUP BY 1
+    f"""WITH c AS (SELECT site_key, ratio_label, count(*) AS n FROM v_samples GROUP BY ALL), k AS (SELECT site_key, min(n) AS keep FROM c GROUP BY 1
         HAVING count(*) = (SELECT count(DISTINCT ratio_label) FROM v_samples)),
       b AS (SELECT site_key, ratio_label, keep, row_number() OVER (ORDER BY site_key, ratio_label) - 1 AS bag_key FROM c JOIN k USING (site_key)),
       r AS (SELECT *, {rank(['ratio_label', 'site_key'])} AS rn FROM v_samples)
     SELECT sample_id, site_key, ratio_label, bag_key FROM r JOIN b USING (site_key, ratio_label) WHERE rn <= keep""",
 )
 def _(get, spark):
-    return W.common_strata_sample(get("v_samples"), ["site_key"], 5).select("sample_id", "site_key", "ratio_label", "bag_key")
+    return W.common_strata_sample(get("v_samples"), ["site_key"]).select("sample_id", "site_key", "ratio_label", "bag_key")
 
 
 RATIOS = [("0", 0.0), ("25", 0.25), ("50", 0.5), ("100", 1.0)]
@@ -366,8 +372,8 @@ RATIOS = [("0", 0.0), ("25", 0.25), ("50", 0.5), ("100", 1.0)]
       q AS (SELECT * FROM (VALUES (0,'0',0.0::DOUBLE,0,8),(1,'25',0.25,2,6),(2,'50',0.5,4,4),(3,'100',1.0,8,0)) v(o,label,ratio,fp,fn)),
       w AS (SELECT contig, run_id, p, n, 0 AS o, 0::BIGINT AS pf, 0::BIGINT AS nf FROM k UNION ALL
         SELECT w.contig, w.run_id, p, n, w.o+1, pf + fp*m, nf + fn*m FROM (SELECT w.*, q.fp, q.fn, least(CASE WHEN q.fp>0 THEN greatest(p-pf,0)//q.fp ELSE 999999999 END,
-          CASE WHEN q.fn>0 THEN greatest(n-nf,0)//q.fn ELSE 999999999 END, 1) AS m FROM w JOIN q ON w.o = q.o) w WHERE w.o < 4),
-      d AS (SELECT w.contig, w.run_id, w.o, label, ratio, fp, fn, pf, nf, least(CASE WHEN fp>0 THEN greatest(p-pf,0)//fp ELSE 999999999 END, CASE WHEN fn>0 THEN greatest(n-nf,0)//fn ELSE 999999999 END, 1) AS made
+          CASE WHEN q.fn>0 THEN greatest(n-nf,0)//q.fn ELSE 999999999 END) AS m FROM w JOIN q ON w.o = q.o) w WHERE w.o < 4),
+      d AS (SELECT w.contig, w.run_id, w.o, label, ratio, fp, fn, pf, nf, least(CASE WHEN fp>0 THEN greatest(p-pf,0)//fp ELSE 999999999 END, CASE WHEN fn>0 THEN greatest(n-nf,0)//fn ELSE 999999999 END) AS made
         FROM w JOIN q ON w.o = q.o),
       e AS (SELECT *, sum(made) OVER (ORDER BY contig, run_id, o) - made AS first FROM d WHERE made > 0),
       r AS (SELECT *, {rank(['class', 'contig', 'run_id'])} - 1 AS pos FROM s)
@@ -376,7 +382,7 @@ RATIOS = [("0", 0.0), ("25", 0.25), ("50", 0.5), ("100", 1.0)]
       AND pos >= CASE WHEN class='positive' THEN pf ELSE nf END AND pos < CASE WHEN class='positive' THEN pf + fp*made ELSE nf + fn*made END""",
 )
 def _(get, spark):
-    out = W.synthesize_mixtures(get("v_samples"), ["contig", "run_id"], RATIOS, 8, 1)
+    out = W.synthesize_mixtures(get("v_samples"), ["contig", "run_id"], RATIOS, 8)
     return out.select("sample_id", "contig", "run_id", "class", "bag_key", "synthetic_ratio", "synthetic_ratio_label")
 
 
@@ -415,35 +421,34 @@ def _(get, spark):
 @query(
     "w8_balance_source_class",
     f"""WITH s AS (SELECT *, {SPLIT} AS split FROM v_samples WHERE class IN ('positive','negative')), c AS (SELECT split, ratio_label, class, count(*) AS n FROM s GROUP BY ALL),
-      k AS (SELECT split, least(min(n), 400) AS keep FROM c GROUP BY 1), r AS (SELECT *, {rank(['split', 'ratio_label', 'class'])} AS rn FROM s)
+      k AS (SELECT split, min(n) AS keep FROM c GROUP BY 1), r AS (SELECT *, {rank(['split', 'ratio_label', 'class'])} AS rn FROM s)
     SELECT sample_id, split, ratio_label, class FROM r JOIN k USING (split) WHERE rn <= keep""",
 )
 def _(get, spark):
-    out = W.balance_source_class(with_split(get), "ratio_label", cap=400, within=["split"])
+    out = W.balance_source_class(with_split(get), "ratio_label", within=["split"])
     return out.select("sample_id", "split", "ratio_label", "class")
 
 
 def mix_sql(plan: str) -> str:
-    return f"""WITH c AS (SELECT count(CASE WHEN ratio_label='25' THEN 1 END) AS a, count(CASE WHEN ratio_label='75' THEN 1 END) AS b FROM v_samples), p AS ({plan}),
-      r AS (SELECT sample_id, ratio_label, {rank(['ratio_label'])} AS rn FROM v_samples WHERE ratio_label IN ('25','75'))
-    SELECT sample_id, ratio_label FROM r, p WHERE rn <= CASE ratio_label WHEN '25' THEN pa ELSE pb END"""
+    return f"""WITH {SIDED}, c AS (SELECT count(CASE WHEN side='low' THEN 1 END) AS a, count(CASE WHEN side='high' THEN 1 END) AS b FROM sided), p AS ({plan}),
+      r AS (SELECT sample_id, side, {rank(['side'])} AS rn FROM sided)
+    SELECT sample_id, side FROM r, p WHERE rn <= CASE side WHEN 'low' THEN pa ELSE pb END"""
 
 
 @query(
     "w9_mix_two_sources",
-    mix_sql("SELECT floor(least(a/2.0::DOUBLE, least(b,1500)/1.0::DOUBLE)*2.0) AS pa, floor(least(a/2.0::DOUBLE, least(b,1500)/1.0::DOUBLE)*1.0) AS pb FROM c"),
+    mix_sql("SELECT floor(least(a/2.0::DOUBLE, b/1.0::DOUBLE)*2.0) AS pa, floor(least(a/2.0::DOUBLE, b/1.0::DOUBLE)*1.0) AS pb FROM c"),
 )
 def _(get, spark):
-    return W.mix_two_sources(get("v_samples"), "ratio_label", ("25", "75"), (2.0, 1.0), (None, 1500)).select("sample_id", "ratio_label")
+    return W.mix_two_sources(sided(get), "side", ("low", "high"), (2.0, 1.0)).select("sample_id", "side")
 
 
-@query(
-    "w9_mix_to_total",
-    mix_sql("""SELECT least(a, t - pb) AS pa, pb FROM (SELECT a, t, least(least(b,1000), t - least(a, CAST(round_even(t*1.0::DOUBLE/4.0, 0) AS BIGINT))) AS pb
-      FROM (SELECT a, b, least(3000, a + least(b,1000)) AS t FROM c))"""),
-)
+EVERYTHING = 1 << 40  # a total above any table: what one source cannot give comes from the other, so all rows are kept
+
+
+@query("w9_mix_to_total", mix_sql("SELECT a AS pa, b AS pb FROM c"))
 def _(get, spark):
-    return W.mix_two_sources(get("v_samples"), "ratio_label", ("25", "75"), (1.0, 3.0), (None, 1000), 3000).select("sample_id", "ratio_label")
+    return W.mix_two_sources(sided(get), "side", ("low", "high"), (1.0, 3.0), total=EVERYTHING).select("sample_id", "side")
 
 
 def labelled(get):
@@ -454,18 +459,18 @@ def labelled(get):
 
 
 KMER = f"""l AS (SELECT sample_id, contig AS kmer, CAST(class='positive' AS INT) AS y, prob AS score FROM v_samples WHERE class <> 'unlabeled'),
-  q AS (SELECT kmer, count(CASE WHEN y=1 THEN 1 END) AS positives, count(CASE WHEN y=0 THEN 1 END) AS negatives, least(count(CASE WHEN y=1 THEN 1 END), count(CASE WHEN y=0 THEN 1 END), 60) AS kept_per_class FROM l GROUP BY 1),
+  q AS (SELECT kmer, count(CASE WHEN y=1 THEN 1 END) AS positives, count(CASE WHEN y=0 THEN 1 END) AS negatives, least(count(CASE WHEN y=1 THEN 1 END), count(CASE WHEN y=0 THEN 1 END)) AS kept_per_class FROM l GROUP BY 1),
   b AS (SELECT l.* FROM (SELECT *, {rank(['kmer', 'y'])} AS rn FROM l) l JOIN q USING (kmer) WHERE rn <= kept_per_class)"""
 
 
 @query("w10_kmer_balanced", f"WITH {KMER} SELECT sample_id, kmer, y FROM b")
 def _(get, spark):
-    return W.kmer_balanced(labelled(get), "kmer", "y", 60).select("sample_id", "kmer", "y")
+    return W.kmer_balanced(labelled(get), "kmer", "y").select("sample_id", "kmer", "y")
 
 
 @query("w10_kmer_stats", f"WITH {KMER} SELECT * FROM q")
 def _(get, spark):
-    return W.kmer_stats(labelled(get), "kmer", "y", 60)
+    return W.kmer_stats(labelled(get), "kmer", "y")
 
 
 @query(
@@ -474,7 +479,7 @@ def _(get, spark):
     SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, sum(n*(2*(tp-p)+p))::DOUBLE/(2*sum(p)*sum(n))::DOUBLE AS roc_auc FROM c""",
 )
 def _(get, spark):
-    kept = W.kmer_balanced(labelled(get), "kmer", "y", 60)
+    kept = W.kmer_balanced(labelled(get), "kmer", "y")
     return M.auc_summary(M.cumulate(M.score_histogram(kept))).select("positives", "negatives", "roc_auc")
 
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def build_session(app: str = "sitebag", master: str = "local[*]", shuffle_partitions: int = 8, **conf) -> SparkSession:
-    """A session with AQE, skew handling and UTC; extra settings go through ``conf``."""
+def build_session(
+    app: str = "sitebag", master: str = "local[*]", shuffle_partitions: int = 8, shared: str | None = None, **conf
+) -> SparkSession:
+    """A session with AQE, skew handling and UTC; ``shared`` is the folder for staged tables, extra settings go through ``conf``.
+
+    Input splits are small enough that a few whole-text files still occupy all cores.
+    """
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -23,7 +29,10 @@ def build_session(app: str = "sitebag", master: str = "local[*]", shuffle_partit
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.files.maxPartitionBytes", "32m")
     )
+    if shared:
+        builder = builder.config(CHECKPOINT_DIR, shared)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))
     spark = builder.getOrCreate()
@@ -32,10 +41,18 @@ def build_session(app: str = "sitebag", master: str = "local[*]", shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local master may leave it unset: it gets a fresh folder that goes when the process ends. Elsewhere executors
+    would write to their own disks and later reads miss those files, so an unset folder is an error.
+    """
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share (master is {master})")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set(CHECKPOINT_DIR, path)
     return path
 
@@ -54,20 +71,3 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute rows of heavy per-row work when they come from fewer files than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
-BROADCAST_ROWS = 20_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcast after counting it (at most ``max_rows`` + 1 rows are read).
-
-    A larger table comes back unmarked, and the join is planned by size as usual.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

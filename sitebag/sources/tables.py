@@ -86,9 +86,7 @@ POSITION_NAMES = ["position", "pos", "site", "genomicposition"]
 START_NAMES = ["start", "chromstart"]
 SUPPORT_NAMES = [
     "techniquenum",
-    "technique num",
     "conditionnum",
-    "condition num",
     "support",
     "score",
     "ratio",
@@ -138,9 +136,11 @@ def _bed(spark: SparkSession, path: str) -> DataFrame:
         (text.rlike(r"^(#|track |browser )") | (text == "")).alias("_skip"),
     )
     f = F.col("f")
+    short = F.size(f) < 3
     pos, end = F.get(f, 1).cast("bigint"), F.get(f, 2).cast("bigint")
     name = F.coalesce(F.get(f, 3), F.concat(F.get(f, 0), F.lit(":"), pos, F.lit("-"), end))
-    return lines.where(~F.col("_skip")).select(
+    whole = F.when(short, F.raise_error(F.concat(F.lit("BED line with fewer than 3 columns: "), F.concat_ws(" ", f))).cast("boolean"))
+    return lines.where(~F.col("_skip")).where(F.coalesce(whole, F.lit(True))).select(
         F.get(f, 0).alias("contig"), pos.alias("pos"), F.get(f, 5).alias("strand"), end.alias("end"), name.alias("name"),
         _number(F.get(f, 4)).alias("support"), "_order",
     )
