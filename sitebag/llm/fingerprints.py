@@ -61,9 +61,9 @@ def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     A text shorter than a window has one window, filled up with zeros.
     """
     gap = bytes(WINDOW + NEIGHBOURS)
-    data = np.frombuffer(gap.join(texts) + gap, dtype=np.uint8)
+    data = np.frombuffer(gap.join([b"", *texts, b""]), dtype=np.uint8)
     size = np.array([len(t) for t in texts], dtype=np.int64)
-    start = np.concatenate([[0], np.cumsum(size + len(gap))[:-1]])
+    start = len(gap) + np.concatenate([[0], np.cumsum(size + len(gap))[:-1]])
     return data, start, np.where(size > 0, np.maximum(size - WINDOW + 1, 1), 0)
 
 

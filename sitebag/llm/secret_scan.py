@@ -2,8 +2,9 @@
 
 A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit. Its smallest alphabet is
 inferred; chi-squared uniformity over that alphabet, a runs test about the middle of the alphabet and the serial
-correlation give one distance from randomness. How often natural text of the same length comes as close is counted on
-letter windows of the whole corpus; per length class the Benjamini-Hochberg rule turns these shares into a threshold.
+correlation give one distance from randomness. How often natural text of the same length, read in the same alphabet, comes
+as close is counted on letter windows of the whole corpus; per alphabet and length class the Benjamini-Hochberg rule turns
+these shares into a threshold.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ KINDS = ("assign", "access", "hex")
 ADDED = "random"
 MIN_LENGTH = 16
 CLASSES = (16, 20, 24, 32, 40, 64)  # lower ends of the length classes, and the lengths of the natural windows
+#: Alphabet groups: size, and the place of ``a`` in it. Alphabets that natural letters do not fit share the first.
+GROUPS = ((26, 0), (36, 10), (62, 36), (66, 36))
 STEPS = 240  # of the distance, on a logarithmic scale
 FALSE_DISCOVERIES = 0.01
 
@@ -98,6 +101,7 @@ class Candidates:
     doc: np.ndarray
     start: np.ndarray  # bytes from the beginning of the document
     end: np.ndarray
+    group: np.ndarray
     length_class: np.ndarray
     step: np.ndarray
 
@@ -134,57 +138,60 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Candidates:
         mine = fits[row]
         codes[mine] = place[chars[mine]]
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return Candidates(doc, start - offsets[doc], end - offsets[doc], _class(n), _step(_distance(codes, row, n, size)))
+    group = np.select([size == g[0] for g in GROUPS[1:]], range(1, len(GROUPS)), 0)
+    return Candidates(doc, start - offsets[doc], end - offsets[doc], group, _class(n), _step(_distance(codes, row, n, size)))
 
 
 def _natural(data: np.ndarray) -> np.ndarray:
-    """Counts (class, step) of letter windows: the letters of the texts in order, cut into windows of each class in turn."""
+    """Counts (group, class, step) of letter windows: the letters of the texts in order, cut into windows of each class in turn."""
     letters = (data[_IS_LETTER[data]] | 32).astype(np.int64) - 97
     cycle = sum(CLASSES)
-    out = np.zeros((len(CLASSES), STEPS), dtype=np.int64)
+    out = np.zeros((len(GROUPS), len(CLASSES), STEPS), dtype=np.int64)
     table = letters[: len(letters) // cycle * cycle].reshape(-1, cycle)
     begin = 0
     for c, n in enumerate(CLASSES):
         part = table[:, begin : begin + n]
         begin += n
-        rows = np.repeat(np.arange(len(part)), n)
-        size = np.full(len(part), 26)
-        out[c] = np.bincount(_step(_distance(part.ravel(), rows, np.full(len(part), float(n)), size)), minlength=STEPS)
+        rows, many = np.repeat(np.arange(len(part)), n), np.full(len(part), float(n))
+        for g, (size, shift) in enumerate(GROUPS):
+            distance = _distance(part.ravel() + shift, rows, many, np.full(len(part), size))
+            out[g, c] = np.bincount(_step(distance), minlength=STEPS)
     return out
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = np.zeros((len(CLASSES), STEPS), dtype=np.int64)
+    found = np.zeros((len(GROUPS), len(CLASSES), STEPS), dtype=np.int64)
     natural = np.zeros_like(found)
     for batch in batches:
         for _, texts in chunks(batch):
             data, offsets = _laid_out(texts)
             natural += _natural(data)
             own = candidates(data, offsets)
-            np.add.at(found, (own.length_class, own.step), 1)
-    c, s = np.nonzero(found + natural)
+            np.add.at(found, (own.group, own.length_class, own.step), 1)
+    g, c, s = np.nonzero(found + natural)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(c, pa.int32()), pa.array(s, pa.int32()), pa.array(found[c, s]), pa.array(natural[c, s])],
-        ["length_class", "step", "found", "natural"],
+        [*(pa.array(x, pa.int32()) for x in (g, c, s)), pa.array(found[g, c, s]), pa.array(natural[g, c, s])],
+        ["alphabet", "length_class", "step", "found", "natural"],
     )
 
 
 def thresholds(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> np.ndarray:
-    """Per length class the largest step that is still a discovery (-1: none), from counts over all texts.
+    """Per alphabet group and length class the largest step that is still a discovery (-1: none), from all texts.
 
     The share of natural windows at most that far from randomness is a candidate's p-value; the Benjamini-Hochberg rule
-    bounds the expected share of natural ones among the discoveries of each class. Only the counts (classes times
-    steps) reach the driver.
+    bounds the expected share of natural ones among the discoveries of each class. Only the counts (groups times
+    classes times steps) reach the driver.
     """
-    counted = docs.select("text").mapInArrow(_tally, "length_class int, step int, found long, natural long")
-    found = np.zeros((len(CLASSES), STEPS))
+    counted = docs.select("text").mapInArrow(_tally, "alphabet int, length_class int, step int, found long, natural long")
+    found = np.zeros((len(GROUPS), len(CLASSES), STEPS))
     natural = np.zeros_like(found)
-    for c, s, f, n in counted.groupBy("length_class", "step").agg(F.sum("found"), F.sum("natural")).collect():
-        found[c, s], natural[c, s] = f, n
-    p = (1 + np.cumsum(natural, axis=1)) / (1 + natural.sum(axis=1, keepdims=True))
-    share = np.cumsum(found, axis=1) / np.maximum(found.sum(axis=1, keepdims=True), 1)
+    totals = counted.groupBy("alphabet", "length_class", "step").agg(F.sum("found"), F.sum("natural"))
+    for g, c, s, f, n in totals.collect():
+        found[g, c, s], natural[g, c, s] = f, n
+    p = (1 + np.cumsum(natural, axis=2)) / (1 + natural.sum(axis=2, keepdims=True))
+    share = np.cumsum(found, axis=2) / np.maximum(found.sum(axis=2, keepdims=True), 1)
     good = (p <= rate * share) & (found > 0)
-    return np.where(good.any(axis=1), STEPS - 1 - np.argmax(good[:, ::-1], axis=1), -1)
+    return np.where(good.any(axis=2), STEPS - 1 - np.argmax(good[:, :, ::-1], axis=2), -1)
 
 
 def _scan(texts: list[bytes], limit: np.ndarray) -> tuple[list[list[Span]], list[list[Span]]]:
@@ -198,7 +205,7 @@ def _scan(texts: list[bytes], limit: np.ndarray) -> tuple[list[list[Span]], list
             base[i] = base_spans(raw.decode("utf-8"))
     own = candidates(data, offsets)
     added: list[list[Span]] = [[] for _ in texts]
-    for d, s, e in zip(*(x[own.step <= limit[own.length_class]].tolist() for x in (own.doc, own.start, own.end)), strict=True):
+    for d, s, e in zip(*(x[own.step <= limit[own.group, own.length_class]].tolist() for x in (own.doc, own.start, own.end)), strict=True):
         begin = len(texts[d][:s].decode("utf-8"))
         end = begin + e - s
         if not any(a < end and begin < b for a, _, b in base[d]):
