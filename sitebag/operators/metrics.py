@@ -330,7 +330,7 @@ def grouped_metrics(
     score: str = "score",
     zero_division: float | None = None,
 ) -> DataFrame:
-    """Threshold metrics, means and AUCs for several groupings in one job.
+    """Threshold metrics, means, medians, outer quantiles per class and AUCs for several groupings in one job.
 
     GROUPING SETS over (grouping, score) builds the histograms of all groupings together; columns outside a set are
     NULL and ``group_by`` names the set.
@@ -368,7 +368,41 @@ def grouped_metrics(
         *by, "tp", "tn", "fp", "fn", *confusion_rates(**c, zero_division=zero_division),
         "bce", "mean_prob", "mean_positive_prob", "mean_negative_prob",
     )
-    return attach(counts, areas, by)
+    return attach(attach(counts, areas, by), _cumulated_quantiles(cum, by), by)
+
+
+#: Name, class (both, p = positives, n = negatives) and probability of the quantiles of a probability profile.
+PROFILE_QUANTILES = (
+    ("median_prob", "both", 0.5),
+    ("median_positive_prob", "p", 0.5),
+    ("median_negative_prob", "n", 0.5),
+    ("positive_q05", "p", 0.05),
+    ("negative_q95", "n", 0.95),
+)
+
+
+def _cumulated_quantiles(cum: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Linearly interpolated score quantiles per group, read off the cumulated histogram: no further sort or shuffle of rows."""
+    below_p, below_n = F.col("positives") - F.col("tp"), F.col("negatives") - F.col("fp")
+    parts = {
+        "both": (below_p + below_n, F.col("p") + F.col("n"), F.col("positives") + F.col("negatives")),
+        "p": (below_p, F.col("p"), F.col("positives")),
+        "n": (below_n, F.col("n"), F.col("negatives")),
+    }
+    aggs = []
+    for name, which, share in PROFILE_QUANTILES:
+        below, own, total = parts[which]
+        at = F.lit(share) * (total - 1)
+        for tag, k in (("low", F.floor(at)), ("high", F.ceil(at))):
+            aggs.append(F.max(F.when((below <= k) & (k < below + own), F.col("score"))).alias(f"_{name}_{tag}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"_{name}_part"))
+    picked = cum.groupBy(*by).agg(*aggs)
+
+    def between(name: str) -> Column:
+        low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
+        return (low + (high - low) * F.col(f"_{name}_part")).alias(name)
+
+    return picked.select(*by, *[between(name) for name, _, _ in PROFILE_QUANTILES])
 
 
 def confusion_matrix(df: DataFrame, true: str, pred: str) -> DataFrame:

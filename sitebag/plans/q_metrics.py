@@ -383,8 +383,12 @@ def _(get, spark):
       k AS (SELECT group_by, source, run_id, motif, count(CASE WHEN y=1 AND score>=0.5 THEN 1 END) AS tp, count(CASE WHEN y=0 AND score<0.5 THEN 1 END) AS tn,
         count(CASE WHEN y=0 AND score>=0.5 THEN 1 END) AS fp, count(CASE WHEN y=1 AND score<0.5 THEN 1 END) AS fn, round(avg(score),12) AS mean_prob,
         round(avg(-CASE WHEN y=1 THEN ln(greatest(1e-7, least(1-1e-7, score))) ELSE ln(1-greatest(1e-7, least(1-1e-7, score))) END),9) AS bce,
-        round(avg(score) FILTER (y=1),12) AS mean_positive_prob, round(avg(score) FILTER (y=0),12) AS mean_negative_prob FROM g GROUP BY ALL)
+        round(avg(score) FILTER (y=1),12) AS mean_positive_prob, round(avg(score) FILTER (y=0),12) AS mean_negative_prob,
+        round(quantile_cont(score,0.5),9) AS median_prob, round(quantile_cont(score,0.5) FILTER (y=1),9) AS median_positive_prob,
+        round(quantile_cont(score,0.5) FILTER (y=0),9) AS median_negative_prob, round(quantile_cont(score,0.05) FILTER (y=1),9) AS positive_q05,
+        round(quantile_cont(score,0.95) FILTER (y=0),9) AS negative_q95 FROM g GROUP BY ALL)
     SELECT k.group_by, k.source, k.run_id, k.motif, tp, tn, fp, fn, {RATES_SQL}, bce, mean_prob, mean_positive_prob, mean_negative_prob,
+      median_prob, median_positive_prob, median_negative_prob, positive_q05, negative_q95,
       positives, negatives, roc_auc, average_precision, pr_auc_trapezoid, prevalence
     FROM k JOIN a ON k.group_by = a.group_by AND k.source IS NOT DISTINCT FROM a.source AND k.run_id IS NOT DISTINCT FROM a.run_id
       AND k.motif IS NOT DISTINCT FROM a.motif""",
@@ -394,7 +398,8 @@ def _(get, spark):
     out = M.grouped_metrics(get("v_scored"), sets, zero_division=0.0)
     # scores are thousandths, so a mean over 16 rows is a tie at six digits; twelve keep clear of ties
     out = rounded(out, "mean_prob", "mean_positive_prob", "mean_negative_prob", digits=12)
-    return rounded(rounded(out, "bce", digits=9), "average_precision", "pr_auc_trapezoid")
+    out = rounded(out, "bce", *[name for name, _, _ in M.PROFILE_QUANTILES], digits=9)
+    return rounded(out, "average_precision", "pr_auc_trapezoid")
 
 
 @query(
