@@ -13,13 +13,26 @@ from pyspark.sql import types as T
 from ..ordering import attach, quantiles
 from .metrics import ratio
 
-PREFIX = 120  # fixed value: length of the sequence excerpts shown in reports
+def edit_distance(a: Column, b: Column) -> Column:
+    """Exact Levenshtein distance; pairs that are close pay for a narrow band only.
+
+    With a limit the distance is computed inside a band of that width and is -1 beyond it, so growing limits end at the
+    first that holds it, and only pairs further apart than the last run without one.
+    """
+    out = F.levenshtein(a, b)
+    for limit in (4096, 512, 64):
+        near = F.levenshtein(a, b, limit)
+        out = F.when(near >= 0, near).otherwise(out)
+    return F.when(a == b, 0).otherwise(out)
 
 
-def compare_callsets(a: DataFrame, b: DataFrame, key: str = "read_id", seq: str = "seq", quality: str | None = None) -> DataFrame:
-    """Full outer comparison: presence, lengths, edit distance, exact match, quality delta and short excerpts.
+def compare_callsets(
+    a: DataFrame, b: DataFrame, key: str = "read_id", seq: str = "seq", quality: str | None = None, excerpt: int | None = None
+) -> DataFrame:
+    """Full outer comparison: presence, lengths, edit distance, exact match, quality delta.
 
-    The edit distance covers whole sequences and is NULL where a side is missing.
+    The edit distance covers whole sequences and is NULL where a side is missing. ``excerpt`` adds the first so many
+    letters of both sides for a report.
     """
     def side(df: DataFrame, tag: str) -> DataFrame:
         cols = [F.col(key), F.col(seq).alias(f"seq_{tag}")]
@@ -30,13 +43,14 @@ def compare_callsets(a: DataFrame, b: DataFrame, key: str = "read_id", seq: str
     has_a, has_b = F.coalesce("in_a", F.lit(False)), F.coalesce("in_b", F.lit(False))
     presence = F.when(has_a & has_b, F.lit("shared")).when(has_a, F.lit("a_only")).otherwise(F.lit("b_only"))
     la, lb = F.length("seq_a"), F.length("seq_b")
-    edit = F.when(F.col("seq_a") == F.col("seq_b"), 0).otherwise(F.levenshtein("seq_a", "seq_b"))
+    edit = edit_distance(F.col("seq_a"), F.col("seq_b"))
+    parts = [F.substring(f"seq_{s}", 1, excerpt).alias(f"prefix_{s}") for s in "ab"] if excerpt else []
     return j.select(
         key, presence.alias("presence"), "seq_a", "seq_b", la.alias("length_a"), lb.alias("length_b"),
         (la - lb).alias("length_delta"), (la == lb).alias("same_length"), edit.alias("edit_distance"),
         (F.col("seq_a") == F.col("seq_b")).alias("exact_match"),
         "quality_a", "quality_b", (F.col("quality_a") - F.col("quality_b")).alias("quality_delta"),
-        F.substring("seq_a", 1, PREFIX).alias("prefix_a"), F.substring("seq_b", 1, PREFIX).alias("prefix_b"),
+        *parts,
     )
 
 
@@ -124,7 +138,7 @@ def alignment_ops(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b") -> DataF
     distance from the JVM bounds the band that Python has to fill.
     """
     same = F.col(a) == F.col(b)
-    cost = F.col("edit_distance") if "edit_distance" in pairs.columns else F.levenshtein(a, b)
+    cost = F.col("edit_distance") if "edit_distance" in pairs.columns else edit_distance(F.col(a), F.col(b))
     ops = pairs.withColumn("_o", _align(F.when(~same, F.col(a)), F.when(~same, F.col(b)), F.when(~same, cost)))
     n = F.length(a)
     full = F.struct(n.alias("matches"), F.lit(0).alias("mismatches"), F.lit(0).alias("insertions"), F.lit(0).alias("deletions"))

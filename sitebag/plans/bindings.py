@@ -76,6 +76,8 @@ VIEWS = {
         SELECT concat(CAST(conv_id AS STRING), ':', CAST(CAST(floor(turn/2) AS BIGINT) AS STRING)) AS read_id,
           translate(regexp_replace(lower(text), '[^a-z]', ''@G@), {LETTERS}) AS seq, length(text)/20e0 AS quality, turn
         FROM {{conversations}} WHERE role <> 'user'""",
+    # the same reads with one letter dropped from every ACG: the distance is the difference in length, all of the copy matches
+    "v_side_c": "SELECT read_id, replace(seq, 'ACG', 'AG') AS seq, quality/2e0 AS quality FROM {v_side_a}",
     "v_signal": """
         SELECT user_id AS read_id, event_id, ts, value, event_type AS tag FROM {events}""",
 }

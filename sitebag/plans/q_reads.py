@@ -284,7 +284,7 @@ def _(get, spark):
     "j4_compare_callsets",
     f"""WITH {SIDES} SELECT read_id, CASE WHEN a.seq IS NULL THEN 'b_only' WHEN b.seq IS NULL THEN 'a_only' ELSE 'shared' END AS presence, CAST(length(a.seq) AS INT) AS length_a, CAST(length(b.seq) AS INT) AS length_b,
       CAST(length(a.seq)-length(b.seq) AS INT) AS length_delta, length(a.seq)=length(b.seq) AS same_length, CAST(levenshtein(a.seq, b.seq) AS INT) AS edit_distance, a.seq = b.seq AS exact_match,
-      round(a.quality-b.quality, 6) AS quality_delta, substr(a.seq, 1, 120) AS prefix_a, substr(b.seq, 1, 120) AS prefix_b FROM a FULL JOIN b USING (read_id)""",
+      round(a.quality-b.quality, 6) AS quality_delta FROM a FULL JOIN b USING (read_id)""",
 )
 def _(get, spark):
     out = C.compare_callsets(*call_sets(get), quality="quality")
@@ -297,8 +297,13 @@ def _(get, spark):
 
 
 def aligned_pairs(get):
-    """Shared pairs with their alignment totals; written once, because a Python step should not run per branch."""
-    return staged(C.alignment_ops(C.compare_callsets(*call_sets(get), quality="quality").where("presence = 'shared'")), "pairs")
+    """Reads with a copy that lost letters, and their alignment totals; written once, as the Python step should not run per branch."""
+    pairs = C.compare_callsets(get("v_side_a"), get("v_side_c"), quality="quality").where("presence = 'shared'")
+    return staged(C.alignment_ops(pairs), "pairs")
+
+
+COPIES = """k AS (SELECT a.read_id, length(a.seq) AS la, length(c.seq) AS lc, length(c.seq) - length(replace(c.seq, 'A', '')) AS sites
+  FROM v_side_a a JOIN v_side_c c ON a.read_id = c.read_id)"""
 
 
 @query("j5_alignment_ops", f"WITH {SIDES} SELECT read_id, CAST(levenshtein(a.seq, b.seq) AS INT) AS cost, CAST(length(a.seq) AS INT) AS used_a, CAST(length(b.seq) AS INT) AS used_b FROM a JOIN b USING (read_id)")
@@ -308,17 +313,37 @@ def _(get, spark):
     return rows.select("read_id", (x + i + d).alias("cost"), (m + x + i).alias("used_a"), (m + x + d).alias("used_b"))
 
 
-@query("a19_event_totals")
+@query(
+    "j5_copy_ops",
+    f"""WITH {COPIES} SELECT read_id, lc AS matches, 0 AS mismatches, la - lc AS insertions, 0 AS deletions,
+      CASE WHEN la > 0 THEN lc/la::DOUBLE ELSE 0 END AS identity FROM k""",
+)
+def _(get, spark):
+    return aligned_pairs(get).select("read_id", *C.OPS, "identity")
+
+
+@query(
+    "a19_event_totals",
+    f"""WITH {COPIES}, t AS (SELECT CAST(sum(lc) AS BIGINT) AS matches, 0 AS mismatches, CAST(sum(la - lc) AS BIGINT) AS insertions, 0 AS deletions,
+        count(*) AS reads_a, count(*) AS reads_b FROM k)
+    SELECT *, 0.0::DOUBLE AS substitution_rate, insertions/greatest(matches, 1)::DOUBLE AS insertion_rate, 0.0::DOUBLE AS deletion_rate FROM t""",
+)
 def _(get, spark):
     return C.error_rates(C.event_totals(aligned_pairs(get)))
 
 
-@query("a24_projection_coverage")
+@query(
+    "a24_projection_coverage",
+    f"""WITH {COPIES} SELECT count(*) AS samples, round(avg(CASE WHEN lc > 0 THEN 1 ELSE 0 END),6) AS mean_target_coverage,
+      round(avg(CASE WHEN la > 0 THEN lc/la::DOUBLE ELSE 0 END),6) AS mean_predicted_coverage, round(avg(CASE WHEN sites > 0 THEN 1 END),6) AS mean_site_coverage,
+      count(CASE WHEN sites = 0 THEN 1 END) AS samples_without_projection FROM k""",
+)
 def _(get, spark):
     rows = aligned_pairs(get)
     count = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("A"), F.lit("")))
     rows = rows.withColumn("target_sites", count("seq_b")).withColumn("valid_sites", F.least(count("seq_a"), count("seq_b")))
-    return C.projection_summary(C.projection_coverage(rows))
+    out = C.projection_summary(C.projection_coverage(rows))
+    return rounded(out, "mean_target_coverage", "mean_predicted_coverage", "mean_site_coverage")
 
 
 SIMPLE = f"""{SIDES}, p AS (SELECT read_id, a.seq AS sa, b.seq AS sb, a.quality AS qa, b.quality AS qb, levenshtein(a.seq, b.seq) AS d,
