@@ -317,7 +317,11 @@ def pad_array(arr: Column, width: int, fill) -> Column:
 
 
 def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per key in ``order`` with the number of dropped duplicates; a hash aggregate, no sort of groups."""
+    """First row per key in ``order`` with the number of dropped duplicates.
+
+    One partial aggregate: each task keeps one row per key, so a hot key sends one row per task. The kept row is a struct,
+    which Spark aggregates by sorting the keys of a task (SortAggregate), not by hashing.
+    """
     rest = [c for c in df.columns if c not in key]
     best = F.min_by(F.struct(*rest), F.struct(*order))
     out = df.groupBy(*key).agg(best.alias("_r"), (F.count(F.lit(1)) - 1).alias("duplicates"))

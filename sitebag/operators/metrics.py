@@ -412,25 +412,24 @@ def confusion_matrix(df: DataFrame, true: str, pred: str) -> DataFrame:
 def multiclass_metrics(df: DataFrame, true: str, pred: str, conf: str, classes: Sequence[int]) -> DataFrame:
     """Support, predicted, precision, recall and F1 per class plus one ``class IS NULL`` row with the overall figures.
 
-    Macro F1 averages over all ``classes``, also those never seen.
+    Macro F1 averages over all ``classes``, also those never seen. Each cell of the confusion matrix counts once for its
+    true and once for its predicted class, so the work is linear in the cells.
     """
     cells = df.groupBy(F.col(true).alias("t"), F.col(pred).alias("q")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col(conf).cast("double")).alias("conf")
     )
-    spread = cells.withColumn("class", F.explode(F.array(*[F.lit(int(c)) for c in classes])))
-    is_t, is_q, rows = F.col("t") == F.col("class"), F.col("q") == F.col("class"), F.col("rows")
-
-    def when(c: Column) -> Column:
-        return F.sum(F.when(c, rows).otherwise(0))
-
-    per = spread.groupBy("class").agg(
-        when(is_t).alias("support"),
-        when(is_q).alias("predicted"),
-        when(is_t & is_q).alias("hits"),
-        F.sum("rows").alias("_all"),
-        when(F.col("t") == F.col("q")).alias("_right"),
-        F.sum("conf").alias("_conf"),
-    )
+    rows, right = F.col("rows"), F.when(F.col("t") == F.col("q"), F.col("rows")).otherwise(0)
+    zero = F.lit(0).cast("bigint")
+
+    def side(name: str, support: Column, predicted: Column, hits: Column) -> Column:
+        return F.struct(F.col(name).cast("int").alias("class"), support.alias("support"), predicted.alias("predicted"), hits.alias("hits"))
+
+    sides = cells.select(F.inline(F.array(side("t", rows, zero, right), side("q", zero, rows, zero))))
+    counts = sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "hits")])
+    axis = df.sparkSession.createDataFrame([(int(c),) for c in classes], "class int")
+    per = axis.join(counts, "class", "left").fillna(0, subset=["support", "predicted", "hits"])
+    totals = cells.agg(F.sum(rows).alias("_all"), F.sum(right).alias("_right"), F.sum("conf").alias("_conf"))
+    per = attach(per, totals, [])
     per = per.select(
         "class",
         "support",

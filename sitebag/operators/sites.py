@@ -28,9 +28,9 @@ def site_stats(
 
     Counts and sums are map-side combined, so a site holding a large share of all rows costs one partial row per
     task. ``exact_sum=u`` sums ``round(prob/u)`` as integers for probabilities stored on a grid of step ``u`` (e.g.
-    1/255), which makes the sum independent of row order. The median is computed only when selected: on a grid it
-    joins the same aggregate (at most 1/u + 1 distinct values per site); otherwise ``exact`` ranks value counts in
-    bounded buckets and ``approx`` uses the sketch.
+    1/255), which makes the sum independent of row order. The median is computed only when selected: on a grid the calls
+    are counted per (site, level) by a plain hash aggregate first, so the median sees at most 1/u + 1 counts of a site;
+    otherwise ``exact`` ranks value counts in bounded buckets and ``approx`` uses the sketch.
     """
     if score not in SCORES:
         raise ValueError(f"unknown score {score!r}")
@@ -38,16 +38,24 @@ def site_stats(
         median = "exact"
     p = F.col(prob)
     on_grid = median == "exact" and exact_sum
-    middle = []
     if on_grid:
-        middle = [(F.percentile(F.round(p / exact_sum).cast("bigint"), 0.5) * F.lit(float(exact_sum))).alias("median_called_prob")]
-    if exact_sum:
+        levels = calls.groupBy(*keys, F.round(p / exact_sum).cast("bigint").alias("_level")).agg(F.count(F.lit(1)).alias("_rows"))
+        level, rows = F.col("_level"), F.col("_rows")
+        called = F.when(level.isNotNull(), rows).otherwise(0)
+        out = levels.groupBy(*keys).agg(
+            F.sum(rows).alias("coverage"),
+            F.sum(called).alias("num_mod_calls"),
+            (F.sum(level * rows) * F.lit(float(exact_sum))).alias("_sum"),
+            (F.percentile(level, 0.5, rows) * F.lit(float(exact_sum))).alias("median_called_prob"),
+        )
+    elif exact_sum:
         called_sum = F.sum(F.round(p / exact_sum).cast("bigint")) * F.lit(float(exact_sum))
     else:
         called_sum = F.sum(p)
-    out = calls.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("coverage"), F.count(p).alias("num_mod_calls"), called_sum.alias("_sum"), *middle
-    )
+    if not on_grid:
+        out = calls.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("coverage"), F.count(p).alias("num_mod_calls"), called_sum.alias("_sum")
+        )
     out = out.select(
         *keys,
         "coverage",
