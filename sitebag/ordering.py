@@ -102,25 +102,37 @@ def seed_key(seed: int, *cols: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
+WHOLE_ROWS = 1_000_000
+
+
 def seeded_rank(
-    df: DataFrame, ident: str, by: Sequence[str] = (), seed: int = 42, rank: str = "rn", size: str | None = None
+    df: DataFrame,
+    ident: str,
+    by: Sequence[str] = (),
+    seed: int = 42,
+    rank: str = "rn",
+    size: str | None = None,
+    whole_rows: int = WHOLE_ROWS,
 ) -> DataFrame:
     """1-based random rank within ``by`` (ordered by :func:`seed_key`, then id) and optionally the group size.
 
-    md5 is uniform, so its leading hex digits split a group of any size evenly. As many digits are used as give at
-    least 16 parts for each shuffle partition, so a group that holds a third of all rows still occupies every task.
+    A group of at most ``whole_rows`` rows is ranked by one window. A larger one is cut by the leading hex digits of its
+    keys, which are uniform, into at least 16 parts for each shuffle partition, and the parts' counts give each its offset;
+    so a group that holds a third of all rows occupies every task, and only such groups pay for parts. The order is the
+    same either way.
     """
     digits = max(2, math.ceil(math.log(16 * _shuffle_partitions(df), 16)))
-    keyed = df.withColumn("_key", seed_key(seed, *by, ident)).withColumn("_slot", F.substring("_key", 1, digits))
-    group = Window.partitionBy(*by)
-    upto = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = keyed.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.select(
-        *by, "_slot", (F.sum("_c").over(upto) - F.col("_c")).alias("_offset"), F.sum("_c").over(group).alias("_size")
-    )
+    keyed = df.withColumn("_key", seed_key(seed, *by, ident))
+    sizes = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    keyed = attach(keyed, sizes, by)
+    is_large = F.col("_size") > whole_rows
+    keyed = keyed.withColumn("_slot", F.when(is_large, F.substring("_key", 1, digits)).otherwise(""))
+    upto = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = keyed.where(is_large).groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select(*by, "_slot", (F.sum("_c").over(upto) - F.col("_c")).alias("_offset"))
     inside = Window.partitionBy(*by, "_slot").orderBy("_key", ident)
-    out = attach(keyed, counts, [*by, "_slot"])
-    out = out.withColumn(rank, F.row_number().over(inside) + F.col("_offset"))
+    out = attach(keyed, offsets, [*by, "_slot"], "left")
+    out = out.withColumn(rank, F.row_number().over(inside) + F.coalesce("_offset", F.lit(0).cast("bigint")))
     if size:
         out = out.withColumn(size, F.col("_size"))
     return out.drop("_key", "_slot", "_offset", "_size")

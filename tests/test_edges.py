@@ -11,6 +11,7 @@ from sitebag.operators import profile as P
 from sitebag.operators import sampling as W
 from sitebag.operators import sites as S
 from sitebag.operators.pairs import compare_callsets, edit_distance
+from sitebag.ordering import seeded_rank
 from sitebag.session import shared_dir
 from sitebag.sources.tables import read_sites
 
@@ -133,3 +134,10 @@ def test_shared_folder_must_be_named_off_local():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_ranks_do_not_depend_on_parts(spark):
+    rows = spark.createDataFrame([(i, f"g{min(i % 7, 2)}" if i % 50 else None) for i in range(3000)], "id long, g string")
+    whole = sorted((r["id"], r["rn"], r["n"]) for r in seeded_rank(rows, "id", ["g"], size="n").collect())
+    cut = sorted((r["id"], r["rn"], r["n"]) for r in seeded_rank(rows, "id", ["g"], size="n", whole_rows=100).collect())
+    assert whole == cut
