@@ -11,11 +11,10 @@ No piece continues past a word start, so text is cut there and distinct words ar
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from .textbatch import chunks, text_bytes
 
 SPACE = "▁"  # the piece alphabet's sign for a space
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 1_000_000  # of each worker; encodings kept to save time, never for the result
-CACHE_PAIRS = 2_000_000
+CACHE_WORDS = 600_000  # of each worker; encodings kept to save time, never for the result
+CACHE_PAIRS = 400_000
 NONE = -1
 
 
@@ -107,16 +106,20 @@ class SentencePieces:
             self.raw[i] = bytes([value])
         self.raw[self.unknown] = " ⁇ ".encode()
         self._pairs: dict[tuple[int, int], bool] = {}
-        usable = self.ids
-        if kind == "bpe":
-            usable = {p: i for p, i in self.ids.items() if len(p) == 1 or self._merge(p) == [i]}
-        self.automaton = Automaton(usable)
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._cut = None if crossing else re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self._by_line = self._cut is not None and not any("\n" in p for p in self.ids)
         self._spaced = _Learned(lambda w: self._bytes(SPACE + w))
         self._bare = _Learned(self._bytes)
 
+    @cached_property
+    def automaton(self) -> Automaton:
+        """Over the pieces that an encoding can have; a decoder never builds it."""
+        usable = self.ids
+        if self.kind == "bpe":
+            usable = {p: i for p, i in self.ids.items() if len(p) == 1 or self._merge(p) == [i]}
+        return Automaton(usable)
+
     def _merge(self, text: str) -> list[int]:
         """The merges as they are defined: always the adjacent pair with the best score, the leftmost of equals."""
         parts = list(text)
@@ -265,7 +268,3 @@ def decode(encoded: DataFrame, model_path: str, kind: str = "bpe", key: str = "d
 
     rows = encoded.select(F.col(key).alias("key"), "ids", "n_ids")
     return rows.mapInArrow(run, "key long, ids binary, n_ids long, text string").withColumnRenamed("key", key)
-
-
-def ids_crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
