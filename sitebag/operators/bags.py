@@ -60,6 +60,29 @@ def ratio_calibration(
     return attach(stats, qs, ["ratio"])
 
 
+def bag_report(
+    calls: DataFrame,
+    samples: DataFrame,
+    bag: str = "bag_key",
+    ratio: str = "ratio",
+    read: str = "read_id",
+    prob: str = "prob",
+    expected: Sequence[float] | None = None,
+) -> DataFrame:
+    """Per-site calls to a report per mixture ratio (NULL ratio = all bags): sites -> read means -> bag means -> ratios.
+
+    ``samples`` gives each read its bag and true ratio. A read counts once in its bag however many sites it has. Beside the
+    errors of :func:`ratio_calibration` stand the step to the next lower ratio and whether all steps are monotonic.
+    """
+    from .metrics import monotonicity
+    from .sites import read_scores
+
+    reads = read_scores(calls, [read], prob).join(samples.select(read, bag, ratio), read)
+    table = ratio_calibration(bag_scores(reads, bag, "read_score", ratio))
+    steps = monotonicity(table.where("ratio IS NOT NULL"), "ratio", "mean_score", expected)
+    return attach(table, steps.drop("mean_score"), ["ratio"], "left")
+
+
 def proportion_loss(
     bags: DataFrame,
     kind: str = "bce",

@@ -167,6 +167,25 @@ def _(get, spark):
     return rounded(B.ratio_calibration(bag_table(get)), "mean_score", "mae", "rmse", "bias", "corr", "p10", "median", "p90")
 
 
+@query(
+    "a15_bag_report",
+    """WITH r AS (SELECT CAST(floor(read_id/10) AS BIGINT) AS read_id, avg(prob) AS s FROM v_calls WHERE prob IS NOT NULL GROUP BY 1),
+      b AS (SELECT concat_ws('/', contig, ratio_label) AS bag_key, avg(ratio) AS t, avg(s) AS s FROM r JOIN v_samples ON read_id = sample_id GROUP BY 1),
+      x AS (SELECT t AS ratio, * FROM b UNION ALL SELECT NULL, * FROM b),
+      k AS (SELECT ratio, count(*) AS bags, avg(s) AS m, round(avg(abs(s-t)),6) AS mae, round(sqrt(avg((s-t)*(s-t))),6) AS rmse, round(avg(s-t),6) AS bias FROM x GROUP BY 1),
+      l AS (SELECT ratio, lag(m) OVER (ORDER BY ratio) AS prev, m FROM k WHERE ratio IS NOT NULL)
+    SELECT k.ratio, bags, round(k.m,6) AS mean_score, mae, rmse, bias, round(prev,6) AS previous,
+      CASE WHEN k.ratio IS NOT NULL THEN prev IS NULL OR l.m + 1e-8 >= prev END AS step_ok,
+      CASE WHEN k.ratio IS NOT NULL THEN (SELECT bool_and(prev IS NULL OR m + 1e-8 >= prev) FROM l) END AS monotonic FROM k LEFT JOIN l ON k.ratio = l.ratio""",
+)
+def _(get, spark):
+    """Orders as reads, their line items as sites."""
+    calls = get("v_calls").withColumn("read_id", F.floor(F.col("read_id") / 10))
+    samples = get("v_samples").select(F.col("sample_id").alias("read_id"), F.concat_ws("/", "contig", "ratio_label").alias("bag_key"), "ratio")
+    out = B.bag_report(calls, samples).select("ratio", "bags", "mean_score", "mae", "rmse", "bias", "previous", "step_ok", "monotonic")
+    return rounded(out, "mean_score", "mae", "rmse", "bias", "previous")
+
+
 @query(
     "a16_proportion_loss",
     f"""WITH {BAGS_SQL}, x AS (SELECT bag_score AS p, target_fraction AS t, greatest(0, least(1, target_fraction-0.05)) AS lo,
