@@ -236,26 +236,44 @@ def replay(spark, frame_of, name, keys):
     return latest(spark.read.parquet(out), keys)
 
 
+def arriving(spark, rows, key):
+    """The rows as a stream that arrives in several micro-batches, one file each."""
+    path = stage_path(spark, "arriving")
+    rows.repartition(4, key).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def event_calls(get):
+    return get("events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("contig"), F.col("user_id").alias("pos"), F.when(F.col("value") > 1, F.col("value")).alias("prob")
+    )
+
+
 @query(
     "x1_stream_site_stats",
     """SELECT event_type AS contig, user_id AS pos, count(*) AS coverage, count(CASE WHEN value > 1 THEN value END) AS num_mod_calls,
       round(coalesce(sum(CASE WHEN value > 1 THEN value END), 0)/count(*), 6) AS mean_prob_zero_filled FROM events GROUP BY ALL""",
 )
 def _(get, spark):
-    rows = get("events").select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("contig"), F.col("user_id").alias("pos"), F.when(F.col("value") > 1, F.col("value")).alias("prob")
-    )
-    path = stage_path(spark, "calls")
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
+    stream = arriving(spark, event_calls(get), "event_id")
     stats = stream_site_stats(stream, ["contig", "pos"], ident="event_id", event_time="ts", watermark="365 days")
     return rounded(replay(spark, stats, "sites", ["contig", "pos"]), "mean_prob_zero_filled")
 
 
+@query(
+    "x1_stream_windows",
+    """SELECT event_type AS contig, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS coverage, count(CASE WHEN value > 1 THEN value END) AS num_mod_calls,
+      round(coalesce(sum(CASE WHEN value > 1 THEN value END), 0)/count(*), 6) AS mean_prob_zero_filled FROM events GROUP BY ALL""",
+)
+def _(get, spark):
+    stream = arriving(spark, event_calls(get), "event_id")
+    stats = stream_site_stats(stream, ["contig"], ident="event_id", event_time="ts", watermark="365 days", window="1 day")
+    out = replay(spark, stats, "windows", ["contig", "window"])
+    out = out.select("contig", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "coverage", "num_mod_calls", "mean_prob_zero_filled")
+    return rounded(out, "mean_prob_zero_filled")
+
+
 @query("x2_stream_counters", f"SELECT coalesce({REASON}, 'written') AS counter, count(*) AS rows FROM v_samples GROUP BY 1")
 def _(get, spark):
-    rows = tagged(get).select("sample_id", "reject_reason")
-    path = stage_path(spark, "rows")
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
+    stream = arriving(spark, tagged(get).select("sample_id", "reject_reason"), "sample_id")
     return replay(spark, stream_counters(stream), "counters", ["counter"])
