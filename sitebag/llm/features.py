@@ -39,7 +39,7 @@ def counted(docs: int, doc: np.ndarray, hashes: np.ndarray, bits: int) -> Rows:
     key = (doc.astype(np.int64) << bits) | (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
     key, count = np.unique(key, return_counts=True)
     first = np.searchsorted(key, np.arange(docs + 1, dtype=np.int64) << bits)
-    return Rows(first, key & ((1 << bits) - 1), count.astype(np.float32))
+    return Rows(first, (key & ((1 << bits) - 1)).astype(np.int32), count.astype(np.float32))
 
 
 def per_doc(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -180,7 +180,7 @@ def letter_words(texts: list[bytes]) -> Words:
 def stack(parts: list[Rows]) -> Rows:
     """Rows of several batches one below the other."""
     first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))]) if parts else np.zeros(1, dtype=np.int64)
-    empty = np.zeros(0, dtype=np.int64)
+    empty = np.zeros(0, dtype=np.int32)
     index = np.concatenate([p.index for p in parts]) if parts else empty
     value = np.concatenate([p.value for p in parts]) if parts else empty.astype(np.float32)
     return Rows(first.astype(np.int64), index, value)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .features import Rows
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
+BLOCK = 256  # rows scored at once
 FOLDS = 3
 
 
@@ -60,6 +61,14 @@ def select(x: Rows, rows: np.ndarray) -> Rows:
     return Rows(first, x.index[at], x.value[at])
 
 
+def blockwise(score: Callable[[Rows], np.ndarray], x: Rows) -> np.ndarray:
+    """Scores of many rows, a block at a time, so that temporaries stay small."""
+    n = len(x.first) - 1
+    if n <= BLOCK:
+        return score(x)
+    return np.concatenate([score(select(x, np.arange(b, min(b + BLOCK, n)))) for b in range(0, n, BLOCK)])
+
+
 class Logistic:
     """Logistic regression on sparse rows by Adagrad over shuffled batches; all arithmetic is seeded."""
 
@@ -68,6 +77,9 @@ class Logistic:
         self.l2, self.rate, self.epochs, self.batch = l2, rate, epochs, batch
 
     def raw(self, x: Rows) -> np.ndarray:
+        return blockwise(self._raw, x)
+
+    def _raw(self, x: Rows) -> np.ndarray:
         products = np.concatenate([[0.0], np.cumsum(self.w[x.index] * x.value)])
         return np.diff(products[x.first]) + self.b
 
@@ -84,7 +96,7 @@ class Logistic:
             for begin in range(0, n, self.batch):
                 rows = order[begin : begin + self.batch]
                 part = select(x, rows)
-                error = sigmoid(self.raw(part)) - y[rows]
+                error = sigmoid(self._raw(part)) - y[rows]
                 at, where = np.unique(part.index, return_inverse=True)
                 grad = np.bincount(where, error[part.row()] * part.value, minlength=len(at)) / len(rows) + self.l2 * self.w[at]
                 seen[at] += grad**2

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import Rows, counted, stack, statistics
-from .linear import FOLDS, TRAIN_ROWS, fit_once, folds, platt, select, sigmoid, training_sample
+from .linear import FOLDS, TRAIN_ROWS, blockwise, fit_once, folds, platt, select, sigmoid, training_sample
 from .quality_rules import _batched
 from .textbatch import Words, chunks, mix, words
 
@@ -41,7 +41,7 @@ def joined(rows: Rows, dense: np.ndarray) -> Rows:
     n, m = dense.shape
     length = np.diff(rows.first)
     first = np.concatenate([[0], np.cumsum(length + m)])
-    index = np.empty(first[-1], dtype=np.int64)
+    index = np.empty(first[-1], dtype=np.int32)
     value = np.empty(first[-1], dtype=np.float32)
     at = np.arange(len(rows.index)) + m * rows.row()
     index[at], value[at] = rows.index, rows.value
@@ -58,7 +58,7 @@ class FactorMachine:
         self.v = np.random.default_rng(seed).normal(0, 0.02, (size, factors))
 
     def raw(self, x: Rows) -> np.ndarray:
-        return self._parts(x)[0]
+        return blockwise(lambda part: self._parts(part)[0], x)
 
     def _parts(self, x: Rows) -> tuple[np.ndarray, np.ndarray]:
         def total(a: np.ndarray) -> np.ndarray:

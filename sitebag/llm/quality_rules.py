@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import Rows, character_ngrams, counted, counts, stack
-from .linear import FOLDS, TRAIN_ROWS, Logistic, fit_once, folds, platt, select, sigmoid, training_sample
+from .linear import FOLDS, Logistic, fit_once, folds, platt, select, sigmoid, training_sample
 from .textbatch import CHUNK, Words, chunks, mix, words
 
 BITS = 17
+TRAIN_ROWS = 4_000  # a text has some thousand n-grams, and the fit holds all rows of the sample
 MIN_WORDS = 10
 MAX_REPEAT = 20  # per cent of the words
 KEEP_AT = 0.5

@@ -44,11 +44,11 @@ def presence(texts: list[bytes]) -> tuple[Rows, np.ndarray]:
     return counted(w.docs, np.concatenate(docs), np.concatenate(hashes), BITS), w.counts()
 
 
-def _typical(x: Rows, y: np.ndarray) -> np.ndarray:
-    """Features that are in a larger share of toxic texts than of others, beyond chance."""
-    pos = np.bincount(x.index[y[x.row()] > 0], minlength=1 << BITS).astype(np.float64)
-    all_ = np.bincount(x.index, minlength=1 << BITS).astype(np.float64)
-    n, m = float(len(y)), float(y.sum())
+def _typical(pos: np.ndarray, all_: np.ndarray, m: float, n: float) -> np.ndarray:
+    """Features that are in a larger share of the ``m`` toxic texts than of the other ``n - m``, beyond chance.
+
+    ``pos`` and ``all_`` count the toxic texts and all texts that have each feature.
+    """
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
@@ -98,7 +98,7 @@ def with_chain(rows: Rows, often: np.ndarray, share: np.ndarray, earlier: np.nda
     dense[:, 2 : 2 + earlier.shape[1]] = earlier
     length = np.diff(rows.first)
     first = np.concatenate([[0], np.cumsum(length + width)])
-    index = np.empty(first[-1], dtype=np.int64)
+    index = np.empty(first[-1], dtype=np.int32)
     value = np.empty(first[-1], dtype=np.float32)
     head = (first[:-1, None] + np.arange(width)).ravel()
     index[head], value[head] = np.tile(np.arange(width), len(often)), dense.ravel()
@@ -116,12 +116,19 @@ def fit_toxicity(texts: list[bytes], y: np.ndarray) -> ToxicityModel:
         share = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
         model.links = [(np.zeros(size), float(np.log(share / (1 - share))))] * len(CATEGORIES)
         return model
-    pairs = [presence(part) for part in _batched(texts)]
-    x = stack([p[0] for p in pairs])
-    n_words = np.concatenate([p[1] for p in pairs])
-    typical = _typical(x, y)
+    batches = _batched(texts)
+    pos, all_ = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    begin = 0
+    for part in batches:  # two readings of the texts, so that only the features in use are ever held
+        x, _ = presence(part)
+        np.add.at(all_, x.index, 1)
+        np.add.at(pos, x.index, y[begin + x.row()])
+        begin += len(part)
+    typical = _typical(pos, all_, float(y.sum()), float(len(y)))
     model.column[typical] = np.arange(len(typical))
-    rows, often, share = model.features(x, n_words)
+    found = [model.features(*presence(part)) for part in batches]
+    rows = stack([f[0] for f in found])
+    often, share = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
     target = {"repeated": y * (often >= REPEATED), "dense": y * (share >= DENSE), "toxic": y}
     fold = folds(len(y))
     out_of_fold = np.zeros((len(y), len(CATEGORIES)))
