@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import running_sum
+from ..ordering import ordered_prefix
 
 
 def read_fasta_bins(spark: SparkSession, path: str, bin_size: int = 10000, pad: int = 64) -> DataFrame:
     """Rows (contig, bin, start, seq): bin b holds [b*bin_size - pad, (b+1)*bin_size + pad) of its contig.
 
-    A record is one text row. Its lines get offsets from a running sum and spread at once, so bins are assembled
-    from short lines by many tasks instead of by cutting a whole chromosome again for each bin.
+    The file is read by line, in splits. Prefix sums over the lines of a file (in bounded buckets) give each line the number
+    of its record and its offset, so a contig is never one row and no task sees more than its lines. Letters before the
+    first header belong to no record. The contig is the header up to white space.
     """
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    parts = F.split("value", r"\r?\n")
-    rows = records.select(
-        F.get(F.split(F.get(parts, 0), r"\s+"), 0).alias("contig"),
-        F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"\s", "")).alias("_lines"),
+    text = F.col("value")
+    is_head = text.startswith(">")
+    line = F.when(is_head, F.get(F.split(F.substring("value", 2, 1 << 20), r"\s+"), 0)).otherwise(F.regexp_replace(text, r"\s", ""))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+        line.alias("line"),
+        is_head.cast("bigint").alias("_head"),
+        F.when(is_head, 0).otherwise(F.length(line)).cast("bigint").alias("_letters"),
     )
-    ends = running_sum(F.transform("_lines", lambda x: F.length(x)))
-    lines = rows.select("contig", F.explode(F.arrays_zip(F.col("_lines").alias("line"), ends.alias("end"))).alias("_l"))
-    lines = lines.select("contig", F.col("_l.line").alias("line"), F.col("_l.end").alias("end")).where("line != ''")
-    lines = lines.withColumn("from", F.col("end") - F.length("line"))
+    placed = ordered_prefix(lines, [F.col("_block"), F.col("_line")], ["_head", "_letters"], ["_file"])
+    heads = placed.where("_head = 1").select(
+        "_file", (F.col("_head_before") + 1).alias("_record"), F.col("line").alias("contig"), F.col("_letters_before").alias("_first")
+    )
+    body = placed.where("_letters > 0").withColumn("_record", F.col("_head_before")).join(heads, ["_file", "_record"])
+    start = F.col("_letters_before") - F.col("_first")
+    lines = body.select("contig", "line", start.alias("from"), (start + F.col("_letters")).alias("end"))
     low = F.greatest(F.floor((F.col("from") - pad) / F.lit(float(bin_size))), F.lit(0))
     high = F.floor((F.col("end") - 1 + pad) / F.lit(float(bin_size)))
     spread = lines.withColumn("bin", F.explode(F.sequence(low, high)))
