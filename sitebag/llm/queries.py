@@ -40,8 +40,7 @@ UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: number and CRC-32 of its ids, SHA-256 of the decoded text."""
     path = tokenizer_file("piece_bpe_32k.model")
-    docs = read(spark, sf_dir, "documents")
-    back = sentencepieces.decode(sentencepieces.encode(docs, path, "bpe"), path, "bpe")
+    back = sentencepieces.encode(read(spark, sf_dir, "documents"), path, "bpe", decoded=True)
     return back.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -47,6 +47,7 @@ def test_encode_and_decode_tables(make, odd_texts, spark):
     rows = {r["doc_id"]: r for r in sentencepieces.decode(sentencepieces.encode(docs, PIECES), PIECES).collect()}
     assert [rows[i]["text"] for i in range(len(odd_texts))] == [t or "" for t in odd_texts]
     assert rows[0]["n_ids"] == 0
+    assert {r["doc_id"]: r["text"] for r in sentencepieces.encode(docs, PIECES, decoded=True).collect()} == {i: r["text"] for i, r in rows.items()}
     assert sentencepieces.encode(spark.createDataFrame([], SCHEMA), PIECES).count() == 0
 
 
