@@ -187,7 +187,8 @@ def _(get, spark):
 def _(get, spark):
     path = stage_path(spark, "tree")
     rows = get("v_scored").select("id", "y", "score", F.col("motif").alias("leave"), F.col("run_id").alias("heldout"))
-    rows.repartition("leave", "heldout").write.partitionBy("leave", "heldout").option("sep", "\t").option("header", True).csv(path)
+    salt = F.pmod(F.xxhash64("id"), F.lit(8))  # a large run is written by several tasks
+    rows.repartition("leave", "heldout", salt).write.partitionBy("leave", "heldout").option("sep", "\t").option("header", True).csv(path)
     tree = read_result_tree(
         spark, f"{path}/*/*/*.csv", "leave=([^/]+)/heldout=([^/]+)/", ["fold", "heldout_run"], ["y", "score"], schema="id bigint, y int, score double", strip_prefixes={"heldout_run": ["run_", "r"]}
     )
