@@ -2,9 +2,11 @@
 
 1. One pass names every document's shingle set (equal sets collapse) and adds up a fixed-size table of how many sets
    have a shingle of each hash bucket.
-2. Two sets with Jaccard >= t share a shingle among the first ``n - ceil(t n) + 1`` of each in any common order, and
-   the smaller one has it among its first ``n - ceil(2t/(1+t) n) + 1``. With the rare buckets first, these columns of
-   the incidence matrix are few and thin. Sets that share such a column with compatible sizes form candidate blocks.
+2. Two sets with Jaccard >= t share at least ``SHARED`` shingles among the first ``n - ceil(t n) + SHARED`` of each in
+   any common order, and the smaller one has them among its first ``n - ceil(2t/(1+t) n) + SHARED``. With the rare
+   buckets first, these columns of the incidence matrix are few and thin. Rows that meet in thin columns are counted,
+   and a count below the bound discards the pair; rows of a wide column hang on its first row. What remains connected
+   forms candidate blocks.
 3. Inside a block the rows' full sparse product gives overlap counts; pairs outside the size bounds are not looked at,
    pairs already connected need no count. Large blocks are cut into pairs of row blocks.
 
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .spark_help import filter_bits, in_bits, partitions, slot_column, staged, take
-from .textbatch import WORDS_PER_SHINGLE, chunks, set_id, shingle_sets, words
+from .textbatch import WORDS_PER_SHINGLE, chunks, mix, set_id, shingle_sets, words
 
 THRESHOLD = 75  # per cent
 SKETCH_BITS = 22  # 4 MB of counters; a larger corpus keeps its order sharp with a few bits more
 SLICE = 4096
 HOT = 1 << 14
+SHARED = 6
+THIN = 48  # a column of at most so many rows of compatible sizes counts pairs, a wider one only connects
 BLOCK_ROWS = 2048
 BLOCK_SHINGLES = 2_000_000
 
@@ -112,7 +116,8 @@ def _rank_table(profile: DataFrame, bits: int) -> np.ndarray:
 def _columns(ranks, size: int, percent: int):
     """Map: documents -> the incidence entries (hash, set_id, n) of the columns that can witness a link.
 
-    n is negative where only the larger partner's bound holds. ``hot`` marks columns of very common buckets.
+    n is negative where only the larger partner's bound holds. Columns of very common buckets are ``hot``: their entries
+    get a ``salt`` so that they spread over all tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +138,8 @@ def _columns(ranks, size: int, percent: int):
                         continue
                     seen.add(name)
                     rank = table[(s & mask).astype(np.int64)]
-                    keep = n - _ceil(percent * n, 100) + 1
-                    own = n - _ceil(2 * percent * n, 100 + percent) + 1
+                    keep = min(n, n - _ceil(percent * n, 100) + SHARED)
+                    own = n - _ceil(2 * percent * n, 100 + percent) + SHARED
                     first = np.argsort(rank, kind="stable")[:keep]
                     signed = np.full(len(first), n, dtype=np.int32)
                     signed[own:] = -n
@@ -143,39 +148,78 @@ def _columns(ranks, size: int, percent: int):
                     seen.clear()
                 if found:
                     arrays = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["hash", "set_id", "n", "hot"])
+                    salt = pa.array(np.where(arrays[3], arrays[1], 0))
+                    yield pa.RecordBatch.from_arrays([*arrays, salt], ["hash", "set_id", "n", "hot", "salt"])
 
     return run
 
 
-def _chain_columns(percent: int):
-    """Map over entries sorted by (hash, |n|): edges from the first usable row of each size-compatible run to the rest."""
+def _meet_in_columns(percent: int):
+    """Map over entries sorted by (hash, |n|, set_id): pairs ``a < b`` of sets, how often they met, and the bound for it.
+
+    Only ``THIN`` rows of the column that is still open are held from one batch to the next. A hot column is a node of
+    its own for each band of compatible sizes; the contraction of components splits such hubs, no task holds the column.
+    """
+
+    def hot_edges(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, s, n = (batch.column(c).to_numpy() for c in ("hash", "set_id", "n"))
+        band = np.floor(np.log(np.abs(n)) / np.log(100 / percent)).astype(np.uint64)
+        nodes = [mix(mix(h.view(np.uint64)) + band + np.uint64(i)).view(np.int64) for i in (0, 1)]
+        a, b = np.concatenate([s, s]), np.concatenate(nodes)
+        low, high = pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))
+        return pa.RecordBatch.from_arrays([low, high, pa.array(np.zeros(len(a), dtype=np.int64)), pa.array(np.ones(len(a), dtype=np.int64))], ["a", "b", "need", "met"])
+
+    def settle(h: np.ndarray, s: np.ndarray, signed: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = np.abs(signed).astype(np.int64)
+        flagged = signed > 0
+        width = np.bincount(group)[group]
+        found = []
+        widest = int(width[width <= THIN].max(initial=0))
+        for lag in range(1, widest):
+            i = np.arange(len(h) - lag)
+            meet = (group[:-lag] == group[lag:]) & flagged[:-lag] & (width[lag:] <= THIN)
+            i = i[meet]
+            i = i[(100 * n[i] >= percent * n[i + lag]) & (s[i] != s[i + lag])]
+            need = np.minimum(SHARED, -(-percent * (n[i] + n[i + lag]) // (100 + percent)))
+            found.append(np.stack([np.minimum(s[i], s[i + lag]), np.maximum(s[i], s[i + lag]), need], axis=1))
+        first = np.full(group[-1] + 1, len(h))
+        np.minimum.at(first, group[flagged], np.flatnonzero(flagged))
+        at = np.flatnonzero((width > THIN) & (np.arange(len(h)) > first[group]))
+        lead = s[first[group[at]]]
+        at, lead = at[lead != s[at]], lead[lead != s[at]]
+        found.append(np.stack([np.minimum(lead, s[at]), np.maximum(lead, s[at]), np.zeros(len(at), dtype=np.int64)], axis=1))
+        pairs, met = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, i]) for i in range(3)), pa.array(met)], ["a", "b", "need", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_hash, last_n, leader = None, 0, None
+        held = None
         for batch in batches:
+            hot = batch.column("hot").to_numpy(zero_copy_only=False)
+            if hot.any():
+                yield hot_edges(take(batch, hot))
+                batch = take(batch, ~hot)
             if not batch.num_rows:
                 continue
-            h, s, signed = (batch.column(c).to_numpy() for c in ("hash", "set_id", "n"))
-            n = np.abs(signed)
+            new = [batch.column(c).to_numpy() for c in ("hash", "set_id", "n")]
+            h, s, signed = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            n = np.abs(signed).astype(np.int64)
             cut = np.ones(len(h), dtype=bool)
-            cut[1:] = (h[1:] != h[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
-            cut[0] = not (last_hash == h[0] and 100 * last_n >= percent * int(n[0]))
-            group = np.cumsum(cut)  # 0 = goes on from the batch before
-            flagged = np.flatnonzero(signed > 0)
-            first = np.full(group[-1] + 1, len(h))
-            np.minimum.at(first, group[flagged], flagged)
-            lead = s[np.minimum(first, len(h) - 1)]
-            if leader is not None:
-                lead[0], first[0] = leader, -1
-            member = np.arange(len(h)) > first[group]
-            a, b = lead[group[member]], s[member]
-            last_hash, last_n = h[-1], int(n[-1])
-            leader = lead[group[-1]] if first[group[-1]] < len(h) else None
-            differ = a != b
-            if differ.any():
-                pairs = np.unique(np.stack([a[differ], b[differ]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            cut[1:] = (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])
+            group = np.cumsum(cut) - 1
+            open_at = int(np.flatnonzero(cut)[-1])
+            wide = len(h) - open_at > THIN
+            done = len(h) if wide else open_at
+            if done:
+                yield from settle(h[:done], s[:done], signed[:done], group[:done])
+            keep = np.arange(open_at, len(h))
+            if wide:  # its first usable row and its last rows stand for it; meeting again does no harm
+                leads = keep[signed[keep] > 0][:1]
+                keep = np.union1d(leads, keep[-THIN:])
+            held = [h[keep], s[keep], signed[keep]]
+        if held is not None:
+            n = np.abs(held[2]).astype(np.int64)
+            yield from settle(*held, np.zeros(len(n), dtype=np.int64))
 
     return run
 
@@ -268,22 +312,15 @@ def jaccard_components(
     )
     members = profile.where("slice is null").select("doc_id", "n", "set_id")
     ranks = spark.sparkContext.broadcast(_rank_table(profile, sketch_bits))
-    entries = staged(docs.mapInArrow(_columns(ranks, size, percent), "hash long, set_id long, n int, hot boolean"), "columns")
-    chained = (
-        entries.where("not hot")
-        .select("hash", "set_id", "n")
-        .repartition(parts, "hash")
-        .sortWithinPartitions("hash", F.abs("n"))
-        .mapInArrow(_chain_columns(percent), "a long, b long")
-    )
-    # A hot column is a node of its own, per size band: the contraction splits hubs, no task holds the column.
-    band = F.floor(F.log(F.abs("n")) / F.log(F.lit(100 / percent)))
-    hot = (
-        entries.where("hot")
-        .select(F.col("set_id").alias("a"), "hash", F.explode(F.array(band, band + 1)).alias("band"))
-        .select("a", F.xxhash64("hash", "band").alias("b"))
+    entries = docs.mapInArrow(_columns(ranks, size, percent), "hash long, set_id long, n int, hot boolean, salt long")
+    met = (
+        entries.repartition(parts, "hash", "salt")
+        .drop("salt")
+        .sortWithinPartitions("hash", F.abs("n"), "set_id")
+        .mapInArrow(_meet_in_columns(percent), "a long, b long, need long, met long")
     )
-    blocks = staged(components(chained.unionByName(hot)), "blocks")
+    met = met.groupBy("a", "b", "need").agg(F.sum("met").alias("met")).where("met >= need").select("a", "b")
+    blocks = staged(components(met), "blocks")
     reps = members.groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"))
     rows = staged(reps.join(blocks.withColumnRenamed("node", "set_id"), "set_id"), "rows")
     cuts = rows.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("entries"))
