@@ -145,3 +145,17 @@ def test_passages(make, odd_texts, spark):
     assert sorted(r["doc_id"] for r in without_passages(whole, repeated_passages(whole)).collect()) == [0, 2]
     assert repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
     assert repeated_passages(make([shared, shared], [4, 4])).count() == 0
+
+
+def test_passages_of_one_chain_are_all_reported(make):
+    """Unequal words between repeats split a passage; runs that fail the share of equal words are split, not dropped."""
+    halves = [prose(80, 200), prose(81, 200)]
+    seven = [prose(90 + i, 200) for i in range(7)]
+    texts = [f"{halves[0]} {prose(82, 80)} {halves[1]}", f"{halves[0]} {prose(83, 80)} {halves[1]}"]
+    texts += [" ".join(f"{part} {prose(1000 * k + i, 60)}" for i, part in enumerate(seven)) for k in (1, 2)]
+    covered = {1: set(), 3: set()}
+    for r in repeated_passages(make(texts)).collect():
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+        assert r["equal_words"] >= 0.8 * (r["end_word"] - r["start_word"])
+    assert {*range(200), *range(280, 480)} <= covered[1]
+    assert {i for k in range(7) for i in range(260 * k, 260 * k + 200)} <= covered[3]
