@@ -159,3 +159,39 @@ def test_passages_of_one_chain_are_all_reported(make):
         assert r["equal_words"] >= 0.8 * (r["end_word"] - r["start_word"])
     assert {*range(200), *range(280, 480)} <= covered[1]
     assert {i for k in range(7) for i in range(260 * k, 260 * k + 200)} <= covered[3]
+
+
+def test_every_copy_of_a_passage_is_reported(make):
+    """Copies after the first, and passages after a stray phrase of theirs in either document; edited copies too."""
+    shared, phrase = prose(100, 70), " ".join(prose(100, 70).split(" ")[20:45])
+    texts = [f"{prose(101, 90)} {shared}", f"{shared} {prose(102, 60)} {edited(shared, 30)} {prose(103, 60)} {shared}"]
+    other = prose(110, 120)
+    stray = " ".join(f"{' '.join(other.split(' ')[i : i + 30])} {prose(111 + i, 20)}" for i in (0, 30, 60, 90))
+    texts += [f"{stray} {other}", f"{prose(120, 30)} {other}", f"{phrase} {prose(121, 30)} {phrase} {prose(122, 40)} {shared}"]
+    covered = {i: set() for i in range(5)}
+    for r in repeated_passages(make(texts)).collect():
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert {*range(70), *range(130, 198), *range(260, 330)} <= covered[1]
+    assert set(range(30, 150)) <= covered[3]
+    assert set(range(120, 190)) <= covered[4]
+
+
+def test_places_meet_across_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    from sitebag.llm.passages import _meet_blocks
+
+    rng = random.Random(7)
+    rows = sorted({(rng.randrange(4), rng.randrange(6), rng.randrange(9)) for _ in range(120)})
+    want = set()
+    for h, d, p in rows:
+        docs = sorted({x[1] for x in rows if x[0] == h and x[1] < d})
+        want |= {(d, e, p, q) for e in {*docs[:1], *docs[-1:]} for g, f, q in rows if (g, f) == (h, e)}
+    for size in (1, 3, 10, 200):
+        batches = [
+            pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*rows[i : i + size], strict=True)], ["hash", "doc_id", "pos"])
+            for i in range(0, len(rows), size)
+        ]
+        found = [tuple(r.values()) for b in _meet_blocks(iter(batches)) for r in b.to_pylist()]
+        assert set(found) == want
