@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-__all__ = ["filter_bits", "in_bits", "partitions", "read", "slot_column", "staged", "take"]
+__all__ = ["filter_bits", "in_bits", "partitions", "read", "slot_bits", "slot_column", "staged", "take"]
 
 FILTER_BITS = 24
 
@@ -35,9 +35,13 @@ def filter_bits(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarra
     A map over a large table drops rows whose slot is empty before it touches their text; a join after it removes
     the rest exactly. Only the bitmap, whose size is fixed, comes to the driver.
     """
+    return slot_bits(keys.select(slot_column(key, bits).alias("slot")), bits)
+
+
+def slot_bits(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The bitmap of a column ``slot`` of places from 1 to 2**``bits``."""
     rows = (
-        keys.select(slot_column(key, bits).alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+        slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map"))
         .collect()
     )

@@ -195,3 +195,21 @@ def test_places_meet_across_batches():
         ]
         found = [tuple(r.values()) for b in _meet_blocks(iter(batches)) for r in b.to_pylist()]
         assert set(found) == want
+
+
+def test_a_passage_whose_parts_have_other_first_holders_is_reported(make):
+    """Documents with parts of a passage stand first and just before each that holds all of it."""
+    for seed in (200, 210, 220):
+        passage = prose(seed, 70)
+        w = passage.split(" ")
+        texts = []
+        for i, own in enumerate([w[:40], w[30:], w, w[:40], w[30:], w]):
+            texts.append(f"{prose(seed + 300 + i, 40)} {' '.join(own)} {prose(seed + 400 + i, 40)}")
+        rows = repeated_passages(make(texts)).collect()
+        own = [r for r in rows if r["doc_id"] == 5]
+        assert set(range(40, 110)) <= {i for r in own for i in range(r["start_word"], r["end_word"])}
+        for r in rows:
+            a, b = texts[r["doc_id"]].split(" "), texts[r["other_id"]].split(" ")
+            assert r["other_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 50
+            if r["equal_words"] == r["end_word"] - r["start_word"]:
+                assert a[r["start_word"] : r["end_word"]] == b[r["other_start"] : r["other_end"]]
