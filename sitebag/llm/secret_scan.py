@@ -1,6 +1,7 @@
 """Secret scans: pattern matches, and a battery of randomness tests with length-aware false-discovery control.
 
-A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit. Its smallest alphabet is
+A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]``; those without a letter or without a digit, mostly
+words, are in groups of their own, so that they do not move the thresholds of the others. Its smallest alphabet is
 inferred; chi-squared uniformity over that alphabet, a runs test about the middle of the alphabet and the serial
 correlation give one distance from randomness. How often natural text of the same length, read in the same alphabet, comes
 as close is counted on letter windows of the whole corpus; per alphabet and length class the Benjamini-Hochberg rule turns
@@ -24,8 +25,10 @@ KINDS = ("assign", "access", "hex")
 ADDED = "random"
 MIN_LENGTH = 16
 CLASSES = (16, 20, 24, 32, 40, 64)  # lower ends of the length classes, and the lengths of the natural windows
-#: Alphabet groups: size, and the place of ``a`` in it. Alphabets that natural letters do not fit share the first.
-GROUPS = ((26, 0), (36, 10), (62, 36), (66, 36))
+#: Alphabet groups: size, and the place of ``a`` in it. Alphabets that natural letters do not fit share the first. From
+#: ``PLAIN`` on: tokens without a letter or without a digit, of one case or digits, of both cases, with other characters.
+GROUPS = ((26, 0), (36, 10), (62, 36), (66, 36), (26, 0), (52, 26), (66, 36))
+PLAIN = 4
 STEPS = 240  # of the distance, on a logarithmic scale
 FALSE_DISCOVERIES = 0.01
 
@@ -59,7 +62,7 @@ _TOKEN = _lookup(_DIGITS + _LOWER + _UPPER + "+/_=-")
 _IS_HEX, _IS_DIGIT, _IS_LETTER = _lookup("0123456789abcdef"), _lookup(_DIGITS), _lookup(_LOWER + _UPPER)
 #: Encodings by size: the first that holds all characters is inferred. Places in the order given.
 ALPHABETS = (
-    _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER,
+    _DIGITS, _LOWER, _UPPER, _UPPER + _LOWER, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER,
     _DIGITS + _UPPER + _LOWER, _DIGITS + _UPPER + _LOWER + "+/_=-",
 )
 
@@ -119,12 +122,11 @@ def _runs(member: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> Candidates:
-    """Runs of token characters with a letter and a digit, and their distance from randomness."""
+    """Runs of token characters, and their distance from randomness."""
     start, end = _runs(_TOKEN[data], MIN_LENGTH)
     digits = np.concatenate([[0], np.cumsum(_IS_DIGIT[data])])
     letters = np.concatenate([[0], np.cumsum(_IS_LETTER[data])])
     both = (digits[end] > digits[start]) & (letters[end] > letters[start])
-    start, end = start[both], end[both]
     n = (end - start).astype(np.float64)
     row = np.repeat(np.arange(len(n)), end - start)
     at = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(end - start)[:-1]]), end - start) + start[row] if len(n) else row
@@ -138,7 +140,9 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Candidates:
         mine = fits[row]
         codes[mine] = place[chars[mine]]
     doc = np.searchsorted(offsets, start, side="right") - 1
-    group = np.select([size == g[0] for g in GROUPS[1:]], range(1, len(GROUPS)), 0)
+    mixed = np.select([size == g[0] for g in GROUPS[1:PLAIN]], range(1, PLAIN), 0)
+    plain = np.select([size == g[0] for g in GROUPS[PLAIN + 1 :]], range(PLAIN + 1, len(GROUPS)), PLAIN)
+    group = np.where(both, mixed, plain)
     return Candidates(doc, start - offsets[doc], end - offsets[doc], group, _class(n), _step(_distance(codes, row, n, size)))
 
 

@@ -259,3 +259,21 @@ def test_digest_queries(make, odd_texts, tmp_path):
             assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
             assert [r[f"n_{k}"] for k in kinds] == [sum(b[1] == i for b in base) for i in range(len(kinds))]
             assert set(text.split(",")) <= set(r["spans"].split(",")) or not base
+
+
+def test_random_tokens_without_digits(make):
+    """Keys of letters of both cases are found, long words and rules are not, and keys with digits stay as they were."""
+    rng = random.Random(16)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    kinds = [(letters, 44)] * 20 + [(letters[26:], 120)] * 4 + [(letters + "0123456789", 44)] * 20
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in kinds]
+    texts = [f"{prose(i, 400)} {keys[i]} {prose(i + 99, 50)}" for i in range(44)]
+    words = ["internationalization", "-" * 40, "state-of-the-art-and-then-some", "counterrevolutionaries"]
+    texts += [f"{prose(i, 300)} {words[i % 4]} {prose(i + 7, 30)}" for i in range(600, 620)]
+    docs = make(texts)
+    rows = {r["doc_id"]: r for r in secret_scan.find_secrets(docs, secret_scan.thresholds(docs)).collect()}
+    found = [any(texts[i][s["start"] : s["end"]] == keys[i] for s in rows[i]["spans"]) for i in range(44)]
+    assert sum(found[:20]) >= 16 and sum(found[24:]) >= 16
+    own = secret_scan.candidates(*secret_scan._laid_out([t.encode() for t in texts[:44]]))
+    assert own.doc.tolist() == list(range(44))  # single-case keys reach the battery, which has little power over them
+    assert not any(rows[i]["spans"] for i in range(44, 64))
