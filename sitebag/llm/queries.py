@@ -16,6 +16,7 @@ from .jaccard import jaccard_components
 from .neighbours import dealt_descending
 from .packing import pack_documents
 from .passages import repeated_passages
+from .simhash import simhash_components
 from .spark_help import read
 from .tokenizer_files import tokenizer_file
 
@@ -177,3 +178,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counting rules and the n-gram model's verdict on every document."""
     docs = read(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.train_rules(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op13_simhash")
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document and the smallest doc_id that links of at most three bits reach."""
+    return simhash_components(read(spark, sf_dir, "documents"))

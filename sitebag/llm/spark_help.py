@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-__all__ = ["filter_bits", "in_bits", "partitions", "read", "slot_bits", "slot_column", "staged", "take"]
+__all__ = ["dealt_join", "filter_bits", "in_bits", "partitions", "read", "slot_bits", "slot_column", "staged", "take"]
 
 FILTER_BITS = 24
+HOT_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,3 +61,20 @@ def in_bits(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 def take(batch: pa.RecordBatch, keep: Sequence[bool] | np.ndarray) -> pa.RecordBatch:
     return batch.filter(pa.array(keep, type=pa.bool_()))
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, place: str, n: str = "n", hot_rows: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a ``key`` and in ``n`` how many ``rows`` share it.
+
+    A key with more than its share of all rows is dealt over several tasks by ``place`` (a number that differs between rows
+    of one key) and its row of ``table`` is copied as often. At most ``8 * parts`` keys can be that hot, a list
+    of proven size, which is why it alone is broadcast. ``n`` and ``place`` are not returned.
+    """
+    parts = partitions(rows.sparkSession)
+    total = table.agg(F.sum(n)).first()[0] or 0
+    share = max(hot_rows or HOT_ROWS, -(-total // (8 * parts)))
+    cuts = F.ceil(F.col(n) / F.lit(share)).cast("int")
+    hot = F.broadcast(table.where(F.col(n) > share).select(key, cuts.alias("_cuts")))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.col(place), F.coalesce("_cuts", F.lit(1))).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(cuts, F.lit(1)) - 1))).drop(n)
+    return dealt.drop("_cuts", place).join(copies, [key, "_salt"]).drop("_salt")
