@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_fm, quality_rules, secret_scan, sentencepieces, toxicity
+from . import merkle, pii, quality_fm, quality_rules, secret_scan, sentencepieces, toxicity
 from .fingerprints import bounded_runs, digests, entropy_ranks, likeness, to_string
 from .jaccard import jaccard_components
 from .neighbours import dealt_descending
@@ -184,3 +184,59 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and the smallest doc_id that links of at most three bits reach."""
     return simhash_components(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_merkle_manifest",
+    r"""
+    WITH RECURSIVE step AS (
+      SELECT n, n AS c, 0 AS k FROM (SELECT unnest(generate_series(CAST(0 AS BIGINT), 255)) AS n)
+      UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8),
+    crc AS (SELECT n, c FROM step WHERE k = 8),
+    digit AS (
+      SELECT doc_id, 4294967295 AS c, CAST(doc_id AS VARCHAR) AS s FROM documents
+      UNION ALL SELECT d.doc_id, xor(d.c // 256, crc.c), substr(d.s, 2) FROM digit d JOIN crc ON crc.n = xor(d.c % 256, ascii(d.s)) WHERE d.s <> ''),
+    even AS (SELECT DISTINCT doc_id FROM digit WHERE s = '' AND c % 2 = 1),
+    field AS (
+      SELECT doc_id, source, concat(
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+        coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+        text, CASE WHEN doc_id IN (SELECT doc_id FROM even) THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+    leaf AS (
+      SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS probe FROM field),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+      FROM leaf),
+    up AS (
+      SELECT coalesce('s' || source, 'n') AS tree, 0 AS h, i, n, leaf AS d FROM placed
+      UNION ALL SELECT tree, h + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(d, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY tree, h, i // 3),
+    sub AS (SELECT tree, d, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+    upper_ AS (
+      SELECT 0 AS h, i, n, d FROM sub
+      UNION ALL SELECT h + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(d, '' ORDER BY i)) FROM upper_ WHERE n > 1 GROUP BY h, i // 3),
+    node AS (SELECT tree, h, i, n, d FROM up WHERE n > 1 UNION ALL SELECT NULL, h, i, n, d FROM upper_ WHERE n > 1),
+    sibling AS (
+      SELECT tree, h, i, n,
+        coalesce(string_agg(d, '') OVER (PARTITION BY tree, h, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        coalesce(string_agg(d, '') OVER (PARTITION BY tree, h, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+      FROM node),
+    low AS (
+      SELECT doc_id, leaf, coalesce('s' || source, 'n') AS tree, 0 AS h, i, n, probe AS d, '' AS proof FROM placed
+      UNION ALL SELECT w.doc_id, w.leaf, w.tree, w.h + 1, w.i // 3, (w.n + 2) // 3, sha256(s.l || w.d || s.r), w.proof || s.l || s.r
+      FROM low w JOIN sibling s ON s.tree = w.tree AND s.h = w.h AND s.i = w.i WHERE w.n > 1),
+    high AS (
+      SELECT w.doc_id, w.leaf, s.d AS subroot, 0 AS h, s.i, s.n, w.d, w.proof FROM low w JOIN sub s ON s.tree = w.tree WHERE w.n = 1
+      UNION ALL SELECT w.doc_id, w.leaf, w.subroot, w.h + 1, w.i // 3, (w.n + 2) // 3, sha256(s.l || w.d || s.r), w.proof || s.l || s.r
+      FROM high w JOIN sibling s ON s.tree IS NULL AND s.h = w.h AND s.i = w.i WHERE w.n > 1)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, d AS folded_root, d = root AS verified
+    FROM high, (SELECT d AS root FROM upper_ WHERE n = 1) WHERE n = 1""",
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, folded with a text whose line feeds are gone where the CRC-32 of doc_id is even."""
+    return merkle.proofs(merkle.build_manifest(read(spark, sf_dir, "documents"), changed=_without_breaks()))
+
+
+def _without_breaks():
+    is_even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return F.when(is_even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
