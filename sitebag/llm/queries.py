@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, pii, quality_fm, quality_rules, secret_scan, sentencepieces, toxicity
+from . import filter_audit, merkle, pii, quality_fm, quality_rules, secret_scan, sentencepieces, toxicity
 from .fingerprints import bounded_runs, digests, entropy_ranks, likeness, to_string
 from .jaccard import jaccard_components
 from .neighbours import dealt_descending
@@ -240,3 +240,42 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _without_breaks():
     is_even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     return F.when(is_even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH w AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    f AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(ws) < 50 AS a, 100 * list_unique(ws) < 65 * len(ws) AS b,
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+        coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false) AS e
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+    m AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (
+      SELECT x1.x || x2.x || x3.x || x4.x || x5.x AS o FROM x x1, x x2, x x3, x x4, x x5
+      WHERE len(list_distinct([x1.x, x2.x, x3.x, x4.x, x5.x])) = 5),
+    s AS (SELECT o, step, substr(o, step, 1) AS own FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    r AS (
+      SELECT part, o, step, own, n, good, toxic, (a::INT + b::INT + c::INT + d::INT + e::INT) AS fails,
+        CASE own WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS mine,
+        least(CASE WHEN a THEN strpos(o, 'A') ELSE 9 END, CASE WHEN b THEN strpos(o, 'B') ELSE 9 END, CASE WHEN c THEN strpos(o, 'C') ELSE 9 END,
+          CASE WHEN d THEN strpos(o, 'D') ELSE 9 END, CASE WHEN e THEN strpos(o, 'E') ELSE 9 END) AS gone
+      FROM m, s),
+    g AS (
+      SELECT part, o AS filter_order, CAST(step AS INT) AS step, own, CAST(sum(CASE WHEN gone > step THEN n ELSE 0 END) AS BIGINT) AS kept,
+        CAST(sum(CASE WHEN gone = step THEN n ELSE 0 END) AS BIGINT) AS removed,
+        CAST(sum(CASE WHEN mine AND gone < step THEN n ELSE 0 END) AS BIGINT) AS redundant,
+        CAST(sum(CASE WHEN mine AND fails = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+        CAST(sum(CASE WHEN gone = step THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+        CAST(sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM r GROUP BY ALL)
+    SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g""",
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters under all orders, per source: kept, removed, redundant, lost and Shapley counts."""
+    return filter_audit.audit_filters(spark, f"{sf_dir}/documents.parquet", read(spark, sf_dir, "labels"))
