@@ -250,6 +250,11 @@ def audit_filters(spark: SparkSession, path: str, labels: DataFrame, batches: in
     no rows.
     """
     table = spark.read.parquet(path)
-    per_batch = max(1, -(-len(table.inputFiles()) // batches))
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
-    return order_report(run_counters(stream, staged(label_kinds(labels), "kinds")))
+    files = table.inputFiles()
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // batches)))
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if len(files) == 1 and files[0].endswith(f"/{name}"):  # the table is one file: streams read folders
+        rows = stream.option("pathGlobFilter", name).parquet(folder)
+    else:
+        rows = stream.parquet(path)
+    return order_report(run_counters(rows, staged(label_kinds(labels), "kinds")))

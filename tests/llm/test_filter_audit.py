@@ -136,3 +136,13 @@ def test_empty_table_and_other_columns(spark, tmp_path):
     clash = spark.createDataFrame([(1, "x", None, None, 1)], SCHEMA).selectExpr("*", "1 as part", "2 as mask", "3 as kind", "4 as key", "5 as least")
     clash.write.parquet(f"{tmp_path}/c.parquet")
     assert got_report(audit.audit_filters(spark, f"{tmp_path}/c.parquet", none)) == plain_report([(1, "x", None)], {})
+
+
+def test_table_of_one_file(spark, tmp_path):
+    rows, labels = corpus()
+    written(spark, str(tmp_path), rows, 1)
+    one = next(tmp_path.glob("documents.parquet/part-*.parquet"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/documents.parquet").write_bytes(one.read_bytes())
+    spark.createDataFrame([(k, *v) for k, v in labels.items()], LABELS).write.parquet(f"{tmp_path}/one/labels.parquet")
+    assert got_report(op12_filter_audit(spark, f"{tmp_path}/one")) == plain_report(rows, labels)
