@@ -4,35 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import let
 from ..ordering import attach, quantiles
+from . import wavefront
 from .metrics import ratio
 
-def edit_distance(a: Column, b: Column) -> Column:
+
+@F.pandas_udf(T.IntegerType())
+def _far_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in batches:
+        found = [None if a is None or b is None else wavefront.distance(a, b) for a, b in zip(left, right, strict=True)]
+        yield pd.Series(found, dtype="Int32")
+
+
+NEAR, TABLE = 512, 1 << 22
+
+
+def edit_distance(a: Column, b: Column, long_reads: bool = False) -> Column:
     """Exact Levenshtein distance; pairs that are close pay for a narrow band only.
 
     With a limit the distance is computed inside a band of that width and is -1 beyond it, so growing limits end at the
-    first that holds it, and only pairs further apart than the last run without one.
+    first that holds it, and only pairs further apart than the last run without one. With ``long_reads`` pairs further apart
+    than 512 whose table has over ``TABLE`` cells are extended along diagonals in Arrow batches instead: letters plus distance
+    squared, not letters squared.
     """
-    out = F.levenshtein(a, b)
-    for limit in (4096, 512, 64):
+    same = a == b
+    large = F.length(a).cast("long") * F.length(b) > TABLE
+    out = F.when(large, -1).otherwise(F.levenshtein(a, b)) if long_reads else F.levenshtein(a, b)
+    for limit in (NEAR, 64) if long_reads else (4096, NEAR, 64):
         near = F.levenshtein(a, b, limit)
         out = F.when(near >= 0, near).otherwise(out)
-    return F.when(a == b, 0).otherwise(out)
+    out = F.when(same, 0).otherwise(out)
+    if long_reads:
+        far = out < 0
+        out = F.when(far, _far_distance(F.when(far, a), F.when(far, b))).otherwise(out)
+    return out
 
 
 def compare_callsets(
-    a: DataFrame, b: DataFrame, key: str = "read_id", seq: str = "seq", quality: str | None = None, excerpt: int | None = None
+    a: DataFrame,
+    b: DataFrame,
+    key: str = "read_id",
+    seq: str = "seq",
+    quality: str | None = None,
+    excerpt: int | None = None,
+    long_reads: bool = False,
 ) -> DataFrame:
     """Full outer comparison: presence, lengths, edit distance, exact match, quality delta.
 
     The edit distance covers whole sequences and is NULL where a side is missing. ``excerpt`` adds the first so many
-    letters of both sides for a report.
+    letters of both sides for a report. ``long_reads`` is for sequences of 10,000 letters and more (:func:`edit_distance`).
     """
     def side(df: DataFrame, tag: str) -> DataFrame:
         cols = [F.col(key), F.col(seq).alias(f"seq_{tag}")]
@@ -43,7 +69,7 @@ def compare_callsets(
     has_a, has_b = F.coalesce("in_a", F.lit(False)), F.coalesce("in_b", F.lit(False))
     presence = F.when(has_a & has_b, F.lit("shared")).when(has_a, F.lit("a_only")).otherwise(F.lit("b_only"))
     la, lb = F.length("seq_a"), F.length("seq_b")
-    edit = edit_distance(F.col("seq_a"), F.col("seq_b"))
+    edit = edit_distance(F.col("seq_a"), F.col("seq_b"), long_reads)
     parts = [F.substring(f"seq_{s}", 1, excerpt).alias(f"prefix_{s}") for s in "ab"] if excerpt else []
     return j.select(
         key, presence.alias("presence"), "seq_a", "seq_b", la.alias("length_a"), lb.alias("length_b"),
@@ -61,93 +87,87 @@ def presence_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _band(a: np.ndarray, b: np.ndarray, half: int) -> tuple[int, int, int, int] | None:
-    """(matches, mismatches, insertions, deletions) of an optimal alignment inside a diagonal band, or None.
-
-    Row-wise dynamic programming over (cost, -matches) packed into one integer; the band result is optimal once
-    its cost is at most ``half`` minus the length difference.
-    """
-    n, m = len(a), len(b)
-    shift = half + max(n - m, 0)
-    width = 2 * half + abs(n - m) + 1
-    big = np.int64(1) << 60
-    unit = np.int64(n + m + 1)
-    cols = np.arange(width)
-    j = cols - shift
-    row = np.where((j >= 0) & (j <= m), j * unit, big)
-    for i in range(1, n + 1):
-        j = i + cols - shift
-        ok = (j >= 0) & (j <= m)
-        same = np.zeros(width, dtype=bool)
-        inner = (j >= 1) & (j <= m)
-        same[inner] = b[j[inner] - 1] == a[i - 1]
-        diag = row + np.where(same, -1, unit)
-        diag[j < 1] = big
-        up = np.append(row[1:], big) + unit
-        best = np.where(ok, np.minimum(diag, up), big)
-        # left steps cost one unit each: a running minimum of (value - unit * column)
-        best = np.minimum.accumulate(best - cols * unit) + cols * unit
-        row = np.where(ok, best, big)
-    end = int(row[m - n + shift])
-    if end >= big // 2:
-        return None
-    cost = -(-end // int(unit))
-    matches = cost * int(unit) - end
-    if cost > half and width < 2 * max(n, m) + 1:
-        return None
-    # n = matches + mismatches + insertions, m = matches + mismatches + deletions, cost = the sum of the three errors
-    mismatches = n + m - 2 * matches - cost
-    return matches, mismatches, n - matches - mismatches, m - matches - mismatches
-
-
-def align_totals(a: str, b: str, distance: int | None = None) -> tuple[int, int, int, int]:
-    """Operation totals of a unit-cost global alignment with the most matches.
-
-    A band as wide as the edit distance is exact; without a known distance the band doubles until it is. The
-    shorter sequence gives the rows.
-    """
-    if len(a) > len(b):
-        m, x, i, d = align_totals(b, a, distance)
-        return m, x, d, i
-    x, y = np.frombuffer(a.encode(), dtype=np.uint8), np.frombuffer(b.encode(), dtype=np.uint8)
-    half = 16 if distance is None else max(int(distance), 1)
-    while True:
-        found = _band(x, y, half)
-        if found is not None:
-            return found
-        half *= 2
-
-
 OPS = ("matches", "mismatches", "insertions", "deletions")
+RUN = T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("a", "b", "length")]])
+TOTALS = T.StructType([T.StructField(name, T.IntegerType()) for name in OPS])
 
 
-@F.pandas_udf(T.StructType([T.StructField(name, T.IntegerType()) for name in OPS]))
+@F.pandas_udf(TOTALS)
 def _align(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for left, right, cost in batches:
         rows = [
-            (None,) * 4 if a is None or b is None else align_totals(a, b, c)
+            (None,) * 4 if a is None or b is None else wavefront.totals(a, b, None if pd.isna(c) else int(c))
             for a, b, c in zip(left, right, cost, strict=True)
         ]
         yield pd.DataFrame(rows, columns=list(OPS), dtype="Int32")
 
 
-def alignment_ops(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b") -> DataFrame:
+@F.pandas_udf(T.ArrayType(RUN))
+def _align_runs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    names = RUN.fieldNames()
+    for left, right in batches:
+        yield pd.Series(
+            [
+                None if a is None or b is None else [dict(zip(names, run, strict=True)) for run in wavefront.path(a, b)]
+                for a, b in zip(left, right, strict=True)
+            ]
+        )
+
+
+def alignment_ops(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", runs: bool = False) -> DataFrame:
     """Match / mismatch / insertion / deletion totals, identity and the coverage of both sides for shared pairs.
 
-    Opt-in: the only Python step, Arrow-batched and after every filter. Equal sequences skip it, and the edit
-    distance from the JVM bounds the band that Python has to fill.
+    Of all alignments of least unit cost the one with most matches. A side's coverage is the share of its letters that
+    stand on an equal letter of the other. ``runs`` adds the path as ``array<struct<op, a, b, length>>`` in order (``=``, ``X``,
+    ``I`` for letters of ``a`` alone, ``D`` for letters of ``b`` alone). A pair with a NULL side has NULL totals.
+
+    Opt-in: the only Python step, Arrow-batched and after every filter; equal sequences skip it, and a column
+    ``edit_distance`` spares it the search for the distance.
     """
     same = F.col(a) == F.col(b)
-    cost = F.col("edit_distance") if "edit_distance" in pairs.columns else edit_distance(F.col(a), F.col(b))
-    ops = pairs.withColumn("_o", _align(F.when(~same, F.col(a)), F.when(~same, F.col(b)), F.when(~same, cost)))
-    n = F.length(a)
-    full = F.struct(n.alias("matches"), F.lit(0).alias("mismatches"), F.lit(0).alias("insertions"), F.lit(0).alias("deletions"))
-    ops = ops.withColumn("_o", F.when(same, full).otherwise(F.col("_o")))
+    left, right, n = F.when(~same, F.col(a)), F.when(~same, F.col(b)), F.length(a)
+    if runs:
+        whole = F.array(F.struct(F.lit("=").alias("op"), F.lit(0).alias("a"), F.lit(0).alias("b"), n.alias("length")))
+        path = F.when(same, F.filter(whole, lambda r: r["length"] > 0)).otherwise(_align_runs(left, right))
+        ops = pairs.withColumn("_r", path)
+        count = lambda op: F.aggregate("_r", F.lit(0), lambda acc, r: acc + F.when(r["op"] == op, r["length"]).otherwise(0))
+        ops = ops.withColumn("_o", F.when(F.col("_r").isNotNull(), F.struct(*[count(op).alias(c) for op, c in zip("=XID", OPS, strict=True)])))
+    else:
+        full = F.struct(n.alias("matches"), *[F.lit(0).alias(c) for c in OPS[1:]])
+        cost = F.col("edit_distance") if "edit_distance" in pairs.columns else F.lit(None)
+        ops = pairs.withColumn("_o", F.when(same, full).otherwise(_align(left, right, F.when(~same, cost).cast("int"))))
     eq, x, i, d = (F.col(f"_o.{k}") for k in OPS)
     return ops.select(
         *pairs.columns, eq.alias("matches"), x.alias("mismatches"), i.alias("insertions"), d.alias("deletions"),
-        ratio(eq, eq + x + i + d).alias("identity"), ratio(eq + x, F.length(a)).alias("coverage_a"), ratio(eq + x, F.length(b)).alias("coverage_b"),
-    ).drop("_o")
+        ratio(eq, eq + x + i + d).alias("identity"), ratio(eq, F.length(a)).alias("coverage_a"), ratio(eq, F.length(b)).alias("coverage_b"),
+        *([F.col("_r").alias("runs")] if runs else []),
+    )
+
+
+def target_to_query(runs: Column) -> Column:
+    """array<int>: for each letter of side ``b`` the place in ``a`` of the equal letter it is aligned with, or -1."""
+    return F.flatten(
+        F.transform(
+            runs,
+            lambda r: F.when(r["op"] == "=", F.sequence(r["a"], r["a"] + r["length"] - 1))
+            .when(r["op"] != "I", F.array_repeat(F.lit(-1), r["length"]))
+            .otherwise(F.array().cast("array<int>")),
+        )
+    )
+
+
+def lift_sites(sites: Column, runs: Column) -> Column:
+    """Places in ``a`` of the given places of ``b`` (0-based), in order; NULL where no equal letter is aligned or ``b`` has ended."""
+    def lifted(places: Column) -> Column:
+        at = lambda p: F.when(p >= 0, F.get(places, p.cast("int")))
+        return F.transform(sites, lambda p: F.when(at(p) >= 0, at(p)))
+
+    return let(target_to_query(runs), lifted)
+
+
+def count_projected(sites: Column, runs: Column) -> Column:
+    """How many of the places of ``b`` are aligned with an equal letter of ``a``."""
+    return F.size(F.filter(lift_sites(sites, runs), lambda p: p.isNotNull()))
 
 
 def event_totals(pairs: DataFrame) -> DataFrame:
@@ -191,19 +211,19 @@ def callset_summary(pairs: DataFrame, identity: str = "identity") -> DataFrame:
 
 
 def projection_coverage(pairs: DataFrame, sites: str = "target_sites", projected: str = "valid_sites") -> DataFrame:
-    """Per sample how much of target and prediction the alignment covers, and the share of target sites projected."""
-    used = F.col("matches") + F.col("mismatches")
+    """Per sample the share of target (``b``) and prediction (``a``) on equal letters, and the share of target sites projected."""
+    used = F.col("matches")
     return pairs.withColumn("target_coverage", ratio(used, F.length("seq_b"))).withColumn(
         "predicted_coverage", ratio(used, F.length("seq_a"))
     ).withColumn("site_coverage", ratio(F.col(projected), F.col(sites), None))
 
 
 def projection_summary(rows: DataFrame) -> DataFrame:
+    """Means over the samples; samples without sites stay out of the site mean, and every mean of nothing is 0.0."""
+    means = ("target_coverage", "predicted_coverage", "site_coverage")
     return rows.agg(
         F.count(F.lit(1)).alias("samples"),
-        F.avg("target_coverage").alias("mean_target_coverage"),
-        F.avg("predicted_coverage").alias("mean_predicted_coverage"),
-        F.avg("site_coverage").alias("mean_site_coverage"),
+        *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in means],
         F.count_if(F.coalesce(F.col("site_coverage"), F.lit(0.0)) == 0.0).alias("samples_without_projection"),
     )
 

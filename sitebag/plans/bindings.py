@@ -78,6 +78,11 @@ VIEWS = {
         FROM {{conversations}} WHERE role <> 'user'""",
     # the same reads with one letter dropped from every ACG: the distance is the difference in length, all of the copy matches
     "v_side_c": "SELECT read_id, replace(seq, 'ACG', 'AG') AS seq, quality/2e0 AS quality FROM {v_side_a}",
+    # the same reads called otherwise: every ACG has an N in place of its C; every second read (by length) also lost the T of GTA,
+    # the others gained two N in every TTT. N equals nothing, so the best alignment's totals are the numbers of these changes
+    "v_side_d": """
+        SELECT read_id, CASE WHEN length(seq) % 2 = 0 THEN replace(replace(seq, 'ACG', 'ANG'), 'GTA', 'GA')
+          ELSE replace(replace(seq, 'ACG', 'ANG'), 'TTT', 'TNNTT') END AS seq, quality/2e0 AS quality FROM {v_side_a}""",
     "v_signal": """
         SELECT user_id AS read_id, event_id, ts, value, event_type AS tag FROM {events}""",
 }

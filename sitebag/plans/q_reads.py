@@ -322,30 +322,79 @@ def _(get, spark):
     return aligned_pairs(get).select("read_id", *C.OPS, "identity")
 
 
+def changed_pairs(get):
+    """The changed calls (a) against the reads (b), with the path; written once, as the Python step should not run per branch."""
+    pairs = C.compare_callsets(get("v_side_d"), get("v_side_a"), quality="quality").where("presence = 'shared'")
+    return staged(C.alignment_ops(pairs, runs=True), "changed")
+
+
+CHANGED = """k AS (SELECT d.read_id, length(d.seq) AS la, length(a.seq) AS lb, CAST((length(a.seq) - length(replace(a.seq, 'ACG', '')))/3 AS BIGINT) AS x,
+    length(translate(a.seq, 'AG', '')) AS sites, length(translate(d.seq, 'AGN', '')) AS valid FROM v_side_d d JOIN v_side_a a ON a.read_id = d.read_id),
+  c AS (SELECT *, least(la, lb) - x AS eq, greatest(la - lb, 0) AS ins, greatest(lb - la, 0) AS del FROM k)"""
+
+
+@query(
+    "j5_changed_ops",
+    f"""WITH {CHANGED} SELECT read_id, CAST(eq AS INT) AS matches, CAST(x AS INT) AS mismatches, CAST(ins AS INT) AS insertions, CAST(del AS INT) AS deletions,
+      CASE WHEN eq + x + ins + del > 0 THEN eq/(eq + x + ins + del)::DOUBLE ELSE 0 END AS identity, CASE WHEN la > 0 THEN eq/la::DOUBLE ELSE 0 END AS coverage_a,
+      CASE WHEN lb > 0 THEN eq/lb::DOUBLE ELSE 0 END AS coverage_b FROM c""",
+)
+def _(get, spark):
+    """Substitutions in every pair, insertions in some and deletions in the others."""
+    return changed_pairs(get).select("read_id", *C.OPS, "identity", "coverage_a", "coverage_b")
+
+
+@query(
+    "j5_path_runs",
+    f"""WITH {CHANGED} SELECT read_id, CAST(eq AS BIGINT) AS equal_letters, CAST(x AS BIGINT) AS replaced, CAST(la AS BIGINT) AS end_a, CAST(lb AS BIGINT) AS end_b, true AS equal_runs_match FROM c""",
+)
+def _(get, spark):
+    """The path itself: its runs follow each other, end where both reads end, and equal runs hold equal letters."""
+    def length(ops: str):
+        return F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + F.when(r["op"].isin(*ops), r["length"]).otherwise(0))
+
+    letters = lambda seq, r, side: F.substring(F.col(seq), r[side] + 1, r["length"])
+    match = F.forall("runs", lambda r: (r["op"] != "=") | (letters("seq_a", r, "a") == letters("seq_b", r, "b")))
+    return changed_pairs(get).select(
+        "read_id", length("=").alias("equal_letters"), length("X").alias("replaced"), length("=XI").alias("end_a"), length("=XD").alias("end_b"),
+        match.alias("equal_runs_match"),
+    )
+
+
 @query(
     "a19_event_totals",
-    f"""WITH {COPIES}, t AS (SELECT CAST(sum(lc) AS BIGINT) AS matches, 0 AS mismatches, CAST(sum(la - lc) AS BIGINT) AS insertions, 0 AS deletions,
-        count(*) AS reads_a, count(*) AS reads_b FROM k)
-    SELECT *, 0.0::DOUBLE AS substitution_rate, insertions/greatest(matches, 1)::DOUBLE AS insertion_rate, 0.0::DOUBLE AS deletion_rate FROM t""",
+    f"""WITH {CHANGED}, t AS (SELECT CAST(sum(eq) AS BIGINT) AS matches, CAST(sum(x) AS BIGINT) AS mismatches, CAST(sum(ins) AS BIGINT) AS insertions,
+        CAST(sum(del) AS BIGINT) AS deletions, count(*) AS reads_a, count(*) AS reads_b FROM c)
+    SELECT *, mismatches/greatest(matches, 1)::DOUBLE AS substitution_rate, insertions/greatest(matches, 1)::DOUBLE AS insertion_rate,
+      deletions/greatest(matches, 1)::DOUBLE AS deletion_rate FROM t""",
 )
 def _(get, spark):
-    return C.error_rates(C.event_totals(aligned_pairs(get)))
+    return C.error_rates(C.event_totals(changed_pairs(get)))
 
 
 @query(
     "a24_projection_coverage",
-    f"""WITH {COPIES} SELECT count(*) AS samples, round(avg(CASE WHEN lc > 0 THEN 1 ELSE 0 END),6) AS mean_target_coverage,
-      round(avg(CASE WHEN la > 0 THEN lc/la::DOUBLE ELSE 0 END),6) AS mean_predicted_coverage, round(avg(CASE WHEN sites > 0 THEN 1 END),6) AS mean_site_coverage,
-      count(CASE WHEN sites = 0 THEN 1 END) AS samples_without_projection FROM k""",
+    f"""WITH {CHANGED} SELECT count(*) AS samples, round(avg(CASE WHEN lb > 0 THEN eq/lb::DOUBLE ELSE 0 END),6) AS mean_target_coverage,
+      round(avg(CASE WHEN la > 0 THEN eq/la::DOUBLE ELSE 0 END),6) AS mean_predicted_coverage,
+      round(coalesce(avg(CASE WHEN sites > 0 THEN valid/sites::DOUBLE END), 0),6) AS mean_site_coverage,
+      count(CASE WHEN sites = 0 OR valid = 0 THEN 1 END) AS samples_without_projection FROM c""",
 )
 def _(get, spark):
-    rows = aligned_pairs(get)
-    count = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("A"), F.lit("")))
-    rows = rows.withColumn("target_sites", count("seq_b")).withColumn("valid_sites", F.least(count("seq_a"), count("seq_b")))
+    """Sites are the C and T of the target read; one counts where the path puts an equal letter of the prediction on it."""
+    sites = F.filter(F.transform(Q.bases(F.col("seq_b")), lambda b, i: F.when(b.isin("C", "T"), i)), lambda p: p.isNotNull())
+    rows = changed_pairs(get).withColumn("sites", sites)
+    rows = rows.select("*", F.size("sites").alias("target_sites"), C.count_projected(F.col("sites"), F.col("runs")).alias("valid_sites"))
     out = C.projection_summary(C.projection_coverage(rows))
     return rounded(out, "mean_target_coverage", "mean_predicted_coverage", "mean_site_coverage")
 
 
+@query("j4_far_distance", f"WITH {SIDES} SELECT read_id, CAST(levenshtein(a.seq, b.seq) AS INT) AS edit_distance FROM a JOIN b USING (read_id)")
+def _(get, spark):
+    """Distances in the form for long reads."""
+    pairs = C.compare_callsets(*call_sets(get), long_reads=True)
+    return pairs.where("presence = 'shared'").select("read_id", "edit_distance")
+
+
 SIMPLE = f"""{SIDES}, p AS (SELECT read_id, a.seq AS sa, b.seq AS sb, a.quality AS qa, b.quality AS qb, levenshtein(a.seq, b.seq) AS d,
   1 - levenshtein(a.seq, b.seq)/greatest(length(a.seq), length(b.seq))::DOUBLE AS identity FROM a JOIN b USING (read_id))"""
 

@@ -414,6 +414,34 @@ def test_projection_rules(spark):
     df = spark.createDataFrame([(4, 0, "ACGT", "ACGT", 2, 1), (0, 0, "A", "C", 0, 0)], "matches int, mismatches int, seq_a string, seq_b string, target_sites int, valid_sites int")
     r = C.projection_summary(C.projection_coverage(df)).first()
     assert (r["mean_target_coverage"], r["mean_site_coverage"], r["samples_without_projection"]) == (0.5, 0.5, 1)
+    none = C.projection_summary(C.projection_coverage(df.where("target_sites = 0"))).first()
+    assert (none["mean_site_coverage"], none["samples_without_projection"]) == (0.0, 1)
+    assert C.projection_summary(C.projection_coverage(df.where("matches > 9"))).first()["mean_target_coverage"] == 0.0
+
+
+def test_path_runs_lift_sites(spark):
+    rows = [(1, "ACGT", "ACGT"), (2, "ANGTTT", "ACGTT"), (3, "ACT", "ACGGT"), (4, "", "AC"), (5, None, "A"), (6, "AC", None), (7, "", "")]
+    pairs = spark.createDataFrame(rows, "read_id int, seq_a string, seq_b string")
+    out = C.alignment_ops(pairs, runs=True).withColumn("at", C.lift_sites(F.expr("array(0, 1, 3, 9, -1)"), F.col("runs")))
+    out = {r["read_id"]: r for r in out.collect()}
+    assert {k: [tuple(x) for x in out[k]["runs"]] for k in (1, 3, 4, 7)} == {1: [("=", 0, 0, 4)], 3: [("=", 0, 0, 2), ("D", 2, 2, 2), ("=", 2, 4, 1)], 4: [("D", 0, 0, 2)], 7: []}
+    assert out[1]["at"] == [0, 1, 3, None, None] and out[3]["at"] == [0, 1, None, None, None]
+    assert (out[2]["matches"], out[2]["mismatches"], out[2]["insertions"], out[2]["deletions"]) == (4, 1, 1, 0)
+    assert out[2]["coverage_a"] == pytest.approx(4 / 6) and out[2]["coverage_b"] == pytest.approx(4 / 5)
+    assert out[4]["deletions"] == 2 and out[4]["coverage_a"] == 0.0 and out[7]["matches"] == 0
+    assert all(out[k][c] is None for k in (5, 6) for c in ("matches", "runs"))
+    plain = {r["read_id"]: r for r in C.alignment_ops(pairs).collect()}
+    assert all(plain[k][c] == out[k][c] for k in out for c in (*C.OPS, "identity", "coverage_a", "coverage_b"))
+
+
+def test_distance_of_long_reads(spark):
+    rng = random.Random(5)
+    a = "".join(rng.choice("ACGT") for _ in range(3000))
+    rows = [(1, a, a), (2, a, a[:100] + a[150:]), (3, a, a[::-1]), (4, a, None), (5, "", a), (6, None, None)]
+    left = spark.createDataFrame([r[:2] for r in rows], "read_id int, seq string")
+    right = spark.createDataFrame([(r[0], r[2]) for r in rows], "read_id int, seq string")
+    got = [{r["read_id"]: r["edit_distance"] for r in C.compare_callsets(left, right, long_reads=x).collect()} for x in (False, True)]
+    assert got[0] == got[1] and got[1][3] > 512 and got[1][5] == 3000 and got[1][4] is None
 
 
 def test_manifest_join_rejects_unknown_ids(spark):
