@@ -3,27 +3,25 @@
 Documents come as a stream of files, read in available-now micro-batches. Four filters look at a document alone, the fifth
 (a copy of a smaller doc_id's text) at the whole table. Keyed state holds, for each text, the smallest doc_id seen and what
 the rows with that id count for. When a smaller id arrives, the rows that counted as first are taken back from the counters of
-their part and return as copies. The state is one small row a distinct text; after the last micro-batch the sums
-of all changes are the counts of the whole table, in whichever order the files came.
+their part and return as copies. After the last micro-batch the sums of all changes are the counts of the whole table,
+in whichever order the files came.
 
-Copies are combined inside each task before they are dealt by text, so a text that a third of all rows share arrives as one
-row for each task and part. The counters have at most 32 masks a part; every order and step is read off them.
+The state is a table of one small row a distinct text (and part and label kind), joined with each micro-batch by text and written again;
+micro-batches are few and large. Copies are combined before they are dealt by text, so a text that a third of all rows
+share arrives as one row for each part and kind. The counters have at most 32 masks a part; every order and step is read
+off them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import stage_path
 from .spark_help import staged
@@ -34,12 +32,6 @@ MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT, SYMBOLS = 50, 65, 5, b"#$%&*|"
 COPY = 1 << FILTERS.index("E")
 BATCHES = 4
 _UPPER, _CONTINUED = bytes(range(0x41, 0x5B)), bytes(range(0x80, 0xC0))
-_HELD = 100_000
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
-}
 
 
 def own_mask(text: bytes) -> int:
@@ -70,119 +62,73 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-COMBINED = "key binary, part string, mask int, kind int, least long, at_least long, rows long, free long"
+def combined(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row for each text, part, mask and label kind of a micro-batch.
 
+    ``least`` is the smallest doc_id, ``at_least`` how many rows have it, ``rows`` how many have any id and ``free`` how many none. Rows of
+    one doc_id are counted first, so a text that a third of all rows share is combined inside each task before it is dealt.
+    """
+    rows = rows.join(labels, "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit(0)))
+    rows = rows.groupBy("doc_id", "key", "part", "mask", "kind").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("doc_id").isNotNull()
+    first = F.min(F.when(known, F.struct("doc_id", "n"))).alias("_first")
+    counts = [F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for c, k in ((known, "rows"), (~known, "free"))]
+    out = rows.groupBy("key", "part", "mask", "kind").agg(first, *counts)
+    return out.select("key", "part", "mask", "kind", F.col("_first.doc_id").alias("least"), F.coalesce("_first.n", F.lit(0)).alias("at_least"), "rows", "free")
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text, part and label kind of a task: its smallest id, rows with it, rows with any id, rows without."""
-    held: dict[tuple, list] = {}
 
-    def out() -> pa.RecordBatch:
-        columns = [*zip(*held, strict=True)], [*zip(*held.values(), strict=True)]
-        types = [pa.binary(), pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
-        names = ["key", "part", "mask", "kind", "least", "at_least", "rows", "free"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns[0], *columns[1]), types, strict=True)], names)
+STATE = "key binary, part string, mask int, kind int, least long, at_least long"
 
-    for batch in batches:
-        for key, part, mask, kind, doc in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "mask", "kind", "doc_id")), strict=True):
-            known = held.setdefault((key, part, mask, kind), [None, 0, 0, 0])
-            if doc is None:
-                known[3] += 1
-                continue
-            known[2] += 1
-            if known[0] is None or doc < known[0]:
-                known[0], known[1] = doc, 1
-            elif doc == known[0]:
-                known[1] += 1
-        if len(held) > _HELD:
-            yield out()
-            held = {}
-    if held:
-        yield out()
-
-
-def merge(state: tuple[int, list] | None, rows: list[tuple]) -> tuple[tuple[int, list] | None, Counter]:
-    """New state of a text and the changes of the counters (part, mask, kind).
-
-    ``state`` is the smallest id and, for each part and kind, how many rows have it. ``rows`` are those of :data:`COMBINED`
-    without their key. A row without id is nobody's copy.
-    """
-    changes: Counter = Counter()
-    least = min([r[3] for r in rows if r[3] is not None] + ([state[0]] if state else []), default=None)
-    holders: Counter = Counter()
-    if state:
-        for part, mask, kind, n in state[1]:
-            if state[0] > least:
-                changes[part, mask, kind] -= n
-                changes[part, mask | COPY, kind] += n
-            else:
-                holders[part, mask, kind] += n
-    for part, mask, kind, own, at_own, total, free in rows:
-        first = at_own if own is not None and own == least else 0
-        changes[part, mask, kind] += free + first
-        changes[part, mask | COPY, kind] += total - first
-        if first:
-            holders[part, mask, kind] += first
-    if least is None:
-        return None, changes
-    return (least, [[*k, n] for k, n in holders.items()]), changes
-
-
-CHANGES = "part string, mask int, kind int, change long"
-
-
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = (state.get[0], json.loads(state.get[1])) if state.exists else None
-    rows = []
-    for frame in frames:
-        ids = [None if missing else int(i) for i, missing in zip(frame["least"], frame["least"].isna(), strict=True)]
-        numbers = (frame[c].tolist() for c in ("at_least", "rows", "free"))
-        rows += zip(frame["part"].tolist(), frame["mask"].tolist(), frame["kind"].tolist(), ids, *numbers, strict=True)
-    after, changes = merge(known, rows)
-    if after:
-        state.update((after[0], json.dumps(after[1])))
-    found = [(*k, n) for k, n in changes.items() if n]
-    if found:
-        yield pd.DataFrame(found, columns=["part", "mask", "kind", "change"])
-
-
-def changes_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stream of changes ``part, mask, kind, change`` of the counters; ``kind`` is quality + 2 * toxic.
-
-    ``documents`` streams ``doc_id, text, source``; ``labels`` is a table of at most one row a doc_id.
+
+def merged(state: DataFrame, arrived: DataFrame) -> DataFrame:
+    """State rows and rows of :func:`combined` beside ``low``, the smallest id of their text after this micro-batch."""
+    both = arrived.withColumn("is_new", F.lit(True)).unionByName(
+        state.select("*", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("free"), F.lit(False).alias("is_new"))
+    )
+    lows = both.groupBy("key").agg(F.min("least").alias("low"))
+    return both.join(lows, "key").withColumn("first", F.coalesce(F.col("least") == F.col("low"), F.lit(False)))
+
+
+def changes(rows: DataFrame) -> DataFrame:
+    """Changes ``part, mask, rows, good, toxic`` of the counters by rows of :func:`merged`.
+
+    A row that arrives adds what it counts for. A row of the state whose id is no longer the smallest is taken back and
+    returns as a copy; any other has been counted already.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), "text")
-    rows = rows.mapInArrow(_read_texts, "doc_id long, part string, key binary, mask int")
-    rows = rows.join(labels, "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit(0)))
-    rows = rows.mapInArrow(_combine, COMBINED)
-    return rows.groupBy("key").applyInPandasWithState(_update, CHANGES, "least long, holders string", "update", GroupStateTimeout.NoTimeout)
+    own = F.when(F.col("first"), F.col("at_least")).otherwise(0)
+    taken_back = F.when(F.col("first"), 0).otherwise(F.col("at_least"))
+    unlike = F.when(F.col("is_new"), F.col("free") + own).otherwise(-taken_back)
+    copies = F.when(F.col("is_new"), F.col("rows") - own).otherwise(taken_back)
+    both = F.array(F.struct(F.col("mask").alias("mask"), unlike.alias("n")), F.struct(F.col("mask").bitwiseOR(COPY).alias("mask"), copies.alias("n")))
+    parts = rows.select("part", "kind", F.explode(both).alias("c")).select("part", "kind", "c.mask", "c.n").where("n <> 0")
+    good, toxic = F.col("kind").bitwiseAND(1), F.col("kind").bitwiseAND(2) / 2
+    sums = [F.sum(F.col("n") * w).cast("long").alias(k) for w, k in ((F.lit(1), "rows"), (good, "good"), (toxic, "toxic"))]
+    return parts.groupBy("part", "mask").agg(*sums)
 
 
 def run_counters(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Counters ``part, mask, rows, good, toxic`` after all micro-batches that are available now.
 
-    Each micro-batch writes its summed changes under its number, so one that is run again after a failure replaces them. State
-    and progress stand in the shared folder, on a store that keeps on disk what does not fit in memory.
+    ``documents`` streams ``doc_id, text, source``; ``labels`` is a table ``doc_id, kind`` of at most one row a doc_id. Micro-batch n
+    reads the state that the one before wrote and writes its own state and summed changes under its number in the shared
+    folder, so one that is run again after a failure replaces both and nothing counts twice.
     """
     spark = documents.sparkSession
-    path = stage_path(spark, "changes")
-    spark.createDataFrame([], "part string, mask int, rows long, good long, toxic long").write.parquet(f"{path}/batch=-1")
+    path = stage_path(spark, "audit")
+    spark.createDataFrame([], "part string, mask int, rows long, good long, toxic long").write.parquet(f"{path}/changes/batch=-1")
+    spark.createDataFrame([], STATE).write.parquet(f"{path}/state/-1")
 
     def sink(batch: DataFrame, number: int) -> None:
-        good, toxic = F.col("kind").bitwiseAND(1), F.col("kind").bitwiseAND(2) / 2
-        sums = [F.sum(F.col("change") * w).cast("long").alias(n) for w, n in ((1, "rows"), (good, "good"), (toxic, "toxic"))]
-        batch.groupBy("part", "mask").agg(*sums).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
-    for k, v in STATE_STORE.items():
-        spark.conf.set(k, v)
-    try:
-        stream = changes_of(documents, labels).writeStream.outputMode("update").foreachBatch(sink)
-        stream.option("checkpointLocation", stage_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    found = spark.read.parquet(path).groupBy("part", "mask")
+        session = batch.sparkSession
+        rows = staged(merged(session.read.schema(STATE).parquet(f"{path}/state/{number - 1}"), combined(batch, labels)), "merged")
+        state = rows.where("first").groupBy("key", "part", "mask", "kind").agg(F.min("least").alias("least"), F.sum("at_least").alias("at_least"))
+        state.write.mode("overwrite").parquet(f"{path}/state/{number}")
+        changes(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), "text")
+    stream = rows.mapInArrow(_read_texts, "doc_id long, part string, key binary, mask int").writeStream.foreachBatch(sink)
+    stream.option("checkpointLocation", stage_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{path}/changes").groupBy("part", "mask")
     return found.agg(*[F.sum(c).alias(c) for c in ("rows", "good", "toxic")])
 
 
