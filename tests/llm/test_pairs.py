@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitebag.llm.graph import components
 from sitebag.llm.jaccard import jaccard_components
-from sitebag.llm.passages import align, chains, repeated_passages, without_passages
+from sitebag.llm.passages import align, chains, collinear_chains, repeated_passages, without_passages
 from sitebag.llm.textbatch import shingle_sets, words
 
 from .conftest import SCHEMA, edited, prose
@@ -113,6 +113,68 @@ def test_chains_reach_the_best_score():
         assert all(pos[a] < pos[b] and other[a] < other[b] for a, b in zip(c, c[1:], strict=False))
 
 
+def test_collinear_chains_are_the_chains():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(300):
+        pairs = []
+        for _ in range(rng.randrange(1, 6)):
+            p, q, pp, qq = 0, rng.randrange(50), [], []
+            for _ in range(rng.randrange(1, 12)):
+                d = rng.choice([1, 2, 5, 12, 14, 15, 16, 40, 90])
+                p, q = p + d, q + (d if rng.random() < 0.7 else rng.choice([1, 3, 14, 60]))
+                pp.append(p)
+                qq.append(q)
+            pairs.append((pp, qq))
+        begin = np.cumsum([0] + [len(a) for a, _ in pairs])[:-1]
+        want = [[m + b for m in c] for (pp, qq), b in zip(pairs, begin.tolist(), strict=True) for c in chains(pp, qq)]
+        p, q = (np.array(sum((x[i] for x in pairs), [])) for i in (0, 1))
+        b, e = collinear_chains(p, q, begin)
+        assert sorted(want) == [list(range(x, y)) for x, y in zip(b.tolist(), e.tolist(), strict=True)]
+
+
+def test_one_diagonal_at_once_equals_one_by_one():
+    import numpy as np
+    import pyarrow as pa
+
+    from sitebag.llm.passages import MATCH, _align_rows, _laid_along, _passages
+
+    rng, rows, want = np.random.default_rng(4), [], []
+    for i in range(60):
+        a = rng.integers(1, 50, 180).astype("<u4")
+        b = np.concatenate([rng.integers(1, 50, rng.integers(0, 40)), a[20:150], rng.integers(1, 50, 30)]).astype("<u4")
+        b[rng.integers(0, len(b), rng.integers(0, 40))] = 99
+        shift = len(b) - 160 - 20
+        p0, q0 = int(rng.integers(0, 9)), int(rng.integers(0, 9))
+        x = [60 + p0, 90 + p0]
+        y = [60 + shift + q0, 90 + shift + (i % 5 == 0) + q0]
+        j, same = _laid_along(a, b, [v - p0 for v in x], [v - q0 for v in y])
+        want += [(i, 100 + i, s + p0, e + p0, int(j[s]) + q0, int(j[e - 1]) + 1 + q0, n) for s, e, n in _passages(same, 50, 80)]
+        rows.append((i, 100 + i, x, y, p0, q0, a.tobytes(), b.tobytes()))
+    names = ["doc_id", "other_id", "anchors", "other_anchors", "begin", "other_begin", "codes", "other_codes"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    parts = [batch.slice(0, 7), batch.slice(7, 31), batch.slice(38)]
+    got = [tuple(r.values()) for b in _align_rows(50, 80)(iter(parts)) for r in b.to_pylist()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_texts_of_one_doc_id(make):
+    shared = prose(70, 80)
+    texts = [f"{prose(71, 20)} {shared}", prose(72, 90), f"{prose(73, 30)} {shared} {prose(74, 9)}", f"{prose(73, 30)} {shared} {prose(74, 9)}", prose(75, 200)]
+    docs = make(texts, [1, 2, 3, 3, 3]).selectExpr("*", "1 as _doc", "2 as _spans", "3 as _bounds", "4 as _id", "5 as _row", "6 as _least", "7 as part")
+    found = repeated_passages(docs)
+    rows = without_passages(docs, found).collect()
+    assert [c for c in rows[0].asDict()] == docs.columns and all(r["_doc"] == 1 and r["_row"] == 5 for r in rows)
+    kept = sorted(r["text"] for r in rows if r["doc_id"] == 3)
+    if found.count():  # the repeated text has the smaller hash
+        assert len(kept) == 3 and texts[4] in kept and sum(shared in t for t in kept) == 0
+    else:
+        assert kept == sorted(texts[2:])
+    assert {r["text"] for r in rows if r["doc_id"] in (1, 2)} == set(texts[:2])
+
+
 def test_align_finds_a_shifted_passage():
     import numpy as np
 
