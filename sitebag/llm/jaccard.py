@@ -8,13 +8,15 @@
    and a count below the bound discards the pair; rows of a wide column hang on its first row. What remains connected
    forms candidate blocks.
 3. Inside a block the rows' full sparse product gives overlap counts; pairs outside the size bounds are not looked at,
-   pairs already connected need no count. Large blocks are cut into pairs of row blocks.
+   pairs already connected need no count. Large blocks are cut by size, so that only sizes within the bounds meet, and
+   then into pairs of row blocks.
 
 Only the order of shingles depends on the approximate counts, so the result is exact whatever they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .spark_help import filter_bits, in_bits, partitions, slot_column, staged, take
+from .spark_help import dealt_join, filter_bits, in_bits, partitions, slot_column, staged, take
 from .textbatch import WORDS_PER_SHINGLE, chunks, mix, set_id, shingle_sets, words
 
 THRESHOLD = 75  # per cent
@@ -157,7 +159,8 @@ def _columns(ranks, size: int, percent: int):
 def _meet_in_columns(percent: int):
     """Map over entries sorted by (hash, |n|, set_id): pairs ``a < b`` of sets, how often they met, and the bound for it.
 
-    Only ``THIN`` rows of the column that is still open are held from one batch to the next. A hot column is a node of
+    Only ``THIN`` rows of the column that is still open are held from one batch to the next, and the first usable row of a
+    wide one. A hot column is a node of
     its own for each band of compatible sizes; the contraction of components splits such hubs, no task holds the column.
     """
 
@@ -169,10 +172,17 @@ def _meet_in_columns(percent: int):
         low, high = pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))
         return pa.RecordBatch.from_arrays([low, high, pa.array(np.zeros(len(a), dtype=np.int64)), pa.array(np.ones(len(a), dtype=np.int64))], ["a", "b", "need", "met"])
 
-    def settle(h: np.ndarray, s: np.ndarray, signed: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def settle(h: np.ndarray, s: np.ndarray, signed: np.ndarray, group: np.ndarray, lead: int | None) -> Iterator[pa.RecordBatch]:
+        """``lead`` is the first usable row of group 0, where that group began in an earlier batch and is wide."""
         n = np.abs(signed).astype(np.int64)
         flagged = signed > 0
-        width = np.bincount(group)[group]
+        width = np.bincount(group)
+        first = np.full(len(width), len(h))
+        np.minimum.at(first, group[flagged], np.flatnonzero(flagged))
+        leads = s[np.minimum(first, len(h) - 1)]
+        if lead is not None:
+            width[0], first[0], leads[0] = THIN + 1, -1, lead
+        width = width[group]
         found = []
         widest = int(width[width <= THIN].max(initial=0))
         for lag in range(1, widest):
@@ -182,18 +192,16 @@ def _meet_in_columns(percent: int):
             i = i[(100 * n[i] >= percent * n[i + lag]) & (s[i] != s[i + lag])]
             need = np.minimum(SHARED, -(-percent * (n[i] + n[i + lag]) // (100 + percent)))
             found.append(np.stack([np.minimum(s[i], s[i + lag]), np.maximum(s[i], s[i + lag]), need], axis=1))
-        first = np.full(group[-1] + 1, len(h))
-        np.minimum.at(first, group[flagged], np.flatnonzero(flagged))
         at = np.flatnonzero((width > THIN) & (np.arange(len(h)) > first[group]))
-        lead = s[first[group[at]]]
-        at, lead = at[lead != s[at]], lead[lead != s[at]]
-        found.append(np.stack([np.minimum(lead, s[at]), np.maximum(lead, s[at]), np.zeros(len(at), dtype=np.int64)], axis=1))
+        own = leads[group[at]]
+        at, own = at[own != s[at]], own[own != s[at]]
+        found.append(np.stack([np.minimum(own, s[at]), np.maximum(own, s[at]), np.zeros(len(at), dtype=np.int64)], axis=1))
         pairs, met = np.unique(np.concatenate(found), axis=0, return_counts=True)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, i]) for i in range(3)), pa.array(met)], ["a", "b", "need", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, lead = None, None
         for batch in batches:
             hot = batch.column("hot").to_numpy(zero_copy_only=False)
             if hot.any():
@@ -208,18 +216,21 @@ def _meet_in_columns(percent: int):
             cut[1:] = (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])
             group = np.cumsum(cut) - 1
             open_at = int(np.flatnonzero(cut)[-1])
-            wide = len(h) - open_at > THIN
+            goes_on = open_at == 0 and lead is not None
+            wide = goes_on or len(h) - open_at > THIN
             done = len(h) if wide else open_at
             if done:
-                yield from settle(h[:done], s[:done], signed[:done], group[:done])
-            keep = np.arange(open_at, len(h))
-            if wide:  # its first usable row and its last rows stand for it; meeting again does no harm
-                leads = keep[signed[keep] > 0][:1]
-                keep = np.union1d(leads, keep[-THIN:])
-            held = [h[keep], s[keep], signed[keep]]
+                yield from settle(h[:done], s[:done], signed[:done], group[:done], lead)
+            if wide and not goes_on:
+                usable = s[open_at:][signed[open_at:] > 0]
+                lead = int(usable[0]) if len(usable) else None
+            elif not wide:
+                lead = None
+            # a wide column's last rows stay for the next sizes to be compared with, its lead for the next rows to meet
+            begin = max(open_at, len(h) - THIN) if wide else open_at
+            held = [h[begin:], s[begin:], signed[begin:]]
         if held is not None:
-            n = np.abs(held[2]).astype(np.int64)
-            yield from settle(*held, np.zeros(len(n), dtype=np.int64))
+            yield from settle(*held, np.zeros(len(held[0]), dtype=np.int64), lead)
 
     return run
 
@@ -321,30 +332,53 @@ def jaccard_components(
     )
     met = met.groupBy("a", "b", "need").agg(F.sum("met").alias("met")).where("met >= need").select("a", "b")
     blocks = staged(components(met), "blocks")
-    reps = members.groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"))
-    rows = staged(reps.join(blocks.withColumnRenamed("node", "set_id"), "set_id"), "rows")
-    cuts = rows.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("entries"))
-    cuts = cuts.where("sets > 1").select(
-        "component",
-        F.greatest(F.ceil(F.col("sets") / BLOCK_ROWS), F.ceil(F.col("entries") / BLOCK_SHINGLES)).cast("int").alias("cuts"),
-    )
-    rows = rows.join(cuts, "component")
+    reps = members.groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
+    reps = staged(reps, "reps")
+    rows = staged(reps.drop("rows").join(blocks.withColumnRenamed("node", "set_id"), "set_id"), "rows")
+    links = _product_rows(docs, rows, percent, size).applyInArrow(_product(percent), "a long, b long")
+    classes = components(links).withColumnRenamed("node", "set_id").withColumnRenamed("component", "class")
+    linked = reps.where("n > 0").join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
+    linked = staged(linked.select("set_id", "class", "doc_id", "rows", F.xxhash64("set_id").alias("place")), "linked")
+    least = linked.groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets"))
+    found = staged(dealt_join(linked, least, "class", "place", "sets").select("set_id", "component_id", "rows"), "found")
+    full = members.where("n > 0").withColumn("place", F.monotonically_increasing_id())
+    full = dealt_join(full, found, "set_id", "place", "rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _product_rows(docs: DataFrame, rows: DataFrame, percent: int, size: int):
+    """Sets of the candidate components grouped by pairs of row blocks.
+
+    A component above ``BLOCK_ROWS`` sets or ``BLOCK_SHINGLES`` shingles is cut by size first: sets link only with sizes within
+    ``percent``, so with bands of that width only equal and neighbouring bands meet; a band above the bounds is cut by hash.
+    """
+    spark = docs.sparkSession
+    banded = rows.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int"))
+
+    def cuts(of: DataFrame, *by: str) -> DataFrame:
+        counts = of.groupBy(*by).agg(F.count("*").alias("sets"), F.sum("n").alias("entries"))
+        needed = F.greatest(F.ceil(F.col("sets") / BLOCK_ROWS), F.ceil(F.col("entries") / BLOCK_SHINGLES), F.lit(1)).cast("int")
+        return counts.select(*by, "sets", needed.alias("cuts"))
+
+    whole = cuts(banded, "component").where("sets > 1")
+    banded = banded.join(whole.select("component", (F.col("cuts") > 1).alias("large")), "component")
+    banded = banded.withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(0)).drop("large")
+    # the bands of a component number at most the logarithm of the largest size
+    known = cuts(banded, "component", "band").groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "cuts"))).alias("known"))
+    rows = banded.join(known, "component")
     bitmap = spark.sparkContext.broadcast(filter_bits(rows, "doc_id"))
-    full = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(
-        _sets(bitmap, size), "doc_id long, set_id long, hashes binary"
+    full = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(_sets(bitmap, size), "doc_id long, set_id long, hashes binary")
+    placed = full.join(rows.select("doc_id", "set_id", "component", "band", "known"), ["doc_id", "set_id"])
+    number = lambda band, cut: F.shiftleft(band.cast("long"), 32) + cut
+    own = number(F.col("band"), F.pmod(F.xxhash64("set_id"), F.try_element_at("known", F.col("band"))))
+    others = F.flatten(
+        F.transform(
+            F.filter(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.map_contains_key("known", b)),
+            lambda b: F.transform(F.sequence(F.lit(0), F.element_at("known", b) - 1), lambda c: number(b, c)),
+        )
     )
-    block = F.pmod(F.xxhash64("set_id"), F.col("cuts")).cast("int")
-    placed = full.join(rows.select("doc_id", "set_id", "component", "cuts"), ["doc_id", "set_id"]).withColumn("block", block)
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    placed = placed.withColumn("block", own).withColumn("other", F.explode(others))
     placed = placed.select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "hashes"
     )
-    links = placed.groupBy("component", "i", "j").applyInArrow(_product(percent), "a long, b long")
-    classes = components(links).withColumnRenamed("node", "set_id").withColumnRenamed("component", "class")
-    linked = members.join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
-    least = linked.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return (
-        linked.withColumn("class", F.when(F.col("n") > 0, F.col("class")))
-        .join(least, "class", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    return placed.groupBy("component", "i", "j")

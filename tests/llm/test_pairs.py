@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sitebag.llm import jaccard
 from sitebag.llm.graph import components
 from sitebag.llm.jaccard import jaccard_components
 from sitebag.llm.passages import align, chains, collinear_chains, repeated_passages, without_passages
@@ -77,6 +78,46 @@ def test_jaccard(make, odd_texts, texts):
     assert {r["doc_id"]: r["component_id"] for r in rows} == brute_components(ids, sets)
 
 
+def test_columns_meet_whatever_the_batches():
+    """A wide column whose kept rows are far larger than its first usable one, in every split into two or three batches."""
+    import pyarrow as pa
+
+    from sitebag.llm.jaccard import THIN, _meet_in_columns
+
+    names = ["hash", "set_id", "n", "hot"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    signed = [100, 130, 165, 190] + [-200] * (THIN + 12) + [210, -215, 230]
+    rows = [(1, 900, 5)] + [(2, i, n) for i, n in enumerate(signed)] + [(2, 700, 400), (2, 701, 500), (3, 902, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*c], k) for c, k in zip((*zip(*rows, strict=True), [False] * len(rows)), kinds, strict=True)], names)
+
+    def connected(parts):
+        label = {r[1]: r[1] for r in rows}
+        for out in _meet_in_columns(75)(iter(parts)):
+            for r in out.to_pylist():
+                a, b = label[r["a"]], label[r["b"]]
+                label = {k: a if v == b else v for k, v in label.items()}
+        groups = {}
+        for k, v in label.items():
+            groups.setdefault(v, set()).add(k)
+        return sorted(map(sorted, groups.values()))
+
+    whole = connected([batch])
+    assert [0, 1, 2, 3] == [i for i in whole[0] if i < 4] and THIN + 16 in whole[0]
+    for i in range(1, batch.num_rows):
+        assert connected([batch.slice(0, i), batch.slice(i)]) == whole
+        for j in range(i, batch.num_rows, 9):
+            assert connected([batch.slice(0, i), batch.slice(i, j - i), batch.slice(j)]) == whole
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_large_components_are_cut_by_size(make, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
+    base = prose(7, 400).split(" ")
+    texts = [" ".join(base[:n]) for n in range(60, 400, 17)] + [prose(90 + i, 100) for i in range(5)] + [" ".join(base[:77])] * 3
+    rows = jaccard_components(make(texts)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == brute_components(range(len(texts)), brute_sets(texts))
+
+
 def test_jaccard_edges(spark, make):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     same = prose(5, 50)
