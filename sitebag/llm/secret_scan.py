@@ -4,7 +4,7 @@ A candidate is a run of 16 or more characters of ``[A-Za-z0-9+/_=-]``; those wit
 words, are in groups of their own, so that they do not move the thresholds of the others. Its smallest alphabet is
 inferred; chi-squared uniformity over that alphabet, a runs test about the middle of the alphabet and the serial
 correlation give one distance from randomness. How often natural text of the same length, read in the same alphabet, comes
-as close is counted on letter windows of the whole corpus; per alphabet and length class the Benjamini-Hochberg rule turns
+as close is counted on letter windows of all texts; per alphabet and length class the Benjamini-Hochberg rule turns
 these shares into a threshold.
 """
 
@@ -29,6 +29,8 @@ CLASSES = (16, 20, 24, 32, 40, 64)  # lower ends of the length classes, and the
 #: ``PLAIN`` on: tokens without a letter or without a digit, of one case or digits, of both cases, with other characters.
 GROUPS = ((26, 0), (36, 10), (62, 36), (66, 36), (26, 0), (52, 26), (66, 36))
 PLAIN = 4
+CASED = (2, 3, 5, 6)  # groups of alphabets with both cases
+_WINDOWS = 4096
 STEPS = 240  # of the distance, on a logarithmic scale
 FALSE_DISCOVERIES = 0.01
 
@@ -60,6 +62,7 @@ def _lookup(ranges: str) -> np.ndarray:
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOKEN = _lookup(_DIGITS + _LOWER + _UPPER + "+/_=-")
 _IS_HEX, _IS_DIGIT, _IS_LETTER = _lookup("0123456789abcdef"), _lookup(_DIGITS), _lookup(_LOWER + _UPPER)
+_IS_UPPER, _IS_LOWER = _lookup(_UPPER), _lookup(_LOWER)
 #: Encodings by size: the first that holds all characters is inferred. Places in the order given.
 ALPHABETS = (
     _DIGITS, _LOWER, _UPPER, _UPPER + _LOWER, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER,
@@ -130,7 +133,11 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Candidates:
     n = (end - start).astype(np.float64)
     row = np.repeat(np.arange(len(n)), end - start)
     at = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(end - start)[:-1]]), end - start) + start[row] if len(n) else row
-    chars = data[at]
+    # a word with a capital at its beginning is read like any other word
+    upper = np.concatenate([[0], np.cumsum(_IS_UPPER[data])])
+    lower = np.concatenate([[0], np.cumsum(_IS_LOWER[data])])
+    titled = _IS_UPPER[data[start]] & (upper[end] - upper[start] == 1) & (lower[end] - lower[start] == end - start - 1)
+    chars = np.where((at == start[row]) & titled[row], data[at] | 32, data[at]) if len(n) else data[at]
     codes, size = np.zeros(len(chars), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
     for alphabet in ALPHABETS:
         place = np.full(256, -1)
@@ -146,20 +153,67 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Candidates:
     return Candidates(doc, start - offsets[doc], end - offsets[doc], group, _class(n), _step(_distance(codes, row, n, size)))
 
 
-def _natural(data: np.ndarray) -> np.ndarray:
-    """Counts (group, class, step) of letter windows: the letters of the texts in order, cut into windows of each class in turn."""
-    letters = (data[_IS_LETTER[data]] | 32).astype(np.int64) - 97
-    cycle = sum(CLASSES)
+def _parts_of(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of places below ``width``: the sum of squared counts, and the serial-correlation term of the distance."""
+    m, n = codes.shape
+    counts = np.bincount((codes + np.arange(m)[:, None] * width).ravel(), minlength=m * width).reshape(m, width).astype(np.float32)
+    centre = codes.astype(np.float32)
+    centre -= centre.mean(axis=1, keepdims=True)
+    power, product = np.einsum("ij,ij->i", centre, centre), np.einsum("ij,ij->i", centre[:, 1:], centre[:, :-1])
+    serial = np.where(power > 0, product / np.maximum(power, 1e-9) + 1 / n, 1.0) * np.sqrt(n)
+    return np.einsum("ij,ij->i", counts, counts).astype(np.float64), serial
+
+
+def _runs_about(codes: np.ndarray, half: int) -> np.ndarray:
+    """The runs term of the distance, about a place in the alphabet."""
+    n = codes.shape[1]
+    is_high = codes >= half
+    up = is_high.sum(axis=1)
+    changes = (is_high[:, 1:] != is_high[:, :-1]).sum(axis=1)
+    mean = 1 + 2 * up * (n - up) / n
+    spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-3))
+    return np.where((up > 0) & (up < n), (changes + 1 - mean) / spread, np.sqrt(n))
+
+
+def _natural(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts (group, class, step) of letter windows: each document's letters in order, cut into windows of every class.
+
+    All classes read all letters but a document's last ones, fewer than a window, so counts do not depend on how documents fall
+    into batches. Alphabets of one case read the letters in lower case, those of both cases as they are. The distance is that
+    of :func:`_distance`, of which alphabets share parts.
+    """
+    at = np.flatnonzero(_IS_LETTER[data])
+    letters = data[at]
+    upper = letters < 97
+    place = (letters | 32).astype(np.int64) - 97
+    first = np.searchsorted(at, offsets)
+    held = np.diff(first)
     out = np.zeros((len(GROUPS), len(CLASSES), STEPS), dtype=np.int64)
-    table = letters[: len(letters) // cycle * cycle].reshape(-1, cycle)
-    begin = 0
     for c, n in enumerate(CLASSES):
-        part = table[:, begin : begin + n]
-        begin += n
-        rows, many = np.repeat(np.arange(len(part)), n), np.full(len(part), float(n))
-        for g, (size, shift) in enumerate(GROUPS):
-            distance = _distance(part.ravel() + shift, rows, many, np.full(len(part), size))
-            out[g, c] = np.bincount(_step(distance), minlength=STEPS)
+        many = held // n
+        begin = np.repeat(first[:-1] - n * (np.cumsum(many) - many), many) + n * np.arange(many.sum())
+        for b in range(0, len(begin), _WINDOWS):
+            rows = begin[b : b + _WINDOWS, None] + np.arange(n)
+            low, high = place[rows], upper[rows]
+            squares, serial = _parts_of(low, 26)
+            mixed = np.flatnonzero(high.any(axis=1))  # windows of lower letters alone are the same in both readings
+            cased = np.where(high[mixed], low[mixed], low[mixed] + 26)  # upper before lower, as in those alphabets
+            parts = _parts_of(cased, 52)
+            known: dict[tuple[int, int], np.ndarray] = {}
+            for g, (size, shift) in enumerate(GROUPS):
+                if (size, shift) not in known:
+                    # lower letters begin at ``shift`` in the alphabet
+                    own, runs, ties = squares, np.full(len(low), np.sqrt(n)), serial
+                    if g in CASED:
+                        own, ties = squares.copy(), serial.copy()
+                        own[mixed], ties[mixed] = parts
+                        runs[mixed] = _runs_about(cased, size // 2 - (shift - 26))
+                    else:
+                        runs = _runs_about(low, size // 2 - shift)
+                    chi = own * size / n - n
+                    uniform = np.maximum((chi - (size - 1)) / np.sqrt(2 * (size - 1) * (n - 1) / n), 0)
+                    known[size, shift] = _step(uniform**2 + runs**2 + ties**2)
+                out[g, c] += np.bincount(known[size, shift], minlength=STEPS)
     return out
 
 
@@ -169,7 +223,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in chunks(batch):
             data, offsets = _laid_out(texts)
-            natural += _natural(data)
+            natural += _natural(data, offsets)
             own = candidates(data, offsets)
             np.add.at(found, (own.group, own.length_class, own.step), 1)
     g, c, s = np.nonzero(found + natural)

@@ -277,3 +277,44 @@ def test_random_tokens_without_digits(make):
     own = secret_scan.candidates(*secret_scan._laid_out([t.encode() for t in texts[:44]]))
     assert own.doc.tolist() == list(range(44))  # single-case keys reach the battery, which has little power over them
     assert not any(rows[i]["spans"] for i in range(44, 64))
+
+
+def test_natural_windows_read_every_text_alike_in_any_batching():
+    texts = [prose(i, 30 + i).title().encode() if i % 3 else prose(i, 40 + i).encode() for i in range(40)] + [b"", "É lan".encode(), b"A" * 70]
+    whole = secret_scan._natural(*secret_scan._laid_out(texts))
+    for size in (1, 7, 19):
+        parts = [secret_scan._natural(*secret_scan._laid_out(texts[i : i + size])) for i in range(0, len(texts), size)]
+        assert (sum(parts) == whole).all()
+    letters = [sum(chr(b).isascii() and chr(b).isalpha() for b in t) for t in texts]
+    for c, n in enumerate(secret_scan.CLASSES):
+        assert whole[0, c].sum() == sum(k // n for k in letters)
+
+
+def test_natural_windows_have_the_candidates_distance():
+    text = prose(5, 60).replace(" ", "").title() + "AbCd" + prose(6, 30).replace(" ", "").upper()
+    n = secret_scan.CLASSES[2]
+    found = secret_scan._natural(*secret_scan._laid_out([text.encode()]))
+    letters = [ch for ch in text if ch.isascii() and ch.isalpha()]
+    orders = {26: "abcdefghijklmnopqrstuvwxyz", 62: secret_scan._DIGITS + secret_scan._UPPER + secret_scan._LOWER}
+    for g in (4, 2):
+        size = secret_scan.GROUPS[g][0]
+        want = np.zeros(secret_scan.STEPS, dtype=int)
+        for i in range(len(letters) // n):
+            own = letters[i * n : (i + 1) * n]
+            codes = np.array([orders[size].index(ch if size == 62 else ch.lower()) for ch in own])
+            d = secret_scan._distance(codes, np.zeros(n, dtype=np.int64), np.array([float(n)]), np.array([size]))
+            want[secret_scan._step(d)[0]] += 1
+        assert (found[g, 2] == want).all()
+
+
+def test_long_words_of_prose_are_no_secrets(make):
+    rng = random.Random(12)
+    parts = "ver on er keit lich schaft ung haus berg land wasser mann frau stein wald zug".split()
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(4, 7))).capitalize()
+    texts = [" ".join([word(), *prose(i, 40).split(" "), word()]) for i in range(300)]
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(44)) for _ in range(12)]
+    for i, key in enumerate(keys):
+        texts[20 * i] += f" see {key} here"
+    docs = make(texts)
+    rows = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] for r in secret_scan.find_secrets(docs, secret_scan.thresholds(docs)).collect()}
+    assert {i: v for i, v in rows.items() if v} == {20 * i: [k] for i, k in enumerate(keys)}
