@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .spark_help import dealt_join, filter_bits, in_bits, partitions, slot_column, staged, take
+from .spark_help import dealt_join, filter_bits, in_bits, partitions, releasing, slot_column, staged, take
 from .textbatch import WORDS_PER_SHINGLE, chunks, mix, set_id, shingle_sets, words
 
 THRESHOLD = 75  # per cent
@@ -319,16 +319,16 @@ def jaccard_components(
     parts = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = staged(
-        docs.mapInArrow(_profile(sketch_bits, size), "doc_id long, n long, set_id long, slice int, counts binary"), "profile"
+        docs.mapInArrow(releasing(_profile(sketch_bits, size)), "doc_id long, n long, set_id long, slice int, counts binary"), "profile"
     )
     members = profile.where("slice is null").select("doc_id", "n", "set_id")
     ranks = spark.sparkContext.broadcast(_rank_table(profile, sketch_bits))
-    entries = docs.mapInArrow(_columns(ranks, size, percent), "hash long, set_id long, n int, hot boolean, salt long")
+    entries = docs.mapInArrow(releasing(_columns(ranks, size, percent)), "hash long, set_id long, n int, hot boolean, salt long")
     met = (
         entries.repartition(parts, "hash", "salt")
         .drop("salt")
         .sortWithinPartitions("hash", F.abs("n"), "set_id")
-        .mapInArrow(_meet_in_columns(percent), "a long, b long, need long, met long")
+        .mapInArrow(releasing(_meet_in_columns(percent)), "a long, b long, need long, met long")
     )
     met = met.groupBy("a", "b", "need").agg(F.sum("met").alias("met")).where("met >= need").select("a", "b")
     blocks = staged(components(met), "blocks")
@@ -367,7 +367,7 @@ def _product_rows(docs: DataFrame, rows: DataFrame, percent: int, size: int):
     known = cuts(banded, "component", "band").groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "cuts"))).alias("known"))
     rows = banded.join(known, "component")
     bitmap = spark.sparkContext.broadcast(filter_bits(rows, "doc_id"))
-    full = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(_sets(bitmap, size), "doc_id long, set_id long, hashes binary")
+    full = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_sets(bitmap, size)), "doc_id long, set_id long, hashes binary")
     placed = full.join(rows.select("doc_id", "set_id", "component", "band", "known"), ["doc_id", "set_id"])
     number = lambda band, cut: F.shiftleft(band.cast("long"), 32) + cut
     own = number(F.col("band"), F.pmod(F.xxhash64("set_id"), F.try_element_at("known", F.col("band"))))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-__all__ = ["dealt_join", "filter_bits", "in_bits", "partitions", "read", "slot_bits", "slot_column", "staged", "take"]
+__all__ = ["dealt_join", "filter_bits", "in_bits", "partitions", "read", "releasing", "slot_bits", "slot_column", "staged", "take"]
 
 FILTER_BITS = 24
 HOT_ROWS = 1000
@@ -78,3 +79,19 @@ def dealt_join(rows: DataFrame, table: DataFrame, key: str, place: str, n: str =
     dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.col(place), F.coalesce("_cuts", F.lit(1))).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(cuts, F.lit(1)) - 1))).drop(n)
     return dealt.drop("_cuts", place).join(copies, [key, "_salt"]).drop("_salt")
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The map ``run``, after which the worker hands memory back that its allocators keep for reuse.
+
+    Workers live on after a task; what they hold on to would stand beside the next task's data.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped

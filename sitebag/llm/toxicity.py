@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .features import Rows, counted, letter_words
 from .linear import FOLDS, Logistic, platt, select, sigmoid, training_sample
-from .spark_help import staged, take
+from .spark_help import releasing, staged, take
 from .textbatch import chunks, mix
 
 CATEGORIES = ("repeated", "dense", "toxic")
@@ -195,7 +195,7 @@ def typical_features(sample: DataFrame) -> tuple[list[np.ndarray], float, float]
     """
     sizes = {r["fold"]: (r["n"], r["p"]) for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()}
     columns = [f"{c}{k}" for c in "np" for k in range(FOLDS)]
-    found = sample.select("text", "y", "fold").mapInArrow(_count_features, f"feature int, {', '.join(f'{c} int' for c in columns)}")
+    found = sample.select("text", "y", "fold").mapInArrow(releasing(_count_features), f"feature int, {', '.join(f'{c} int' for c in columns)}")
     found = found.groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns])
 
     def part(count: Column, expected: Column) -> Column:
@@ -292,4 +292,4 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, reject_at: float = REJE
             for part, texts in chunks(batch):
                 yield take(part, shared.value.score(texts)[:, -1] < reject_at)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
