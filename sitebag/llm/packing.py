@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_help import staged
+from .spark_help import releasing, staged
 from .textbatch import chunks
 from .word_bpe import word_bpe
 
@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_pieces(tokenizer_path, capacity, keep_ids), schema)
+    return docs.mapInArrow(releasing(_pieces(tokenizer_path, capacity, keep_ids)), schema)
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:

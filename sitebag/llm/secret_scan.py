@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spark_help import releasing
 from .textbatch import chunks
 
 KINDS = ("assign", "access", "hex")
@@ -240,7 +241,7 @@ def thresholds(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> np.ndarray:
     bounds the expected share of natural ones among the discoveries of each class. Only the counts (groups times
     classes times steps) reach the driver.
     """
-    counted = docs.select("text").mapInArrow(_tally, "alphabet int, length_class int, step int, found long, natural long")
+    counted = docs.select("text").mapInArrow(releasing(_tally), "alphabet int, length_class int, step int, found long, natural long")
     found = np.zeros((len(GROUPS), len(CLASSES), STEPS))
     natural = np.zeros_like(found)
     totals = counted.groupBy("alphabet", "length_class", "step").agg(F.sum("found"), F.sum("natural"))
@@ -294,7 +295,7 @@ def find_secrets(docs: DataFrame, limit: np.ndarray) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return rows.mapInArrow(run, f"doc_id long, spans {span}, base {span}")
+    return rows.mapInArrow(releasing(run), f"doc_id long, spans {span}, base {span}")
 
 
 def masked(docs: DataFrame, limit: np.ndarray, mark: str = "[SECRET]") -> DataFrame:
@@ -323,4 +324,4 @@ def masked(docs: DataFrame, limit: np.ndarray, mark: str = "[SECRET]") -> DataFr
                     arrays["n_chars"] = pa.array(sizes, arrays["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 import regex
 
-CACHE_WORDS = 300_000  # of each worker, to save time only
+CACHE_WORDS = 150_000  # of each worker, to save time only
 END = b"\x01"  # stands for the word end in the merge ranks; not a plain character
 
 
