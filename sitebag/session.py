@@ -28,7 +28,7 @@ def build_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", "6g")
         .config("spark.sql.files.maxPartitionBytes", "32m")
     )
     if shared:
