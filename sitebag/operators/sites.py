@@ -88,8 +88,10 @@ def project_calls(
     and those without sequence are left out. A candidate is a stored base equal to ``base``; calls are walked along the
     stored sequence. With ``oriented`` reverse records are read as they were sequenced: the complement is the candidate
     and the walk starts at the other end. ``motif`` keeps sites whose reference k-mer (from ``bins`` of ``bin_size``) matches.
+
+    Calls are laid out along the read once, so a read costs its length, whatever the number of calls; only candidates become rows.
     """
-    from ..functions.alignment import decode_mod_tags, query_to_ref
+    from ..functions.alignment import calls_by_place, decode_mod_tags, query_to_ref
     from ..functions.sequence import bases, motif_match
     from ..sources.sam import tag_ints
     from .qc import FLAG_REVERSE, FLAG_SECONDARY, FLAG_SUPPLEMENTARY, FLAG_UNMAPPED
@@ -105,14 +107,12 @@ def project_calls(
         "read_id",
         "contig",
         F.when(reverse, F.lit("-")).otherwise(F.lit("+")).alias("strand"),
-        F.coalesce(called, F.array().cast("array<struct<query_pos:int,prob:double>>")).alias("_calls"),
-        F.arrays_zip(letters.alias("b"), query_to_ref(F.col("cigar"), F.col("pos0")).alias("r")).alias("_pairs"),
         wanted.alias("_wanted"),
+        F.arrays_zip(letters.alias("b"), query_to_ref(F.col("cigar"), F.col("pos0")).alias("r"), calls_by_place(called).alias("p")).alias("_bases"),
     )
-    by_place = F.map_from_entries("_calls")
-    rows = rows.select("read_id", "contig", "strand", "_wanted", by_place.alias("_probs"), F.posexplode("_pairs").alias("_i", "_p"))
-    rows = rows.where((F.col("_p.b") == F.col("_wanted")) & (F.col("_p.r") >= 0))
-    out = rows.select("read_id", "contig", F.col("_p.r").alias("pos"), "strand", F.try_element_at("_probs", F.col("_i")).alias("prob"))
+    candidates = F.filter("_bases", lambda x: (x["b"] == F.col("_wanted")) & (x["r"] >= 0))
+    rows = rows.select("read_id", "contig", "strand", F.explode(candidates).alias("_c"))
+    out = rows.select("read_id", "contig", F.col("_c.r").alias("pos"), "strand", F.col("_c.p").alias("prob"))
     if motif is None:
         return out
     if bins is None:
