@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import indices, total
+from ..functions.arrays import indices, let, total
 from ..functions.sequence import bases
+from ..ordering import attach
 
 
 def attach_signal(
@@ -100,23 +101,40 @@ def assign_best_window(units: DataFrame, chunk: int, overlap: int, length: str =
 
 
 SEGMENT = 1024
+CUT = 64
 
 
-def segments(reads: DataFrame, pad: int, read_id: str = "read_id", seq: str = "seq") -> DataFrame:
+def segments(reads: DataFrame, pad: Column, read_id: str = "read_id", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
     """Reads cut into pieces of 1024 bases plus ``pad`` bases on both sides: (read, seg_start, seg_from, piece).
 
     Positions of a piece are then found inside a short string, so scanning stays linear for very long reads.
     """
     cuts = F.transform(indices(F.ceil(F.length("_seq") / F.lit(float(SEGMENT)))), lambda k: (k * SEGMENT).cast("int"))
-    rows = reads.select(F.col(read_id), F.col(seq).alias("_seq"), F.length(seq).alias("read_length"))
-    rows = rows.select(read_id, "read_length", "_seq", F.explode(cuts).alias("seg_start"))
+    rows = reads.select(F.col(read_id), F.col(seq).alias("_seq"), F.length(seq).alias("read_length"), *keep)
+    rows = rows.select(read_id, "read_length", "_seq", *keep, F.explode(cuts).alias("seg_start"))
     low = F.greatest(F.col("seg_start") - pad, F.lit(0))
     return rows.select(
-        read_id, "read_length", "seg_start", low.alias("seg_from"),
+        read_id, "read_length", "seg_start", low.alias("seg_from"), *keep,
         F.substring("_seq", low + 1, F.col("seg_start") + SEGMENT + pad - low).alias("piece"),
     )
 
 
+SEED_SLOTS = 1 << 16  # bits of the filter over seed k-mers, whatever the number of patterns
+
+
+def _slot(kmer: Column) -> Column:
+    return F.pmod(F.xxhash64(kmer), F.lit(SEED_SLOTS)).cast("int")
+
+
+def _seed_facts(seeds: DataFrame) -> DataFrame:
+    """One row: the longest pattern, the lengths of seeds, and a bitmap of the slots of their k-mers."""
+    facts = seeds.agg(F.max(F.length("pattern")).alias("_longest"), F.sort_array(F.collect_set("_len")).alias("_lens"))
+    bits = seeds.select(_slot(F.col("_kmer")).alias("_s")).selectExpr("shiftright(_s, 6) as _w", "shiftleft(1L, _s & 63) as _bit")
+    words = bits.groupBy("_w").agg(F.bit_or("_bit").alias("_bit")).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_bit"))).alias("_m"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(SEED_SLOTS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0).cast("bigint")))
+    return attach(facts, words.select(whole.alias("_bits")), [])
+
+
 def pattern_hits(
     reads: DataFrame,
     patterns: DataFrame,
@@ -129,10 +147,14 @@ def pattern_hits(
     """Every placement of a pattern on a read with few enough mismatches.
 
     Pigeonhole seeds: with m mismatches allowed, of m+1 disjoint blocks of a pattern at least one matches exactly
-    (m is what max_mismatches and min_identity leave for the pattern's length). Reads emit their k-mers, each with a few bases around it, and meet the pattern blocks in an equi-join on (length, k-mer);
-    only such candidates are compared base by base. No read x pattern x start product is formed and no hit is lost.
-    A placement that several blocks find is kept for the first of them alone, so no shuffle is needed.
-    ``patterns`` (pattern_id, pattern, center) is a lookup list: its size is checked before it is broadcast.
+    (m is what max_mismatches and min_identity leave for the pattern's length). The k-mers of a piece of a read are tested
+    against a bitmap of fixed size over the seeds' k-mers before anything is exploded; the few that pass become rows, each with the
+    bases around it, and meet the pattern blocks in an equi-join on (length, k-mer). Only such candidates are compared
+    base by base. No read x pattern x start product is formed and no hit is lost. A placement that several blocks find is
+    kept for the first of them alone.
+
+    ``patterns`` has pattern_id, pattern, center. How the lists are joined is left to the optimiser, by their measured sizes;
+    nothing is collected while the plan is built.
     """
     both = patterns.select("pattern_id", "pattern", "center", F.lit("+").alias("orientation"))
     if both_orientations:
@@ -144,8 +166,6 @@ def pattern_hits(
                 F.lit("-").alias("orientation"),
             )
         )
-    extent = patterns.agg(F.max(F.length("pattern")).alias("longest")).first()
-    longest = int(extent["longest"] or 1)
     size = F.length("pattern")
     allowed = F.filter(
         F.sequence(F.lit(0), F.lit(max_mismatches)), lambda m: F.lit(1.0) - m / size >= F.lit(float(min_identity))
@@ -167,21 +187,43 @@ def pattern_hits(
         "pattern_id", "pattern", "center", "orientation", "_blocks", F.col("_b.block").alias("_block"), F.col("_b.at").alias("_at"),
         F.col("_b.len").alias("_len"), F.col("_b.kmer").alias("_kmer"),
     )
-    lengths = sorted(r["_len"] for r in seeds.select("_len").distinct().collect())  # a handful of block lengths
-    pieces = segments(reads, longest, read_id, seq)
+    facts = _seed_facts(seeds)
+    pieces = segments(attach(reads.select(read_id, seq), facts.select("_longest"), []), F.col("_longest"), read_id, seq, ["_longest"])
+    pieces = attach(pieces, facts.select("_lens", "_bits"), [])
     own = F.least(F.lit(SEGMENT), F.col("read_length") - F.col("seg_start"))
     offset = F.col("seg_start") - F.col("seg_from")
-    kmers = pieces.select(
-        read_id, "read_length", "seg_start", offset.alias("_shift"), "piece", F.explode(F.sequence(offset, offset + own - 1)).alias("_p")
-    )
-    # the window around a position: `longest` bases before it and after it, cut once from the short piece
-    before = F.least(F.col("_p"), F.lit(longest))
+
+    def places(n: Column) -> Column:
+        """Places whose k-mer of ``n`` bases may be a seed, with the ``_longest`` bases before and after.
+
+        A letter of a string is found by counting from its beginning, so k-mers are cut from parts of ``CUT`` letters.
+        """
+        def kmers_of(part: Column, at: Column, size: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), size - 1), lambda r: F.struct((at + r).alias("p"), _slot(F.substring(part, r + 1, n)).alias("s")))
+
+        def seen_in(c: Column) -> Column:
+            at = offset + c * CUT
+            part = F.substring("piece", at + 1, n + (CUT - 1))
+            return F.filter(
+                let(part, lambda text: kmers_of(text, at, F.least(F.lit(CUT), own - c * CUT))),
+                lambda x: F.getbit(F.get("_bits", F.shiftright(x["s"], 6)), x["s"].bitwiseAND(63)) == 1,
+            )
+
+        seen = F.flatten(F.transform(indices(F.ceil(own / F.lit(float(CUT)))), seen_in))
+        before = lambda p: F.least(p, F.col("_longest"))
+        return F.transform(
+            seen,
+            lambda x: F.struct(
+                (F.col("seg_from") + x["p"]).alias("pos"), before(x["p"]).alias("before"), n.alias("len"),
+                F.substring("piece", x["p"] - before(x["p"]) + 1, before(x["p"]) + F.col("_longest")).alias("context"),
+            ),
+        )
+
+    kmers = pieces.select(read_id, "read_length", F.explode(F.flatten(F.transform("_lens", places))).alias("_c"))
     kmers = kmers.select(
-        read_id, "read_length", (F.col("seg_start") + F.col("_p") - F.col("_shift")).alias("_pos"), before.alias("_before"),
-        F.substring("piece", F.col("_p") - before + 1, before + longest).alias("_context"),
+        read_id, "read_length", F.col("_c.pos").alias("_pos"), F.col("_c.before").alias("_before"), F.col("_c.context").alias("_context"),
+        F.col("_c.len").alias("_len"), F.substring("_c.context", F.col("_c.before") + 1, F.col("_c.len")).alias("_kmer"),
     )
-    kmers = kmers.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in lengths])))
-    kmers = kmers.withColumn("_kmer", F.substring("_context", F.col("_before") + 1, F.col("_len")))
     joined = kmers.join(seeds, ["_len", "_kmer"])
     joined = joined.withColumn("start", F.col("_pos") - F.col("_at"))
     joined = joined.where((F.col("start") >= 0) & (F.col("start") + size <= F.col("read_length")))
@@ -232,26 +274,65 @@ def find_patterns(reads: DataFrame, patterns: DataFrame, **options) -> DataFrame
     return select_non_overlapping(pattern_hits(reads, patterns, **options), options.get("read_id", "read_id"))
 
 
+def _level(lo: Column, hi: Column, bin_size: int) -> Column:
+    """The level whose bins, ``bin_size * 2**level`` wide, are at least as wide as the interval, so that it lies in two at most."""
+    return F.greatest(F.ceil(F.log2((hi - lo) / F.lit(float(bin_size)))), F.lit(0)).cast("int")
+
+
+def _binned(lo: Column, hi: Column, levels: Column, bin_size: int) -> Column:
+    """array<struct<_level, _bin>>: the bins of the interval at each of the levels."""
+    def at(level: Column) -> Column:
+        wide = F.pow(F.lit(2.0), level) * bin_size
+        numbers = F.sequence(F.floor(lo / wide), F.floor((hi - 1) / wide))
+        return F.transform(numbers, lambda b: F.struct(level.alias("_level"), b.alias("_bin")))
+
+    return F.flatten(F.transform(levels, at))
+
+
 def anti_overlap(
     windows: DataFrame, intervals: DataFrame, pad: int = 0, bin_size: int = 1024,
     read_id: str = "read_id", start: str = "left", end: str = "right",
 ) -> DataFrame:
     """Windows [start, end) that touch no interval of their read padded by ``pad``.
 
-    Both sides are cut to bins, so the overlap test is an equi-join on (read, bin) with a residual predicate and a
-    read with very many windows or intervals spreads over its bins.
+    Bins double in width from level to level, and a row stands in at most two bins of its own level, however long it
+    is. Of two rows the one of the lower level looks the other up at the other's level: zones stand at their own level and windows
+    at it and at those higher ones that some zone has; zones of lower levels than a window's go up to it. The overlap test
+    is an equi-join on (read, side, level, bin) with a residual predicate.
     """
-    def bins(lo: Column, hi: Column) -> Column:
-        return F.sequence(F.floor(lo / bin_size), F.floor((hi - 1) / bin_size))
-
     zones = intervals.select(
         F.col(read_id), F.greatest(F.col("start") - pad, F.lit(0)).alias("_zs"), (F.col("end") + pad).alias("_ze")
     ).where("_ze > _zs")
-    zones = zones.withColumn("_bin", F.explode(bins(F.col("_zs"), F.col("_ze"))))
+    zones = zones.withColumn("_own", _level(F.col("_zs"), F.col("_ze"), bin_size))
     keys = [read_id, start, end]
     filled = windows.where(F.col(end) > F.col(start))
-    slots = filled.select(*keys).distinct().withColumn("_bin", F.explode(bins(F.col(start), F.col(end))))
-    touched = slots.join(zones, [read_id, "_bin"]).where((F.col(start) < F.col("_ze")) & (F.col(end) > F.col("_zs")))
+    slots = filled.select(*keys).distinct().withColumn("_own", _level(F.col(start), F.col(end), bin_size))
+
+    def levels(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.collect_set("_own").alias(name))  # a few dozen numbers
+
+    def rows(df: DataFrame, other: DataFrame, lo: str, hi: str, own_sides: Sequence[str], up_side: str) -> DataFrame:
+        df = attach(df, levels(other, "_theirs"), [])
+        theirs = F.coalesce("_theirs", F.array().cast("array<int>"))
+        lower = F.filter(F.array("_own"), lambda x: F.exists(theirs, lambda t: t < x))
+        wanted = {"z": F.array("_own"), "w": lower}
+        sides = [F.struct(F.lit(s).alias("_side"), wanted[s].alias("_levels")) for s in own_sides]
+        sides.append(F.struct(F.lit(up_side).alias("_side"), F.filter(theirs, lambda x: x > F.col("_own")).alias("_levels")))
+        spread = F.flatten(
+            F.transform(
+                F.array(*sides),
+                lambda g: F.transform(
+                    _binned(F.col(lo), F.col(hi), g["_levels"], bin_size),
+                    lambda b: F.struct(g["_side"].alias("_side"), b["_level"].alias("_level"), b["_bin"].alias("_bin")),
+                ),
+            )
+        )
+        return df.withColumn("_k", F.explode(spread)).select(read_id, lo, hi, "_k.*")
+
+    # side z: zones at their own level meet windows at it (windows of that level or lower); side w: zones gone up to a window's level
+    placed = rows(zones, slots, "_zs", "_ze", ["z"], "w")
+    looked = rows(slots, zones, start, end, ["z", "w"], "z")
+    touched = looked.join(placed, [read_id, "_side", "_level", "_bin"]).where((F.col(start) < F.col("_ze")) & (F.col(end) > F.col("_zs")))
     return filled.join(touched.select(*keys).distinct(), keys, "left_anti")
 
 
