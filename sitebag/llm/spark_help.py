@@ -12,30 +12,20 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-__all__ = ["dealt_join", "filter_bits", "in_bits", "partitions", "read", "releasing", "slot_bits", "slot_column", "staged", "take", "text_batches"]
+__all__ = ["arrow_rows", "dealt_join", "filter_bits", "in_bits", "partitions", "read", "releasing", "slot_bits", "slot_column", "staged", "take"]
 
 FILTER_BITS = 24
 HOT_ROWS = 1000
 
 
-ARROW_ROWS = 1000
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder, for maps over whole texts (:func:`text_batches`)."""
-    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Let Arrow batches have at most ``ARROW_ROWS`` rows.
-
-    Rows are whole texts, and a batch stands in memory several times, in the JVM and in the worker; Spark's own limit is
-    meant for rows of numbers. A smaller limit of the session stays.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """Rows of an Arrow batch from here on. A batch of whole texts stands in memory several times, in the JVM and in the
+    worker, so a stage that only maps over texts asks for fewer rows than Spark's 10,000, which suit rows of numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def partitions(spark: SparkSession) -> int:
