@@ -13,12 +13,17 @@ from sitebag.llm import secret_scan, toxicity
 from sitebag.llm.jaccard import jaccard_components
 from sitebag.llm.packing import pack_documents
 from sitebag.llm.passages import repeated_passages, without_passages
-from sitebag.llm.spark_help import read, staged, text_batches
+from sitebag.llm.spark_help import arrow_rows, read, staged
 from sitebag.llm.tokenizer_files import tokenizer_file
 
 
+#: Rows of an Arrow batch in stages that map over whole texts, and in those that also move many rows of numbers.
+TEXT_ROWS, NUMBER_ROWS = 1000, 10_000
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go. The chain learns from the labels of documents still here."""
+    arrow_rows(spark, TEXT_ROWS)
     return toxicity.without_toxic(docs, toxicity.train_toxicity(docs, read(spark, sf_dir, "labels")))
 
 
@@ -27,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A row without doc_id is nobody's copy and stays.
     """
-    text_batches(spark)
+    arrow_rows(spark, NUMBER_ROWS)
     found = jaccard_components(docs)
     kept = staged(found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
     one = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
@@ -36,19 +41,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has too are cut out; a document of which nothing is left goes."""
-    text_batches(spark)
+    arrow_rows(spark, NUMBER_ROWS)
     return without_passages(docs, repeated_passages(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes."""
-    text_batches(spark)
+    arrow_rows(spark, TEXT_ROWS)
     return secret_scan.masked(docs, secret_scan.thresholds(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, tokenized and packed into sequences of at most 2048 tokens."""
-    text_batches(spark)
+    arrow_rows(spark, TEXT_ROWS)
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"), 2048)
 
 
