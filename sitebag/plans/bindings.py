@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import stage_path
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -99,6 +102,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **parts)
 
 
+def fasta(get, spark: SparkSession) -> str:
+    """The contigs as wrapped FASTA text; its path."""
+    path = stage_path(spark, "fasta")
+    wrapped = F.regexp_replace("ref_seq", "(.{60})", "$1\n")
+    get("v_contigs").select(F.concat(F.lit(">"), F.col("contig"), F.lit(" made from a page\n"), wrapped)).write.text(path)
+    return path
+
+
 def _needs(name: str, seen: list[str]) -> None:
     for n in _NAME.findall(VIEWS.get(name, "")):
         if n in VIEWS:

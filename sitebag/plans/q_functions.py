@@ -10,6 +10,9 @@ from ..functions import sequence as Q
 from ..functions import signal as G
 from ..functions.arrays import let
 from ..operators import metrics as M
+from ..operators.chunks import with_reference
+from ..sources.fasta import read_fasta_bins
+from .bindings import fasta
 from .registry import query, rounded
 
 # checker helper: the letters of a read with their positions
@@ -390,9 +393,11 @@ def _(get, spark):
     SELECT read_id, aligned_fraction, ref_span, identity, ref_span >= 25 AND ref_span <= ceil(2.5*n) AS span_ok FROM g""",
 )
 def _(get, spark):
-    rows = get("v_aligned").where("cigar <> '*'").join(get("v_contigs"), "contig")
-    m = A.aligned_identity(
-        Q.bases(F.col("seq")), A.query_to_ref(F.col("cigar"), F.col("pos0")), F.col("ref_seq"), F.lit(0), F.col("flag").bitwiseAND(16) != 0
-    )
+    """The reference comes from its bins: each read meets those it spans, no contig is ever one value."""
+    rows = get("v_aligned").where("cigar <> '*'").select("read_id", "n", "seq", "contig", "flag", A.query_to_ref(F.col("cigar"), F.col("pos0")).alias("places"))
+    known = F.filter("places", lambda p: p >= 0)
+    rows = rows.withColumn("low", F.array_min(known)).withColumn("high", F.array_max(known) + 1)
+    rows = with_reference(rows, read_fasta_bins(spark, fasta(get, spark), 500, 16), ["read_id"], "low", "high", 500)
+    m = A.aligned_identity(Q.bases(F.col("seq")), F.col("places"), F.col("reference"), F.col("low"), F.col("flag").bitwiseAND(16) != 0)
     out = rows.select("read_id", "n", m.alias("m")).select("read_id", "n", "m.*")
     return out.withColumn("span_ok", A.span_allowed(F.col("ref_span"), F.col("n"))).drop("n")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as Q
+from ..operators import chunks as K
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import pairs as C
@@ -14,7 +15,9 @@ from ..operators import sites as S
 from ..operators import windows as W
 from ..operators.reads import alignment_profile
 from ..session import stage_path, staged
+from ..sources.fasta import read_fasta_bins
 from ..sources.sam import read_sam
+from .bindings import fasta
 from .q_functions import BASES, CALLS, called_bases
 from .registry import query, rounded
 
@@ -395,6 +398,87 @@ def _(get, spark):
     return pairs.where("presence = 'shared'").select("read_id", "edit_distance")
 
 
+CHUNK_LIMITS = {"mapq": 5, "read_identity": 0.97, "read_aligned_fraction": 0.93, "chunk_aligned_fraction": 0.97, "chunk_identity": 0.25, "max_target": 81}
+
+
+def chunk_inputs(get, spark):
+    """Alignments with move tables (a base each 5 values; some broken), their signals (some missing or short) and the contigs."""
+    rows, k = get("v_aligned"), F.col("read_id")
+    moves = F.repeat(F.lit(",1"), F.when(k % 11 == 3, F.col("n") - 1).otherwise(F.col("n")).cast("int"))
+    tags = F.array_compact(
+        F.array(
+            F.concat(F.lit("NM:i:"), F.col("nm")), F.concat(F.lit("dx:i:"), F.when(F.col("dx") == 1, 1).otherwise(0)),
+            F.when(k % 7 != 0, F.concat(F.lit("mv:B:c,"), F.when(k % 23 == 5, 0).otherwise(5), moves)),
+            F.concat(F.lit("ns:i:"), F.col("n") * 5 + 10), F.lit("ts:i:10"),
+        )
+    )
+    unmapped = F.col("flag").bitwiseAND(4) != 0
+    path = stage_path(spark, "sam")
+    rows.select(
+        F.concat_ws(
+            "\t", F.concat(F.lit("r"), k), F.col("flag"), F.when(unmapped, "*").otherwise(F.col("contig")),
+            F.when(unmapped, 0).otherwise(F.col("pos0") + 1), F.col("mapq"), F.col("cigar"), F.lit("*"), F.lit("0"), F.lit("0"),
+            F.when(F.col("seq") == "", "*").otherwise(F.col("seq")), F.lit("*"), F.array_join(tags, "\t"),
+        ).alias("value")
+    ).write.text(path)
+    length = (F.col("n") * 5 + F.when(k % 17 == 2, 5).otherwise(10)).cast("int")
+    values = F.transform(F.sequence(F.lit(1), length), lambda i: (i % 97).cast("smallint"))
+    signals = rows.where((k % 13 != 1) & (length > 0)).select(F.concat(F.lit("r"), k).alias("signal_id"), values.alias("signal"))
+    return read_sam(spark, path), signals, read_fasta_bins(spark, fasta(get, spark), 500, 16)
+
+
+CHUNK_SQL = f"""r AS (SELECT *, flag & 16 <> 0 AS rev FROM v_aligned WHERE {PRIMARY}),
+  k AS (SELECT *, CASE WHEN mapq < 5 THEN 'low_mapq' WHEN greatest(0, 1 - nm/(n-clip+2)::DOUBLE) < 0.97 THEN 'low_read_identity'
+      WHEN (n-clip-1)/n::DOUBLE < 0.93 THEN 'low_read_aligned_fraction' WHEN read_id % 13 = 1 THEN 'missing_signal' WHEN read_id % 17 = 2 THEN 'invalid_interval'
+      WHEN 5*n < {CHUNK} THEN 'signal_too_short' WHEN read_id % 23 = 5 THEN 'invalid_move_table' WHEN read_id % 11 = 3 THEN 'move_seq_mismatch' END AS why FROM r),
+  w AS (SELECT read_id, n, clip, third, pos0, rev, contig, unnest(generate_series((5*n-{CHUNK}) % {CHUNK - OVERLAP}, 5*n-{CHUNK}, {CHUNK - OVERLAP})) AS ws FROM k WHERE why IS NULL),
+  e AS (SELECT *, CAST(ceil((ws-2)/5::DOUBLE) AS INT) AS "left", CAST(ceil((ws+{CHUNK}-2)/5::DOUBLE) AS INT) AS "right" FROM w),
+  b AS (SELECT *, CASE WHEN rev THEN n-1-j ELSE j END AS i FROM (SELECT *, unnest(range("left", "right")) AS j FROM e)),
+  p AS (SELECT *, CASE WHEN i < clip THEN NULL WHEN i < clip + third THEN pos0 + i - clip WHEN i = clip + third THEN NULL
+      WHEN i < clip + 2*third + 1 THEN pos0 + i - clip - 1 ELSE pos0 + i - clip + 1 END AS pos FROM b),
+  q AS (SELECT p.*, CASE WHEN rev THEN translate(x.b, 'ACGT', 'TGCA') ELSE x.b END AS b, c.b AS r FROM p
+      JOIN (SELECT read_id, unnest(range(n)) AS i, unnest(string_split(seq, '')) AS b FROM v_aligned WHERE n > 0) x ON x.read_id = p.read_id AND x.i = p.i
+      LEFT JOIN (SELECT contig, unnest(range(length(ref_seq))) AS pos, unnest(string_split(ref_seq, '')) AS b FROM v_contigs) c ON c.contig = p.contig AND c.pos = p.pos),
+  g AS (SELECT read_id, contig, rev, ws, "left", "right", count(pos)/count(*)::DOUBLE AS af, CAST(min(pos) AS INT) AS ref_start, CAST(max(pos) - min(pos) + 1 AS INT) AS ref_span,
+      CASE WHEN count(r) = 0 THEN 0 ELSE count(CASE WHEN b = r THEN 1 END)/count(r)::DOUBLE END AS identity FROM q GROUP BY ALL),
+  t AS (SELECT g.*, CASE WHEN rev THEN reverse(translate(f, 'ACGT', 'TGCA')) ELSE f END AS target FROM (SELECT g.*, substr(ref_seq, ref_start + 1, ref_span) AS f FROM g LEFT JOIN v_contigs c ON c.contig = g.contig) g),
+  z AS (SELECT *, CASE WHEN af < 0.97 THEN 'low_aligned_fraction' WHEN ref_span < 25 THEN 'short_reference' WHEN ref_span > ceil(2.5*("right" - "left")) THEN 'long_reference'
+      WHEN coalesce(length(target), 0) <> ref_span THEN 'no_reference' WHEN identity < 0.25 THEN 'low_base_identity' WHEN NOT contains(target, 'A') THEN 'no_a'
+      WHEN ref_span > 81 THEN 'too_long' END AS why FROM t)"""
+
+
+def chunks(get, spark):
+    records, signals, bins = chunk_inputs(get, spark)
+    return K.chunk_rows(records, signals, bins, CHUNK, OVERLAP, CHUNK_LIMITS, "dna", 500)
+
+
+@query(
+    "f1_chunk_table",
+    f"""WITH {CHUNK_SQL} SELECT concat('r', read_id) AS read_id, CAST(ws AS INT) AS window_start, "left", "right", ref_start, ref_span, round(af, 6) AS aligned_fraction, round(identity, 6) AS identity,
+      md5(target) AS digest, CAST(4*(length(target) - length(replace(target, 'A', ''))) - 100*length(replace(target, 'A', '')) AS BIGINT) AS target_sum FROM z WHERE why IS NULL""",
+)
+def _(get, spark):
+    """Records -> signals -> moves -> windows -> bases -> reference -> rules -> targets: the chunks that are kept."""
+    rows = chunks(get, spark).where("reject_reason IS NULL")
+    labels = F.aggregate("targets", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    out = rows.select("read_id", "window_start", "left", "right", "ref_start", "ref_span", "aligned_fraction", "identity", F.md5("target_seq").alias("digest"), labels.alias("target_sum"))
+    return rounded(out, "aligned_fraction", "identity")
+
+
+REASONS = ", ".join(f"('{r}')" for r in (*K.RECORD_REASONS, *K.CHUNK_REASONS, "written", "seen"))
+
+
+@query(
+    "f3_chunk_counters",
+    f"""WITH {CHUNK_SQL}, v AS (SELECT why FROM k WHERE why IS NOT NULL UNION ALL SELECT coalesce(why, 'written') FROM z),
+      l AS (SELECT counter FROM (VALUES {REASONS}) t(counter))
+    SELECT counter, CASE WHEN counter = 'seen' THEN (SELECT count(*) FROM v) ELSE (SELECT count(*) FROM v WHERE why = counter) END AS rows FROM l""",
+)
+def _(get, spark):
+    """The counters of the same pass that writes the chunks."""
+    return K.write_chunks_counted(chunks(get, spark), stage_path(spark, "chunks"))
+
+
 SIMPLE = f"""{SIDES}, p AS (SELECT read_id, a.seq AS sa, b.seq AS sb, a.quality AS qa, b.quality AS qb, levenshtein(a.seq, b.seq) AS d,
   1 - levenshtein(a.seq, b.seq)/greatest(length(a.seq), length(b.seq))::DOUBLE AS identity FROM a JOIN b USING (read_id))"""
 

@@ -13,6 +13,7 @@ from ..sources.fasta import read_fasta_bins
 from ..sources.sam import tag_double, tag_int, tag_ints
 from ..sources.tables import read_history, read_manifest, read_result_tree, read_sites, write_report
 from ..streaming import latest, start_updates, stream_counters, stream_site_stats
+from .bindings import fasta
 from .q_reads import sam_records
 from .q_samples import REASON, SPLIT, tagged, with_split
 from .registry import query, rounded
@@ -114,14 +115,6 @@ def _(get, spark):
     return read_sites(spark, path, ignore_strand=True).select("contig", "pos", "strand", "end", "name", "support")
 
 
-def fasta(get, spark):
-    """The contigs as wrapped FASTA text."""
-    path = stage_path(spark, "fasta")
-    wrapped = F.regexp_replace("ref_seq", "(.{60})", "$1\n")
-    get("v_contigs").select(F.concat(F.lit(">"), F.col("contig"), F.lit(" made from a page\n"), wrapped)).write.text(path)
-    return path
-
-
 @query(
     "s6_read_fasta_bins",
     """WITH b AS (SELECT contig, ref_seq, unnest(range((length(ref_seq) + 499)//500)) AS bin FROM v_contigs)
