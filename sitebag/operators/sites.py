@@ -72,6 +72,24 @@ def site_stats(
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def site_sums(calls: DataFrame, keys: Sequence[str] = SITE, prob: str = "prob", exact_sum: float | None = None) -> DataFrame:
+    """Coverage, called rows and summed probability of each site: sums that can be added up further."""
+    level = F.round(F.col(prob) / exact_sum).cast("bigint") if exact_sum else F.col(prob)
+    return calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("coverage"), F.count(prob).alias("num_mod_calls"), F.sum(level).alias("_level_sum"))
+
+
+def scores_of_sums(sums: DataFrame, score: str = "mean_prob_zero_filled", exact_sum: float | None = None, keys: Sequence[str] = SITE) -> DataFrame:
+    """``keys, coverage, score`` of :func:`site_sums`, added up over ``keys``; any score but the median."""
+    sums = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("coverage", "num_mod_calls", "_level_sum")])
+    total = F.col("_level_sum") * F.lit(float(exact_sum)) if exact_sum else F.col("_level_sum")
+    values = {
+        "mod_fraction": F.col("num_mod_calls") / F.col("coverage"),
+        "mean_prob_zero_filled": F.coalesce(total, F.lit(0.0)) / F.col("coverage"),
+        "mean_called_prob": F.when(F.col("num_mod_calls") > 0, total / F.col("num_mod_calls")),
+    }
+    return sums.select(*keys, "coverage", F.coalesce(values[score], F.lit(0.0)).alias("score"))
+
+
 def project_calls(
     records: DataFrame,
     base: str = "A",
@@ -209,55 +227,56 @@ def convention_sweep(
 ) -> DataFrame:
     """Metrics of every (convention, shift) in one job, best first by (roc, average precision, largest top-n, gold).
 
-    Sites are aggregated once per strand view. A site is positive for the few combinations its key matches; the
-    negatives of a combination are all remaining sites, so they come from the shared score histogram minus the
-    matched counts instead of from a copy of all sites per combination.
+    Raw calls are aggregated once; the view without strands adds those sums up. A site is positive for the few combinations its
+    key matches, all others are its negatives. So each view is counted by score and cumulated once, whatever the number of
+    combinations, and a combination's matched scores look up how many sites lie at or above them: areas and
+    counts follow from these numbers and the matched ones alone. (A median does not add up; there the calls are aggregated
+    for each view.)
     """
-    both = site_stats(calls, **stats).select(*SITE, "coverage", "score").withColumn("view", F.lit("strand"))
-    flat = site_stats(collapse_strand(calls), **stats).select(*SITE, "coverage", "score").withColumn("view", F.lit("flat"))
-    sites = staged(both.unionByName(flat), "sites")  # one row per site: scored against every combination below
+    if stats.get("score") == "median_called_prob":
+        both = site_stats(calls, **stats).select(*SITE, "coverage", "score")
+        flat = site_stats(collapse_strand(calls), **stats).select(*SITE, "coverage", "score")
+    else:
+        exact, score = stats.get("exact_sum"), stats.get("score", "mean_prob_zero_filled")
+        sums = staged(site_sums(calls, SITE, stats.get("prob", "prob"), exact), "sums")
+        both, flat = scores_of_sums(sums, score, exact), scores_of_sums(collapse_strand(sums), score, exact)
+    sites = both.withColumn("view", F.lit("strand")).unionByName(flat.withColumn("view", F.lit("flat")))
+    sites = staged(sites, "sites")  # one row per site: matched, counted and ranked below
     moved = convention_grid(gold, shifts, conventions).withColumn(
         "view", F.when(F.col("convention") == "ignore", F.lit("flat")).otherwise(F.lit("strand"))
     )
     hits = moved.join(sites, ["view", *SITE], "left")
     combo = ["convention", "shift"]
-    totals = hits.groupBy(*combo).agg(
+    totals = hits.groupBy(*combo, "view").agg(
         F.count(F.lit(1)).alias("gold_sites"), F.count("coverage").alias("covered_before_filter")
     )
     kept = sites.where(F.col("coverage") >= floor)
-    all_counts = kept.groupBy("view", "score").agg(F.count(F.lit(1)).alias("_n"))
-    grid = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("convention"),
-                F.lit(int(s)).alias("shift"),
-                F.lit("flat" if c == "ignore" else "strand").alias("view"),
-            )
-            for c in conventions
-            for s in shifts
-        ]
-    )
-    spread = (
-        all_counts.withColumn("_g", F.explode(grid))
-        .where(F.col("_g.view") == F.col("view"))
-        .select("_g.convention", "_g.shift", "score", F.lit(0).cast("bigint").alias("p"), F.col("_n").alias("n"))
-    )
-    matched = (
-        hits.where(F.col("coverage") >= floor)
-        .groupBy(*combo, "score")
-        .agg(F.count(F.lit(1)).alias("p"))
-        .select(*combo, "score", "p", (-F.col("p")).alias("n"))
+    counts = kept.groupBy("view", "score").agg(F.count(F.lit(1)).alias("n"))
+    above = M.cumulate(counts.withColumn("p", F.lit(0).cast("bigint")), ["view"])
+    above = above.select("view", "score", F.col("n").alias("_at"), F.col("fp").alias("_above"))
+    per_view = kept.groupBy("view").agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col("score") >= threshold).alias("_called"))
+    matched = hits.where(F.col("coverage") >= floor).groupBy(*combo, "view", "score").agg(F.count(F.lit(1)).alias("p"))
+    matched = M.cumulate(matched.withColumn("n", F.lit(0).cast("bigint")), [*combo, "view"])
+    matched = matched.select(*combo, "view", "score", "p", "tp", "positives").join(above, ["view", "score"]).join(per_view, "view")
+    p, tp = F.col("p"), F.col("tp")
+    negatives = F.col("_all") - F.col("positives")
+    below = negatives - (F.col("_above") - tp)
+    areas = matched.groupBy(*combo).agg(
+        F.sum(p).alias("_p"),
+        F.sum(F.when(F.col("score") >= threshold, p).otherwise(0)).alias("_tp"),
+        F.sum(M.wide(p) * M.wide(2 * below + F.col("_at") - p)).alias("_area"),
+        F.sum(p * (tp / F.col("_above"))).alias("_ap"),
     )
-    hist = spread.unionByName(matched).groupBy(*combo, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    hist = staged(hist, "hist")
-    areas = M.auc_summary(M.cumulate(hist, combo), combo)
-    at = F.col("score") >= threshold
-    counts = hist.groupBy(*combo).agg(
-        F.sum(F.when(at, F.col("p")).otherwise(0)).alias("tp"),
-        F.sum(F.when(at, F.col("n")).otherwise(0)).alias("fp"),
-        F.sum("p").alias("evaluated_gold_sites"),
-        F.sum("n").alias("evaluated_negative_sites"),
+    scored = totals.join(per_view, "view", "left").join(areas, combo, "left")
+    known = F.col("_all").isNotNull()
+    zero = lambda c: F.when(known, F.coalesce(F.col(c), F.lit(0)))
+    scored = scored.select(
+        *combo, "gold_sites", "covered_before_filter", "_area", "_ap", zero("_tp").alias("tp"), (F.col("_called") - zero("_tp")).alias("fp"),
+        zero("_p").alias("evaluated_gold_sites"), (F.col("_all") - zero("_p")).alias("evaluated_negative_sites"),
     )
+    pos, neg = F.col("evaluated_gold_sites").cast("double"), F.col("evaluated_negative_sites").cast("double")
+    scored = scored.withColumn("roc_auc", F.when((pos > 0) & (neg > 0), F.col("_area").cast("double") / (2.0 * pos * neg)))
+    scored = scored.withColumn("average_precision", F.when((pos > 0) & (neg > 0), F.col("_ap") / pos))
     # the ranking of sites does not depend on the combination, so one top-k per strand view serves all of them
     order = [F.col("score").desc(), *[F.col(k) for k in SITE]]
     best = None
@@ -267,8 +286,7 @@ def convention_sweep(
         best = part if best is None else best.unionByName(part)
     ranked = moved.join(best.select("view", *SITE, "_rn"), ["view", *SITE])
     tops = ranked.groupBy(*combo).agg(*[F.count_if(F.col("_rn") <= n).alias(f"_top{n}") for n in top_ns])
-    out = totals.join(counts, combo, "left").join(areas.drop("positives", "negatives"), combo, "left")
-    out = out.join(tops, combo, "left")
+    out = scored.join(tops, combo, "left")
     tp, fp, pos = F.col("tp"), F.col("fp"), F.col("evaluated_gold_sites")
     return out.select(
         *combo,
