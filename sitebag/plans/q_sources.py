@@ -12,7 +12,7 @@ from ..sources.chunks import read_chunks, write_chunks
 from ..sources.fasta import read_fasta_bins
 from ..sources.sam import tag_double, tag_int, tag_ints
 from ..sources.tables import read_history, read_manifest, read_result_tree, read_sites, write_report
-from ..streaming import latest, start_updates, stream_counters, stream_site_stats
+from ..streaming import latest, start_progress, start_updates, stream_counters, stream_site_stats
 from .bindings import fasta
 from .q_reads import sam_records
 from .q_samples import REASON, SPLIT, tagged, with_split
@@ -271,3 +271,31 @@ def _(get, spark):
 def _(get, spark):
     stream = arriving(spark, tagged(get).select("sample_id", "reject_reason"), "sample_id")
     return replay(spark, stream_counters(stream), "counters", ["counter"])
+
+
+@query(
+    "x1_stream_medians",
+    """SELECT event_type AS contig, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS coverage, quantile_disc(CASE WHEN value > 1 THEN value END, 0.5) AS median_called_prob
+    FROM events GROUP BY ALL""",
+)
+def _(get, spark):
+    """Median by day from the sketch in the streaming state, over several micro-batches."""
+    stream = arriving(spark, event_calls(get), "event_id")
+    stats = stream_site_stats(stream, ["contig"], ident="event_id", event_time="ts", watermark="365 days", window="1 day", median=True, accuracy=1_000_000)
+    out = replay(spark, stats, "medians", ["contig", "window"])
+    return out.select("contig", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "coverage", "median_called_prob")
+
+
+@query(
+    "x2_stream_each_hundred",
+    f"""WITH t AS (SELECT count(CASE WHEN {REASON} IS NULL THEN 1 END) AS written, count({REASON}) AS rejected FROM v_samples)
+    SELECT unnest(generate_series(CAST(100 AS BIGINT), written - written % 100, 100)) AS written, true AS between FROM t""",
+)
+def _(get, spark):
+    """A report at every hundredth accepted row; its rejected rows lie between those of its micro-batch's ends."""
+    stream = arriving(spark, tagged(get).select("sample_id", "reject_reason"), "sample_id")
+    path = stage_path(spark, "progress")
+    start_progress(stream, 100, path, stage_path(spark, "log")).awaitTermination()
+    found = spark.read.parquet(f"{path}/progress")
+    total = tagged(get).agg(F.count("reject_reason")).scalar()
+    return found.select("written", ((F.col("rejected_before") <= F.col("rejected")) & (F.col("rejected") <= total)).alias("between"))

@@ -17,8 +17,13 @@ def stream_site_stats(
     event_time: str | None = None,
     watermark: str = "1 hour",
     window: str | None = None,
+    median: bool = False,
+    accuracy: int = 10_000,
 ) -> DataFrame:
-    """Running coverage, called count and zero-filled mean per site.
+    """Running coverage, called count and zero-filled mean per site, with ``median`` also the median of the called values.
+
+    The median comes from a mergeable quantile sketch that is part of the streaming state: bounded by ``accuracy`` whatever
+    the coverage, it names a called value whose rank is within ``calls / accuracy`` of the middle (exact below ``accuracy`` calls).
 
     With an event time late calls are bounded by the watermark and repeated calls (``ident``) are dropped inside it;
     ``window`` adds a time window to the key, so closed windows leave the state.
@@ -34,6 +39,7 @@ def stream_site_stats(
         F.count(F.lit(1)).alias("coverage"),
         F.count(prob).alias("num_mod_calls"),
         (F.coalesce(F.sum(prob), F.lit(0.0)) / F.count(F.lit(1))).alias("mean_prob_zero_filled"),
+        *([F.percentile_approx(prob, 0.5, accuracy).alias("median_called_prob")] if median else []),
     )
 
 
@@ -42,6 +48,36 @@ def stream_counters(rows: DataFrame, reason: str = "reject_reason") -> DataFrame
     return rows.groupBy(F.coalesce(F.col(reason), F.lit("written")).alias("counter")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def start_progress(rows: DataFrame, every: int, path: str, checkpoint: str, reason: str = "reject_reason") -> StreamingQuery:
+    """Report at every ``every``-th accepted row of a stream of tagged rows: ``written``, and the rows rejected until then.
+
+    A micro-batch is counted by a partial aggregate; its totals and the multiples they pass are written under its id beside the
+    running totals, which the next one reads. Running a batch again replaces both, so every multiple is reported once. Rows of
+    one micro-batch have no order, so ``rejected_before`` and ``rejected`` are the counts at the batch's two ends.
+    """
+    spark = rows.sparkSession
+    start = "written long, rejected long"
+    spark.createDataFrame([(0, 0)], start).coalesce(1).write.mode("ignore").parquet(f"{path}/totals/-1")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        kept = F.col(reason).isNull()
+        counts = batch.agg(F.count_if(kept).alias("more"), F.count_if(~kept).alias("worse"))
+        before = session.read.schema(start).parquet(f"{path}/totals/{number - 1}")
+        now = counts.withColumn("_t", before.select(F.struct("written", "rejected")).scalar())
+        after = [(F.col("_t.written") + F.col("more")).alias("written"), (F.col("_t.rejected") + F.col("worse")).alias("rejected")]
+        now.select(*after).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals/{number}")
+        first = F.floor(F.col("_t.written") / every) + 1
+        last = F.floor((F.col("_t.written") + F.col("more")) / every)
+        passed = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        seen = now.select(F.explode(passed).alias("_k"), "_t", "worse")
+        seen.select(
+            (F.col("_k") * every).alias("written"), F.col("_t.rejected").alias("rejected_before"), (F.col("_t.rejected") + F.col("worse")).alias("rejected")
+        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/progress/batch_id={number}")
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+
+
 def start_updates(
     frame: DataFrame, path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None
 ) -> StreamingQuery:
