@@ -306,14 +306,24 @@ def sensitivity_at_fdr(
     )
 
 
+TOP_ROWS = 100_000
+
+
 def top_n_hits(
     df: DataFrame, ns: Sequence[int], keys: Sequence[str], label: str = "y", score: str = "score"
 ) -> DataFrame:
-    """Share of positives among the first n rows (n capped at the row count): a distributed top-k, then a tiny window."""
+    """Share of positives among the first n rows (n capped at the row count).
+
+    Up to ``TOP_ROWS`` by a distributed top-k and a window over what it leaves; for more by ranks found in bounded buckets.
+    """
     wanted = sorted({int(n) for n in ns if n > 0})
-    order = [F.col(score).desc(), *[F.col(k).asc() for k in keys]]
-    top = df.orderBy(*order).limit(wanted[-1]).select(*[F.col(k) for k in dict.fromkeys([*keys, score, label])])
-    numbered = top.withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
+    rows = df.select(*[F.col(k) for k in dict.fromkeys([*keys, score, label])])
+    if wanted[-1] <= TOP_ROWS:
+        order = [F.col(score).desc(), *[F.col(k).asc() for k in keys]]
+        numbered = rows.orderBy(*order).limit(wanted[-1]).withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
+    else:
+        one = rows.withColumn("_one", F.lit(1).cast("bigint"))
+        numbered = ordered_prefix(one, [-F.col(score), *[F.col(k) for k in keys]], ["_one"]).withColumn("_rn", F.col("_one_before") + 1)
     out = numbered.withColumn("n", F.explode(F.array(*[F.lit(n) for n in wanted]))).where(F.col("_rn") <= F.col("n"))
     return out.groupBy("n").agg(
         F.count(F.lit(1)).alias("rows"),

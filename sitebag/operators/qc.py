@@ -14,6 +14,9 @@ from ..ordering import seed_key, seeded_rank
 FLAG_UNMAPPED, FLAG_REVERSE, FLAG_SECONDARY, FLAG_SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x800
 
 
+TOP_ROWS = 100_000
+
+
 def primary_only(reads: DataFrame, need_tags: Sequence[str] = ("mv", "ns"), flag: str = "flag", tags: str = "tags") -> DataFrame:
     """Mapped primary records that are no duplex parents (``dx`` = 1) and carry the needed tags."""
     def usable(t: Column) -> Column:
@@ -146,8 +149,13 @@ def allow_list(df: DataFrame, col: str, values: Sequence[str] | DataFrame) -> Da
 
 
 def seeded_limit(df: DataFrame, n: int, ident: str, seed: int = 42) -> DataFrame:
-    """n rows of a random order: a distributed top-k on the seed key."""
-    return df.orderBy(seed_key(seed, ident), ident).limit(n)
+    """The first n rows of a random order: a distributed top-k on the seed key, or for many rows their rank in it.
+
+    A top-k ends in one task with n rows, so it serves up to ``TOP_ROWS``; ranks are found in bounded parts. The rows are the same.
+    """
+    if n <= TOP_ROWS:
+        return df.orderBy(seed_key(seed, ident), ident).limit(n)
+    return seeded_rank(df, ident, seed=seed, rank="_rank").where(F.col("_rank") <= n).drop("_rank")
 
 
 def validate_contract(

@@ -1,5 +1,7 @@
 """Rows that ordinary data do not hold: lost groups, short lines, several codes, unknown ids, unlisted values, caps."""
 
+import random
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -141,3 +143,74 @@ def test_ranks_do_not_depend_on_parts(spark):
     whole = sorted((r["id"], r["rn"], r["n"]) for r in seeded_rank(rows, "id", ["g"], size="n").collect())
     cut = sorted((r["id"], r["rn"], r["n"]) for r in seeded_rank(rows, "id", ["g"], size="n", whole_rows=100).collect())
     assert whole == cut
+
+
+def test_large_limits_give_the_same_rows(spark, monkeypatch):
+    from sitebag.operators import metrics, qc
+
+    df = spark.range(400).select(F.col("id"), (F.col("id") * 7 % 23 / 23).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    few = [{r["id"] for r in qc.seeded_limit(df, 150, "id").collect()}, {tuple(r) for r in metrics.top_n_hits(df, [10, 150], ["id"]).collect()}]
+    monkeypatch.setattr(qc, "TOP_ROWS", 5)
+    monkeypatch.setattr(metrics, "TOP_ROWS", 5)
+    assert few == [{r["id"] for r in qc.seeded_limit(df, 150, "id").collect()}, {tuple(r) for r in metrics.top_n_hits(df, [10, 150], ["id"]).collect()}]
+
+
+def test_long_intervals_make_few_rows(spark):
+    from sitebag.operators.joins import _binned, _level, anti_overlap
+
+    long = spark.createDataFrame([(0, 250_000_000)], "lo long, hi long")
+    levels = F.concat(F.array(_level(F.col("lo"), F.col("hi"), 1024)), F.sequence(F.lit(20), F.lit(30)))
+    assert long.select(F.size(_binned(F.col("lo"), F.col("hi"), levels, 1024))).first()[0] < 100
+    rng = random.Random(3)
+    spans = lambda n, sizes: [(rng.choice("ab"), s, s + rng.choice(sizes)) for s in (rng.randrange(0, 9000) for _ in range(n))]
+    windows, zones = spans(120, [1, 60, 300, 5000]), spans(40, [1, 7, 200, 2500])
+    got = anti_overlap(spark.createDataFrame(windows, "read_id string, left int, right int"), spark.createDataFrame(zones, 'read_id string, start int, end int'), 3, 16)
+    want = [w for w in windows if not any(z[0] == w[0] and w[1] < z[2] + 3 and w[2] > max(z[1] - 3, 0) for z in zones)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and 0 < len(want) < len(windows)
+    none = spark.createDataFrame([], "read_id string, start int, end int")
+    assert anti_overlap(spark.createDataFrame(windows, "read_id string, left int, right int"), none, 3, 16).count() == len(windows)
+
+
+def test_calls_are_laid_out_along_the_read(spark):
+    from sitebag.functions.alignment import calls_by_place
+
+    rows = [(1, [(2, 0.5), (5, 0.1)]), (2, []), (3, None), (4, [(0, 1.0)])]
+    df = spark.createDataFrame(rows, "id int, c array<struct<query_pos:int,prob:double>>")
+    got = {r["id"]: r["p"] for r in df.select("id", calls_by_place(F.col("c")).alias("p")).collect()}
+    assert got == {1: [None, None, 0.5, None, None, 0.1], 2: [], 3: [], 4: [1.0]}
+
+
+def test_first_reason_and_counters(spark, tmp_path):
+    from sitebag.operators import chunks
+
+    df = spark.createDataFrame([(1, 5, None), (2, 30, 2), (3, 30, 9), (4, None, 9)], "id int, q int, n int")
+    why = chunks.first_reason(F.when(F.col("id") == 3, "early"), [("low_mapq", F.col("q") >= 10), ("no_a", F.col("n") > 3)])
+    rows = df.withColumn("reject_reason", why)
+    assert {r["id"]: r["reject_reason"] for r in rows.collect()} == {1: "low_mapq", 2: "no_a", 3: "early", 4: "low_mapq"}
+    counters = {r["counter"]: r["rows"] for r in chunks.write_chunks_counted(rows.where("id <> 3").unionByName(rows.where("id = 3").withColumn("reject_reason", F.lit(None).cast("string"))), f"{tmp_path}/c").collect()}
+    assert (counters["low_mapq"], counters["no_a"], counters["written"], counters["seen"], counters["too_long"]) == (2, 1, 1, 4, 0)
+    assert [r["id"] for r in spark.read.parquet(f"{tmp_path}/c").collect()] == [3]
+
+
+def test_reference_from_bins(spark):
+    from sitebag.operators.chunks import with_reference
+
+    text = "ACGTTGCAAC" * 7
+    bins = spark.createDataFrame([("c", b, max(b * 20 - 3, 0), text[max(b * 20 - 3, 0) : b * 20 + 23]) for b in range(4)], "contig string, bin long, start long, seq string")
+    rows = spark.createDataFrame([(1, "c", 5, 8), (2, "c", 15, 65), (3, "c", 60, 90), (4, "d", 0, 9), (5, "c", None, None)], "id int, contig string, lo int, hi int")
+    got = {r["id"]: r["reference"] for r in with_reference(rows, bins, ["id"], "lo", "hi", 20).collect()}
+    assert got == {1: text[5:8], 2: text[15:65], 3: text[60:70], 4: "", 5: None}
+
+
+def test_reports_at_every_nth_row(spark, tmp_path):
+    from sitebag.streaming import start_progress
+
+    schema, rng, written = "id int, reject_reason string", random.Random(2), 0
+    for n in (7, 0, 25, 3, 40):
+        rows = [(i, "bad" if rng.random() < 0.3 else None) for i in range(n)]
+        written += sum(r[1] is None for r in rows)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        start_progress(stream, 10, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination()
+    got = sorted(r["written"] for r in spark.read.parquet(f"{tmp_path}/out/progress").collect())
+    assert got == list(range(10, written + 1, 10)) and len(got) >= 4
