@@ -1,9 +1,13 @@
 """Personal data: pattern matches, and a skip-chain conditional random field that adds what the patterns miss.
 
-Nodes of the field are the words with a digit or an at sign. Neighbouring nodes are joined as in a chain; equal words and
-words of one shape are joined with their next occurrence however far away, so evidence from one place reaches the others.
-Loopy message passing gives each node's label probabilities. Node weights and edge potentials are learned from a bounded
-sample of documents that the patterns label.
+Nodes of the field are the words with a digit or an at sign. Neighbouring nodes are joined as in a chain; words with the same
+letters and digits, and words of one shape, are joined with their next occurrence however far away, so evidence from one
+place reaches the others. Pattern matches are observed labels; loopy message passing gives the other nodes' probabilities.
+
+Node weights and the potentials of the three kinds of edges are trained together by pseudo-likelihood on a bounded sample of
+documents that the patterns label. So that a pattern's own cue (a plus sign, dots) does not explain everything, every second document with
+a match mentions it once more without the cue, labelled alike, and the others mention another number of that length, labelled
+none: only the edges tell the two apart.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import pickle
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -30,6 +34,8 @@ FEATURE_BITS = 12
 ROUNDS = 8
 DAMPING = 0.3
 ADD_AT = 0.9
+KNOWN = 30.0  # log weight of an observed label against the others
+STEPS, RATE, PAIR_RATE = 400, 0.3, 2.0  # potentials are few and move faster than the weights
 NEAR = 2  # words between neighbours of the chain at most
 
 # The patterns of the contract. Where an attempt that fails would be tried again further on, the start is tied to the
@@ -104,6 +110,16 @@ class Nodes:
     features: list[list[int]]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    equal: list[tuple[int, int]] = field(default_factory=list)
+    key: list[str] = field(default_factory=list)
+
+
+KEY_DIGITS = 6
+
+
+def _key(word: str) -> str:
+    """What equal tokens share: letters and digits of a word with enough digits, else the word."""
+    return re.sub(r"[^0-9A-Za-z@]", "", word) if sum("0" <= c <= "9" for c in word) >= KEY_DIGITS else word
 
 
 def _shape(word: str) -> str:
@@ -145,14 +161,16 @@ def nodes(texts: list[str]) -> Nodes:
                 pending = (i, core, before)
                 if w - position <= NEAR:
                     out.chain.append((previous, i))
-                if core in last_equal:
-                    out.skip.append((last_equal[core], i))
+                key = _key(core)
+                out.key.append(key)
+                if key in last_equal:
+                    out.equal.append((last_equal[key], i))
                 else:
                     shape = _shape(core)
                     if shape in last_shape and len(core) > 3:
                         out.skip.append((last_shape[shape], i))
                     last_shape[shape] = i
-                last_equal[core] = i
+                last_equal[key] = i
                 position, previous = w, i
             before = word
     return out
@@ -163,15 +181,24 @@ class SkipChain:
     weights: np.ndarray  # feature, label
     chain: np.ndarray  # log potential of label pairs of neighbours
     skip: np.ndarray
+    equal: np.ndarray = field(default_factory=lambda: np.zeros((len(LABELS),) * 2))
+
+    def marginals(self, n: Nodes, observed: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of each node after ``ROUNDS`` rounds of damped sum-product messages along all edges.
 
-    def marginals(self, n: Nodes) -> np.ndarray:
-        """Label probabilities of each node after ``ROUNDS`` rounds of damped sum-product messages along all edges."""
+        ``observed`` has the known label of a node, 0 where none is.
+        """
         if not n.doc:
             return np.zeros((0, len(LABELS)))
         unary = self.weights[np.array(n.features)].sum(axis=1)
-        edges = np.array(n.chain + n.skip, dtype=np.int64).reshape(-1, 2)
+        if observed is not None:
+            known = np.flatnonzero(observed)
+            unary[known] = -KNOWN
+            unary[known, observed[known]] = KNOWN
+        edges = np.array(n.chain + n.skip + n.equal, dtype=np.int64).reshape(-1, 2)
         if len(edges):
-            pair = np.concatenate([np.repeat(self.chain[None], len(n.chain), 0), np.repeat(self.skip[None], len(n.skip), 0)])
+            kinds = ((self.chain, n.chain), (self.skip, n.skip), (self.equal, n.equal))
+            pair = np.concatenate([np.repeat(potential[None], len(own), 0) for potential, own in kinds])
             source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
             pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
@@ -199,35 +226,61 @@ def _labels(n: Nodes, spans: list[list[Span]]) -> np.ndarray:
     return out
 
 
+def with_mentions(texts: list[str]) -> list[str]:
+    """Training texts: of those with a number as a match every second mentions its digits again, the others mention other digits."""
+    out, turn = [], 0
+    for text in texts:
+        spans = [(s, e) for s, k, e in base_spans(text) if KINDS[k] != "email"]
+        if spans:
+            own = _digits(text[spans[0][0] : spans[0][1]])
+            other = own[::-1] if own[::-1] != own else str((int(own[0]) + 1) % 10) + own[1:]
+            word = text.split(None, 1)[0]
+            text = f"{text}\n{word} {own if turn % 2 == 0 else other}"
+            turn += 1
+        out.append(text)
+    return out
+
+
+def _spread(n: Nodes, y: np.ndarray) -> np.ndarray:
+    """Labels, and those of matched nodes for the nodes of their document with the same key."""
+    known = {(d, k): label for d, k, label in zip(n.doc, n.key, y.tolist(), strict=True) if label}
+    return np.array([label or known.get((d, k), 0) for d, k, label in zip(n.doc, n.key, y.tolist(), strict=True)], dtype=np.int64)
+
+
 def fit(texts: list[str]) -> SkipChain:
-    """Learn node weights (softmax regression) and edge potentials (smoothed pointwise association of label pairs)."""
-    size = 1 << FEATURE_BITS
-    model = SkipChain(np.zeros((size, len(LABELS))), np.zeros((len(LABELS),) * 2), np.zeros((len(LABELS),) * 2))
+    """Node weights and edge potentials by pseudo-likelihood: each node's label given its features and its neighbours' labels."""
+    size, width = 1 << FEATURE_BITS, len(LABELS)
+    model = SkipChain(np.zeros((size, width)), np.zeros((width, width)), np.zeros((width, width)))
+    texts = with_mentions(texts)
     n = nodes(texts)
     if not n.doc:
         model.weights[:, 0] = 0.1
         return model
-    y = _labels(n, [base_spans(t) for t in texts])
+    y = _spread(n, _labels(n, [base_spans(t) for t in texts]))
     x = np.array(n.features)
+    groups = [(p, np.array(e, dtype=np.int64).reshape(-1, 2)) for p, e in ((model.chain, n.chain), (model.skip, n.skip), (model.equal, n.equal))]
     seen = np.full(model.weights.shape, 1e-6)
-    for _ in range(150):
+    seen_pairs = [np.full((width, width), 1e-6) for _ in groups]
+    for _ in range(STEPS):
         z = model.weights[x].sum(axis=1)
+        for potential, e in groups:
+            np.add.at(z, e[:, 0], potential.T[y[e[:, 1]]])
+            np.add.at(z, e[:, 1], potential[y[e[:, 0]]])
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        grad = np.zeros_like(model.weights)
+        p /= len(y)
+        for (potential, e), squares in zip(groups, seen_pairs, strict=True):
+            grad = 1e-5 * potential
+            np.add.at(grad.T, y[e[:, 1]], p[e[:, 0]])
+            np.add.at(grad, y[e[:, 0]], p[e[:, 1]])
+            squares += grad**2
+            potential -= PAIR_RATE * grad / np.sqrt(squares)
+        grad = 1e-5 * model.weights
         for j in range(x.shape[1]):
-            np.add.at(grad, x[:, j], p / len(y))
-        grad += 1e-5 * model.weights
+            np.add.at(grad, x[:, j], p)
         seen += grad**2
-        model.weights -= 0.3 * grad / np.sqrt(seen)
-    share = (np.bincount(y, minlength=len(LABELS)) + 1.0) / (len(y) + len(LABELS))
-    for edges, potential in ((n.chain, model.chain), (n.skip, model.skip)):
-        pairs = np.full((len(LABELS),) * 2, 0.5)
-        for a, b in edges:
-            pairs[y[a], y[b]] += 1
-        pairs /= pairs.sum()
-        potential[:] = np.clip(np.log(pairs / np.outer(share, share)), -2, 2)
+        model.weights -= RATE * grad / np.sqrt(seen)
     return model
 
 
@@ -250,7 +303,7 @@ def added_spans(texts: list[str], base: list[list[Span]], model: SkipChain) -> l
     """Words the field labels with probability ``ADD_AT`` or more and no base match touches; adjacent ones are one span."""
     out: list[list[Span]] = [[] for _ in texts]
     n = nodes(texts)
-    p = model.marginals(n)
+    p = model.marginals(n, _labels(n, base))
     best = p.argmax(axis=1) if len(p) else np.zeros(0, dtype=np.int64)
     for i in np.flatnonzero((best > 0) & (p.max(axis=1, initial=0) >= ADD_AT)).tolist():
         d, s, e, k = n.doc[i], n.start[i], n.end[i], int(best[i]) - 1

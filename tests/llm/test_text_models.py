@@ -170,9 +170,32 @@ def test_field_spreads_evidence(make, spark):
         if i > 4:
             assert r["spans"] == []
     assert rows[1]["spans"] == rows[2]["spans"] == rows[3]["spans"] == []
+    again = texts[0] + " once more "
+    number = re.search(r"\+(\d+)", texts[0])[1]
+    added = [s for s in rows[0]["spans"] if s not in rows[0]["base"]]
+    assert [(s["kind"], s["start"], s["end"]) for s in added] == [("phone", len(again), len(again) + len(number))]
     assert pii.find_pii(spark.createDataFrame([], SCHEMA), pii.train(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
+def test_edges_decide_about_numbers_without_their_cue():
+    """Numbers said again without the plus sign are found, other numbers of that length are not; without edges none is."""
+    rng = random.Random(15)
+    drawn = (f"{rng.randrange(1, 9)}{rng.randrange(10**10, 10**11 - 1)}" for _ in range(10_000))
+    number = filter(lambda x: not pii.luhn(x), drawn).__next__  # a number that passes as a card would be a match by itself
+    train = [f"{prose(i, 15)} +{number()} {prose(i + 300, 15)} {rng.randrange(2000)} ip 10.{i % 200}.3.{i % 90} end" if i % 2 else f"{prose(i, 20)} {number()} {prose(i, 5)}" for i in range(200)]
+    model = pii.fit(train)
+    hits = misses = wrong = alone = 0
+    off = pii.SkipChain(model.weights, np.zeros((5, 5)), np.zeros((5, 5)))
+    for i in range(60):
+        own, other = number(), number()
+        text = f"{prose(i + 700, 10)} +{own} {prose(i, 40)} {own} {prose(i + 40, 9)} {other} {prose(i, 3)}"
+        base = [pii.base_spans(text)]
+        found = [text[s:e] for s, _, e in pii.added_spans([text], base, model)[0]]
+        hits, misses, wrong = hits + (own in found), misses + (own not in found), wrong + (other in found)
+        alone += len(pii.added_spans([text], base, off)[0])
+    assert hits >= 57 and misses <= 3 and wrong == 0 and alone == 0
+
+
 def test_messages_match_enumeration():
     """Loopy messages are exact on a tree: compare with the sum over all labellings."""
     import itertools
