@@ -47,6 +47,7 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 last = len(names) if keep_ids else len(names) - 1
                 yield pa.RecordBatch.from_arrays(arrays[:last], names[:last])
+        word_bpe.cache_clear()  # the worker lives on, and other stages need the memory
 
     return run
 
