@@ -17,8 +17,7 @@ from sitebag.llm.spark_help import arrow_rows, read, staged
 from sitebag.llm.tokenizer_files import tokenizer_file
 
 
-#: Rows of an Arrow batch in stages that map over whole texts, and in those that also move many rows of numbers.
-TEXT_ROWS, NUMBER_ROWS = 1000, 10_000
+TEXT_ROWS = 1000  # of an Arrow batch: every stage maps over whole texts
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A row without doc_id is nobody's copy and stays.
     """
-    arrow_rows(spark, NUMBER_ROWS)
+    arrow_rows(spark, TEXT_ROWS)
     found = jaccard_components(docs)
     kept = staged(found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
     one = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
@@ -41,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has too are cut out; a document of which nothing is left goes."""
-    arrow_rows(spark, NUMBER_ROWS)
+    arrow_rows(spark, TEXT_ROWS)
     return without_passages(docs, repeated_passages(docs))
 
 
