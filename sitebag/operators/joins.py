@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import indices, let, total
 from ..functions.sequence import bases
 from ..ordering import attach
+from ..session import staged
 
 
 def attach_signal(
@@ -303,7 +304,7 @@ def anti_overlap(
     zones = intervals.select(
         F.col(read_id), F.greatest(F.col("start") - pad, F.lit(0)).alias("_zs"), (F.col("end") + pad).alias("_ze")
     ).where("_ze > _zs")
-    zones = zones.withColumn("_own", _level(F.col("_zs"), F.col("_ze"), bin_size))
+    zones = staged(zones.withColumn("_own", _level(F.col("_zs"), F.col("_ze"), bin_size)), "zones")  # read for its levels and for its rows
     keys = [read_id, start, end]
     filled = windows.where(F.col(end) > F.col(start))
     slots = filled.select(*keys).distinct().withColumn("_own", _level(F.col(start), F.col(end), bin_size))
