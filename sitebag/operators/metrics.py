@@ -560,13 +560,19 @@ def fold_metrics(
     threshold: float = 0.5,
     source: str | None = None,
 ) -> DataFrame:
-    """Metrics of each fold over the rows of its own held-out group, pooled over all runs; empty folds give NULLs."""
+    """Metrics of each fold over the rows of its own held-out group, pooled over all runs; empty folds give NULLs.
+
+    Scanned rows are counted per (fold, source, own group or not) in a partial aggregate first, so the rows of a tree in which every
+    fold lists every source are never shuffled, and sources are told apart among these counts.
+    """
     rows = predictions.where(F.col(fold) == F.col(group))
     metrics = grouped_metrics(rows, [[fold]], threshold, label, score).drop("group_by")
-    scanned = predictions.groupBy(fold).agg(
-        F.count(F.lit(1)).alias("scanned_rows"),
+    own = F.col(fold) == F.col(group)
+    counts = predictions.groupBy(fold, *([source] if source else []), own.alias("_own")).agg(F.count(F.lit(1)).alias("_n"))
+    scanned = counts.groupBy(fold).agg(
+        F.sum("_n").alias("scanned_rows"),
         *([F.count_distinct(source).alias("dirs_found"),
-           F.count_distinct(F.when(F.col(fold) == F.col(group), F.col(source))).alias("dirs_used")] if source else []),
+           F.count_distinct(F.when(F.col("_own"), F.col(source))).alias("dirs_used")] if source else []),
     )
     base = folds.select(fold).distinct()
     return base.join(scanned, fold, "left").join(metrics, fold, "left")
