@@ -113,7 +113,7 @@ def _(get, spark):
 
 def _targets_sql(mode, non_a):
     a = 4 if mode == "full-mod" else 0
-    rest = "CASE b WHEN 'A' THEN {a} WHEN 'C' THEN {c} WHEN 'G' THEN {g} ELSE {t} END"
+    rest = "CASE b WHEN 'A' THEN {a} WHEN 'C' THEN {c} WHEN 'G' THEN {g} WHEN 'T' THEN {t} END"
     c, g, t = (1, 2, 3) if non_a == "canonical" else (-100, -100, -100)
     return rest.format(a=a, c=c, g=g, t=t)
 
