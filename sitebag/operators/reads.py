@@ -23,6 +23,7 @@ def read_measures(reads: DataFrame) -> DataFrame:
     ns, ts = tag_int(F.col("tags"), "ns"), F.coalesce(tag_int(F.col("tags"), "ts"), F.lit(0))
     rows = reads.select("*", m.alias("_m"), moves.alias("_mv"), ns.alias("_ns"), ts.alias("_ts"))
     span = (F.size("_mv") - 1) * F.get("_mv", 0)
+    timed = F.col("_mv").isNotNull() & F.col("_ns").isNotNull()
     return rows.select(
         "read_id",
         F.col("is_reverse"),
@@ -32,8 +33,8 @@ def read_measures(reads: DataFrame) -> DataFrame:
         "_m.softclip_fraction",
         "mapq",
         "_m.identity",
-        F.when(F.col("_mv").isNotNull(), span / F.greatest(F.col("_ns") - F.col("_ts"), F.lit(1))).alias("move_span_ratio"),
-        F.when(F.col("_mv").isNotNull(), span / F.greatest(F.col("_ns"), F.lit(1))).alias("move_ns_ratio"),
+        F.when(timed, span / F.greatest(F.col("_ns") - F.col("_ts"), F.lit(1))).alias("move_span_ratio"),
+        F.when(timed, span / F.greatest(F.col("_ns"), F.lit(1))).alias("move_ns_ratio"),
     )
 
 
