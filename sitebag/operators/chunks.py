@@ -44,18 +44,21 @@ def with_reference(
     """``rows`` with the reference letters [low, high) of their contig, as far as the contig goes; NULL where low is NULL.
 
     ``keys`` name a row. A row meets the bins it touches in an equi-join on (contig, bin), so no contig is ever one value; its
-    pieces are as many as its span has bins. Rows without a span meet nothing and are spread over the tasks.
+    pieces are as many as its span has bins, and only the first carries the row's other columns, so that a long row is moved as
+    often as a short one. Rows without a span meet nothing and are spread over the tasks.
     """
     numbers = F.sequence(F.floor(F.col(low) / F.lit(float(bin_size))), F.floor((F.col(high) - 1) / F.lit(float(bin_size))))
     nowhere = F.array(-1 - F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(1 << 20)))
-    packed = rows.select(*keys, F.struct(*[c for c in rows.columns if c not in keys]).alias("_row"), F.col(contig).alias("_c"), F.col(low).alias("_lo"),
-                         F.col(high).alias("_hi"), F.explode(F.coalesce(numbers, nowhere)).alias("_b"))
+    own = F.struct(*[c for c in rows.columns if c not in keys])
+    spread = rows.select(*keys, own.alias("_own"), F.col(contig).alias("_c"), F.col(low).alias("_lo"), F.col(high).alias("_hi"),
+                         F.posexplode(F.coalesce(numbers, nowhere)).alias("_i", "_b"))
+    packed = spread.select(*keys, F.when(F.col("_i") == 0, F.col("_own")).alias("_row"), "_c", "_lo", "_hi", "_b")
     right = bins.select(F.col("contig").alias("_c"), F.col("bin").alias("_b"), F.col("start").alias("_s"), F.col("seq").alias("_seq"))
     joined = packed.join(right, ["_c", "_b"], "left")
     begin, end = F.greatest(F.col("_lo"), F.col("_b") * bin_size), F.least(F.col("_hi"), (F.col("_b") + 1) * bin_size)
     piece = F.substring("_seq", (begin - F.col("_s") + 1).cast("int"), (end - begin).cast("int"))
     found = joined.groupBy(*keys).agg(
-        F.first("_row").alias("_row"), F.sort_array(F.collect_list(F.when(piece.isNotNull(), F.struct(F.col("_b").alias("b"), piece.alias("p"))))).alias("_p")
+        F.first("_row", ignorenulls=True).alias("_row"), F.sort_array(F.collect_list(F.when(piece.isNotNull(), F.struct(F.col("_b").alias("b"), piece.alias("p"))))).alias("_p")
     )
     text = F.array_join(F.transform("_p", lambda p: p["p"]), "")
     others = [F.col(f"_row.{c}").alias(c) for c in rows.columns if c not in keys]

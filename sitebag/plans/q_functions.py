@@ -393,11 +393,13 @@ def _(get, spark):
     SELECT read_id, aligned_fraction, ref_span, identity, ref_span >= 25 AND ref_span <= ceil(2.5*n) AS span_ok FROM g""",
 )
 def _(get, spark):
-    """The reference comes from its bins: each read meets those it spans, no contig is ever one value."""
-    rows = get("v_aligned").where("cigar <> '*'").select("read_id", "n", "seq", "contig", "flag", A.query_to_ref(F.col("cigar"), F.col("pos0")).alias("places"))
-    known = F.filter("places", lambda p: p >= 0)
-    rows = rows.withColumn("low", F.array_min(known)).withColumn("high", F.array_max(known) + 1)
+    """The reference comes from its bins: each read meets those it spans, no contig is ever one value; places are laid out after that."""
+    places = A.query_to_ref(F.col("cigar"), F.col("pos0"))
+    rows = get("v_aligned").where("cigar <> '*'").select("read_id", "n", "seq", "contig", "flag", "cigar", "pos0")
+    span = let(F.filter(places, lambda p: p >= 0), lambda known: F.struct(F.array_min(known).alias("low"), (F.array_max(known) + 1).alias("high")))
+    rows = rows.withColumn("span", span).select(*rows.columns, "span.*")
     rows = with_reference(rows, read_fasta_bins(spark, fasta(get, spark), 500, 16), ["read_id"], "low", "high", 500)
+    rows = rows.withColumn("places", places)
     m = A.aligned_identity(Q.bases(F.col("seq")), F.col("places"), F.col("reference"), F.col("low"), F.col("flag").bitwiseAND(16) != 0)
     out = rows.select("read_id", "n", m.alias("m")).select("read_id", "n", "m.*")
     return out.withColumn("span_ok", A.span_allowed(F.col("ref_span"), F.col("n"))).drop("n")
