@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.arrays import indices, let, total
 from ..functions.sequence import bases
 from ..ordering import attach
-from ..session import staged
 
 
 def attach_signal(
@@ -102,7 +101,7 @@ def assign_best_window(units: DataFrame, chunk: int, overlap: int, length: str =
 
 
 SEGMENT = 1024
-CUT = 64
+CUT = 16
 
 
 def segments(reads: DataFrame, pad: Column, read_id: str = "read_id", seq: str = "seq", keep: Sequence[str] = ()) -> DataFrame:
@@ -191,49 +190,36 @@ def pattern_hits(
     facts = _seed_facts(seeds)
     pieces = segments(attach(reads.select(read_id, seq), facts.select("_longest"), []), F.col("_longest"), read_id, seq, ["_longest"])
     pieces = attach(pieces, facts.select("_lens", "_bits"), [])
+    # a letter of a string is found by counting from its beginning, so k-mers are cut from parts of CUT letters with their surroundings
+    at = F.col("seg_start") - F.col("seg_from") + F.col("_cut") * CUT
+    before = F.least(at, F.col("_longest"))
     own = F.least(F.lit(SEGMENT), F.col("read_length") - F.col("seg_start"))
-    offset = F.col("seg_start") - F.col("seg_from")
-
-    def places(n: Column) -> Column:
-        """Places whose k-mer of ``n`` bases may be a seed, with the ``_longest`` bases before and after.
-
-        A letter of a string is found by counting from its beginning, so k-mers are cut from parts of ``CUT`` letters.
-        """
-        def kmers_of(part: Column, at: Column, size: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), size - 1), lambda r: F.struct((at + r).alias("p"), _slot(F.substring(part, r + 1, n)).alias("s")))
-
-        def seen_in(c: Column) -> Column:
-            at = offset + c * CUT
-            part = F.substring("piece", at + 1, n + (CUT - 1))
-            return F.filter(
-                let(part, lambda text: kmers_of(text, at, F.least(F.lit(CUT), own - c * CUT))),
-                lambda x: F.getbit(F.get("_bits", F.shiftright(x["s"], 6)), x["s"].bitwiseAND(63)) == 1,
-            )
-
-        seen = F.flatten(F.transform(indices(F.ceil(own / F.lit(float(CUT)))), seen_in))
-        before = lambda p: F.least(p, F.col("_longest"))
-        return F.transform(
-            seen,
-            lambda x: F.struct(
-                (F.col("seg_from") + x["p"]).alias("pos"), before(x["p"]).alias("before"), n.alias("len"),
-                F.substring("piece", x["p"] - before(x["p"]) + 1, before(x["p"]) + F.col("_longest")).alias("context"),
-            ),
-        )
-
-    kmers = pieces.select(read_id, "read_length", F.explode(F.flatten(F.transform("_lens", places))).alias("_c"))
-    kmers = kmers.select(
-        read_id, "read_length", F.col("_c.pos").alias("_pos"), F.col("_c.before").alias("_before"), F.col("_c.context").alias("_context"),
-        F.col("_c.len").alias("_len"), F.substring("_c.context", F.col("_c.before") + 1, F.col("_c.len")).alias("_kmer"),
+    parts = pieces.withColumn("_own", own).withColumn("_cut", F.explode(indices(F.ceil(F.col("_own") / F.lit(float(CUT))))))
+    parts = parts.select(
+        read_id, "read_length", "_longest", "_lens", "_bits", (F.col("seg_from") + at).alias("_from"), before.alias("_lead"),
+        F.least(F.lit(CUT), F.col("_own") - F.col("_cut") * CUT).alias("_size"),
+        F.substring("piece", at - before + 1, before + CUT + F.col("_longest")).alias("_part"),
+    )
+    # plain explodes: Spark fuses them with the test, and only places that pass become rows
+    tested = parts.withColumn("_len", F.explode("_lens")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_size") - 1)))
+    tested = tested.withColumn("_kmer", F.substring("_part", F.col("_lead") + F.col("_r") + 1, F.col("_len")))
+    slot = _slot(F.col("_kmer"))
+    seen = tested.where(F.getbit(F.get("_bits", F.shiftright(slot, 6)), slot.bitwiseAND(63)) == 1)
+    back = F.least(F.col("_lead") + F.col("_r"), F.col("_longest"))
+    kmers = seen.select(
+        read_id, "read_length", (F.col("_from") + F.col("_r")).alias("_pos"), back.alias("_before"),
+        F.substring("_part", F.col("_lead") + F.col("_r") - back + 1, back + F.col("_longest")).alias("_context"), "_len", "_kmer",
     )
     joined = kmers.join(seeds, ["_len", "_kmer"])
     joined = joined.withColumn("start", F.col("_pos") - F.col("_at"))
     joined = joined.where((F.col("start") >= 0) & (F.col("start") + size <= F.col("read_length")))
     joined = joined.withColumn("_window", F.substring("_context", F.col("_before") - F.col("_at") + 1, size))
-    earlier = F.exists(
+    earlier = (F.col("_block") > 0) & F.exists(
         "_blocks",
         lambda x: (x["block"] < F.col("_block")) & (F.substring("_window", x["at"] + 1, x["len"]) == x["kmer"]),
     )
-    mism = total(F.zip_with(bases(F.col("_window")), bases(F.col("pattern")), lambda a, b: (a != b).cast("int"))).cast("int")
+    differing = total(F.zip_with(bases(F.col("_window")), bases(F.col("pattern")), lambda a, b: (a != b).cast("int"))).cast("int")
+    mism = F.when(F.col("_len") == size, F.lit(0)).otherwise(differing)  # a seed as long as its pattern is all of it
     hits = joined.where(~earlier).withColumn("mismatches", mism)
     hits = hits.withColumn("identity", 1.0 - F.col("mismatches") / size)
     return hits.where((F.col("mismatches") <= max_mismatches) & (F.col("identity") >= min_identity)).select(
@@ -294,47 +280,21 @@ def anti_overlap(
     windows: DataFrame, intervals: DataFrame, pad: int = 0, bin_size: int = 1024,
     read_id: str = "read_id", start: str = "left", end: str = "right",
 ) -> DataFrame:
-    """Windows [start, end) that touch no interval of their read padded by ``pad``.
+    """Windows [start, end) that touch no interval of their read padded by ``pad``; empty windows are left out.
 
-    Bins double in width from level to level, and a row stands in at most two bins of its own level, however long it
-    is. Of two rows the one of the lower level looks the other up at the other's level: zones stand at their own level and windows
-    at it and at those higher ones that some zone has; zones of lower levels than a window's go up to it. The overlap test
-    is an equi-join on (read, side, level, bin) with a residual predicate.
+    A window is touched when, of the zones that begin before its end, the one that reaches farthest ends after its start. So
+    zones, placed at their start, and windows, placed at their end, are sorted together along the read, and one running maximum
+    decides: a single shuffle of both, each row once, however long zones or windows are. The window function runs per read,
+    over a list bounded by the read's length. No bins are needed; ``bin_size`` stays for callers that give it.
     """
     zones = intervals.select(
-        F.col(read_id), F.greatest(F.col("start") - pad, F.lit(0)).alias("_zs"), (F.col("end") + pad).alias("_ze")
-    ).where("_ze > _zs")
-    zones = staged(zones.withColumn("_own", _level(F.col("_zs"), F.col("_ze"), bin_size)), "zones")  # read for its levels and for its rows
-    keys = [read_id, start, end]
-    filled = windows.where(F.col(end) > F.col(start))
-    slots = filled.select(*keys).distinct().withColumn("_own", _level(F.col(start), F.col(end), bin_size))
-
-    def levels(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.collect_set("_own").alias(name))  # a few dozen numbers
-
-    def rows(df: DataFrame, other: DataFrame, lo: str, hi: str, own_sides: Sequence[str], up_side: str) -> DataFrame:
-        df = attach(df, levels(other, "_theirs"), [])
-        theirs = F.coalesce("_theirs", F.array().cast("array<int>"))
-        lower = F.filter(F.array("_own"), lambda x: F.exists(theirs, lambda t: t < x))
-        wanted = {"z": F.array("_own"), "w": lower}
-        sides = [F.struct(F.lit(s).alias("_side"), wanted[s].alias("_levels")) for s in own_sides]
-        sides.append(F.struct(F.lit(up_side).alias("_side"), F.filter(theirs, lambda x: x > F.col("_own")).alias("_levels")))
-        spread = F.flatten(
-            F.transform(
-                F.array(*sides),
-                lambda g: F.transform(
-                    _binned(F.col(lo), F.col(hi), g["_levels"], bin_size),
-                    lambda b: F.struct(g["_side"].alias("_side"), b["_level"].alias("_level"), b["_bin"].alias("_bin")),
-                ),
-            )
-        )
-        return df.withColumn("_k", F.explode(spread)).select(read_id, lo, hi, "_k.*")
-
-    # side z: zones at their own level meet windows at it (windows of that level or lower); side w: zones gone up to a window's level
-    placed = rows(zones, slots, "_zs", "_ze", ["z"], "w")
-    looked = rows(slots, zones, start, end, ["z", "w"], "z")
-    touched = looked.join(placed, [read_id, "_side", "_level", "_bin"]).where((F.col(start) < F.col("_ze")) & (F.col(end) > F.col("_zs")))
-    return filled.join(touched.select(*keys).distinct(), keys, "left_anti")
+        F.col(read_id), F.greatest(F.col("start") - pad, F.lit(0)).cast("bigint").alias("_at"), (F.col("end") + pad).cast("bigint").alias("_reach")
+    ).where(F.col(read_id).isNotNull() & (F.col("_reach") > F.col("_at")))
+    filled = windows.where(F.col(end) > F.col(start)).withColumn("_at", F.col(end).cast("bigint"))
+    rows = filled.withColumn("_zone", F.lit(0)).unionByName(zones.withColumn("_zone", F.lit(1)), allowMissingColumns=True)
+    before = Window.partitionBy(read_id).orderBy("_at", "_zone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.withColumn("_farthest", F.max("_reach").over(before)).where("_zone = 0")
+    return swept.where(F.col("_farthest").isNull() | (F.col("_farthest") <= F.col(start))).select(*windows.columns)
 
 
 def with_candidate_base(windows: DataFrame, seq: str = "target_seq", base: str = "A", motifs: Sequence[str] | None = None, k: int = 5) -> DataFrame:
