@@ -80,24 +80,20 @@ def bases_in_windows(
 def assign_best_window(units: DataFrame, chunk: int, overlap: int, length: str = "signal_length", position: str = "center_signal") -> DataFrame:
     """Give each unit the containing window with the largest margin min(x-start, end-x), the first on ties.
 
-    All windows of a unit follow from its own row, so the choice needs no join and no shuffle.
+    The margin falls on both sides of the window whose centre is nearest, so that window's number, held to those that contain the
+    unit, is the choice: arithmetic on the unit's own row, without a list of its windows, a join or a shuffle.
     """
     stride = chunk - overlap
     first, last = regular_windows(F.col(length), chunk, overlap)
-    x = F.col(position)
-    best = F.array_max(
-        F.transform(
-            _window_number(x, first, chunk, stride, last),
-            lambda k: F.struct(
-                F.least(x - (first + k * stride), first + k * stride + chunk - x).alias("margin"),
-                (-(first + k * stride)).alias("neg_start"),
-            ),
-        )
-    )
-    out = units.withColumn("_best", best).where(F.col("_best").isNotNull())
-    return out.withColumn("window_start", -F.col("_best.neg_start")).withColumn(
-        "window_end", F.col("window_start") + chunk
-    ).drop("_best")
+    rows = units.withColumn("_first", first).withColumn("_last", last)
+    off = F.col(position) - F.col("_first")
+    low = F.greatest(F.ceil((off - chunk + 1) / F.lit(float(stride))), F.lit(0)).cast("int")
+    high = F.least(F.floor(off / F.lit(float(stride))), F.col("_last")).cast("int")
+    nearest = F.ceil((2 * off - chunk - stride) / F.lit(2.0 * stride)).cast("int")
+    rows = rows.withColumn("_low", low).withColumn("_high", high).where((F.col(position) >= F.col("_first")) & (F.col("_high") >= F.col("_low")))
+    start = F.col("_first") + F.least(F.greatest(nearest, F.col("_low")), F.col("_high")) * stride
+    rows = rows.withColumn("window_start", start).withColumn("window_end", F.col("window_start") + chunk)
+    return rows.drop("_first", "_last", "_low", "_high")
 
 
 SEGMENT = 1024

@@ -180,13 +180,14 @@ def _(get, spark):
     )
 
 
-def called_bases(get):
-    """Calls at every A that is followed by C; the probability is a function of read and position."""
+def called_bases(get, *more):
+    """Calls at every A that is followed by C, with ``more`` columns of their read; the probability is a function of read and position."""
     at = let(
         Q.bases(F.col("seq")),
         lambda b: F.filter(F.transform(b, lambda x, i: F.when((x == "A") & (F.get(b, i + 1) == "C"), i)), lambda x: x.isNotNull()),
     )
-    rows = get("v_seq").select("read_id", F.explode(at).alias("base_index"))
+    reads = get("v_seq").select("read_id", "seq", *more)  # before the explode, or each call would compute them from the whole read
+    rows = reads.select(*[c for c in reads.columns if c != "seq"], F.explode_outer(at).alias("base_index")).where("base_index is not null")
     return rows.withColumn("prob", ((F.col("base_index") * 37 + F.col("read_id")) % 256) / 255.0).withColumn("label", F.lit("m6A"))
 
 
