@@ -27,6 +27,28 @@ def chunk_windows(reads: DataFrame, length: str, chunk: int, overlap: int, signa
     return rows
 
 
+def sequence_windows(reads: DataFrame, chunk: int, overlap: int, seq: str = "seq", name: str = "target_seq") -> DataFrame:
+    """One row per overlapping window of letters, anchored at the end of the read, with its letters; other columns are kept.
+
+    The read is cut once into pieces of one stride, from which each window takes its own, and only these leave the read's row: work
+    is linear in the read, where a cut from the whole read for each window walks it from its start.
+    """
+    stride = chunk - overlap
+    first, last = regular_windows(F.length(seq), chunk, overlap)
+    kept = [c for c in reads.columns if c != seq]
+    rows = reads.select(*kept, F.col(seq).alias("_seq"), first.alias("_first"), last.alias("_last"))
+    pieces = F.regexp_extract_all(F.substring("_seq", F.col("_first") + 1, F.length("_seq")), F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+
+    def window(cut: Column, k: Column) -> Column:
+        text = F.substring(F.array_join(F.slice(cut, k + 1, F.lit(-(-chunk // stride))), ""), 1, chunk)
+        return F.struct((F.col("_first") + k * stride).alias("window_start"), text.alias("text"))
+
+    cuts = F.when(F.col("_last") >= 0, let(pieces, lambda cut: F.transform(indices(F.col("_last") + 1), lambda k: window(cut, k))))
+    rows = rows.select(*kept, F.explode_outer(cuts).alias("_w")).where("_w is not null")  # a plain explode would make the cuts twice
+    start = F.col("_w.window_start")
+    return rows.select(*kept, start.alias("window_start"), (start + chunk).alias("window_end"), F.col("_w.text").alias(name))
+
+
 def negative_targets(
     seq: Column, mode: str = "center", motifs: Sequence[str] | None = None, k: int = 5, ignore: int = IGNORE
 ) -> Column:
@@ -89,15 +111,8 @@ def label_windows(
     entry = F.struct("start", "center_index", "label", "pattern_id", "motif", "orientation", "identity")
     per_window = units.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("_units"))
     joined = windows.join(per_window, key, "left")
-    letters = bases(F.upper("target_seq"))
-    kept = let(
-        letters,
-        lambda ls: F.filter(
-            F.coalesce("_units", F.array()),
-            lambda u: (u["center_index"] >= F.col("left"))
-            & (F.get(ls, (u["center_index"] - F.col("left")).cast("int")) == keep_base),
-        ),
-    )
+    letter = lambda u: F.substring(F.upper("target_seq"), (u["center_index"] - F.col("left") + 1).cast("int"), F.lit(1))
+    kept = F.filter(F.coalesce("_units", F.array()), lambda u: (u["center_index"] >= F.col("left")) & (letter(u) == keep_base))
     joined = joined.withColumn("_kept", kept).withColumn("label_length", F.length("target_seq"))
     reason = (
         F.when(F.col("_units").isNull() | (F.col("label_length") == 0), F.lit("no_label"))
