@@ -11,39 +11,42 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import let
 from ..ordering import attach, quantiles
+from ..session import staged
 from . import wavefront
 from .metrics import ratio
 
 
-@F.pandas_udf(T.IntegerType())
-def _far_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        found = [None if a is None or b is None else wavefront.distance(a, b) for a, b in zip(left, right, strict=True)]
-        yield pd.Series(found, dtype="Int32")
+NEAR, LIKE, TABLE = 512, 64, 1 << 22
+
+
+def _distances(found_by):
+    @F.pandas_udf(T.IntegerType())
+    def distances(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            found = [None if a is None or b is None else found_by(a, b) for a, b in zip(left, right, strict=True)]
+            yield pd.Series(found, dtype="Int32")
+
+    return distances
 
 
-NEAR, TABLE = 512, 1 << 22
+def _far(a: str, b: str) -> int:
+    return wavefront.distance(a, b) if len(a) * len(b) > TABLE else wavefront.bit_distance(a, b)
 
 
 def edit_distance(a: Column, b: Column, long_reads: bool = False) -> Column:
     """Exact Levenshtein distance; pairs that are close pay for a narrow band only.
 
-    With a limit the distance is computed inside a band of that width and is -1 beyond it, so growing limits end at the
-    first that holds it, and only pairs further apart than the last run without one. With ``long_reads`` pairs further apart
-    than 512 whose table has over ``TABLE`` cells are extended along diagonals in Arrow batches instead: letters plus distance
-    squared, not letters squared.
+    With a limit the distance is computed inside a band of that width and is -1 beyond it. Pairs further apart than the limit go by
+    bit vectors in Arrow batches, 64 cells of the table at a time. With ``long_reads`` the limits are 64 and 512, and pairs beyond
+    whose table has over ``TABLE`` cells are extended along diagonals: letters plus distance squared, not letters squared.
     """
-    same = a == b
-    large = F.length(a).cast("long") * F.length(b) > TABLE
-    out = F.when(large, -1).otherwise(F.levenshtein(a, b)) if long_reads else F.levenshtein(a, b)
-    for limit in (NEAR, 64) if long_reads else (4096, NEAR, 64):
+    out = F.lit(-1)
+    for limit in (NEAR, LIKE) if long_reads else (LIKE,):
         near = F.levenshtein(a, b, limit)
-        out = F.when(near >= 0, near).otherwise(out)
-    out = F.when(same, 0).otherwise(out)
-    if long_reads:
-        far = out < 0
-        out = F.when(far, _far_distance(F.when(far, a), F.when(far, b))).otherwise(out)
-    return out
+        out = F.when(near.isNull() | (near >= 0), near).otherwise(out)
+    out = F.when(a == b, 0).otherwise(out)
+    far = out < 0
+    return F.when(far, _distances(_far if long_reads else wavefront.bit_distance)(F.when(far, a), F.when(far, b))).otherwise(out)
 
 
 def compare_callsets(
@@ -121,8 +124,8 @@ def alignment_ops(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b", runs: bo
     stand on an equal letter of the other. ``runs`` adds the path as ``array<struct<op, a, b, length>>`` in order (``=``, ``X``,
     ``I`` for letters of ``a`` alone, ``D`` for letters of ``b`` alone). A pair with a NULL side has NULL totals.
 
-    Opt-in: the only Python step, Arrow-batched and after every filter; equal sequences skip it, and a column
-    ``edit_distance`` spares it the search for the distance.
+    Opt-in: a Python step, Arrow-batched and after every filter; equal sequences skip it, and a column ``edit_distance`` spares it
+    the search for the distance, which costs less than that column, so a caller who needs the totals alone drops it.
     """
     same = F.col(a) == F.col(b)
     left, right, n = F.when(~same, F.col(a)), F.when(~same, F.col(b)), F.length(a)
