@@ -129,7 +129,8 @@ def project_calls(
         F.arrays_zip(letters.alias("b"), query_to_ref(F.col("cigar"), F.col("pos0")).alias("r"), calls_by_place(called).alias("p")).alias("_bases"),
     )
     candidates = F.filter("_bases", lambda x: (x["b"] == F.col("_wanted")) & (x["r"] >= 0))
-    rows = rows.select("read_id", "contig", "strand", F.explode(candidates).alias("_c"))
+    # a plain explode asks first whether there are candidates, and so lays every read out twice
+    rows = rows.select("read_id", "contig", "strand", F.explode_outer(candidates).alias("_c")).where("_c is not null")
     out = rows.select("read_id", "contig", F.col("_c.r").alias("pos"), "strand", F.col("_c.p").alias("prob"))
     if motif is None:
         return out
