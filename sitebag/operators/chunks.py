@@ -122,7 +122,7 @@ def chunk_rows(
             F.struct(left.alias("a"), right.alias("b")),
             lambda x: F.struct(
                 ws.alias("window_start"), x["a"].alias("left"), x["b"].alias("right"),
-                cut(F.col("_q"), x["a"], x["b"]).alias("query"), cut(F.col("_r"), x["a"], x["b"]).alias("places"),
+                F.array_join(cut(F.col("_q"), x["a"], x["b"]), "").alias("query"), cut(F.col("_r"), x["a"], x["b"]).alias("places"),
                 F.slice("_sig", (F.col("signal_start") + ws + 1).cast("int"), F.lit(chunk)).alias("signal"),
             ),
         )
@@ -143,8 +143,12 @@ def chunk_rows(
     ]
     rows = rows.withColumn("reject_reason", first_reason(F.col("reject_reason"), rules))
     rows = rows.withColumn("ref_start", F.when(F.col("reject_reason").isNull(), F.col("_lo"))).drop("_lo")
+    # what meets the reference: letters as text, places from the window's first one, and nothing of the windows rejected so far
+    places = F.transform("places", lambda p: F.when(p >= 0, p - F.col("ref_start")).otherwise(-1).cast("int"))
+    for name, value in (("signal", F.col("signal")), ("query", F.col("query")), ("places", places)):
+        rows = rows.withColumn(name, F.when(F.col("reject_reason").isNull(), value))
     rows = with_reference(rows.withColumn("_end", F.col("ref_start") + F.col("ref_span")), bins, ["read_id", "window_start"], "ref_start", "_end", bin_size)
-    measured = aligned_identity(F.col("query"), F.col("places"), F.col("reference"), F.col("ref_start"), F.col("is_reverse"))
+    measured = aligned_identity(bases(F.col("query")), F.col("places"), F.col("reference"), F.lit(0), F.col("is_reverse"))
     rows = rows.withColumn("identity", F.when(F.col("reject_reason").isNull(), measured["identity"]))
     oriented = F.when(F.col("is_reverse"), revcomp(F.upper("reference"))).otherwise(F.upper("reference"))
     rows = rows.withColumn("target_seq", F.reverse(oriented) if sample_type == "rna" else oriented)
