@@ -44,7 +44,7 @@ def sequence_windows(reads: DataFrame, chunk: int, overlap: int, seq: str = "seq
         return F.struct((F.col("_first") + k * stride).alias("window_start"), text.alias("text"))
 
     cuts = F.when(F.col("_last") >= 0, let(pieces, lambda cut: F.transform(indices(F.col("_last") + 1), lambda k: window(cut, k))))
-    rows = rows.select(*kept, F.explode_outer(cuts).alias("_w")).where("_w is not null")  # a plain explode would make the cuts twice
+    rows = rows.select(*kept, F.explode(cuts).alias("_w"))
     start = F.col("_w.window_start")
     return rows.select(*kept, start.alias("window_start"), (start + chunk).alias("window_end"), F.col("_w.text").alias(name))
 

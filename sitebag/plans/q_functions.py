@@ -187,7 +187,7 @@ def called_bases(get, *more):
         lambda b: F.filter(F.transform(b, lambda x, i: F.when((x == "A") & (F.get(b, i + 1) == "C"), i)), lambda x: x.isNotNull()),
     )
     reads = get("v_seq").select("read_id", "seq", *more)  # before the explode, or each call would compute them from the whole read
-    rows = reads.select(*[c for c in reads.columns if c != "seq"], F.explode_outer(at).alias("base_index")).where("base_index is not null")
+    rows = reads.select(*[c for c in reads.columns if c != "seq"], F.explode(at).alias("base_index"))
     return rows.withColumn("prob", ((F.col("base_index") * 37 + F.col("read_id")) % 256) / 255.0).withColumn("label", F.lit("m6A"))
 
 
