@@ -11,6 +11,10 @@
 5. Seeds of one passage may have different first holders, so that no chain holds all of it. Runs of seeds seen earlier
    that no passage covers go through an exact second pass: each of their ``MIN_WORDS``-word windows meets the first
    holder of that very window, so every equal stretch of that length is found, whoever else holds parts of it.
+6. For nearly equal passages every place of a seed with words near it that no passage covers yet meets *all* earlier
+   places of that seed, whatever their number: the ``MARGIN`` words to either side are laid on one another in both texts,
+   and along one shift of two seeds. Blocks of places meet blocks, so a frequent seed is spread over tasks; only pairs
+   that cover further words leave them (``_meet_all``) and go through steps 3 and 4.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_help import filter_bits, in_bits, partitions, releasing, slot_bits, slot_column, staged, take
-from .textbatch import _LANES, chunks, mix, windows, words
+from .textbatch import _LANES, Words, chunks, mix, windows, words
 
 K = 6
 WINDOW = 12
@@ -38,14 +42,23 @@ MIN_WORDS = 50
 MIN_EQUAL = 80  # per cent of a passage's words that are equal at both ends of the alignment
 MARGIN = 48
 MISS = -3  # against +1 for an equal word, when a passage is trimmed
+SIDE = 2 * MARGIN + K  # words around a seed
+BLOCK_PLACES = 4_096
+TILE = 1 << 17
+REACH = 400
+RUN = 4  # the outermost equal words of a stretch come in runs of more than -MISS
 
 MATCH = "doc_id long, other_id long, pos int, other_pos int"
+CHAIN = "doc_id long, other_id long, anchors array<int>, other_anchors array<int>, begin int, end int, other_begin int, other_end int"
 PASSAGE = "doc_id long, other_id long, start_word int, end_word int, other_start int, other_end int, equal_words int"
 
 
 def _sorted_seeds(texts: list[bytes], doc_ids: np.ndarray) -> tuple[np.ndarray, ...]:
     """hash, document and word position of the minimizers of each text."""
-    w = words(texts)
+    return _minimizers(words(texts), doc_ids)
+
+
+def _minimizers(w: Words, doc_ids: np.ndarray) -> tuple[np.ndarray, ...]:
     hashes, at = windows(w, K)
     bounds = np.searchsorted(at, w.first)
     found = []
@@ -635,6 +648,339 @@ def _exact_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min_w
     return exact.join(done, "doc_id", "left").where(f"starts is null or not {inside}").drop("starts", "ends")
 
 
+def _aligned(docs: DataFrame, pairs: DataFrame, min_words: int, min_equal: int, name: str) -> DataFrame:
+    """The passages of chains."""
+    wanted = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted, "doc_id"))
+    codes = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_word_codes(bitmap)), "doc_id long, codes binary")
+    codes = staged(codes.dropDuplicates(["doc_id"]), "codes")
+    own = pairs.join(codes, "doc_id").withColumn("codes", F.expr("substring(codes, 4 * begin + 1, 4 * (end - begin))"))
+    both = own.join(codes.select(F.col("doc_id").alias("other_id"), F.col("codes").alias("other_codes")), "other_id")
+    both = both.withColumn("other_codes", F.expr("substring(other_codes, 4 * other_begin + 1, 4 * (other_end - other_begin))"))
+    return staged(both.mapInArrow(releasing(_align_rows(min_words, min_equal)), PASSAGE).distinct(), name)
+
+
+def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of seeds seen earlier beside which a word stands in no passage, with the joined passages of their document."""
+    for batch in batches:
+        rows = []
+        for doc, seen, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seen", "starts", "ends")), strict=True):
+            at = np.unique(np.concatenate([np.array(x, dtype=np.int64) for x in seen]))
+            begins: list[int] = []
+            finals: list[int] = []
+            for s, e in sorted(zip(starts or [], ends or [], strict=True)):
+                if finals and s <= finals[-1]:
+                    finals[-1] = max(finals[-1], e)
+                else:
+                    begins.append(s)
+                    finals.append(e)
+            if begins:
+                low = np.maximum(at - MARGIN, 0)
+                k = np.searchsorted(begins, low, side="right") - 1
+                at = at[(k < 0) | (np.array(finals)[k] < at + K + MARGIN)]
+            if len(at):
+                rows.append((doc, at.tolist(), begins, finals))
+        if rows:
+            kinds = [pa.int64(), *[pa.list_(pa.int32())] * 3]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "places", "starts", "ends"])
+
+
+def _short_codes(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of each word's hash; 0 and 1 stand for no word."""
+    return np.maximum((hashes >> np.uint64(48)).astype("<u2"), 2)
+
+
+def _around(codes: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, empty: int) -> np.ndarray:
+    """One row a place: the words from ``MARGIN`` before the seed at ``at`` to ``MARGIN`` after it, ``empty`` outside its text."""
+    i = at[:, None] + np.arange(-MARGIN, K + MARGIN)
+    inside = (i >= first[:, None]) & (i < last[:, None])
+    return np.where(inside, codes[np.where(inside, i, 0)], np.uint16(empty))
+
+
+def _doc_seeds(bitmap):
+    """Map: documents whose id may be wanted -> short word codes and seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = take(batch, in_bits(bitmap.value, batch.column("slot").to_numpy()))
+            for part, texts in chunks(wanted):
+                w = words(texts)
+                codes = _short_codes(w.hash)
+                h, d, pos = _minimizers(w, np.arange(w.docs))
+                bounds = np.searchsorted(d, np.arange(w.docs + 1)).astype(np.int32)
+                rows = [codes[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.docs)]
+                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (h, pos)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary()), *lists], ["doc_id", "codes", "hashes", "at"])
+
+    return run
+
+
+def _sides(h: np.ndarray, pos: np.ndarray, doc: np.ndarray, kept: np.ndarray) -> pa.Array:
+    """For each kept seed the 32-bit names and distances of the seeds that follow within ``MARGIN`` words of its document."""
+    name = (mix(h.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+    end = np.searchsorted(doc * (1 << 32) + pos, doc[kept] * (1 << 32) + pos[kept] + MARGIN, side="right")
+    n = end - kept - 1
+    rows = np.repeat(kept + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())
+    value = (name[rows] << 7 | (pos[rows] - pos[np.repeat(kept, n)])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(value))
+
+
+PLACE = "hash long, doc_id long, pos int, words binary, sides array<int>, open binary"
+_PLACE_NAMES = ["hash", "doc_id", "pos", "words", "sides", "open"]
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open places with the words around them and which of these no passage covers."""
+    for batch in batches:
+        columns = ("doc_id", "codes", "hashes", "at", "places", "starts", "ends")
+        for doc, codes, hashes, at, places, starts, ends in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            own = np.frombuffer(codes, dtype="<u2")
+            h, pos = np.array(hashes, dtype=np.int64), np.array(at, dtype=np.int64)
+            free = np.ones(len(own), dtype=np.uint16)
+            for s, e in zip(starts, ends, strict=True):
+                free[s:e] = 0
+            picked = np.flatnonzero(np.isin(pos, places))
+            zero, n = np.zeros(len(picked), dtype=np.int64), np.full(len(picked), len(own))
+            left = _around(free, zero, n, pos[picked], 0).astype(bool)
+            some = left.any(axis=1)
+            picked, left = picked[some], left[some]
+            if not len(picked):
+                continue
+            around = _around(own, zero[some], n[some], pos[picked], 0)
+            arrays = [pa.array(h[picked]), pa.array(np.full(len(picked), doc)), pa.array(pos[picked].astype(np.int32))]
+            arrays += [pa.array([x.tobytes() for x in around], pa.binary()), _sides(h, pos, np.zeros(len(h), dtype=np.int64), picked)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([np.packbits(x).tobytes() for x in left], pa.binary())], _PLACE_NAMES)
+
+
+def _all_rows(bitmap, min_words: int):
+    """Map: places of seeds whose hash slot is wanted; of places with equal words around them in one batch the first document's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in chunks(batch):
+                w = words(texts)
+                h, d, pos = _minimizers(w, np.arange(w.docs))
+                kept = np.flatnonzero(in_bits(bitmap.value, _gram_slots(h.view(np.uint64))) & (w.counts()[d] >= min_words))
+                if not len(kept):
+                    continue
+                doc = part.column("doc_id").to_numpy()[d]
+                around = _around(_short_codes(w.hash), w.first[d[kept]], w.first[d[kept] + 1], w.first[d[kept]] + pos[kept], 1)
+                lanes = np.resize(_LANES, SIDE) + np.arange(SIDE, dtype=np.uint64)
+                same = mix((around.astype(np.uint64) * lanes).sum(axis=1))
+                order = np.lexsort((pos[kept], doc[kept], same, h[kept]))
+                new = np.ones(len(order), dtype=bool)
+                x, y = h[kept][order], same[order]
+                new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                one = np.sort(order[new])
+                kept, around = kept[one], around[one]
+                for b in range(0, len(kept), 10_000):
+                    k = kept[b : b + 10_000]
+                    rows = pa.array([r.tobytes() for r in around[b : b + 10_000]], pa.binary())
+                    arrays = [pa.array(h[k]), pa.array(doc[k]), pa.array(pos[k]), rows, _sides(h, pos.astype(np.int64), d.astype(np.int64), k)]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(k), pa.binary())], _PLACE_NAMES)
+
+    return run
+
+
+def _shifted(sides: pa.Array, others: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per open place the other places that have a following seed at another distance: which, both distances.
+
+    Seeds that stand several times beside a place are left out, as some place there has each distance.
+    """
+
+    def once(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, value = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
+        key = row << 32 | (value >> 7) + (1 << 24)
+        _, at, count = np.unique(key, return_index=True, return_counts=True)
+        at = at[count == 1]
+        return row[at], value[at] >> 7, value[at] & 127
+
+    a, name, gap = once(sides)
+    b, other_name, other_gap = once(others)
+    order = np.lexsort((other_gap, other_name))
+    b, other_name, other_gap = b[order], other_name[order], other_gap[order]
+    low, high = np.searchsorted(other_name, name), np.searchsorted(other_name, name, side="right")
+    key = other_name << 7 | other_gap
+    left, right = np.searchsorted(key, name << 7 | gap), np.searchsorted(key, name << 7 | gap, side="right")
+    found: list[list[tuple[np.ndarray, int]]] = [[] for _ in sides]
+    for i in np.flatnonzero(high - low > right - left).tolist():
+        found[a[i]].append((np.concatenate([np.arange(low[i], left[i]), np.arange(right[i], high[i])]), int(gap[i])))
+    out = []
+    for rows in found:
+        at = np.concatenate([x for x, _ in rows]) if rows else np.zeros(0, dtype=np.int64)
+        out.append((b[at], np.repeat([g for _, g in rows], [len(x) for x, _ in rows]).astype(np.int64), other_gap[at]))
+    return out
+
+
+def _meet_all(min_words: int, min_equal: int):
+    """Map over places sorted by (hash, block, other block): matches of open places that cover words no passage covers.
+
+    Only pairs with as many equal words as a passage needs, and with ``RUN`` equal words in a row of which one is not
+    covered (any stretch that covers more begins or ends in such a run), are cut into stretches. What a passage covers
+    needs no other partner; a stretch that may only be equal enough beyond the words in view leaves them open.
+    """
+    names = ["doc_id", "other_id", "anchors", "other_anchors"]
+    span = min(min_words, MARGIN + K)  # of a longer passage at least so many words stand around one of its seeds
+    needed = min(-(-min_words * min_equal // 100), 3 * span // 4 + 1) if span < min_words else -(-min_words * min_equal // 100)
+
+    def covers(equal: np.ndarray, free: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """Which columns of ``equal`` have a run with a free word; ``runs`` are the runs' beginnings."""
+        touch = np.flatnonzero(np.convolve(free, np.ones(RUN, dtype=int))[RUN - 1 : SIDE] > 0)
+        return runs[touch].any(axis=0)
+
+    def settle(equal: np.ndarray, free: np.ndarray) -> list[int]:
+        """Columns of ``equal`` to pass on; takes what they cover from ``free``."""
+        pairs = equal[1:] & equal[:-1]
+        runs = pairs[2:] & pairs[:-2]
+        left = np.flatnonzero(covers(equal, free, runs))
+        if not len(left):
+            return []
+        # from a run to the end of a run there must be words enough and a positive score
+        score = np.zeros((SIDE + 1, len(left)), dtype=np.int16)
+        np.cumsum(np.where(equal[:, left], np.int8(1), np.int8(MISS)), axis=0, dtype=np.int16, out=score[1:])
+        low = np.minimum.accumulate(np.where(runs[:, left], score[: SIDE + 1 - RUN], np.int16(SIDE)), axis=0)
+        left = left[(runs[span - RUN :, left] & (score[span:] > low[: SIDE + 1 - span])).any(axis=0)]
+        left = left[np.argsort(-equal[:, left].sum(axis=0), kind="stable")]
+        out = []
+        while len(left):
+            same = np.ascontiguousarray(equal[:, left[0]])
+            hit = any(e - s >= span and int(same[s:e].sum()) >= needed and free[s:e].any() for s, e in stretches(same))
+            for s, e, _ in _passages(same, span, min_equal) if hit else []:
+                free[s:e] = False
+            if hit:
+                out.append(int(left[0]))
+            left = left[1:]
+            if hit and len(left):
+                left = left[covers(equal, free, runs[:, left])]
+        return out
+
+    def group(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[int], list[int]]]:
+        opened = batch.column("open").is_valid().to_numpy(zero_copy_only=False)
+        if opened.all() or not opened.any():
+            return
+        mine, others = (x.take(pa.array(np.lexsort((x.column("pos").to_numpy(), x.column("doc_id").to_numpy())))) for x in (take(batch, opened), take(batch, ~opened)))
+        doc, pos = (mine.column(c).to_numpy() for c in ("doc_id", "pos"))
+        other, other_pos = (others.column(c).to_numpy() for c in ("doc_id", "pos"))
+        upto = np.searchsorted(other, doc)
+        if not upto.any():
+            return
+        a, b = (np.frombuffer(b"".join(x.column("words").to_pylist()), dtype="<u2").reshape(-1, SIDE) for x in (mine, others))
+        wide = np.ascontiguousarray(b.T)
+        low = wide.astype(np.uint8)
+        free = np.unpackbits(np.frombuffer(b"".join(mine.column("open").to_pylist()), dtype=np.uint8).reshape(len(doc), -1), axis=1)[:, :SIDE].astype(bool)
+        turned = _shifted(mine.column("sides"), others.column("sides"))
+        step = max(1, TILE // len(other))
+        for begin in range(0, len(doc), step):
+            end = min(begin + step, len(doc))
+            most = int(upto[begin:end].max())
+            total = np.zeros((end - begin, most), dtype=np.uint8)  # of the words' low bytes, so never too few
+            further = np.zeros(total.shape, dtype=bool)  # whether a run has a free word
+            last = [np.zeros(total.shape, dtype=bool) for _ in range(RUN)]
+            spare = np.empty(total.shape, dtype=bool)
+            for t in range(SIDE):
+                last = [*last[1:], last[0]]
+                np.equal(low[t, :most], a[begin:end, t].astype(np.uint8)[:, None], out=last[-1])
+                np.add(total, last[-1].view(np.uint8), out=total)
+                touch = np.flatnonzero(free[begin:end, max(0, t + 1 - RUN) : t + 1].any(axis=1))
+                if len(touch):
+                    np.logical_and(last[0], last[1], out=spare)
+                    for x in last[2:]:
+                        np.logical_and(spare, x, out=spare)
+                    further[touch] |= spare[touch]
+            for i in range(begin, end):
+                at = np.flatnonzero((total[i - begin, : upto[i]] >= needed) & further[i - begin, : upto[i]])
+                if len(at):
+                    equal = wide[:, at] == a[i][:, None]
+                    for m in settle(equal, free[i]):
+                        yield int(doc[i]), int(other[at[m]]), [int(pos[i])], [int(other_pos[at[m]])]
+                row, gap, other_gap = turned[i]
+                keep = np.flatnonzero(row < upto[i])
+                for part in np.array_split(keep, -(-len(keep) // 10_000)) if len(keep) and free[i].any() else []:
+                    r, g, o = row[part], gap[part], other_gap[part]
+                    column = np.arange(SIDE)[:, None]
+                    j = column + (o - g)
+                    inside = (j >= 0) & (j < SIDE)
+                    after = inside & (wide[np.where(inside, j, 0), r] == a[i][:, None]) & (column >= MARGIN + K)
+                    equal = (wide[:, r] == a[i][:, None]) & (column < MARGIN + g) | after
+                    enough = np.flatnonzero(equal.sum(axis=0) >= needed)
+                    for m in settle(equal[:, enough], free[i]) if len(enough) else []:
+                        k = enough[m]
+                        p, q = int(pos[i]), int(other_pos[r[k]])
+                        yield int(doc[i]), int(other[r[k]]), [p, p + int(g[k])], [q, q + int(o[k])]
+
+    def matches(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        whole = table.combine_chunks().to_batches()[0]
+        rows = [r for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if e - s > 1 for r in group(whole.slice(s, e - s))]
+        if rows:
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in ("hash", "i", "j")], axis=1)
+            edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if last is not None and (key[0] != last).any():
+                yield from matches(pa.Table.from_batches(held), np.array([0, sum(b.num_rows for b in held)]))
+                held = []
+            if len(edge):
+                head = pa.Table.from_batches([*held, batch.slice(0, edge[-1])])
+                before = head.num_rows - int(edge[-1])
+                yield from matches(head, np.concatenate([[0], edge + before]))
+                held = []
+            held.append(batch.slice(edge[-1] if len(edge) else 0))
+            last = key[-1]
+        if held:
+            yield from matches(pa.Table.from_batches(held), np.array([0, sum(b.num_rows for b in held)]))
+
+    return run
+
+
+def _further_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min_words: int, min_equal: int) -> DataFrame | None:
+    """Nearly equal passages that cover words beside seeds seen earlier which ``found`` leaves open, from all holders.
+
+    In view are the words on the seed's diagonal and along one shift to a second seed; a passage of which less than
+    ``min_words`` stand along any two neighbouring diagonals needs a chain of the first pass.
+    """
+    spark = docs.sparkSession
+    seen = chained.groupBy("doc_id").agg(F.collect_list("anchors").alias("seen"))
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("s"))
+    spans = spans.selectExpr("doc_id", "s.start_word as starts", "s.end_word as ends")
+    left = seen.join(spans, "doc_id", "left").mapInArrow(_open_places, "doc_id long, places array<int>, starts array<int>, ends array<int>")
+    left = staged(left, "open_places")
+    bitmap = spark.sparkContext.broadcast(filter_bits(left, "doc_id"))
+    kind = "doc_id long, codes binary, hashes array<long>, at array<int>"
+    codes = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_doc_seeds(bitmap)), kind).dropDuplicates(["doc_id"])
+    mine = staged(codes.join(left, "doc_id").mapInArrow(releasing(_open_rows), PLACE), "open_rows")
+    slots = slot_bits(mine.selectExpr(f"(hash & {(1 << GRAM_BITS) - 1}L) + 1 as slot"), GRAM_BITS)
+    if not slots.any():
+        return None
+    every = staged(docs.mapInArrow(releasing(_all_rows(spark.sparkContext.broadcast(slots), min_words)), PLACE), "places")
+    # blocks of open places meet blocks of all places; all but frequent seeds have one of each
+    counts = mine.groupBy("hash").agg(F.count("*").alias("n")).join(every.groupBy("hash").agg(F.count("*").alias("m")), "hash")
+    blocks = counts.selectExpr("hash", f"int(ceil(n / {BLOCK_PLACES})) as ni", f"int(ceil(m / {BLOCK_PLACES})) as nj")
+    blocks = F.broadcast(staged(blocks.where("ni > 1 or nj > 1"), "blocks"))
+    own, many = "pmod(xxhash64(doc_id, pos), coalesce({0}, 1))", "explode(sequence(0, coalesce({0}, 1) - 1))"
+    mine = mine.join(blocks, "hash", "left").selectExpr(*_PLACE_NAMES, f"int({own.format('ni')}) as i", f"{many.format('nj')} as j")
+    every = every.join(blocks, "hash", "left").selectExpr(*_PLACE_NAMES, f"{many.format('ni')} as i", f"int({own.format('nj')}) as j")
+    met = (
+        mine.unionByName(every)
+        .repartition(partitions(spark), "hash", "i", "j")
+        .sortWithinPartitions("hash", "i", "j")
+        .mapInArrow(releasing(_meet_all(min_words, min_equal)), "doc_id long, other_id long, anchors array<int>, other_anchors array<int>")
+    )
+    met = staged(met.distinct(), "further_matches")
+    if met.isEmpty():
+        return None
+    begins = [f"greatest(0, element_at({x}, 1) - {REACH}) as {name}" for x, name in (("anchors", "begin"), ("other_anchors", "other_begin"))]
+    ends = [f"element_at({x}, -1) + {K + REACH} as {name}" for x, name in (("anchors", "end"), ("other_anchors", "other_end"))]
+    return _aligned(docs, met.selectExpr("*", *begins, *ends), min_words, min_equal, "further")
+
+
 def several_texts(docs: DataFrame) -> DataFrame:
     """``_id, _least`` of the doc_ids that stand on rows with different texts: the smallest text hash, whose text counts."""
     text = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -668,24 +1014,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: in
     chained = staged(
         matches.repartition(parts, "doc_id", "other_id")
         .sortWithinPartitions("doc_id", "other_id", "pos", "other_pos")
-        .mapInArrow(
-            releasing(_chain_pairs),
-            "doc_id long, other_id long, anchors array<int>, other_anchors array<int>, "
-            "begin int, end int, other_begin int, other_end int",
-        ),
+        .mapInArrow(releasing(_chain_pairs), CHAIN),
         "chains",
     )
-    pairs = chained.where("other_id is not null")
-    wanted = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
-    bitmap = spark.sparkContext.broadcast(filter_bits(wanted, "doc_id"))
-    codes = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_word_codes(bitmap)), "doc_id long, codes binary")
-    codes = staged(codes.dropDuplicates(["doc_id"]), "codes")
-    own = pairs.join(codes, "doc_id").withColumn("codes", F.expr("substring(codes, 4 * begin + 1, 4 * (end - begin))"))
-    both = own.join(codes.select(F.col("doc_id").alias("other_id"), F.col("codes").alias("other_codes")), "other_id")
-    both = both.withColumn("other_codes", F.expr("substring(other_codes, 4 * other_begin + 1, 4 * (other_end - other_begin))"))
-    found = staged(both.mapInArrow(releasing(_align_rows(min_words, min_equal)), PASSAGE).distinct(), "passages")
+    found = _aligned(docs, chained.where("other_id is not null"), min_words, min_equal, "passages")
     exact = _exact_passages(docs, chained, found, min_words)
-    return found if exact is None else found.unionByName(exact).distinct()
+    if exact is not None:
+        found = found.unionByName(staged(exact, "exact")).distinct()
+    further = _further_passages(docs, chained, found, min_words, min_equal)
+    return found if further is None else found.unionByName(further).distinct()
 
 
 def merged_spans(passages: DataFrame) -> DataFrame:

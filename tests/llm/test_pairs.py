@@ -316,3 +316,56 @@ def test_a_passage_whose_parts_have_other_first_holders_is_reported(make):
             assert r["other_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 50
             if r["equal_words"] == r["end_word"] - r["start_word"]:
                 assert a[r["start_word"] : r["end_word"]] == b[r["other_start"] : r["other_end"]]
+
+
+def nearly_equal_with_one_source(seed, change):
+    """Documents with parts of a passage stand first and just before the one that holds all of it, changed here and there."""
+    w = prose(seed, 72).split(" ")
+    parts = [w[:26], w[22:50], w[46:]]
+    own = [*parts, w, *parts, change(list(w))]
+    return [f"{prose(seed + 300 + i, 40)} {' '.join(x)} {prose(seed + 400 + i, 40)}" for i, x in enumerate(own)]
+
+
+def replaced(w):
+    for i in (11, 33, 57):
+        w[i] = f"other{i}"
+    return w
+
+
+def test_a_nearly_equal_passage_meets_every_holder(make):
+    changes = {"replaced": replaced, "longer": lambda w: [*w[:36], "more", *w[36:]], "shorter": lambda w: [*w[:20], "swapped", *w[21:35], *w[37:]]}
+    for name, change in changes.items():
+        for seed in (500, 510, 520):
+            texts = nearly_equal_with_one_source(seed, change)
+            rows = [r for r in repeated_passages(make(texts)).collect() if r["doc_id"] == 7]
+            n = len(change(prose(seed, 72).split(" ")))
+            covered = {i - 40 for r in rows for i in range(r["start_word"], r["end_word"])}
+            assert set(range(2, n - 2)) <= covered, (name, seed, sorted(covered))
+            for r in rows:
+                assert r["other_id"] == 3 and r["equal_words"] >= 0.8 * (r["end_word"] - r["start_word"]) >= 40
+
+
+def test_places_of_a_seed_in_blocks_meet(make, monkeypatch):
+    """Frequent seeds are cut into blocks; no pair of blocks is left out."""
+    from sitebag.llm import passages
+
+    monkeypatch.setattr(passages, "BLOCK_PLACES", 2)
+    texts = nearly_equal_with_one_source(530, replaced)
+    w = prose(530, 72).split(" ")
+    more = [f"{prose(900 + i, 40)} {' '.join(w[a : a + 28])} {prose(950 + i, 40)}" for i, a in enumerate((0, 22, 44, 10, 34))]
+    texts = [*texts[:4], *more, *texts[4:]]
+    rows = [r for r in repeated_passages(make(texts)).collect() if r["doc_id"] == len(texts) - 1]
+    assert set(range(42, 110)) <= {i for r in rows for i in range(r["start_word"], r["end_word"])} and {r["other_id"] for r in rows} == {3}
+
+
+def test_a_nearly_equal_passage_among_many_places(make):
+    """A seed stands more often in both documents than all its places meet in the first pass."""
+    w = prose(600, 60).split(" ")
+    phrase = " ".join(w[20:40])
+    one = " ".join(f"{prose(700 + i, 12)} {phrase}" for i in range(30))
+    two = " ".join(f"{prose(800 + i, 12)} {phrase}" for i in range(30))
+    v = list(w)
+    v[8] = v[50] = "other"
+    texts = [f"{prose(601, 9)} {phrase} {prose(602, 40)}", f"{one} {' '.join(w)} {prose(603, 20)}", f"{prose(604, 20)} {' '.join(v)} {two}"]
+    rows = [r for r in repeated_passages(make(texts)).collect() if r["doc_id"] == 2]
+    assert set(range(22, 78)) <= {i for r in rows for i in range(r["start_word"], r["end_word"])}
