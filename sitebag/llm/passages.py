@@ -45,6 +45,7 @@ MISS = -3  # against +1 for an equal word, when a passage is trimmed
 SIDE = 2 * MARGIN + K  # words around a seed
 BLOCK_PLACES = 4_096
 TILE = 1 << 17
+MEET_ROWS = 16_384
 REACH = 400
 RUN = 4  # the outermost equal words of a stretch come in runs of more than -MISS
 
@@ -61,22 +62,23 @@ def _sorted_seeds(texts: list[bytes], doc_ids: np.ndarray) -> tuple[np.ndarray,
 def _minimizers(w: Words, doc_ids: np.ndarray) -> tuple[np.ndarray, ...]:
     hashes, at = windows(w, K)
     bounds = np.searchsorted(at, w.first)
-    found = []
-    for d in range(w.docs):
-        own = hashes[bounds[d] : bounds[d + 1]]
-        n = len(own)
-        if not n:
-            continue
-        if n <= WINDOW:
-            picked = np.array([int(np.argmin(own))])
-        else:
-            views = np.lib.stride_tricks.sliding_window_view(own, WINDOW)
-            picked = np.unique(np.arange(n - WINDOW + 1) + views.argmin(axis=1))
-        h = own[picked]
-        found.append((h.view(np.int64), np.full(len(h), doc_ids[d], dtype=np.int64), picked.astype(np.int32)))
-    if not found:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    n = np.diff(bounds)
+    least, size = np.arange(len(hashes)), 1  # the first of the smallest hashes of ``size`` runs from each
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        left, right = least[: len(least) - step], least[step:]
+        least, size = np.where(hashes[right] < hashes[left], right, left), size + step
+    d = np.repeat(np.arange(w.docs), n)
+    whole = np.arange(len(least)) + WINDOW <= bounds[1:][d[: len(least)]]
+    picked = np.zeros(len(hashes), dtype=bool)
+    picked[least[whole]] = True
+    for e in np.flatnonzero((n > 0) & (n <= WINDOW)).tolist():
+        own = hashes[bounds[e] : bounds[e + 1]]
+        picked[bounds[e] : bounds[e + 1]] = False
+        picked[bounds[e] + int(np.argmin(own))] = True
+    kept = np.flatnonzero(picked)
+    d = d[kept]
+    return hashes[kept].view(np.int64), doc_ids[d].astype(np.int64), (at[kept] - w.first[d]).astype(np.int32)
 
 
 def _holders(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +124,8 @@ def _seed_blocks(seeds_of=_sorted_seeds):
 
     def block(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((pos, doc, h))
+        ordered = (doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (pos[1:] >= pos[:-1]))
+        order = np.argsort(h, kind="stable") if ordered.all() else np.lexsort((pos, doc, h))
         h, doc, pos = h[order], doc[order], pos[order]
         new = np.ones(len(h), dtype=bool)  # rows of one document may come more than once
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
@@ -515,6 +518,34 @@ def _align_rows(min_words: int, min_equal: int):
     return run
 
 
+def _listed(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of all members of an array of lists; null is a list without any."""
+    n = values.value_lengths().fill_null(0).to_numpy()
+    return np.repeat(np.arange(len(values)), n), values.flatten().to_numpy().astype(np.int64)
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, of: np.ndarray) -> pa.Array:
+    """The values of the rows ``of`` as lists; ``rows``, the row numbers of the values, go up."""
+    return pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(rows, of), len(rows)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _places_seen(seen: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and place of the different members of an array of lists of lists, in order."""
+    inner = seen.flatten()
+    row = np.repeat(np.repeat(np.arange(len(seen)), np.diff(seen.offsets.to_numpy())), np.diff(inner.offsets.to_numpy()))
+    key = np.unique(row << 32 | inner.flatten().to_numpy().astype(np.int64))
+    return key >> 32, key & ((1 << 32) - 1)
+
+
+def _joined_spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the spans that overlap or touch in each row, as row number times 2**32 and place, in order."""
+    order = np.lexsort((end, start, row))
+    start, end = (row << 32 | start)[order], (row << 32 | end)[order]
+    upto = np.maximum.accumulate(end) if len(end) else end
+    new = np.flatnonzero(np.append(True, start[1:] > upto[:-1])[: len(start)])
+    return start[new], upto[np.append(new[1:], len(upto)) - 1] if len(new) else upto
+
+
 def _open_windows(min_words: int, size: int):
     """Map: where windows of ``size`` words begin that lie in a run of seeds seen earlier and in no passage.
 
@@ -524,31 +555,30 @@ def _open_windows(min_words: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, seen, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seen", "starts", "ends")), strict=True):
-                at = np.unique(np.concatenate([np.array(x, dtype=np.int64) for x in seen]))
-                edge = np.flatnonzero(np.diff(at) > WINDOW) + 1
-                spans = sorted(zip(starts or [], ends or [], strict=True))
-                begins, finals = [], []
-                for part in np.split(at, edge):
-                    low, high = max(0, int(part[0]) - WINDOW + 1), int(part[-1]) + WINDOW - 1 + K
-                    if high - low < min_words:
-                        continue
-                    end = high - size + 1
-                    for s, e in spans:
-                        if e - size + 1 > low and s < end:
-                            if s > low:
-                                begins.append(low)
-                                finals.append(s)
-                            low = max(low, e - size + 1)
-                    if low < end:
-                        begins.append(low)
-                        finals.append(end)
-                if begins:
-                    rows.append((doc, begins, finals))
-            if rows:
-                kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            if not batch.num_rows:
+                continue
+            row, at = _places_seen(batch.column("seen"))
+            (of, starts), (_, ends) = (_listed(batch.column(c)) for c in ("starts", "ends"))
+            closed, reopened = _joined_spans(of, starts, ends - size + 1)
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > WINDOW)))
+            last = np.append(first[1:], len(at)) - 1
+            low, high = np.maximum(0, at[first] - WINDOW + 1), at[last] + WINDOW - 1 + K
+            row = row[first]
+            some = (high - low >= min_words) & (low < high - size + 1)
+            row, low, end = row[some], (row << 32 | low)[some], (row << 32 | np.maximum(high - size + 1, 0))[some]
+            # between the closed ranges, whose numbers begin at ``at``, lie the open ones of a run
+            at = np.searchsorted(reopened, low, side="right")
+            n = np.maximum(np.searchsorted(closed, end) - at, 0) + 1
+            of = np.repeat(np.arange(len(low)), n)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            closed, reopened = np.append(closed, 0), np.append(reopened, 0)
+            begins = np.where(k == 0, low[of], reopened[np.maximum(at[of] + k - 1, 0)])
+            finals = np.where(k == n[of] - 1, end[of], closed[np.minimum(at[of] + k, len(closed) - 1)])
+            some = begins < finals
+            row, begins, finals = row[of][some], begins[some] & ((1 << 32) - 1), finals[some] & ((1 << 32) - 1)
+            if len(row):
+                docs = np.unique(row)
+                arrays = [batch.column("doc_id").take(pa.array(docs)), *(_lists(row, x, docs) for x in (begins, finals))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "begins", "finals"])
 
     return run
@@ -624,7 +654,7 @@ def _join_windows(size: int, min_words: int):
     return run
 
 
-def _exact_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min_words: int) -> DataFrame | None:
+def _exact_passages(docs: DataFrame, chained: DataFrame, held: DataFrame, found: DataFrame, min_words: int) -> DataFrame | None:
     """Equal passages in runs of seeds seen earlier that ``found`` leaves open, or None where nothing is open."""
     spark = docs.sparkSession
     size = min(min_words, len(_LANES))
@@ -633,9 +663,7 @@ def _exact_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min_w
     done = found.groupBy("doc_id").agg(spans.alias("s")).selectExpr("doc_id", "s.start_word as starts", "s.end_word as ends")
     left = seen.join(done, "doc_id", "left").mapInArrow(_open_windows(min_words, size), "doc_id long, begins array<int>, finals array<int>")
     left = staged(left, "open")
-    bitmap = spark.sparkContext.broadcast(filter_bits(left, "doc_id"))
-    codes = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_word_codes(bitmap)), "doc_id long, codes binary")
-    slots = slot_bits(codes.join(left, "doc_id").mapInArrow(_open_slots(size), "slot long"), GRAM_BITS)
+    slots = slot_bits(held.select("doc_id", "codes").join(left, "doc_id").mapInArrow(_open_slots(size), "slot long"), GRAM_BITS)
     if not slots.any():
         return None
     grams = _met(docs, _sorted_grams(spark.sparkContext.broadcast(slots), size), "grams").withColumn("d", F.expr("other_pos - pos"))
@@ -648,12 +676,16 @@ def _exact_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min_w
     return exact.join(done, "doc_id", "left").where(f"starts is null or not {inside}").drop("starts", "ends")
 
 
-def _aligned(docs: DataFrame, pairs: DataFrame, min_words: int, min_equal: int, name: str) -> DataFrame:
-    """The passages of chains."""
+def _codes_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc_id, codes``: words of the documents of chains, one row each."""
     wanted = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
     bitmap = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted, "doc_id"))
     codes = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_word_codes(bitmap)), "doc_id long, codes binary")
-    codes = staged(codes.dropDuplicates(["doc_id"]), "codes")
+    return staged(codes.dropDuplicates(["doc_id"]), "codes")
+
+
+def _aligned(pairs: DataFrame, codes: DataFrame, min_words: int, min_equal: int, name: str) -> DataFrame:
+    """The passages of chains."""
     own = pairs.join(codes, "doc_id").withColumn("codes", F.expr("substring(codes, 4 * begin + 1, 4 * (end - begin))"))
     both = own.join(codes.select(F.col("doc_id").alias("other_id"), F.col("codes").alias("other_codes")), "other_id")
     both = both.withColumn("other_codes", F.expr("substring(other_codes, 4 * other_begin + 1, 4 * (other_end - other_begin))"))
@@ -663,26 +695,20 @@ def _aligned(docs: DataFrame, pairs: DataFrame, min_words: int, min_equal: int,
 def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places of seeds seen earlier beside which a word stands in no passage, with the joined passages of their document."""
     for batch in batches:
-        rows = []
-        for doc, seen, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "seen", "starts", "ends")), strict=True):
-            at = np.unique(np.concatenate([np.array(x, dtype=np.int64) for x in seen]))
-            begins: list[int] = []
-            finals: list[int] = []
-            for s, e in sorted(zip(starts or [], ends or [], strict=True)):
-                if finals and s <= finals[-1]:
-                    finals[-1] = max(finals[-1], e)
-                else:
-                    begins.append(s)
-                    finals.append(e)
-            if begins:
-                low = np.maximum(at - MARGIN, 0)
-                k = np.searchsorted(begins, low, side="right") - 1
-                at = at[(k < 0) | (np.array(finals)[k] < at + K + MARGIN)]
-            if len(at):
-                rows.append((doc, at.tolist(), begins, finals))
-        if rows:
-            kinds = [pa.int64(), *[pa.list_(pa.int32())] * 3]
-            arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        if not batch.num_rows:
+            continue
+        row, at = _places_seen(batch.column("seen"))
+        (of, starts), (_, ends) = (_listed(batch.column(c)) for c in ("starts", "ends"))
+        begins, finals = _joined_spans(of, starts, ends)
+        if len(begins):
+            k = np.searchsorted(begins, row << 32 | np.maximum(at - MARGIN, 0), side="right") - 1
+            left = (k < 0) | (finals[k] < (row << 32 | at + K + MARGIN))
+            row, at = row[left], at[left]
+        if len(row):
+            docs = np.unique(row)
+            arrays = [batch.column("doc_id").take(pa.array(docs)), _lists(row, at, docs)]
+            some = np.isin(begins >> 32, docs)
+            arrays += [_lists(begins[some] >> 32, x[some] & ((1 << 32) - 1), docs) for x in (begins, finals)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "places", "starts", "ends"])
 
 
@@ -698,24 +724,51 @@ def _around(codes: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarr
     return np.where(inside, codes[np.where(inside, i, 0)], np.uint16(empty))
 
 
-def _doc_seeds(bitmap):
-    """Map: documents whose id may be wanted -> short word codes and seeds."""
+def _cut(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Numbers as binary values that end where the next one begins."""
+    offsets = (bounds * numbers.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _rows_of(rows: np.ndarray) -> pa.Array:
+    """The rows of a table of numbers as binary values."""
+    return _cut(rows.reshape(-1), np.arange(len(rows) + 1) * rows.shape[1])
+
+
+def _numbers(values: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of an array of binary values, and where each value's begin."""
+    raw = np.frombuffer(values.buffers()[1], dtype=np.int32, count=values.offset + len(values) + 1)[values.offset :].astype(np.int64)
+    data = values.buffers()[2]
+    held = np.frombuffer(data, dtype=np.uint8)[raw[0] : raw[-1]] if raw[-1] > raw[0] else np.zeros(0, dtype=np.uint8)
+    return np.ascontiguousarray(held).view(kind), (raw - raw[0]) // np.dtype(kind).itemsize
+
+
+def _doc_words(bitmap):
+    """Map: documents whose id may be wanted -> 32-bit word hashes and seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = take(batch, in_bits(bitmap.value, batch.column("slot").to_numpy()))
             for part, texts in chunks(wanted):
                 w = words(texts)
-                codes = _short_codes(w.hash)
+                codes = (w.hash >> np.uint64(32)).astype("<u4")
                 h, d, pos = _minimizers(w, np.arange(w.docs))
-                bounds = np.searchsorted(d, np.arange(w.docs + 1)).astype(np.int32)
-                rows = [codes[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.docs)]
-                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (h, pos)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary()), *lists], ["doc_id", "codes", "hashes", "at"])
+                bounds = np.searchsorted(d, np.arange(w.docs + 1))
+                columns = [_cut(codes, w.first), _cut(h, bounds), _cut(pos, bounds)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "codes", "hashes", "at"])
 
     return run
 
 
+def _held_words(docs: DataFrame, chained: DataFrame) -> DataFrame:
+    """``doc_id, codes, hashes, at``: words and seeds of all documents with matches, one row each."""
+    wanted = chained.select("doc_id").union(chained.where("other_id is not null").select("other_id")).distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted, "doc_id"))
+    kind = "doc_id long, codes binary, hashes binary, at binary"
+    found = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_doc_words(bitmap)), kind)
+    return staged(found.dropDuplicates(["doc_id"]), "codes")
+
+
 def _sides(h: np.ndarray, pos: np.ndarray, doc: np.ndarray, kept: np.ndarray) -> pa.Array:
     """For each kept seed the 32-bit names and distances of the seeds that follow within ``MARGIN`` words of its document."""
     name = (mix(h.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
@@ -732,25 +785,28 @@ _PLACE_NAMES = ["hash", "doc_id", "pos", "words", "sides", "open"]
 
 def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open places with the words around them and which of these no passage covers."""
-    for batch in batches:
-        columns = ("doc_id", "codes", "hashes", "at", "places", "starts", "ends")
-        for doc, codes, hashes, at, places, starts, ends in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            own = np.frombuffer(codes, dtype="<u2")
-            h, pos = np.array(hashes, dtype=np.int64), np.array(at, dtype=np.int64)
-            free = np.ones(len(own), dtype=np.uint16)
-            for s, e in zip(starts, ends, strict=True):
-                free[s:e] = 0
-            picked = np.flatnonzero(np.isin(pos, places))
-            zero, n = np.zeros(len(picked), dtype=np.int64), np.full(len(picked), len(own))
-            left = _around(free, zero, n, pos[picked], 0).astype(bool)
-            some = left.any(axis=1)
-            picked, left = picked[some], left[some]
-            if not len(picked):
-                continue
-            around = _around(own, zero[some], n[some], pos[picked], 0)
-            arrays = [pa.array(h[picked]), pa.array(np.full(len(picked), doc)), pa.array(pos[picked].astype(np.int32))]
-            arrays += [pa.array([x.tobytes() for x in around], pa.binary()), _sides(h, pos, np.zeros(len(h), dtype=np.int64), picked)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([np.packbits(x).tobytes() for x in left], pa.binary())], _PLACE_NAMES)
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 1_000):
+            batch = whole.slice(begin, 1_000)
+            own, first = _numbers(batch.column("codes"), "<u4")
+            own = _short_codes(own.astype(np.uint64) << np.uint64(32))
+            (h, bounds), (pos, _) = (_numbers(batch.column(c), kind) for c, kind in (("hashes", "<i8"), ("at", "<i4")))
+            d, pos = np.repeat(np.arange(batch.num_rows), np.diff(bounds)), pos.astype(np.int64)
+            (of, places), (ds, starts), (_, ends) = (_listed(batch.column(c)) for c in ("places", "starts", "ends"))
+            edge = np.zeros(len(own) + 1, dtype=np.int32)
+            np.add.at(edge, np.minimum(first[ds] + starts, first[ds + 1]), 1)
+            np.add.at(edge, np.minimum(first[ds] + ends, first[ds + 1]), -1)
+            free = (np.cumsum(edge)[:-1] == 0).astype(np.uint16)
+            picked = np.flatnonzero(np.isin(d << 32 | pos, of << 32 | places))
+            doc = batch.column("doc_id").to_numpy()
+            for at in range(0, len(picked), 10_000):
+                k = picked[at : at + 10_000]
+                bounds = first[d[k]], first[d[k] + 1], first[d[k]] + pos[k]
+                left = _around(free, *bounds, 0).astype(bool)
+                some = left.any(axis=1)
+                k, bounds = k[some], [x[some] for x in bounds]
+                arrays = [pa.array(h[k]), pa.array(doc[d[k]]), pa.array(pos[k].astype(np.int32)), _rows_of(_around(own, *bounds, 0))]
+                yield pa.RecordBatch.from_arrays([*arrays, _sides(h, pos, d, k), _rows_of(np.packbits(left[some], axis=1))], _PLACE_NAMES)
 
 
 def _all_rows(bitmap, min_words: int):
@@ -776,21 +832,22 @@ def _all_rows(bitmap, min_words: int):
                 kept, around = kept[one], around[one]
                 for b in range(0, len(kept), 10_000):
                     k = kept[b : b + 10_000]
-                    rows = pa.array([r.tobytes() for r in around[b : b + 10_000]], pa.binary())
+                    rows = _rows_of(around[b : b + 10_000])
                     arrays = [pa.array(h[k]), pa.array(doc[k]), pa.array(pos[k]), rows, _sides(h, pos.astype(np.int64), d.astype(np.int64), k)]
                     yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(k), pa.binary())], _PLACE_NAMES)
 
     return run
 
 
-def _shifted(sides: pa.Array, others: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per open place the other places that have a following seed at another distance: which, both distances.
+def _shifted(sides: pa.Array, others: pa.Array, group: np.ndarray, other_group: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Open places and places of their group that have a following seed at another distance: both numbers, both distances.
 
-    Seeds that stand several times beside a place are left out, as some place there has each distance.
+    Seeds that stand several times beside a place are left out, as some place there has each distance. In order of the
+    open places, of which each is whole in a part.
     """
 
     def once(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, value = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
+        row, value = _listed(lists)
         key = row << 32 | (value >> 7) + (1 << 24)
         _, at, count = np.unique(key, return_index=True, return_counts=True)
         at = at[count == 1]
@@ -798,37 +855,146 @@ def _shifted(sides: pa.Array, others: pa.Array) -> list[tuple[np.ndarray, np.nda
 
     a, name, gap = once(sides)
     b, other_name, other_gap = once(others)
+    name, other_name = ((g[x] << 25) + (1 << 24) + y for g, x, y in ((group, a, name), (other_group, b, other_name)))
     order = np.lexsort((other_gap, other_name))
     b, other_name, other_gap = b[order], other_name[order], other_gap[order]
     low, high = np.searchsorted(other_name, name), np.searchsorted(other_name, name, side="right")
     key = other_name << 7 | other_gap
     left, right = np.searchsorted(key, name << 7 | gap), np.searchsorted(key, name << 7 | gap, side="right")
-    found: list[list[tuple[np.ndarray, int]]] = [[] for _ in sides]
-    for i in np.flatnonzero(high - low > right - left).tolist():
-        found[a[i]].append((np.concatenate([np.arange(low[i], left[i]), np.arange(right[i], high[i])]), int(gap[i])))
-    out = []
-    for rows in found:
-        at = np.concatenate([x for x, _ in rows]) if rows else np.zeros(0, dtype=np.int64)
-        out.append((b[at], np.repeat([g for _, g in rows], [len(x) for x, _ in rows]).astype(np.int64), other_gap[at]))
+    some = high - low > right - left
+    a, gap, low, left, right, high = (x[some] for x in (a, gap, low, left, right, high))
+    n = left - low + high - right
+    total = np.cumsum(n)
+    new = np.flatnonzero(np.diff(a, prepend=-1))
+    begin = 0
+    while begin < len(a):
+        upto = int(np.searchsorted(new, np.searchsorted(total, total[begin] + TILE)))
+        upto = len(new) if upto >= len(new) else max(upto, int(np.searchsorted(new, begin, side="right")))
+        end = int(new[upto]) if upto < len(new) else len(a)
+        m, skip = n[begin:end], right[begin:end] - left[begin:end]
+        place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        at = np.repeat(low[begin:end], m) + place
+        at += np.where(place >= np.repeat(left[begin:end] - low[begin:end], m), np.repeat(skip, m), 0)
+        yield np.repeat(a[begin:end], m), b[at], np.repeat(gap[begin:end], m), other_gap[at]
+        begin = end
+
+
+def _runs_of(equal: np.ndarray) -> np.ndarray:
+    """Where ``RUN`` words in a row are equal, along the second axis."""
+    pairs = equal[:, 1:] & equal[:, :-1]
+    return pairs[:, 2:] & pairs[:, :-2]
+
+
+def _touched(free: np.ndarray) -> np.ndarray:
+    """Where runs of ``RUN`` words have a free one, along the second axis."""
+    out = free[:, : 1 - RUN].copy()
+    for t in range(1, RUN):
+        out |= free[:, t : SIDE + 1 - RUN + t]
     return out
 
 
+_APART = [t for t in range(SIDE + 1 - RUN) if t + RUN < MARGIN or t > MARGIN + K]  # runs with a word between them and the seed
+
+
+def _grams(words: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Names of the runs of ``RUN`` words, one row for each beginning; equal runs of different groups have different names."""
+    rows = np.ascontiguousarray(words.T).astype(np.uint64)
+    out = rows[: 1 - RUN].copy()
+    for i in range(1, RUN):
+        out |= rows[i : len(rows) + 1 - RUN + i] << np.uint64(16 * i)
+    return mix(out) + group.astype(np.uint64) * _LANES[0]
+
+
+def _longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Names of the runs of :func:`_grams` with the next word towards the seed; of those that touch the seed 0."""
+    out = np.zeros(grams.shape, dtype=np.uint64)
+    for t in _APART:
+        out[t] = mix(grams[t] + (words[:, t - 1 if t > MARGIN else t + RUN].astype(np.uint64) + np.uint64(1)) * _LANES[1])
+    return out
+
+
+def _runs_apart(a: np.ndarray, b: np.ndarray, group: np.ndarray, other_group: np.ndarray, low: np.ndarray, high: np.ndarray, free: np.ndarray):
+    """Pairs with ``RUN`` equal words in a row that are not equal all the way from the seed.
+
+    Open places are rows of ``a``, their partners the rows ``low:high`` of ``b``. Numbers of the pairs, and of the places
+    too many of whose partners are such to be told one by one. Places without an equal run that has a free word have none.
+
+    The end towards the seed of such a run is told by an unequal word before it. For each place of a run there are as many
+    partners with the same run as with the same run and word, unless some have the run alone; only these are listed.
+    """
+    grams, other_grams = _grams(a, group), _grams(b, other_group)
+    longer, other_longer = _longer(grams, a), _longer(other_grams, b)
+    most = (high - low) // 4
+    count = np.zeros(len(a), dtype=np.int64)
+    further = np.zeros(len(a), dtype=bool)
+    pairs = [np.zeros(0, dtype=np.int64)]
+    for t in range(SIDE + 1 - RUN):
+        known = np.sort(other_grams[t])
+        at = np.searchsorted(known, grams[t])
+        hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == grams[t])
+        if not len(hit):
+            continue
+        further[hit] |= free[hit, t : t + RUN].any(axis=1)
+        if t not in _APART:
+            continue
+        hit = hit[count[hit] <= most[hit]]
+        many = np.searchsorted(known, grams[t][hit], side="right") - at[hit]
+        same = np.sort(other_longer[t])
+        joined = np.searchsorted(same, longer[t][hit], side="right") - np.searchsorted(same, longer[t][hit])
+        many -= joined
+        count[hit] += many
+        more = (many > 0) & (count[hit] <= most[hit])
+        hit, many, joined = hit[more], many[more], joined[more]
+        if not len(hit):
+            continue
+        order = np.lexsort((other_longer[t], other_grams[t]))
+        names, rank = np.unique(np.concatenate([other_longer[t][order], longer[t][hit]]), return_inverse=True)
+        first = np.searchsorted(known, other_grams[t][order])
+        same = np.searchsorted(first * len(names) + rank[: len(b)], at[hit] * len(names) + rank[len(b) :])  # joined ones from here
+        i = np.repeat(hit, many)
+        place = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        place += np.where(place >= np.repeat(same - at[hit], many), np.repeat(joined, many), 0)
+        j = order[np.repeat(at[hit], many) + place]
+        ok = (j >= low[i]) & (j < high[i])
+        pairs.append(i[ok] * len(b) + j[ok])
+    dense = np.flatnonzero((count > most) & further)
+    found = np.unique(np.concatenate(pairs))
+    i, j = found // len(b), found % len(b)
+    ok = further[i] & (count[i] <= most[i])
+    return i[ok], j[ok], dense
+
+
 def _meet_all(min_words: int, min_equal: int):
     """Map over places sorted by (hash, block, other block): matches of open places that cover words no passage covers.
 
     Only pairs with as many equal words as a passage needs, and with ``RUN`` equal words in a row of which one is not
     covered (any stretch that covers more begins or ends in such a run), are cut into stretches. What a passage covers
     needs no other partner; a stretch that may only be equal enough beyond the words in view leaves them open.
+
+    A stretch that is not equal throughout has a run of ``RUN`` equal words at an end that is parted from the seed, and
+    equal stretches are covered by the exact pass before. So in large groups only pairs with such a run are compared.
     """
     names = ["doc_id", "other_id", "anchors", "other_anchors"]
     span = min(min_words, MARGIN + K)  # of a longer passage at least so many words stand around one of its seeds
     needed = min(-(-min_words * min_equal // 100), 3 * span // 4 + 1) if span < min_words else -(-min_words * min_equal // 100)
+    listed = min_words <= len(_LANES)  # longer equal passages may have parts of several documents in the exact pass
+    column = np.arange(SIDE)
 
     def covers(equal: np.ndarray, free: np.ndarray, runs: np.ndarray) -> np.ndarray:
         """Which columns of ``equal`` have a run with a free word; ``runs`` are the runs' beginnings."""
         touch = np.flatnonzero(np.convolve(free, np.ones(RUN, dtype=int))[RUN - 1 : SIDE] > 0)
         return runs[touch].any(axis=0)
 
+    def long_enough(equal: np.ndarray, runs: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """Which rows of ``equal`` have words enough, a positive score and a free word from a run to the end of a run."""
+        score = np.zeros((len(equal), SIDE + 1), dtype=np.int16)
+        np.cumsum(np.where(equal, np.int8(1), np.int8(MISS)), axis=1, dtype=np.int16, out=score[:, 1:])
+        low = np.minimum.accumulate(np.where(runs, score[:, : SIDE + 1 - RUN], np.int16(SIDE)), axis=1)
+        last = np.maximum.accumulate(np.where(free, column, -1), axis=1)[:, span - 1 :]  # free word before each end
+        begin = np.minimum(last, column[: SIDE + 1 - span])
+        at = np.minimum(np.maximum(begin, 0), SIDE - RUN)
+        return (runs[:, span - RUN :] & (begin >= 0) & (score[:, span:] > np.take_along_axis(low, at, axis=1))).any(axis=1)
+
     def settle(equal: np.ndarray, free: np.ndarray) -> list[int]:
         """Columns of ``equal`` to pass on; takes what they cover from ``free``."""
         pairs = equal[1:] & equal[:-1]
@@ -836,11 +1002,6 @@ def _meet_all(min_words: int, min_equal: int):
         left = np.flatnonzero(covers(equal, free, runs))
         if not len(left):
             return []
-        # from a run to the end of a run there must be words enough and a positive score
-        score = np.zeros((SIDE + 1, len(left)), dtype=np.int16)
-        np.cumsum(np.where(equal[:, left], np.int8(1), np.int8(MISS)), axis=0, dtype=np.int16, out=score[1:])
-        low = np.minimum.accumulate(np.where(runs[:, left], score[: SIDE + 1 - RUN], np.int16(SIDE)), axis=0)
-        left = left[(runs[span - RUN :, left] & (score[span:] > low[: SIDE + 1 - span])).any(axis=0)]
         left = left[np.argsort(-equal[:, left].sum(axis=0), kind="stable")]
         out = []
         while len(left):
@@ -853,94 +1014,136 @@ def _meet_all(min_words: int, min_equal: int):
             left = left[1:]
             if hit and len(left):
                 left = left[covers(equal, free, runs[:, left])]
+                left = left[long_enough(equal[:, left].T, runs[:, left].T, np.broadcast_to(free, (len(left), SIDE)))]
         return out
 
-    def group(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[int], list[int]]]:
-        opened = batch.column("open").is_valid().to_numpy(zero_copy_only=False)
-        if opened.all() or not opened.any():
+    def promising(equal: np.ndarray, free: np.ndarray, touch: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Which rows of ``equal``, of the open places ``i``, have words enough and a stretch long enough that may cover more."""
+        at = np.flatnonzero(np.count_nonzero(equal, axis=1) >= needed)
+        equal = equal[at]
+        runs = _runs_of(equal)
+        some = (runs & touch[i[at]]).any(axis=1)
+        at, equal, runs = at[some], equal[some], runs[some]
+        return at[long_enough(equal, runs, free[i[at]])]
+
+    def straight(a, b, free, touch, i, j):
+        """The promising ones of the pairs ``i, j``."""
+        keep = [s + promising(a[i[s : s + 8_192]] == b[j[s : s + 8_192]], free, touch, i[s : s + 8_192]) for s in range(0, len(i), 8_192)]
+        at = np.concatenate(keep) if keep else np.zeros(0, dtype=np.int64)
+        return i[at], j[at]
+
+    def turned(a, b, i, j, gap, other_gap) -> np.ndarray:
+        """Which words are equal up to a second seed on the seed's diagonal or after the seed on the second one's."""
+        x = a[i]
+        to = column + (other_gap - gap)[:, None]
+        inside = (to >= 0) & (to < SIDE) & (column >= MARGIN + K)
+        return (x == b[j]) & (column < (MARGIN + gap)[:, None]) | inside & (x == b[j[:, None], np.clip(to, 0, SIDE - 1)])
+
+    def all_pairs(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the open places ``at`` with all their partners, about ``TILE`` at a time."""
+        n = high[at] - low[at]
+        for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(n) // TILE)) + 1):
+            n = high[part] - low[part]
+            i = np.repeat(part, n)
+            yield i, np.arange(len(i)) + np.repeat(low[part] - np.cumsum(n) + n, n)
+
+    def groups(whole: pa.RecordBatch, group: np.ndarray) -> Iterator[tuple[int, int, list[int], list[int]]]:
+        opened = whole.column("open").is_valid().to_numpy(zero_copy_only=False)
+        both = np.isin(group, group[opened]) & np.isin(group, group[~opened])
+        docs, places = whole.column("doc_id").to_numpy(), whole.column("pos").to_numpy()
+        order = np.lexsort((places, docs, group))
+        order = order[both[order]]
+        at, other_at = order[opened[order]], order[~opened[order]]
+        if not len(at):
             return
-        mine, others = (x.take(pa.array(np.lexsort((x.column("pos").to_numpy(), x.column("doc_id").to_numpy())))) for x in (take(batch, opened), take(batch, ~opened)))
-        doc, pos = (mine.column(c).to_numpy() for c in ("doc_id", "pos"))
-        other, other_pos = (others.column(c).to_numpy() for c in ("doc_id", "pos"))
-        upto = np.searchsorted(other, doc)
-        if not upto.any():
+        ids, rank = np.unique(docs, return_inverse=True)
+        key, other_key = (group[x] * len(ids) + rank[x] for x in (at, other_at))
+        low, high = np.searchsorted(other_key, group[at] * len(ids)), np.searchsorted(other_key, key)
+        some = high > low
+        at, low, high = at[some], low[some], high[some]
+        if not len(at):
             return
-        a, b = (np.frombuffer(b"".join(x.column("words").to_pylist()), dtype="<u2").reshape(-1, SIDE) for x in (mine, others))
-        wide = np.ascontiguousarray(b.T)
-        low = wide.astype(np.uint8)
-        free = np.unpackbits(np.frombuffer(b"".join(mine.column("open").to_pylist()), dtype=np.uint8).reshape(len(doc), -1), axis=1)[:, :SIDE].astype(bool)
-        turned = _shifted(mine.column("sides"), others.column("sides"))
-        step = max(1, TILE // len(other))
-        for begin in range(0, len(doc), step):
-            end = min(begin + step, len(doc))
-            most = int(upto[begin:end].max())
-            total = np.zeros((end - begin, most), dtype=np.uint8)  # of the words' low bytes, so never too few
-            further = np.zeros(total.shape, dtype=bool)  # whether a run has a free word
-            last = [np.zeros(total.shape, dtype=bool) for _ in range(RUN)]
-            spare = np.empty(total.shape, dtype=bool)
-            for t in range(SIDE):
-                last = [*last[1:], last[0]]
-                np.equal(low[t, :most], a[begin:end, t].astype(np.uint8)[:, None], out=last[-1])
-                np.add(total, last[-1].view(np.uint8), out=total)
-                touch = np.flatnonzero(free[begin:end, max(0, t + 1 - RUN) : t + 1].any(axis=1))
-                if len(touch):
-                    np.logical_and(last[0], last[1], out=spare)
-                    for x in last[2:]:
-                        np.logical_and(spare, x, out=spare)
-                    further[touch] |= spare[touch]
-            for i in range(begin, end):
-                at = np.flatnonzero((total[i - begin, : upto[i]] >= needed) & further[i - begin, : upto[i]])
-                if len(at):
-                    equal = wide[:, at] == a[i][:, None]
-                    for m in settle(equal, free[i]):
-                        yield int(doc[i]), int(other[at[m]]), [int(pos[i])], [int(other_pos[at[m]])]
-                row, gap, other_gap = turned[i]
-                keep = np.flatnonzero(row < upto[i])
-                for part in np.array_split(keep, -(-len(keep) // 10_000)) if len(keep) and free[i].any() else []:
-                    r, g, o = row[part], gap[part], other_gap[part]
-                    column = np.arange(SIDE)[:, None]
-                    j = column + (o - g)
-                    inside = (j >= 0) & (j < SIDE)
-                    after = inside & (wide[np.where(inside, j, 0), r] == a[i][:, None]) & (column >= MARGIN + K)
-                    equal = (wide[:, r] == a[i][:, None]) & (column < MARGIN + g) | after
-                    enough = np.flatnonzero(equal.sum(axis=0) >= needed)
-                    for m in settle(equal[:, enough], free[i]) if len(enough) else []:
-                        k = enough[m]
-                        p, q = int(pos[i]), int(other_pos[r[k]])
-                        yield int(doc[i]), int(other[r[k]]), [p, p + int(g[k])], [q, q + int(o[k])]
-
-    def matches(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        whole = table.combine_chunks().to_batches()[0]
-        rows = [r for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if e - s > 1 for r in group(whole.slice(s, e - s))]
+        mine, others = (whole.take(pa.array(x)) for x in (at, other_at))
+        (doc, pos), (other, other_pos) = (tuple(x.column(c).to_numpy() for c in ("doc_id", "pos")) for x in (mine, others))
+        a, b = (_numbers(x.column("words"), "<u2")[0].reshape(-1, SIDE) for x in (mine, others))
+        free = np.unpackbits(_numbers(mine.column("open"), "u1")[0].reshape(len(at), -1), axis=1)[:, :SIDE].astype(bool)
+        touch = _touched(free)
+        g, other_g = group[at], group[other_at]
+
+        met = np.bincount(g, weights=high - low, minlength=int(group[-1]) + 1)
+        rows = np.bincount(g, minlength=len(met)) + np.bincount(other_g, minlength=len(met))
+        large = (met > SIDE * rows) & listed
+        dense = np.flatnonzero(~large[g])
+        found = []
+        if large.any():
+            few, other_few = np.flatnonzero(large[g]), np.flatnonzero(large[other_g])
+            i, j, many = _runs_apart(
+                a[few], b[other_few], g[few], other_g[other_few], *(np.searchsorted(other_few, x[few]) for x in (low, high)), free[few]
+            )
+            found.append(straight(a, b, free, touch, few[i], other_few[j]))
+            dense = np.union1d(dense, few[many])
+        if len(dense):
+            found += [straight(a, b, free, touch, i, j) for i, j in all_pairs(dense, low, high)]
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        edge = np.append(np.flatnonzero(np.diff(i, prepend=-1)), len(i)).tolist()
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            k = int(i[s])
+            for m in settle((b[j[s:e]] == a[k]).T, free[k]):
+                q = j[s + m]
+                yield int(doc[k]), int(other[q]), [int(pos[k])], [int(other_pos[q])]
+
+        left, touch = free.any(axis=1), _touched(free)
+        for i, j, gap, other_gap in _shifted(mine.column("sides"), others.column("sides"), g, other_g):
+            at = np.flatnonzero((j < high[i]) & left[i])
+            i, j, gap, other_gap = (x[at] for x in (i, j, gap, other_gap))
+            keep = [
+                s + promising(turned(a, b, *(x[s : s + 8_192] for x in (i, j, gap, other_gap))), free, touch, i[s : s + 8_192])
+                for s in range(0, len(i), 8_192)
+            ]
+            if not keep:
+                continue
+            at = np.concatenate(keep)
+            i, j, gap, other_gap = (x[at] for x in (i, j, gap, other_gap))
+            edge = np.append(np.flatnonzero(np.diff(i, prepend=-1)), len(i)).tolist()
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                k = int(i[s])
+                for m in settle(turned(a, b, *(x[s:e] for x in (i, j, gap, other_gap))).T, free[k]):
+                    p, q, x, y = int(pos[k]), int(other_pos[j[s + m]]), int(gap[s + m]), int(other_gap[s + m])
+                    yield int(doc[k]), int(other[j[s + m]]), [p, p + x], [q, q + y]
+
+    def matches(held: list[pa.RecordBatch], group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = list(groups(pa.Table.from_batches(held).combine_chunks().to_batches()[0], group))
         if rows:
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        numbers: list[np.ndarray] = []  # of the groups of the rows held
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(c).to_numpy() for c in ("hash", "i", "j")], axis=1)
-            edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            if last is not None and (key[0] != last).any():
-                yield from matches(pa.Table.from_batches(held), np.array([0, sum(b.num_rows for b in held)]))
-                held = []
-            if len(edge):
-                head = pa.Table.from_batches([*held, batch.slice(0, edge[-1])])
-                before = head.num_rows - int(edge[-1])
-                yield from matches(head, np.concatenate([[0], edge + before]))
-                held = []
-            held.append(batch.slice(edge[-1] if len(edge) else 0))
+            new = np.append(last is not None and (key[0] != last).any(), (key[1:] != key[:-1]).any(axis=1))
+            group = np.cumsum(new) + (numbers[-1][-1] if numbers else 0)
+            cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+            if new.any() and sum(map(len, numbers)) + cut >= MEET_ROWS:
+                yield from matches([*held, batch.slice(0, cut)], np.concatenate([*numbers, group[:cut]]))
+                held, numbers = [], []
+                batch, group = batch.slice(cut), group[cut:] - group[-1]
+            held.append(batch)
+            numbers.append(group)
             last = key[-1]
         if held:
-            yield from matches(pa.Table.from_batches(held), np.array([0, sum(b.num_rows for b in held)]))
+            yield from matches(held, np.concatenate(numbers))
 
     return run
 
 
-def _further_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min_words: int, min_equal: int) -> DataFrame | None:
+def _further_passages(docs: DataFrame, chained: DataFrame, held: DataFrame, found: DataFrame, min_words: int, min_equal: int) -> DataFrame | None:
     """Nearly equal passages that cover words beside seeds seen earlier which ``found`` leaves open, from all holders.
 
     In view are the words on the seed's diagonal and along one shift to a second seed; a passage of which less than
@@ -951,11 +1154,7 @@ def _further_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("s"))
     spans = spans.selectExpr("doc_id", "s.start_word as starts", "s.end_word as ends")
     left = seen.join(spans, "doc_id", "left").mapInArrow(_open_places, "doc_id long, places array<int>, starts array<int>, ends array<int>")
-    left = staged(left, "open_places")
-    bitmap = spark.sparkContext.broadcast(filter_bits(left, "doc_id"))
-    kind = "doc_id long, codes binary, hashes array<long>, at array<int>"
-    codes = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_doc_seeds(bitmap)), kind).dropDuplicates(["doc_id"])
-    mine = staged(codes.join(left, "doc_id").mapInArrow(releasing(_open_rows), PLACE), "open_rows")
+    mine = staged(held.join(left, "doc_id").mapInArrow(releasing(_open_rows), PLACE), "open_rows")
     slots = slot_bits(mine.selectExpr(f"(hash & {(1 << GRAM_BITS) - 1}L) + 1 as slot"), GRAM_BITS)
     if not slots.any():
         return None
@@ -978,7 +1177,7 @@ def _further_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min
         return None
     begins = [f"greatest(0, element_at({x}, 1) - {REACH}) as {name}" for x, name in (("anchors", "begin"), ("other_anchors", "other_begin"))]
     ends = [f"element_at({x}, -1) + {K + REACH} as {name}" for x, name in (("anchors", "end"), ("other_anchors", "other_end"))]
-    return _aligned(docs, met.selectExpr("*", *begins, *ends), min_words, min_equal, "further")
+    return _aligned(met.selectExpr("*", *begins, *ends), _codes_of(docs, met), min_words, min_equal, "further")
 
 
 def several_texts(docs: DataFrame) -> DataFrame:
@@ -1017,11 +1216,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: in
         .mapInArrow(releasing(_chain_pairs), CHAIN),
         "chains",
     )
-    found = _aligned(docs, chained.where("other_id is not null"), min_words, min_equal, "passages")
-    exact = _exact_passages(docs, chained, found, min_words)
+    held = _held_words(docs, chained)
+    found = _aligned(chained.where("other_id is not null"), held.select("doc_id", "codes"), min_words, min_equal, "passages")
+    exact = _exact_passages(docs, chained, held, found, min_words)
     if exact is not None:
         found = found.unionByName(staged(exact, "exact")).distinct()
-    further = _further_passages(docs, chained, found, min_words, min_equal)
+    further = _further_passages(docs, chained, held, found, min_words, min_equal)
     return found if further is None else found.unionByName(further).distinct()
 
 

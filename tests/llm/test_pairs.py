@@ -369,3 +369,77 @@ def test_a_nearly_equal_passage_among_many_places(make):
     texts = [f"{prose(601, 9)} {phrase} {prose(602, 40)}", f"{one} {' '.join(w)} {prose(603, 20)}", f"{prose(604, 20)} {' '.join(v)} {two}"]
     rows = [r for r in repeated_passages(make(texts)).collect() if r["doc_id"] == 2]
     assert set(range(22, 78)) <= {i for r in rows for i in range(r["start_word"], r["end_word"])}
+
+
+def places_of_one_seed(n, m, fragment, changed, seed=3):
+    """Open places and earlier ones of a seed amid a fragment of a common text, some of them with words changed in it."""
+    import numpy as np
+
+    from sitebag.llm.passages import MARGIN, SIDE, K
+
+    rng = np.random.default_rng(seed)
+    common = rng.integers(2, 1 << 16, SIDE)
+    rows = rng.integers(2, 1 << 16, (n + m, SIDE))
+    for r in range(n + m):
+        left = rng.integers(0, fragment - K)
+        low, high = max(0, MARGIN - left), min(SIDE, MARGIN - left + fragment)
+        rows[r, low:high] = common[low:high]
+        if r % 100 < changed:
+            for t in rng.integers(0, SIDE, 3):
+                if not MARGIN <= t < MARGIN + K:
+                    rows[r, t] = 2 + r % 60_000
+    return rows[:n].astype("<u2"), rows[n:].astype("<u2")
+
+
+def test_pairs_with_one_common_run_are_not_compared_one_by_one():
+    import numpy as np
+
+    from sitebag.llm.passages import MARGIN, RUN, SIDE, K, _runs_apart
+
+    def told(a, b):
+        n, m = len(a), len(b)
+        zero = np.zeros(n, dtype=np.int64)
+        i, j, dense = _runs_apart(a, b, zero, np.zeros(m, dtype=np.int64), zero, zero + m, np.ones((n, SIDE), dtype=bool))
+        return set(zip(i.tolist(), j.tolist(), strict=True)), set(dense.tolist())
+
+    assert told(*places_of_one_seed(1500, 1500, 35, 0)) == (set(), set())
+    a, b = places_of_one_seed(60, 300, 60, 8)
+    listed, dense = told(a, b)
+    assert listed
+    for i in range(len(a)):
+        for j in range(len(b)):
+            same = a[i] == b[j]
+            right = int(np.argmin(np.append(same[MARGIN + K :], False))) + MARGIN + K
+            left = MARGIN - int(np.argmin(np.append(same[:MARGIN][::-1], False)))
+            apart = any(same[t : t + RUN].all() for t in range(SIDE + 1 - RUN) if t + RUN <= left or t >= right)
+            assert ((i, j) in listed) == (apart and i not in dense)
+
+
+def test_large_groups_give_the_matches_of_all_pairs(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from sitebag.llm import passages
+
+    a, b = places_of_one_seed(400, 400, 80, 10)
+    n, m = len(a), len(b)
+    doc = np.concatenate([np.arange(n) + 200, np.arange(m)])
+    free = np.random.default_rng(5).random((n, passages.SIDE)) < 0.3
+    for i in range(n):  # the exact pass covers equal stretches of 50 words before
+        for same in a[i] == b[: i + 200]:
+            edge = np.flatnonzero(np.diff(same, prepend=False, append=False))
+            for s, e in edge[edge.searchsorted(49, side="right") - 1 :][:2].reshape(1, 2):
+                free[i, s:e] &= e - s < 50
+    free = np.packbits(free, axis=1)
+    columns = [pa.array(np.full(n + m, 7)), pa.array(doc), pa.array(np.full(n + m, 50, dtype=np.int32))]
+    columns += [pa.array([x.tobytes() for x in (*a, *b)], pa.binary()), pa.array([[]] * (n + m), pa.list_(pa.int32()))]
+    columns += [pa.array([*(x.tobytes() for x in free), *[None] * m], pa.binary()), *[pa.array(np.zeros(n + m, dtype=np.int32))] * 2]
+    batch = pa.RecordBatch.from_arrays(columns, [*passages._PLACE_NAMES, "i", "j"])
+
+    def found():
+        return [r for x in passages._meet_all(50, 80)(iter([batch])) for r in x.to_pylist()]
+
+    some = found()
+    every = lambda a, b, *_: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.arange(len(a)))
+    monkeypatch.setattr(passages, "_runs_apart", every)
+    assert some and some == found()
