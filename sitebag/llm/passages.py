@@ -434,6 +434,8 @@ def _passages(same: np.ndarray, min_words: int, min_equal: int) -> list[tuple[in
     strict = -min_equal / (100 - min_equal) if min_equal < 100 else -float(len(same) + 1)
     out = []
     for s, e in stretches(same):
+        if e - s < min_words:
+            continue
         n = int(same[s:e].sum())
         if 100 * n >= min_equal * (e - s):
             out.append((s, e, n))
@@ -766,7 +768,8 @@ def _held_words(docs: DataFrame, chained: DataFrame) -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted, "doc_id"))
     kind = "doc_id long, codes binary, hashes binary, at binary"
     found = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_doc_words(bitmap)), kind)
-    return staged(found.dropDuplicates(["doc_id"]), "codes")
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return staged(found.dropDuplicates(["doc_id"]) if repeated else found, "codes")
 
 
 def _sides(h: np.ndarray, pos: np.ndarray, doc: np.ndarray, kept: np.ndarray) -> pa.Array:
