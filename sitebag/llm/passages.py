@@ -656,7 +656,7 @@ def _join_windows(size: int, min_words: int):
     return run
 
 
-def _exact_passages(docs: DataFrame, chained: DataFrame, held: DataFrame, found: DataFrame, min_words: int) -> DataFrame | None:
+def _exact_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min_words: int) -> DataFrame | None:
     """Equal passages in runs of seeds seen earlier that ``found`` leaves open, or None where nothing is open."""
     spark = docs.sparkSession
     size = min(min_words, len(_LANES))
@@ -665,7 +665,8 @@ def _exact_passages(docs: DataFrame, chained: DataFrame, held: DataFrame, found:
     done = found.groupBy("doc_id").agg(spans.alias("s")).selectExpr("doc_id", "s.start_word as starts", "s.end_word as ends")
     left = seen.join(done, "doc_id", "left").mapInArrow(_open_windows(min_words, size), "doc_id long, begins array<int>, finals array<int>")
     left = staged(left, "open")
-    slots = slot_bits(held.select("doc_id", "codes").join(left, "doc_id").mapInArrow(_open_slots(size), "slot long"), GRAM_BITS)
+    codes = _of_documents(docs, left, _word_codes, "doc_id long, codes binary")
+    slots = slot_bits(codes.join(left, "doc_id").mapInArrow(_open_slots(size), "slot long"), GRAM_BITS)
     if not slots.any():
         return None
     grams = _met(docs, _sorted_grams(spark.sparkContext.broadcast(slots), size), "grams").withColumn("d", F.expr("other_pos - pos"))
@@ -678,16 +679,17 @@ def _exact_passages(docs: DataFrame, chained: DataFrame, held: DataFrame, found:
     return exact.join(done, "doc_id", "left").where(f"starts is null or not {inside}").drop("starts", "ends")
 
 
-def _codes_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``doc_id, codes``: words of the documents of chains, one row each."""
-    wanted = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
+def _of_documents(docs: DataFrame, wanted: DataFrame, cut, kind: str) -> DataFrame:
+    """What ``cut`` makes of the documents of ``wanted`` and of a few others."""
     bitmap = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted, "doc_id"))
-    codes = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_word_codes(bitmap)), "doc_id long, codes binary")
-    return staged(codes.dropDuplicates(["doc_id"]), "codes")
+    return docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(cut(bitmap)), kind)
 
 
-def _aligned(pairs: DataFrame, codes: DataFrame, min_words: int, min_equal: int, name: str) -> DataFrame:
-    """The passages of chains."""
+def _aligned(docs: DataFrame, repeated: bool, pairs: DataFrame, min_words: int, min_equal: int, name: str) -> DataFrame:
+    """The passages of chains; ``repeated`` says whether a doc_id stands on several rows."""
+    wanted = pairs.select("doc_id").union(pairs.select("other_id")).distinct()
+    codes = _of_documents(docs, wanted, _word_codes, "doc_id long, codes binary")
+    codes = staged(codes.dropDuplicates(["doc_id"]) if repeated else codes, "codes")
     own = pairs.join(codes, "doc_id").withColumn("codes", F.expr("substring(codes, 4 * begin + 1, 4 * (end - begin))"))
     both = own.join(codes.select(F.col("doc_id").alias("other_id"), F.col("codes").alias("other_codes")), "other_id")
     both = both.withColumn("other_codes", F.expr("substring(other_codes, 4 * other_begin + 1, 4 * (other_end - other_begin))"))
@@ -746,14 +748,14 @@ def _numbers(values: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _doc_words(bitmap):
-    """Map: documents whose id may be wanted -> 32-bit word hashes and seeds."""
+    """Map: documents whose id may be wanted -> short word codes and seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = take(batch, in_bits(bitmap.value, batch.column("slot").to_numpy()))
             for part, texts in chunks(wanted):
                 w = words(texts)
-                codes = (w.hash >> np.uint64(32)).astype("<u4")
+                codes = _short_codes(w.hash)
                 h, d, pos = _minimizers(w, np.arange(w.docs))
                 bounds = np.searchsorted(d, np.arange(w.docs + 1))
                 columns = [_cut(codes, w.first), _cut(h, bounds), _cut(pos, bounds)]
@@ -762,16 +764,6 @@ def _doc_words(bitmap):
     return run
 
 
-def _held_words(docs: DataFrame, chained: DataFrame) -> DataFrame:
-    """``doc_id, codes, hashes, at``: words and seeds of all documents with matches, one row each."""
-    wanted = chained.select("doc_id").union(chained.where("other_id is not null").select("other_id")).distinct()
-    bitmap = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted, "doc_id"))
-    kind = "doc_id long, codes binary, hashes binary, at binary"
-    found = docs.withColumn("slot", slot_column("doc_id")).mapInArrow(releasing(_doc_words(bitmap)), kind)
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return staged(found.dropDuplicates(["doc_id"]) if repeated else found, "codes")
-
-
 def _sides(h: np.ndarray, pos: np.ndarray, doc: np.ndarray, kept: np.ndarray) -> pa.Array:
     """For each kept seed the 32-bit names and distances of the seeds that follow within ``MARGIN`` words of its document."""
     name = (mix(h.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
@@ -791,8 +783,7 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for begin in range(0, whole.num_rows, 1_000):
             batch = whole.slice(begin, 1_000)
-            own, first = _numbers(batch.column("codes"), "<u4")
-            own = _short_codes(own.astype(np.uint64) << np.uint64(32))
+            own, first = _numbers(batch.column("codes"), "<u2")
             (h, bounds), (pos, _) = (_numbers(batch.column(c), kind) for c, kind in (("hashes", "<i8"), ("at", "<i4")))
             d, pos = np.repeat(np.arange(batch.num_rows), np.diff(bounds)), pos.astype(np.int64)
             (of, places), (ds, starts), (_, ends) = (_listed(batch.column(c)) for c in ("places", "starts", "ends"))
@@ -1146,7 +1137,7 @@ def _meet_all(min_words: int, min_equal: int):
     return run
 
 
-def _further_passages(docs: DataFrame, chained: DataFrame, held: DataFrame, found: DataFrame, min_words: int, min_equal: int) -> DataFrame | None:
+def _further_passages(docs: DataFrame, repeated: bool, chained: DataFrame, found: DataFrame, min_words: int, min_equal: int) -> DataFrame | None:
     """Nearly equal passages that cover words beside seeds seen earlier which ``found`` leaves open, from all holders.
 
     In view are the words on the seed's diagonal and along one shift to a second seed; a passage of which less than
@@ -1157,7 +1148,9 @@ def _further_passages(docs: DataFrame, chained: DataFrame, held: DataFrame, foun
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("s"))
     spans = spans.selectExpr("doc_id", "s.start_word as starts", "s.end_word as ends")
     left = seen.join(spans, "doc_id", "left").mapInArrow(_open_places, "doc_id long, places array<int>, starts array<int>, ends array<int>")
-    mine = staged(held.join(left, "doc_id").mapInArrow(releasing(_open_rows), PLACE), "open_rows")
+    codes = _of_documents(docs, left, _doc_words, "doc_id long, codes binary, hashes binary, at binary")
+    codes = codes.dropDuplicates(["doc_id"]) if repeated else codes
+    mine = staged(codes.join(left, "doc_id").mapInArrow(releasing(_open_rows), PLACE), "open_rows")
     slots = slot_bits(mine.selectExpr(f"(hash & {(1 << GRAM_BITS) - 1}L) + 1 as slot"), GRAM_BITS)
     if not slots.any():
         return None
@@ -1180,7 +1173,7 @@ def _further_passages(docs: DataFrame, chained: DataFrame, held: DataFrame, foun
         return None
     begins = [f"greatest(0, element_at({x}, 1) - {REACH}) as {name}" for x, name in (("anchors", "begin"), ("other_anchors", "other_begin"))]
     ends = [f"element_at({x}, -1) + {K + REACH} as {name}" for x, name in (("anchors", "end"), ("other_anchors", "other_end"))]
-    return _aligned(met.selectExpr("*", *begins, *ends), _codes_of(docs, met), min_words, min_equal, "further")
+    return _aligned(docs, repeated, met.selectExpr("*", *begins, *ends), min_words, min_equal, "further")
 
 
 def several_texts(docs: DataFrame) -> DataFrame:
@@ -1219,12 +1212,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: in
         .mapInArrow(releasing(_chain_pairs), CHAIN),
         "chains",
     )
-    held = _held_words(docs, chained)
-    found = _aligned(chained.where("other_id is not null"), held.select("doc_id", "codes"), min_words, min_equal, "passages")
-    exact = _exact_passages(docs, chained, held, found, min_words)
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    found = _aligned(docs, repeated, chained.where("other_id is not null"), min_words, min_equal, "passages")
+    exact = _exact_passages(docs, chained, found, min_words)
     if exact is not None:
         found = found.unionByName(staged(exact, "exact")).distinct()
-    further = _further_passages(docs, chained, held, found, min_words, min_equal)
+    further = _further_passages(docs, repeated, chained, found, min_words, min_equal)
     return found if further is None else found.unionByName(further).distinct()
 
 
