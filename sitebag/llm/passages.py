@@ -19,11 +19,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ K = 6
 WINDOW = 12
 BLOCK_SEEDS = 2_000_000
 PIECE_SEEDS = 100_000
+BUCKETS = 8  # a shuffle partition; their rows travel packed, many in one row
+PACKED = 500_000
 ALL_PLACES = 256
 NEAR_PLACES = 8
 GRAM_BITS = 26
@@ -51,6 +56,7 @@ RUN = 4  # the outermost equal words of a stretch come in runs of more than -MIS
 
 MATCH = "doc_id long, other_id long, pos int, other_pos int"
 CHAIN = "doc_id long, other_id long, anchors array<int>, other_anchors array<int>, begin int, end int, other_begin int, other_end int"
+PACKED_ROWS = "bucket int, hash binary, doc_id binary, other_id binary, n binary, pos binary, shift binary"
 PASSAGE = "doc_id long, other_id long, start_word int, end_word int, other_start int, other_end int, equal_words int"
 
 
@@ -118,35 +124,127 @@ def _matches(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, done: int = 0) ->
     return [doc[a], doc[b], pos[a], pos[b]]
 
 
-def _seed_blocks(seeds_of=_sorted_seeds):
-    """Map: matches inside blocks of rows (hash null) and each block's first holder of every seed (hash set)."""
-    names = ["hash", "doc_id", "other_id", "pos", "other_pos"]
+_PACKED_NAMES = ["bucket", "hash", "doc_id", "other_id", "n", "pos", "shift"]
+
+
+def _buckets_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names by which 64-bit keys are dealt, and the bucket of each; buckets are ranges of the names."""
+    name = mix(keys.view(np.uint64))
+    return name, ((name >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray], inner: dict[str, np.ndarray] | None = None, at: np.ndarray | None = None) -> pa.RecordBatch:
+    """One row a bucket, of rows in order of ``bucket``: their ``columns``, and ``inner``, of which those of row i begin at ``at[i]``."""
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    edge = np.append(first, len(bucket))
+    arrays = {"bucket": pa.array(bucket[first].astype(np.int32))} | {c: _cut(x, edge) for c, x in columns.items()}
+    arrays |= {c: _cut(x, at[edge]) for c, x in (inner or {}).items()}
+    empty = pa.nulls(len(first), pa.binary())
+    return pa.RecordBatch.from_arrays([arrays.get(c, empty) for c in _PACKED_NAMES], _PACKED_NAMES)
+
+
+def _packed_matches(found: Iterator[list[np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Matches packed by their document: each pair once, with the number of its matches, then their places and shifts."""
+
+    def pack(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        doc, other, pos, other_pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        high = np.uint64(0xFFFFFFFF00000000)
+        order = np.argsort(_buckets_of(doc, buckets)[0] & high | mix(other.view(np.uint64)) >> np.uint64(32))
+        doc, other, pos, other_pos = (x[order] for x in (doc, other, pos, other_pos))
+        at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])))
+        bounds = np.append(at, len(doc))
+        pairs = {"doc_id": doc[at], "other_id": other[at], "n": np.diff(bounds).astype(np.int32)}
+        return _packed(_buckets_of(doc[at], buckets)[1], pairs, {"pos": pos, "shift": other_pos - pos}, bounds)
+
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for rows in found:
+        if len(rows[0]):
+            held.append(rows)
+            count += len(rows[0])
+        if count >= PACKED:
+            yield pack(held)
+            held, count = [], 0
+    if held:
+        yield pack(held)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows sorted by bucket, one batch for each bucket."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch.column("bucket").to_numpy()
+        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+        for begin, end in zip(edge[:-1], edge[1:], strict=True):
+            if held and bucket[begin] != last:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = bucket[begin]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _ordered(rank: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """The order of rows by numbers of which none is below 0."""
+    bits = [int(x.max()).bit_length() if len(x) else 0 for x in (rank, *columns)]
+    if sum(bits) > 63:
+        return np.lexsort((*columns[::-1], rank))
+    key = rank.astype(np.int64)
+    for x, b in zip(columns, bits[1:], strict=True):
+        key = key << b | x
+    return np.argsort(key)
+
+
+def _unpacked(batch: pa.RecordBatch, diagonals: bool = False) -> tuple[np.ndarray, ...]:
+    """Matches of a bucket sorted by (document, other, position), or before the position by diagonal."""
+    doc, other, n, pos, shift = (_numbers(batch.column(c), k)[0] for c, k in zip(_PACKED_NAMES[2:], ("<i8", "<i8", "<i4", "<i4", "<i4"), strict=True))
+    order = np.lexsort((other, doc))
+    x, y = doc[order], other[order]
+    new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(x)]
+    rank = np.empty(len(doc), dtype=np.int64)
+    rank[order] = np.cumsum(new) - 1
+    doc, other = x[new], y[new]
+    rank, other_pos = np.repeat(rank, n), pos + shift
+    order = _ordered(rank, shift - shift.min(initial=0), pos) if diagonals else _ordered(rank, pos, other_pos)
+    rank = rank[order]
+    return doc[rank], other[rank], pos[order], other_pos[order]
+
+
+def _piece_matches(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """The matches of sorted rows; seeds are whole in a piece, so pieces only bound what is held at once."""
+    edges = np.append(np.flatnonzero(np.diff(h, prepend=h[:1] + 1)), len(h))
+    begin = 0
+    while begin < len(h):
+        end = int(edges[min(np.searchsorted(edges, begin + PIECE_SEEDS), len(edges) - 1)])
+        yield _matches(h[begin:end], doc[begin:end], pos[begin:end])
+        begin = end
+
+
+def _seed_blocks(seeds_of, buckets: int):
+    """Map: matches inside blocks of rows (hash null) and each block's first holder of every seed (hash set), packed."""
 
     def block(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         ordered = (doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (pos[1:] >= pos[:-1]))
         order = np.argsort(h, kind="stable") if ordered.all() else np.lexsort((pos, doc, h))
         h, doc, pos = h[order], doc[order], pos[order]
         new = np.ones(len(h), dtype=bool)  # rows of one document may come more than once
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
         h, doc, pos = h[new], doc[new], pos[new]
-        edges = np.append(np.flatnonzero(np.diff(h, prepend=h[:1] + 1)), len(h))
-        begin = 0
-        while begin < len(h):  # seeds are whole in a piece, so pieces only bound what is held at once
-            end = int(edges[min(np.searchsorted(edges, begin + PIECE_SEEDS), len(edges) - 1)])
-            rows = _matches(h[begin:end], doc[begin:end], pos[begin:end])
-            for at in range(0, len(rows[0]), 100_000):
-                part = [x[at : at + 100_000] for x in rows]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part[0]), pa.int64()), *map(pa.array, part)], names)
-            begin = end
+        yield from _packed_matches(_piece_matches(h, doc, pos), buckets)
         _, lead, holder = _holders(h, doc)
         first = lead[holder] == holder
         h, doc, pos = h[first], doc[first], pos[first]
-        for begin in range(0, len(h), 100_000):
-            s = slice(begin, begin + 100_000)
-            n = len(h[s])
-            arrays = [pa.array(h[s]), pa.array(doc[s]), pa.nulls(n, pa.int64()), pa.array(pos[s]), pa.nulls(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        for begin in range(0, len(h), PACKED):
+            name, bucket = _buckets_of(h[begin : begin + PACKED], buckets)
+            order = np.argsort(name, kind="stable")
+            columns = {c: x[begin : begin + PACKED][order] for c, x in (("hash", h), ("doc_id", doc), ("pos", pos))}
+            yield _packed(bucket[order], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -159,7 +257,7 @@ def _seed_blocks(seeds_of=_sorted_seeds):
                 if count >= BLOCK_SEEDS:
                     yield from block(held)
                     held, count = [], 0
-        if held:
+        if count:
             yield from block(held)
 
     return run
@@ -190,66 +288,86 @@ def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*map(pa.array, _matches(*held, done))], names)
 
 
+def _meet_buckets(buckets: int):
+    """Map over packed first holders sorted by bucket: the packed matches of blocks with one another."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_bucket(batches):
+            h, doc, pos = (_numbers(batch.column(c), k)[0] for c, k in (("hash", "<i8"), ("doc_id", "<i8"), ("pos", "<i4")))
+            order = np.lexsort((pos, doc, h))
+            rows = [x[order] for x in (h, doc, pos)]
+            for begin in range(0, len(h), PIECE_SEEDS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[begin : begin + PIECE_SEEDS]) for x in rows], ["hash", "doc_id", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _meet_blocks(pieces(batches))
+        yield from _packed_matches(([x.to_numpy() for x in batch.columns] for batch in met), buckets)
+
+    return run
+
+
 def _met(docs: DataFrame, seeds_of, name: str) -> DataFrame:
-    """Matches of the places of equal seeds."""
-    seeds = staged(docs.mapInArrow(releasing(_seed_blocks(seeds_of)), f"hash long, {MATCH}"), name)
-    across = (
-        seeds.where("hash is not null")
-        .select("hash", "doc_id", "pos")
-        .repartition(partitions(docs.sparkSession), "hash")
-        .sortWithinPartitions("hash", "doc_id", "pos")
-        .mapInArrow(releasing(_meet_blocks), MATCH)
-    )
-    return seeds.where("hash is null").select("doc_id", "other_id", "pos", "other_pos").unionByName(across)
+    """Matches of the places of equal seeds, packed, all of a document in one bucket."""
+    parts = partitions(docs.sparkSession)
+    seeds = staged(docs.mapInArrow(releasing(_seed_blocks(seeds_of, BUCKETS * parts)), PACKED_ROWS), name)
+    across = seeds.where("hash is not null").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return seeds.where("hash is null").unionByName(across.mapInArrow(releasing(_meet_buckets(BUCKETS * parts)), PACKED_ROWS))
 
 
 _PLACE = 32
 
 
-def chains(pos: list[int], other: list[int]) -> list[list[int]]:
-    """Collinear chains of matches given in order of ``pos``; indices of each chain, the best chain first.
-
-    A match is worth ``K``; stepping from one to the next costs ``GAP_COST`` for each word passed in either text. With
-    linear costs the best predecessor is a prefix maximum, kept in a Fenwick tree by position in the other text. A step
-    that costs as much as the chain is worth starts a new chain. Scores are whole numbers, in units of ``GAP_COST``.
-    """
-    n, worth = len(pos), round(K / GAP_COST)
-    known, places = np.unique(np.array(other), return_inverse=True)
-    rank, size = (places + 1).tolist(), len(known)
-    tree = [0] * (size + 1)  # a score with the words passed so far, and above 0 the match's number, in one integer
+def _chain_numbers(pos: list[int], other: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The indices of all chains of :func:`chains`, one chain after the other, and how many each has."""
+    n, worth, low = len(pos), round(K / GAP_COST), (1 << _PLACE) - 1
+    # places in the other text where a longer prefix has a greater best: a score with the words passed so far, and the match's number
+    known, best = [-1], [0]
     score, back = [worth] * n, [-1] * n
-    low = (1 << _PLACE) - 1
     i = 0
     while i < n:
         j, here = i, pos[i]
         while j < n and pos[j] == here:  # matches at one word do not follow each other
-            key, best = rank[j] - 1, 0
-            while key:
-                if tree[key] > best:
-                    best = tree[key]
-                key &= key - 1
-            reach = (best >> _PLACE) - here - other[j]
+            top = best[bisect_left(known, other[j]) - 1]
+            reach = (top >> _PLACE) - here - other[j]
             if reach > 0:
-                score[j], back[j] = worth + reach, (best & low) - 1
+                score[j], back[j] = worth + reach, (top & low) - 1
             j += 1
         for m in range(i, j):
-            key, entry = rank[m], (score[m] + here + other[m]) << _PLACE | (m + 1)
-            while key <= size:
-                if entry > tree[key]:
-                    tree[key] = entry
-                key += key & -key
+            q = other[m]
+            entry = (score[m] + here + q) << _PLACE | (m + 1)
+            at = bisect_right(known, q)
+            if best[at - 1] >= entry:
+                continue
+            begin = at - 1 if known[at - 1] == q else at
+            while at < len(best) and best[at] <= entry:
+                at += 1
+            known[begin:at], best[begin:at] = [q], [entry]
         i = j
-    used, out = [False] * n, []
-    for end in np.argsort(-np.array(score), kind="stable").tolist():
-        chain, m = [], end
-        while m >= 0 and not used[m]:
-            used[m] = True
-            chain.append(m)
-            m = back[m]
-        if chain:
-            chain.reverse()
-            out.append(chain)
-    return out
+    order = np.argsort(-np.array(score), kind="stable")
+    owner = np.empty(n, dtype=np.int64)
+    owner[order] = np.arange(n)
+    owner = owner.tolist()
+    for m in range(n - 1, -1, -1):  # a match belongs to the best of the chains that go through it
+        b = back[m]
+        if b >= 0 and owner[m] < owner[b]:
+            owner[b] = owner[m]
+    found = np.array(owner)
+    order = np.argsort(found, kind="stable")
+    found = found[order]
+    return order, np.diff(np.append(np.flatnonzero(np.append(True, found[1:] != found[:-1])), n))
+
+
+def chains(pos: list[int], other: list[int]) -> list[list[int]]:
+    """Collinear chains of matches given in order of ``pos``; indices of each chain, the best chain first.
+
+    A match is worth ``K``; stepping from one to the next costs ``GAP_COST`` for each word passed in either text. With
+    linear costs the best predecessor is a prefix maximum, kept for each place in the other text where it grows. A step
+    that costs as much as the chain is worth starts a new chain. Scores are whole numbers, in units of ``GAP_COST``.
+    """
+    if not pos:
+        return []
+    order, size = _chain_numbers(pos, other)
+    return [x.tolist() for x in np.split(order, np.cumsum(size)[:-1])]
 
 
 def collinear_chains(p: np.ndarray, q: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,9 +397,9 @@ def collinear_chains(p: np.ndarray, q: np.ndarray, begin: np.ndarray) -> tuple[n
 
 
 def _chain_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over matches sorted by (document, other, position): chains of at least two seeds as arrays of anchors.
+    """Over packed matches sorted by bucket: chains of at least two seeds as arrays of anchors.
 
-    Rows without ``other_id`` hold the places of a document's matches that are in no such chain.
+    Rows without ``other_id`` hold all places of a document's matches in order, one row a document.
     """
     names = ["doc_id", "other_id", "anchors", "other_anchors", "begin", "end", "other_begin", "other_end"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4]
@@ -291,9 +409,8 @@ def _chain_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
     def emit(doc: np.ndarray, other: np.ndarray, p: np.ndarray, q: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of the chains ``begin:end`` of the matches; those of one match as places of their document."""
-        size = end - begin
-        many = size > 1
+        """Rows of the chains ``begin:end`` of the matches."""
+        many = end - begin > 1
         b, e = begin[many], end[many]
         for at in range(0, len(b), 10_000):
             bb, ee = b[at : at + 10_000], e[at : at + 10_000]
@@ -302,16 +419,20 @@ def _chain_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = (np.maximum(p[bb] - MARGIN, 0), p[ee - 1] + K + MARGIN, np.maximum(q[bb] - MARGIN, 0), q[ee - 1] + K + MARGIN)
             arrays = [pa.array(doc[bb]), pa.array(other[bb]), listed(p[rows], n), listed(q[rows], n), *(pa.array(x.astype(np.int32)) for x in spans)]
             yield pa.RecordBatch.from_arrays(arrays, names)
-        single = begin[~many]
-        if len(single):
-            places = np.unique(np.stack([doc[single], p[single].astype(np.int64)], axis=1), axis=0)
-            first = np.flatnonzero(np.diff(places[:, 0], prepend=places[0, 0] - 1))
-            n = np.diff(np.append(first, len(places)))
-            arrays = [pa.array(places[first, 0]), pa.nulls(len(first), pa.int64()), listed(places[:, 1], n), *(pa.nulls(len(first), k) for k in kinds[3:])]
-            yield pa.RecordBatch.from_arrays(arrays, names)
 
-    def finish(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def places(doc: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.append(True, doc[1:] != doc[:-1])
+        rank, ids = np.cumsum(new) - 1, doc[new]
+        key = rank << 32 | p
+        key.sort(kind="stable")
+        key = key[np.append(True, key[1:] != key[:-1])]
+        n = np.bincount(key >> 32, minlength=len(ids))
+        arrays = [pa.array(ids), pa.nulls(len(ids), pa.int64()), listed(key & ((1 << 32) - 1), n), *(pa.nulls(len(ids), k) for k in kinds[3:])]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+    def finish(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         doc, other, p, q = rows
+        yield from places(doc, p)
         edge = np.flatnonzero((doc[1:] != doc[:-1]) | (other[1:] != other[:-1])) + 1
         begin = np.concatenate([[0], edge])
         falls = np.zeros(len(doc), dtype=bool)
@@ -323,29 +444,18 @@ def _chain_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(straight):
             mine = [x[straight] for x in rows]
             yield from emit(*mine, *collinear_chains(mine[2].astype(np.int64), mine[3].astype(np.int64), np.searchsorted(straight, begin[~crossed])))
-        order: list[int] = []
-        sizes: list[int] = []
+        order, sizes = [], []
         for a, b in zip(begin[crossed].tolist(), np.append(begin[1:], len(doc))[crossed].tolist(), strict=True):
-            for chain in chains(p[a:b].tolist(), q[a:b].tolist()):
-                order += [m + a for m in chain]
-                sizes.append(len(chain))
+            own, size = _chain_numbers(p[a:b].tolist(), q[a:b].tolist())
+            order.append(own + a)
+            sizes.append(size)
         if order:
-            at, end = np.array(order, dtype=np.int64), np.cumsum(sizes)
-            yield from emit(*(x[at] for x in rows), end - np.array(sizes), end)
+            at, size = np.concatenate(order), np.concatenate(sizes)
+            end = np.cumsum(size)
+            yield from emit(*(x[at] for x in rows), end - size, end)
 
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [batch.column(c).to_numpy() for c in ("doc_id", "other_id", "pos", "other_pos")]
-        rows = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0  # the last pair may go on in the next batch
-        if cut:
-            yield from finish([x[:cut] for x in rows])
-        held = [x[cut:] for x in rows]
-    if held is not None:
-        yield from finish(held)
+    for batch in _by_bucket(batches):
+        yield from finish(_unpacked(batch))
 
 
 def _word_codes(bitmap):
@@ -371,39 +481,40 @@ def _laid_along(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> tup
     """
     shift = [q - p for p, q in zip(x, y, strict=True)]
     turns = [0] + [i for i in range(1, len(x)) if shift[i] != shift[i - 1]]
-    diagonal = np.empty(len(a), dtype=np.int64)
-
-    def equal(lo: int, hi: int, d: int) -> np.ndarray:
-        i = np.arange(lo, hi)
-        j = i + d
-        ok = (j >= 0) & (j < len(b))
-        out = np.zeros(hi - lo, dtype=bool)
-        out[ok] = a[i[ok]] == b[j[ok]]
+    j, same = np.arange(len(a)), np.zeros(len(a), dtype=bool)
+
+    def equal(lo: int, hi: int, d: int, out: np.ndarray) -> np.ndarray:
+        """Sets in ``out`` which words from ``lo`` to ``hi`` are equal; it holds no others."""
+        begin, end = max(lo, -d), min(hi, len(b) - d)
+        if begin < end:
+            np.equal(a[begin:end], b[begin + d : end + d], out=out[begin - lo : end - lo])
         return out
 
     begin = 0
     for t, turn in enumerate(turns):
         d = shift[turn]
+        end = len(a)
         if t + 1 < len(turns):
             nxt = turns[t + 1]
             lo, hi = min(x[nxt - 1] + K, x[nxt]), x[nxt]
-            left = np.concatenate([[0], np.cumsum(equal(lo, hi, d))])
-            right = np.cumsum(equal(lo, hi, shift[nxt])[::-1])[::-1]
-            end = lo + int(np.argmax(left + np.append(right, 0)))
-        else:
-            end = len(a)
-        diagonal[begin:end] = d
+            end = lo
+            if hi > lo:
+                gain = np.zeros(hi - lo + 1, dtype=np.int64)
+                left, right = (equal(lo, hi, e, np.zeros(hi - lo, dtype=bool)).view(np.int8) for e in (d, shift[nxt]))
+                np.cumsum(left - right, dtype=np.int64, out=gain[1:])
+                end += int(np.argmax(gain))
+        j[begin:end] += d
+        if end > begin:
+            equal(begin, end, d, same[begin:end])
         begin = end
-    j = np.arange(len(a)) + diagonal
-    inside = (j >= 0) & (j < len(b))
-    same = np.zeros(len(a), dtype=bool)
-    same[inside] = a[inside] == b[j[inside]]
     return j, same
 
 
 def stretches(same: np.ndarray, miss: float = MISS) -> list[tuple[int, int]]:
     """All maximal-scoring stretches, in order and disjoint: +1 for an equal word, ``miss`` for another (Ruzzo and Tompa)."""
-    edge = np.flatnonzero(np.diff(same.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    padded = np.zeros(len(same) + 2, dtype=bool)
+    padded[1:-1] = same
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
     out: list[tuple[int, int]] = []
     held: list[tuple[int, int, float, float]] = []  # begin, end, score before and after
     score, done = 0.0, 0
@@ -531,14 +642,6 @@ def _lists(rows: np.ndarray, values: np.ndarray, of: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(rows, of), len(rows)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def _places_seen(seen: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and place of the different members of an array of lists of lists, in order."""
-    inner = seen.flatten()
-    row = np.repeat(np.repeat(np.arange(len(seen)), np.diff(seen.offsets.to_numpy())), np.diff(inner.offsets.to_numpy()))
-    key = np.unique(row << 32 | inner.flatten().to_numpy().astype(np.int64))
-    return key >> 32, key & ((1 << 32) - 1)
-
-
 def _joined_spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the spans that overlap or touch in each row, as row number times 2**32 and place, in order."""
     order = np.lexsort((end, start, row))
@@ -559,7 +662,7 @@ def _open_windows(min_words: int, size: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, at = _places_seen(batch.column("seen"))
+            row, at = _listed(batch.column("seen"))
             (of, starts), (_, ends) = (_listed(batch.column(c)) for c in ("starts", "ends"))
             closed, reopened = _joined_spans(of, starts, ends - size + 1)
             first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] - at[:-1] > WINDOW)))
@@ -625,58 +728,93 @@ def _sorted_grams(bitmap, size: int):
     return seeds_of
 
 
+def _packed_spans(buckets: int):
+    """Map: the passages of documents, packed like matches without another document: begins as places, lengths as shifts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc = batch.column("doc_id").to_numpy()
+            (row, starts), (_, ends) = (_listed(batch.column(c)) for c in ("starts", "ends"))
+            name, bucket = _buckets_of(doc, buckets)
+            order = np.argsort(name, kind="stable")
+            n = np.bincount(row, minlength=len(doc))
+            at = np.argsort(np.argsort(order)[row], kind="stable")
+            inner = {"pos": starts[at].astype(np.int32), "shift": (ends - starts)[at].astype(np.int32)}
+            columns = {"doc_id": doc[order], "n": n[order].astype(np.int32)}
+            yield _packed(bucket[order], columns, inner, np.concatenate([[0], np.cumsum(n[order])]))
+
+    return run
+
+
 def _join_windows(size: int, min_words: int):
-    """Map over matches of windows sorted by (document, other, diagonal, position): the equal stretches they make up."""
+    """Map over packed matches of windows and packed passages sorted by bucket: the equal stretches that lie in no passage."""
     names = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "equal_words"]
 
-    def emit(rows: np.ndarray) -> pa.RecordBatch:
-        doc, other, d, s, e = rows[rows[:, 4] - rows[:, 3] >= min_words].T
-        arrays = [pa.array(doc), pa.array(other), *(pa.array(x.astype(np.int32)) for x in (s, e, s + d, e + d, e - s))]
-        return pa.RecordBatch.from_arrays(arrays, names)
+    def outside(doc: np.ndarray, start: np.ndarray, end: np.ndarray, spans: pa.RecordBatch) -> np.ndarray:
+        """Which stretches no passage of their document covers whole."""
+        of, n, begin, long = (_numbers(spans.column(c), k)[0] for c, k in (("doc_id", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("shift", "<i4")))
+        ids = np.unique(of)
+        if not len(ids):
+            return np.ones(len(doc), dtype=bool)
+        row = np.repeat(np.searchsorted(ids, of), n) + 1
+        at = np.argsort(row << 32 | begin)
+        known = (row << 32 | begin)[at]
+        upto = np.maximum.accumulate((row << 32 | (begin + long))[at])
+        mine = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
+        mine = np.where(ids[mine] == doc, mine + 1, 0)
+        last = np.searchsorted(known, mine << 32 | start, side="right") - 1
+        return (mine == 0) | (last < 0) | (upto[last] < (mine << 32 | end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_run: np.ndarray | None = None
-        for batch in batches:
-            if not batch.num_rows:
+        for batch in _by_bucket(batches):
+            found = batch.column("other_id").is_valid()
+            doc, other, p, q = _unpacked(batch.filter(found), diagonals=True)
+            if not len(doc):
                 continue
-            doc, other, p, q = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "other_id", "pos", "other_pos"))
-            rows = np.stack([doc, other, q - p, p, p + size], axis=1)
-            if open_run is not None:
-                rows = np.concatenate([open_run, rows])
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1) | (rows[1:, 3] > rows[:-1, 4])
+            d = q - p
+            new = np.append(True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (d[1:] != d[:-1]) | (p[1:] > p[:-1] + size))
             at = np.flatnonzero(new)
-            runs = rows[at]
-            runs[:, 4] = rows[np.append(at[1:], len(rows)) - 1, 4]
-            open_run = runs[-1:]
-            yield emit(runs[:-1])
-        if open_run is not None:
-            yield emit(open_run)
+            doc, other, d, s, e = doc[at], other[at], d[at], p[at], p[np.append(at[1:], len(p)) - 1] + size
+            left = np.flatnonzero(e - s >= min_words)
+            left = left[outside(doc[left], s[left], e[left], batch.filter(pc.invert(found)))]
+            doc, other, d, s, e = (x[left] for x in (doc, other, d, s, e))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(other), *(pa.array(x.astype(np.int32)) for x in (s, e, s + d, e + d, e - s))], names)
 
     return run
 
 
+def _seen(chained: DataFrame) -> DataFrame:
+    """``doc_id, seen``: the places of each document's seeds that were seen earlier, in order."""
+    return chained.where("other_id is null").selectExpr("doc_id", "anchors as seen")
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """``doc_id, starts, ends``: the different passages of each document."""
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("s"))
+    return spans.selectExpr("doc_id", "s.start_word as starts", "s.end_word as ends")
+
+
 def _exact_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min_words: int) -> DataFrame | None:
     """Equal passages in runs of seeds seen earlier that ``found`` leaves open, or None where nothing is open."""
     spark = docs.sparkSession
+    parts = partitions(spark)
     size = min(min_words, len(_LANES))
-    seen = chained.groupBy("doc_id").agg(F.collect_list("anchors").alias("seen"))
-    spans = F.collect_set(F.struct("start_word", "end_word"))
-    done = found.groupBy("doc_id").agg(spans.alias("s")).selectExpr("doc_id", "s.start_word as starts", "s.end_word as ends")
-    left = seen.join(done, "doc_id", "left").mapInArrow(_open_windows(min_words, size), "doc_id long, begins array<int>, finals array<int>")
+    done = _spans(found)
+    left = _seen(chained).join(done, "doc_id", "left").mapInArrow(_open_windows(min_words, size), "doc_id long, begins array<int>, finals array<int>")
     left = staged(left, "open")
     codes = _of_documents(docs, left, _word_codes, "doc_id long, codes binary")
     slots = slot_bits(codes.join(left, "doc_id").mapInArrow(_open_slots(size), "slot long"), GRAM_BITS)
     if not slots.any():
         return None
-    grams = _met(docs, _sorted_grams(spark.sparkContext.broadcast(slots), size), "grams").withColumn("d", F.expr("other_pos - pos"))
-    exact = (
-        grams.repartition(partitions(spark), "doc_id", "other_id")
-        .sortWithinPartitions("doc_id", "other_id", "d", "pos")
-        .mapInArrow(_join_windows(size, min_words), PASSAGE)
+    grams = _met(docs, _sorted_grams(spark.sparkContext.broadcast(slots), size), "grams")
+    return (
+        grams.unionByName(done.mapInArrow(_packed_spans(BUCKETS * parts), PACKED_ROWS))
+        .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(releasing(_join_windows(size, min_words)), PASSAGE)
     )
-    inside = "exists(arrays_zip(starts, ends), x -> x.starts <= start_word and x.ends >= end_word)"
-    return exact.join(done, "doc_id", "left").where(f"starts is null or not {inside}").drop("starts", "ends")
 
 
 def _of_documents(docs: DataFrame, wanted: DataFrame, cut, kind: str) -> DataFrame:
@@ -701,7 +839,7 @@ def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        row, at = _places_seen(batch.column("seen"))
+        row, at = _listed(batch.column("seen"))
         (of, starts), (_, ends) = (_listed(batch.column(c)) for c in ("starts", "ends"))
         begins, finals = _joined_spans(of, starts, ends)
         if len(begins):
@@ -873,10 +1011,17 @@ def _shifted(sides: pa.Array, others: pa.Array, group: np.ndarray, other_group:
         begin = end
 
 
+def _counts(equal: np.ndarray) -> np.ndarray:
+    """How many words of each row are equal."""
+    bits = np.zeros((len(equal), 16), dtype=np.uint8)
+    bits[:, : -(-SIDE // 8)] = np.packbits(equal, axis=1)
+    return np.bitwise_count(bits.view(np.uint64)).sum(axis=1, dtype=np.uint8)
+
+
 def _runs_of(equal: np.ndarray) -> np.ndarray:
-    """Where ``RUN`` words in a row are equal, along the second axis."""
-    pairs = equal[:, 1:] & equal[:, :-1]
-    return pairs[:, 2:] & pairs[:, :-2]
+    """Where ``RUN`` words in a row are equal, along the first axis."""
+    pairs = equal[1:] & equal[:-1]
+    return pairs[2:] & pairs[:-2]
 
 
 def _touched(free: np.ndarray) -> np.ndarray:
@@ -918,37 +1063,82 @@ def _runs_apart(a: np.ndarray, b: np.ndarray, group: np.ndarray, other_group: np
     """
     grams, other_grams = _grams(a, group), _grams(b, other_group)
     longer, other_longer = _longer(grams, a), _longer(other_grams, b)
+    slots = np.uint64((1 << (8 * max(len(a), len(b), 1)).bit_length()) - 1)
+    slot, other_slot = ((x & slots).astype(np.int32) for x in (grams, other_grams))
+    taken = np.zeros(int(slots) + 1, dtype=bool)
+    holder = np.zeros(int(slots) + 1, dtype=np.int32)
     most = (high - low) // 4
     count = np.zeros(len(a), dtype=np.int64)
     further = np.zeros(len(a), dtype=bool)
     pairs = [np.zeros(0, dtype=np.int64)]
+    nearest, to = (np.zeros(len(a), dtype=np.int64) for _ in range(2))
+    touch = np.ascontiguousarray(_touched(free).T)
+    shift = len(b).bit_length()
+
+    def those_in(at: np.ndarray, of: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Which of the slots ``among`` are in ``of[at]``."""
+        taken[of[at]] = True
+        found = taken[among]
+        taken[of[at]] = False
+        return found
+
+    def once(at: np.ndarray, name: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One open place for each name of the places ``at`` (a name may have a few), and for each of ``at`` the one that stands for it."""
+        holder[of] = at
+        one = holder[of]
+        own = (one == at) | (name[at] != name[one])
+        return at[own], np.where(own, at, one)
+
+    def ranges(few: np.ndarray, names: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Sets for the places ``few`` where their names begin and end among the sorted ones; where each of these begins."""
+        begin = np.flatnonzero(np.append(True, known[1:] != known[:-1]))
+        one = known[begin]
+        at = np.searchsorted(one, names[few])
+        edge = np.append(begin, len(known))
+        nearest[few] = edge[at]
+        to[few] = edge[at + (one[np.minimum(at, len(one) - 1)] == names[few])]
+        return np.repeat(begin, np.diff(edge))
+
     for t in range(SIDE + 1 - RUN):
-        known = np.sort(other_grams[t])
-        at = np.searchsorted(known, grams[t])
-        hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == grams[t])
+        own, others = slot[t], other_slot[t]
+        hit = np.flatnonzero(those_in(slice(None), others, own))
         if not len(hit):
             continue
-        further[hit] |= free[hit, t : t + RUN].any(axis=1)
+        few, one = once(hit, grams[t], own[hit])
+        near = np.flatnonzero(those_in(few, own, others))  # all that can have a run of the open places
+        order = np.argsort(other_grams[t][near])
+        near = near[order]
+        first = ranges(few, grams[t], other_grams[t][near])
+        some = to[one] > nearest[one]
+        hit, one = hit[some], one[some]
+        further[hit] |= touch[t][hit]
         if t not in _APART:
             continue
-        hit = hit[count[hit] <= most[hit]]
-        many = np.searchsorted(known, grams[t][hit], side="right") - at[hit]
-        same = np.sort(other_longer[t])
-        joined = np.searchsorted(same, longer[t][hit], side="right") - np.searchsorted(same, longer[t][hit])
+        some = count[hit] <= most[hit]
+        hit, one = hit[some], one[some]
+        if not len(hit):
+            continue
+        at, many = nearest[one], to[one] - nearest[one]
+        few, one = once(hit, longer[t], (longer[t][hit] & slots).astype(np.int32))
+        ranges(few, longer[t], np.sort(other_longer[t][near]))
+        joined = to[one] - nearest[one]
         many -= joined
         count[hit] += many
         more = (many > 0) & (count[hit] <= most[hit])
-        hit, many, joined = hit[more], many[more], joined[more]
+        hit, many, joined, at = hit[more], many[more], joined[more], at[more]
         if not len(hit):
             continue
-        order = np.lexsort((other_longer[t], other_grams[t]))
-        names, rank = np.unique(np.concatenate([other_longer[t][order], longer[t][hit]]), return_inverse=True)
-        first = np.searchsorted(known, other_grams[t][order])
-        same = np.searchsorted(first * len(names) + rank[: len(b)], at[hit] * len(names) + rank[len(b) :])  # joined ones from here
+        # in order of the runs, then of the runs with the next word
+        key, other_key = (
+            f.astype(np.uint64) << np.uint64(64 - shift) | names >> np.uint64(shift) for f, names in ((at, longer[t][hit]), (first, other_longer[t][near]))
+        )
+        order = np.argsort(other_key)
+        same = np.searchsorted(other_key[order], key)  # joined ones from here
+        order = near[order]
         i = np.repeat(hit, many)
         place = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-        place += np.where(place >= np.repeat(same - at[hit], many), np.repeat(joined, many), 0)
-        j = order[np.repeat(at[hit], many) + place]
+        place += np.where(place >= np.repeat(same - at, many), np.repeat(joined, many), 0)
+        j = order[np.repeat(at, many) + place]
         ok = (j >= low[i]) & (j < high[i])
         pairs.append(i[ok] * len(b) + j[ok])
     dense = np.flatnonzero((count > most) & further)
@@ -973,6 +1163,7 @@ def _meet_all(min_words: int, min_equal: int):
     needed = min(-(-min_words * min_equal // 100), 3 * span // 4 + 1) if span < min_words else -(-min_words * min_equal // 100)
     listed = min_words <= len(_LANES)  # longer equal passages may have parts of several documents in the exact pass
     column = np.arange(SIDE)
+    before = column < MARGIN + np.arange(MARGIN + 1)[:, None]
 
     def covers(equal: np.ndarray, free: np.ndarray, runs: np.ndarray) -> np.ndarray:
         """Which columns of ``equal`` have a run with a free word; ``runs`` are the runs' beginnings."""
@@ -980,19 +1171,27 @@ def _meet_all(min_words: int, min_equal: int):
         return runs[touch].any(axis=0)
 
     def long_enough(equal: np.ndarray, runs: np.ndarray, free: np.ndarray) -> np.ndarray:
-        """Which rows of ``equal`` have words enough, a positive score and a free word from a run to the end of a run."""
-        score = np.zeros((len(equal), SIDE + 1), dtype=np.int16)
-        np.cumsum(np.where(equal, np.int8(1), np.int8(MISS)), axis=1, dtype=np.int16, out=score[:, 1:])
-        low = np.minimum.accumulate(np.where(runs, score[:, : SIDE + 1 - RUN], np.int16(SIDE)), axis=1)
-        last = np.maximum.accumulate(np.where(free, column, -1), axis=1)[:, span - 1 :]  # free word before each end
-        begin = np.minimum(last, column[: SIDE + 1 - span])
-        at = np.minimum(np.maximum(begin, 0), SIDE - RUN)
-        return (runs[:, span - RUN :] & (begin >= 0) & (score[:, span:] > np.take_along_axis(low, at, axis=1))).any(axis=1)
+        """Which columns of ``equal`` have words enough, a positive score and a free word from a run to the end of a run."""
+        n = equal.shape[1]
+        step = equal.view(np.int8) * np.int8(1 - MISS) + np.int8(MISS)
+        never = (runs.view(np.int8) ^ 1).astype(np.int16) << 9
+        score, out = np.zeros(n, dtype=np.int16), np.zeros(n, dtype=bool)
+        least = np.full(n, SIDE, dtype=np.int16)  # before a run
+        before_free = least.copy()
+        lowest = []
+        for k in range(SIDE):
+            if k <= SIDE - RUN:
+                least = np.minimum(least, score + never[k])
+            lowest.append(least)
+            np.copyto(before_free, least, where=free[k])
+            score += step[k]
+            if k + 1 >= span:
+                out |= runs[k + 1 - RUN] & (score > np.maximum(before_free, lowest[k + 1 - span]))
+        return out
 
     def settle(equal: np.ndarray, free: np.ndarray) -> list[int]:
         """Columns of ``equal`` to pass on; takes what they cover from ``free``."""
-        pairs = equal[1:] & equal[:-1]
-        runs = pairs[2:] & pairs[:-2]
+        runs = _runs_of(equal)
         left = np.flatnonzero(covers(equal, free, runs))
         if not len(left):
             return []
@@ -1008,30 +1207,39 @@ def _meet_all(min_words: int, min_equal: int):
             left = left[1:]
             if hit and len(left):
                 left = left[covers(equal, free, runs[:, left])]
-                left = left[long_enough(equal[:, left].T, runs[:, left].T, np.broadcast_to(free, (len(left), SIDE)))]
+                if len(left) > 32:  # of fewer it is as cheap to look at each
+                    left = left[long_enough(equal[:, left], runs[:, left], np.broadcast_to(free[:, None], (SIDE, len(left))))]
         return out
 
     def promising(equal: np.ndarray, free: np.ndarray, touch: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Which rows of ``equal``, of the open places ``i``, have words enough and a stretch long enough that may cover more."""
-        at = np.flatnonzero(np.count_nonzero(equal, axis=1) >= needed)
-        equal = equal[at]
+        at = np.flatnonzero(_counts(equal) >= needed)
+        equal = np.ascontiguousarray(equal[at].T)
         runs = _runs_of(equal)
-        some = (runs & touch[i[at]]).any(axis=1)
-        at, equal, runs = at[some], equal[some], runs[some]
-        return at[long_enough(equal, runs, free[i[at]])]
+        some = np.flatnonzero((runs & touch[i[at]].T).any(axis=0))
+        if not len(some):
+            return some
+        if len(some) < len(at):
+            at, equal, runs = at[some], equal[:, some], runs[:, some]
+        return at[long_enough(equal, runs, np.ascontiguousarray(free[i[at]].T))]
 
     def straight(a, b, free, touch, i, j):
         """The promising ones of the pairs ``i, j``."""
-        keep = [s + promising(a[i[s : s + 8_192]] == b[j[s : s + 8_192]], free, touch, i[s : s + 8_192]) for s in range(0, len(i), 8_192)]
+        keep = [s + promising(a[i[s : s + 16_384]] == b[j[s : s + 16_384]], free, touch, i[s : s + 16_384]) for s in range(0, len(i), 16_384)]
         at = np.concatenate(keep) if keep else np.zeros(0, dtype=np.int64)
         return i[at], j[at]
 
-    def turned(a, b, i, j, gap, other_gap) -> np.ndarray:
-        """Which words are equal up to a second seed on the seed's diagonal or after the seed on the second one's."""
+    def turned(a, b, beyond, i, j, gap, other_gap) -> np.ndarray:
+        """Which words are equal up to a second seed on the seed's diagonal or after the seed on the second one's.
+
+        ``beyond`` are the words of all rows of ``b`` from each on, as many as stand after a seed; no open place has those
+        past a row's end.
+        """
         x = a[i]
-        to = column + (other_gap - gap)[:, None]
-        inside = (to >= 0) & (to < SIDE) & (column >= MARGIN + K)
-        return (x == b[j]) & (column < (MARGIN + gap)[:, None]) | inside & (x == b[j[:, None], np.clip(to, 0, SIDE - 1)])
+        out = x == b[j]
+        out &= before[gap]
+        out[:, MARGIN + K :] |= x[:, MARGIN + K :] == beyond[j * (SIDE + MARGIN) + MARGIN + K + other_gap - gap]
+        return out
 
     def all_pairs(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of the open places ``at`` with all their partners, about ``TILE`` at a time."""
@@ -1089,12 +1297,13 @@ def _meet_all(min_words: int, min_equal: int):
                 yield int(doc[k]), int(other[q]), [int(pos[k])], [int(other_pos[q])]
 
         left, touch = free.any(axis=1), _touched(free)
+        beyond = sliding_window_view(np.pad(b, ((0, 0), (0, MARGIN)), constant_values=1).reshape(-1), MARGIN)
         for i, j, gap, other_gap in _shifted(mine.column("sides"), others.column("sides"), g, other_g):
             at = np.flatnonzero((j < high[i]) & left[i])
             i, j, gap, other_gap = (x[at] for x in (i, j, gap, other_gap))
             keep = [
-                s + promising(turned(a, b, *(x[s : s + 8_192] for x in (i, j, gap, other_gap))), free, touch, i[s : s + 8_192])
-                for s in range(0, len(i), 8_192)
+                s + promising(turned(a, b, beyond, *(x[s : s + 16_384] for x in (i, j, gap, other_gap))), free, touch, i[s : s + 16_384])
+                for s in range(0, len(i), 16_384)
             ]
             if not keep:
                 continue
@@ -1103,7 +1312,7 @@ def _meet_all(min_words: int, min_equal: int):
             edge = np.append(np.flatnonzero(np.diff(i, prepend=-1)), len(i)).tolist()
             for s, e in zip(edge[:-1], edge[1:], strict=True):
                 k = int(i[s])
-                for m in settle(turned(a, b, *(x[s:e] for x in (i, j, gap, other_gap))).T, free[k]):
+                for m in settle(turned(a, b, beyond, *(x[s:e] for x in (i, j, gap, other_gap))).T, free[k]):
                     p, q, x, y = int(pos[k]), int(other_pos[j[s + m]]), int(gap[s + m]), int(other_gap[s + m])
                     yield int(doc[k]), int(other[j[s + m]]), [p, p + x], [q, q + y]
 
@@ -1144,10 +1353,7 @@ def _further_passages(docs: DataFrame, repeated: bool, chained: DataFrame, found
     ``min_words`` stand along any two neighbouring diagonals needs a chain of the first pass.
     """
     spark = docs.sparkSession
-    seen = chained.groupBy("doc_id").agg(F.collect_list("anchors").alias("seen"))
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("s"))
-    spans = spans.selectExpr("doc_id", "s.start_word as starts", "s.end_word as ends")
-    left = seen.join(spans, "doc_id", "left").mapInArrow(_open_places, "doc_id long, places array<int>, starts array<int>, ends array<int>")
+    left = _seen(chained).join(_spans(found), "doc_id", "left").mapInArrow(_open_places, "doc_id long, places array<int>, starts array<int>, ends array<int>")
     codes = _of_documents(docs, left, _doc_words, "doc_id long, codes binary, hashes binary, at binary")
     codes = codes.dropDuplicates(["doc_id"]) if repeated else codes
     mine = staged(codes.join(left, "doc_id").mapInArrow(releasing(_open_rows), PLACE), "open_rows")
@@ -1206,19 +1412,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: in
     parts = partitions(spark)
     docs = _counting_rows(docs)
     matches = _met(docs, _sorted_seeds, "seeds")
-    chained = staged(
-        matches.repartition(parts, "doc_id", "other_id")
-        .sortWithinPartitions("doc_id", "other_id", "pos", "other_pos")
-        .mapInArrow(releasing(_chain_pairs), CHAIN),
-        "chains",
-    )
+    chained = matches.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(_chain_pairs), CHAIN)
+    chained = staged(chained, "chains")
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     found = _aligned(docs, repeated, chained.where("other_id is not null"), min_words, min_equal, "passages")
     exact = _exact_passages(docs, chained, found, min_words)
     if exact is not None:
-        found = found.unionByName(staged(exact, "exact")).distinct()
+        found = found.unionByName(staged(exact, "exact"))
     further = _further_passages(docs, repeated, chained, found, min_words, min_equal)
-    return found if further is None else found.unionByName(further).distinct()
+    return (found if further is None else found.unionByName(further)).distinct()
 
 
 def merged_spans(passages: DataFrame) -> DataFrame:
