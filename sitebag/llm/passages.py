@@ -30,8 +30,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_help import filter_bits, in_bits, partitions, releasing, slot_bits, slot_column, staged, take
-from .textbatch import _LANES, Words, chunks, mix, windows, words
+from .spark_help import filter_bits, in_bits, partitions, releasing, slot_bits, slot_column, staged, take, unstaged
+from .textbatch import _LANES, Words, chunks, mix, run_sums, windows, words
 
 K = 6
 WINDOW = 12
@@ -48,14 +48,14 @@ MIN_EQUAL = 80  # per cent of a passage's words that are equal at both ends of t
 MARGIN = 48
 MISS = -3  # against +1 for an equal word, when a passage is trimmed
 SIDE = 2 * MARGIN + K  # words around a seed
-BLOCK_PLACES = 4_096
+BLOCK_PLACES = 16_384
 TILE = 1 << 17
 MEET_ROWS = 16_384
 REACH = 400
 RUN = 4  # the outermost equal words of a stretch come in runs of more than -MISS
 
 MATCH = "doc_id long, other_id long, pos int, other_pos int"
-CHAIN = "doc_id long, other_id long, anchors array<int>, other_anchors array<int>, begin int, end int, other_begin int, other_end int"
+CHAIN = "doc_id long, other_id long, anchors binary, other_anchors binary, begin int, end int, other_begin int, other_end int"
 PACKED_ROWS = "bucket int, hash binary, doc_id binary, other_id binary, n binary, pos binary, shift binary"
 PASSAGE = "doc_id long, other_id long, start_word int, end_word int, other_start int, other_end int, equal_words int"
 
@@ -72,7 +72,7 @@ def _minimizers(w: Words, doc_ids: np.ndarray) -> tuple[np.ndarray, ...]:
     least, size = np.arange(len(hashes)), 1  # the first of the smallest hashes of ``size`` runs from each
     while size < WINDOW:
         step = min(size, WINDOW - size)
-        left, right = least[: len(least) - step], least[step:]
+        left, right = least[: max(len(least) - step, 0)], least[step:]
         least, size = np.where(hashes[right] < hashes[left], right, left), size + step
     d = np.repeat(np.arange(w.docs), n)
     whole = np.arange(len(least)) + WINDOW <= bounds[1:][d[: len(least)]]
@@ -306,12 +306,12 @@ def _meet_buckets(buckets: int):
     return run
 
 
-def _met(docs: DataFrame, seeds_of, name: str) -> DataFrame:
-    """Matches of the places of equal seeds, packed, all of a document in one bucket."""
+def _met(docs: DataFrame, seeds_of, name: str) -> tuple[DataFrame, DataFrame]:
+    """Matches of the places of equal seeds, packed, all of a document in one bucket; and the staged table they are read from."""
     parts = partitions(docs.sparkSession)
     seeds = staged(docs.mapInArrow(releasing(_seed_blocks(seeds_of, BUCKETS * parts)), PACKED_ROWS), name)
     across = seeds.where("hash is not null").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return seeds.where("hash is null").unionByName(across.mapInArrow(releasing(_meet_buckets(BUCKETS * parts)), PACKED_ROWS))
+    return seeds.where("hash is null").unionByName(across.mapInArrow(releasing(_meet_buckets(BUCKETS * parts)), PACKED_ROWS)), seeds
 
 
 _PLACE = 32
@@ -357,6 +357,84 @@ def _chain_numbers(pos: list[int], other: list[int]) -> tuple[np.ndarray, np.nda
     return order, np.diff(np.append(np.flatnonzero(np.append(True, found[1:] != found[:-1])), n))
 
 
+def _chains_by_rows(pair: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`_chain_numbers` gives for many pairs at once, matches in order of pair and ``p``; chains in order of the pairs.
+
+    All matches at one word of their pair take one step together. Of each pair the best of every prefix of the other text is
+    kept, so a step costs as much as the other text has places.
+    """
+    n, worth, low = len(p), round(K / GAP_COST), np.int64((1 << _PLACE) - 1)
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    new = np.append(True, (pair[1:] != pair[:-1]) | (p[1:] != p[:-1]))
+    row = np.cumsum(new)
+    row -= row[first][pair]
+    known, rank = np.unique(pair << 32 | q, return_inverse=True)
+    begin = np.searchsorted(known >> 32, np.arange(len(first) + 1))
+    width = int(np.diff(begin).max()) + 1
+    place = pair * width + rank - begin[pair] + 1
+    by_row = np.argsort(row, kind="stable")
+    edge = np.searchsorted(row[by_row], np.arange(int(row.max()) + 2)).tolist()
+    place, passed, number = place[by_row], (p + q)[by_row], by_row - first[pair[by_row]] + 1
+    start = first[pair[by_row]]
+    last = np.maximum.reduceat(pair[by_row], edge[:-1]).tolist()  # pairs of each step, if long ones come first
+    best = np.zeros((len(first), width), dtype=np.int64)
+    flat = best.reshape(-1)
+    score, back = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    for lo, hi, upto in zip(edge[:-1], edge[1:], last, strict=True):
+        at, here = place[lo:hi], passed[lo:hi]
+        top = flat[at - 1]
+        reach = (top >> _PLACE) - here
+        some = reach > 0
+        own = worth + reach * some
+        score[lo:hi] = own
+        back[lo:hi] = np.where(some, (top & low) - 1 + start[lo:hi], -1)
+        flat[at] = np.maximum(flat[at], (own + here) << _PLACE | number[lo:hi])
+        part = best[: upto + 1]
+        np.maximum.accumulate(part, axis=1, out=part)
+    turned = np.empty(n, dtype=np.int64)
+    turned[by_row] = np.arange(n)
+    order = np.lexsort((-score[turned], pair))
+    owner = np.empty(n + 1, dtype=np.int64)  # the last one stands for no match
+    owner[order] = np.arange(n)
+    for lo, hi in zip(edge[-2::-1], edge[:0:-1], strict=True):  # a match belongs to the best of the chains that go through it
+        np.minimum.at(owner, back[lo:hi], owner[by_row[lo:hi]])
+    found = owner[:n]
+    order = np.argsort(found, kind="stable")
+    found = found[order]
+    return order, np.diff(np.append(np.flatnonzero(np.append(True, found[1:] != found[:-1])), n))
+
+
+def crossed_chains(p: np.ndarray, q: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chains of :func:`chains` for many pairs, whose matches in order of ``p`` begin at ``begin``.
+
+    The indices of all chains one after the other, and how many each has.
+    """
+    n = np.diff(np.append(begin, len(p)))
+    pair = np.repeat(np.arange(len(begin)), n)
+    p, q = p.astype(np.int64), q.astype(np.int64)
+    new = np.append(True, (pair[1:] != pair[:-1]) | (p[1:] != p[:-1]))
+    rows = np.bincount(pair[new], minlength=len(begin))
+    places = np.bincount(np.unique(pair << 32 | q) >> 32, minlength=len(begin))
+    # nanoseconds of a step for a place of the other text and in itself, and of a match by itself
+    by_rows = (rows * (3 * places + 300) < 1_500 * n) & (int(p.max()) + int(q.max()) + round(K / GAP_COST) * int(n.max()) < 1 << 30)
+    order, sizes = [], []
+    for k in np.flatnonzero(~by_rows).tolist():
+        own, size = _chain_numbers(p[begin[k] : begin[k] + n[k]].tolist(), q[begin[k] : begin[k] + n[k]].tolist())
+        order.append(own + begin[k])
+        sizes.append(size)
+    at = np.flatnonzero(by_rows)
+    at = at[np.argsort(places[at], kind="stable")]
+    while len(at):  # pairs with about as many places, long ones first
+        m = max(1, int(np.searchsorted(np.cumsum(n[at]), TILE)))
+        some = at[:m][np.argsort(-rows[at[:m]], kind="stable")]  # the steps of short ones end first
+        at = at[m:]
+        index = np.repeat(begin[some] - np.cumsum(n[some]) + n[some], n[some]) + np.arange(n[some].sum())
+        own, size = _chains_by_rows(np.repeat(np.arange(len(some)), n[some]), p[index], q[index])
+        order.append(index[own])
+        sizes.append(size)
+    return np.concatenate(order), np.concatenate(sizes)
+
+
 def chains(pos: list[int], other: list[int]) -> list[list[int]]:
     """Collinear chains of matches given in order of ``pos``; indices of each chain, the best chain first.
 
@@ -402,11 +480,10 @@ def _chain_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows without ``other_id`` hold all places of a document's matches in order, one row a document.
     """
     names = ["doc_id", "other_id", "anchors", "other_anchors", "begin", "end", "other_begin", "other_end"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int32()] * 4]
 
     def listed(values: np.ndarray, size: np.ndarray) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+        return _cut(values.astype(np.int32), np.concatenate([[0], np.cumsum(size)]))
 
     def emit(doc: np.ndarray, other: np.ndarray, p: np.ndarray, q: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows of the chains ``begin:end`` of the matches."""
@@ -444,15 +521,12 @@ def _chain_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(straight):
             mine = [x[straight] for x in rows]
             yield from emit(*mine, *collinear_chains(mine[2].astype(np.int64), mine[3].astype(np.int64), np.searchsorted(straight, begin[~crossed])))
-        order, sizes = [], []
-        for a, b in zip(begin[crossed].tolist(), np.append(begin[1:], len(doc))[crossed].tolist(), strict=True):
-            own, size = _chain_numbers(p[a:b].tolist(), q[a:b].tolist())
-            order.append(own + a)
-            sizes.append(size)
-        if order:
-            at, size = np.concatenate(order), np.concatenate(sizes)
+        turned = np.flatnonzero(of)
+        if len(turned):
+            mine = [x[turned] for x in rows]
+            at, size = crossed_chains(mine[2], mine[3], np.searchsorted(turned, begin[crossed]))
             end = np.cumsum(size)
-            yield from emit(*(x[at] for x in rows), end - size, end)
+            yield from emit(*(x[at] for x in mine), end - size, end)
 
     for batch in _by_bucket(batches):
         yield from finish(_unpacked(batch))
@@ -571,7 +645,7 @@ def _one_diagonal(batch: pa.RecordBatch, needed: int) -> tuple[np.ndarray, np.nd
     Which rows are such chains; of those with at least ``needed`` equal words the row, its shift and where its words stand
     in the last array, which says whether each word of the row's part of the text is equal.
     """
-    x, y = batch.column("anchors"), batch.column("other_anchors")
+    x, y = (_as_lists(batch.column(c)) for c in ("anchors", "other_anchors"))
     first = x.offsets.to_numpy().astype(np.int64)
     shift = y.flatten().to_numpy().astype(np.int64) - x.flatten().to_numpy()
     begin = first[:-1] - first[0]
@@ -617,7 +691,9 @@ def _align_rows(min_words: int, min_equal: int):
                     rows.append((int(docs[i]), int(others[i]), s + p0, e + p0, s + d + q0, e + d + q0, n))
             turned = take(batch, ~straight)
             columns = ("doc_id", "other_id", "anchors", "other_anchors", "begin", "other_begin", "codes", "other_codes")
-            for doc, other, x, y, p0, q0, ca, cb in zip(*(turned.column(c).to_pylist() for c in columns), strict=True):
+            for doc, other, x, y, p0, q0, ca, cb in zip(
+                *(turned.column(c).to_pylist() if c not in columns[2:4] else _as_lists(turned.column(c)).to_pylist() for c in columns), strict=True
+            ):
                 a, b = np.frombuffer(ca, dtype="<u4"), np.frombuffer(cb, dtype="<u4")
                 j, equal = _laid_along(a, b, [p - p0 for p in x], [q - q0 for q in y])
                 if int(equal.sum()) < needed:
@@ -632,11 +708,22 @@ def _align_rows(min_words: int, min_equal: int):
 
 
 def _listed(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and value of all members of an array of lists; null is a list without any."""
+    """Row number and value of all members of an array of lists or of their binary form; null is a list without any."""
+    if pa.types.is_binary(values.type):
+        held, begin = _numbers(values, "<i4")
+        return np.repeat(np.arange(len(values)), np.diff(begin)), held.astype(np.int64)
     n = values.value_lengths().fill_null(0).to_numpy()
     return np.repeat(np.arange(len(values)), n), values.flatten().to_numpy().astype(np.int64)
 
 
+def _as_lists(values: pa.Array) -> pa.Array:
+    """Lists of whole numbers, which travel as binary values."""
+    if pa.types.is_binary(values.type):
+        held, begin = _numbers(values, "<i4")
+        return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(held))
+    return values
+
+
 def _lists(rows: np.ndarray, values: np.ndarray, of: np.ndarray) -> pa.Array:
     """The values of the rows ``of`` as lists; ``rows``, the row numbers of the values, go up."""
     return pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(rows, of), len(rows)).astype(np.int32)), pa.array(values.astype(np.int32)))
@@ -703,12 +790,8 @@ def _open_slots(size: int):
                 own = np.frombuffer(codes, dtype="<u4").astype(np.uint64)
                 for s, e in zip(begins, finals, strict=True):
                     part = own[s : e + size - 1]
-                    n = len(part) - size + 1
-                    if n > 0:
-                        total = np.zeros(n, dtype=np.uint64)
-                        for i in range(size):
-                            total += part[i : n + i] * _LANES[i]
-                        found.append(_gram_slots(mix(total)))
+                    if len(part) >= size:
+                        found.append(_gram_slots(mix(run_sums(part, size))))
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["slot"])
 
     return run
@@ -808,13 +891,17 @@ def _exact_passages(docs: DataFrame, chained: DataFrame, found: DataFrame, min_w
     slots = slot_bits(codes.join(left, "doc_id").mapInArrow(_open_slots(size), "slot long"), GRAM_BITS)
     if not slots.any():
         return None
-    grams = _met(docs, _sorted_grams(spark.sparkContext.broadcast(slots), size), "grams")
-    return (
+    grams, held = _met(docs, _sorted_grams(spark.sparkContext.broadcast(slots), size), "grams")
+    exact = (
         grams.unionByName(done.mapInArrow(_packed_spans(BUCKETS * parts), PACKED_ROWS))
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(releasing(_join_windows(size, min_words)), PASSAGE)
     )
+    exact = staged(exact, "exact")
+    unstaged(held)
+    unstaged(left)
+    return exact
 
 
 def _of_documents(docs: DataFrame, wanted: DataFrame, cut, kind: str) -> DataFrame:
@@ -831,7 +918,9 @@ def _aligned(docs: DataFrame, repeated: bool, pairs: DataFrame, min_words: int,
     own = pairs.join(codes, "doc_id").withColumn("codes", F.expr("substring(codes, 4 * begin + 1, 4 * (end - begin))"))
     both = own.join(codes.select(F.col("doc_id").alias("other_id"), F.col("codes").alias("other_codes")), "other_id")
     both = both.withColumn("other_codes", F.expr("substring(other_codes, 4 * other_begin + 1, 4 * (other_end - other_begin))"))
-    return staged(both.mapInArrow(releasing(_align_rows(min_words, min_equal)), PASSAGE).distinct(), name)
+    found = staged(both.mapInArrow(releasing(_align_rows(min_words, min_equal)), PASSAGE).distinct(), name)
+    unstaged(codes)
+    return found
 
 
 def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -859,11 +948,14 @@ def _short_codes(hashes: np.ndarray) -> np.ndarray:
     return np.maximum((hashes >> np.uint64(48)).astype("<u2"), 2)
 
 
-def _around(codes: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, empty: int) -> np.ndarray:
-    """One row a place: the words from ``MARGIN`` before the seed at ``at`` to ``MARGIN`` after it, ``empty`` outside its text."""
-    i = at[:, None] + np.arange(-MARGIN, K + MARGIN)
-    inside = (i >= first[:, None]) & (i < last[:, None])
-    return np.where(inside, codes[np.where(inside, i, 0)], np.uint16(empty))
+def _around(codes: np.ndarray, first: np.ndarray, empty: int) -> np.ndarray:
+    """Rows of the words from ``MARGIN`` before a seed to ``MARGIN`` after it, ``empty`` outside their text.
+
+    Texts begin at ``first``. The row of the seed at ``at`` of text ``d`` is that of number ``at + MARGIN * d``.
+    """
+    apart = np.full(len(codes) + MARGIN * len(first), empty, dtype=codes.dtype)
+    apart[np.arange(len(codes)) + np.repeat(np.arange(1, len(first)) * MARGIN, np.diff(first))] = codes
+    return sliding_window_view(np.pad(apart, (0, SIDE), constant_values=empty), SIDE)
 
 
 def _cut(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -909,10 +1001,10 @@ def _sides(h: np.ndarray, pos: np.ndarray, doc: np.ndarray, kept: np.ndarray) ->
     n = end - kept - 1
     rows = np.repeat(kept + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())
     value = (name[rows] << 7 | (pos[rows] - pos[np.repeat(kept, n)])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(value))
+    return _cut(value, np.concatenate([[0], np.cumsum(n)]))
 
 
-PLACE = "hash long, doc_id long, pos int, words binary, sides array<int>, open binary"
+PLACE = "hash long, doc_id long, pos int, words binary, sides binary, open binary"
 _PLACE_NAMES = ["hash", "doc_id", "pos", "words", "sides", "open"]
 
 
@@ -928,16 +1020,17 @@ def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = np.zeros(len(own) + 1, dtype=np.int32)
             np.add.at(edge, np.minimum(first[ds] + starts, first[ds + 1]), 1)
             np.add.at(edge, np.minimum(first[ds] + ends, first[ds + 1]), -1)
-            free = (np.cumsum(edge)[:-1] == 0).astype(np.uint16)
+            free = np.cumsum(edge)[:-1] == 0
             picked = np.flatnonzero(np.isin(d << 32 | pos, of << 32 | places))
             doc = batch.column("doc_id").to_numpy()
+            free_rows, own_rows = _around(free, first, 0), _around(own, first, 0)
             for at in range(0, len(picked), 10_000):
                 k = picked[at : at + 10_000]
-                bounds = first[d[k]], first[d[k] + 1], first[d[k]] + pos[k]
-                left = _around(free, *bounds, 0).astype(bool)
+                row = first[d[k]] + pos[k] + MARGIN * d[k]
+                left = free_rows[row]
                 some = left.any(axis=1)
-                k, bounds = k[some], [x[some] for x in bounds]
-                arrays = [pa.array(h[k]), pa.array(doc[d[k]]), pa.array(pos[k].astype(np.int32)), _rows_of(_around(own, *bounds, 0))]
+                k, row = k[some], row[some]
+                arrays = [pa.array(h[k]), pa.array(doc[d[k]]), pa.array(pos[k].astype(np.int32)), _rows_of(own_rows[row])]
                 yield pa.RecordBatch.from_arrays([*arrays, _sides(h, pos, d, k), _rows_of(np.packbits(left[some], axis=1))], _PLACE_NAMES)
 
 
@@ -953,9 +1046,10 @@ def _all_rows(bitmap, min_words: int):
                 if not len(kept):
                     continue
                 doc = part.column("doc_id").to_numpy()[d]
-                around = _around(_short_codes(w.hash), w.first[d[kept]], w.first[d[kept] + 1], w.first[d[kept]] + pos[kept], 1)
-                lanes = np.resize(_LANES, SIDE) + np.arange(SIDE, dtype=np.uint64)
-                same = mix((around.astype(np.uint64) * lanes).sum(axis=1))
+                around = _around(_short_codes(w.hash), w.first, 1)[w.first[d[kept]] + pos[kept] + MARGIN * d[kept]]
+                whole = np.zeros((len(kept), -(-SIDE // 4)), dtype=np.uint64)
+                whole.view("<u2")[:, :SIDE] = around
+                same = mix((mix(whole) * _LANES[: whole.shape[1]]).sum(axis=1))
                 order = np.lexsort((pos[kept], doc[kept], same, h[kept]))
                 new = np.ones(len(order), dtype=bool)
                 x, y = h[kept][order], same[order]
@@ -1035,21 +1129,24 @@ def _touched(free: np.ndarray) -> np.ndarray:
 _APART = [t for t in range(SIDE + 1 - RUN) if t + RUN < MARGIN or t > MARGIN + K]  # runs with a word between them and the seed
 
 
-def _grams(words: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Names of the runs of ``RUN`` words, one row for each beginning; equal runs of different groups have different names."""
-    rows = np.ascontiguousarray(words.T).astype(np.uint64)
-    out = rows[: 1 - RUN].copy()
-    for i in range(1, RUN):
-        out |= rows[i : len(rows) + 1 - RUN + i] << np.uint64(16 * i)
-    return mix(out) + group.astype(np.uint64) * _LANES[0]
+def _run_names(words: np.ndarray, group: np.ndarray):
+    """Of the runs of ``RUN`` words that begin at a column ``t`` the names, and those with the next word towards the seed.
 
+    Equal runs of different groups have different names; a run that touches the seed has no longer one (0).
+    """
+    rows = np.ascontiguousarray(words.T)
+    lane = group.astype(np.uint64) * _LANES[0]
+
+    def names(t: int) -> tuple[np.ndarray, np.ndarray]:
+        name = rows[t].astype(np.uint64)
+        for i in range(1, RUN):
+            name |= rows[t + i].astype(np.uint64) << np.uint64(16 * i)
+        name = mix(name) + lane
+        if t not in _APART:
+            return name, np.zeros(0, dtype=np.uint64)
+        return name, mix(name + (rows[t - 1 if t > MARGIN else t + RUN].astype(np.uint64) + np.uint64(1)) * _LANES[1])
 
-def _longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Names of the runs of :func:`_grams` with the next word towards the seed; of those that touch the seed 0."""
-    out = np.zeros(grams.shape, dtype=np.uint64)
-    for t in _APART:
-        out[t] = mix(grams[t] + (words[:, t - 1 if t > MARGIN else t + RUN].astype(np.uint64) + np.uint64(1)) * _LANES[1])
-    return out
+    return names
 
 
 def _runs_apart(a: np.ndarray, b: np.ndarray, group: np.ndarray, other_group: np.ndarray, low: np.ndarray, high: np.ndarray, free: np.ndarray):
@@ -1061,10 +1158,8 @@ def _runs_apart(a: np.ndarray, b: np.ndarray, group: np.ndarray, other_group: np
     The end towards the seed of such a run is told by an unequal word before it. For each place of a run there are as many
     partners with the same run as with the same run and word, unless some have the run alone; only these are listed.
     """
-    grams, other_grams = _grams(a, group), _grams(b, other_group)
-    longer, other_longer = _longer(grams, a), _longer(other_grams, b)
+    names_of, other_names_of = _run_names(a, group), _run_names(b, other_group)
     slots = np.uint64((1 << (8 * max(len(a), len(b), 1)).bit_length()) - 1)
-    slot, other_slot = ((x & slots).astype(np.int32) for x in (grams, other_grams))
     taken = np.zeros(int(slots) + 1, dtype=bool)
     holder = np.zeros(int(slots) + 1, dtype=np.int32)
     most = (high - low) // 4
@@ -1100,15 +1195,16 @@ def _runs_apart(a: np.ndarray, b: np.ndarray, group: np.ndarray, other_group: np
         return np.repeat(begin, np.diff(edge))
 
     for t in range(SIDE + 1 - RUN):
-        own, others = slot[t], other_slot[t]
+        (grams, longer), (other_grams, other_longer) = names_of(t), other_names_of(t)
+        own, others = ((x & slots).astype(np.int32) for x in (grams, other_grams))
         hit = np.flatnonzero(those_in(slice(None), others, own))
         if not len(hit):
             continue
-        few, one = once(hit, grams[t], own[hit])
+        few, one = once(hit, grams, own[hit])
         near = np.flatnonzero(those_in(few, own, others))  # all that can have a run of the open places
-        order = np.argsort(other_grams[t][near])
+        order = np.argsort(other_grams[near])
         near = near[order]
-        first = ranges(few, grams[t], other_grams[t][near])
+        first = ranges(few, grams, other_grams[near])
         some = to[one] > nearest[one]
         hit, one = hit[some], one[some]
         further[hit] |= touch[t][hit]
@@ -1119,8 +1215,8 @@ def _runs_apart(a: np.ndarray, b: np.ndarray, group: np.ndarray, other_group: np
         if not len(hit):
             continue
         at, many = nearest[one], to[one] - nearest[one]
-        few, one = once(hit, longer[t], (longer[t][hit] & slots).astype(np.int32))
-        ranges(few, longer[t], np.sort(other_longer[t][near]))
+        few, one = once(hit, longer, (longer[hit] & slots).astype(np.int32))
+        ranges(few, longer, np.sort(other_longer[near]))
         joined = to[one] - nearest[one]
         many -= joined
         count[hit] += many
@@ -1130,7 +1226,7 @@ def _runs_apart(a: np.ndarray, b: np.ndarray, group: np.ndarray, other_group: np
             continue
         # in order of the runs, then of the runs with the next word
         key, other_key = (
-            f.astype(np.uint64) << np.uint64(64 - shift) | names >> np.uint64(shift) for f, names in ((at, longer[t][hit]), (first, other_longer[t][near]))
+            f.astype(np.uint64) << np.uint64(64 - shift) | names >> np.uint64(shift) for f, names in ((at, longer[hit]), (first, other_longer[near]))
         )
         order = np.argsort(other_key)
         same = np.searchsorted(other_key[order], key)  # joined ones from here
@@ -1360,11 +1456,11 @@ def _further_passages(docs: DataFrame, repeated: bool, chained: DataFrame, found
     slots = slot_bits(mine.selectExpr(f"(hash & {(1 << GRAM_BITS) - 1}L) + 1 as slot"), GRAM_BITS)
     if not slots.any():
         return None
-    every = staged(docs.mapInArrow(releasing(_all_rows(spark.sparkContext.broadcast(slots), min_words)), PLACE), "places")
+    open_rows, every = mine, staged(docs.mapInArrow(releasing(_all_rows(spark.sparkContext.broadcast(slots), min_words)), PLACE), "places")
     # blocks of open places meet blocks of all places; all but frequent seeds have one of each
     counts = mine.groupBy("hash").agg(F.count("*").alias("n")).join(every.groupBy("hash").agg(F.count("*").alias("m")), "hash")
     blocks = counts.selectExpr("hash", f"int(ceil(n / {BLOCK_PLACES})) as ni", f"int(ceil(m / {BLOCK_PLACES})) as nj")
-    blocks = F.broadcast(staged(blocks.where("ni > 1 or nj > 1"), "blocks"))
+    all_rows, blocks = every, F.broadcast(staged(blocks.where("ni > 1 or nj > 1"), "blocks"))
     own, many = "pmod(xxhash64(doc_id, pos), coalesce({0}, 1))", "explode(sequence(0, coalesce({0}, 1) - 1))"
     mine = mine.join(blocks, "hash", "left").selectExpr(*_PLACE_NAMES, f"int({own.format('ni')}) as i", f"{many.format('nj')} as j")
     every = every.join(blocks, "hash", "left").selectExpr(*_PLACE_NAMES, f"{many.format('ni')} as i", f"int({own.format('nj')}) as j")
@@ -1375,6 +1471,8 @@ def _further_passages(docs: DataFrame, repeated: bool, chained: DataFrame, found
         .mapInArrow(releasing(_meet_all(min_words, min_equal)), "doc_id long, other_id long, anchors array<int>, other_anchors array<int>")
     )
     met = staged(met.distinct(), "further_matches")
+    unstaged(open_rows)
+    unstaged(all_rows)
     if met.isEmpty():
         return None
     begins = [f"greatest(0, element_at({x}, 1) - {REACH}) as {name}" for x, name in (("anchors", "begin"), ("other_anchors", "other_begin"))]
@@ -1411,15 +1509,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_equal: in
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = _counting_rows(docs)
-    matches = _met(docs, _sorted_seeds, "seeds")
+    matches, seeds = _met(docs, _sorted_seeds, "seeds")
     chained = matches.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(releasing(_chain_pairs), CHAIN)
     chained = staged(chained, "chains")
+    unstaged(seeds)
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     found = _aligned(docs, repeated, chained.where("other_id is not null"), min_words, min_equal, "passages")
     exact = _exact_passages(docs, chained, found, min_words)
     if exact is not None:
-        found = found.unionByName(staged(exact, "exact"))
+        found = found.unionByName(exact)
     further = _further_passages(docs, repeated, chained, found, min_words, min_equal)
+    unstaged(chained)
     return (found if further is None else found.unionByName(further)).distinct()
 
 

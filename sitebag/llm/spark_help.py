@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import staged, unstaged
 
-__all__ = ["arrow_rows", "dealt_join", "filter_bits", "in_bits", "partitions", "read", "releasing", "slot_bits", "slot_column", "staged", "take"]
+__all__ = ["arrow_rows", "dealt_join", "filter_bits", "in_bits", "partitions", "read", "releasing", "slot_bits", "slot_column", "staged", "take", "unstaged"]
 
 FILTER_BITS = 24
 HOT_ROWS = 1000

@@ -97,25 +97,42 @@ def words(texts: list[bytes], lower: bool = True, separators: np.ndarray = SEPAR
     data = np.frombuffer(joined, dtype=np.uint8)
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
-    inside = ~separators[data]
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    outside = np.ones(len(data) + 1, dtype=bool)
+    np.take(separators, data, out=outside[1:])
+    edge = np.flatnonzero(outside[1:] != outside[:-1])  # the last byte is a line feed, so every word ends
     start, end = edge[::2], edge[1::2]
     powers, inverses = _tables(len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    values = data.astype(np.uint64)
+    values += np.uint64(1)
+    values *= powers[: len(data)]
+    np.cumsum(values, out=sums[1:])
     raw = (sums[end] - sums[start]) * inverses[start]
     return Words(data, offsets, start, end, mix(raw), np.searchsorted(start, offsets), sums)
 
 
+def run_sums(hashes: np.ndarray, size: int) -> np.ndarray:
+    """For each run of ``size`` (64 at most) hashes the sum of the i-th times ``_LANES[i]``, from sums of half as many."""
+    part, m = hashes * _LANES[0], 1
+    total, done = hashes[:0], 0
+    while True:
+        if size & m:
+            n = len(hashes) - done - m + 1
+            total = total[:n] + part[done:][:n] * _LANES[done - 1] if done else part
+            done += m
+        if 2 * m > size:
+            return total
+        part = part[:-m] + part[m:] * _LANES[m - 1]
+        m *= 2
+
+
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words inside one document, and the index of each run's first word."""
     n = len(w.hash)
     if n < size:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    total = np.zeros(n - size + 1, dtype=np.uint64)
-    for i in range(size):
-        total += w.hash[i : n - size + 1 + i] * _LANES[i]
+    total = run_sums(w.hash, size)
     fits = np.ones(n - size + 1, dtype=bool)
     for i in range(1, size):
         cut = w.first[1:-1] - i

@@ -71,3 +71,11 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstaged(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`staged` returned, once all that read it is written."""
+    if files := df.inputFiles():
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
