@@ -1105,13 +1105,6 @@ def _shifted(sides: pa.Array, others: pa.Array, group: np.ndarray, other_group:
         begin = end
 
 
-def _counts(equal: np.ndarray) -> np.ndarray:
-    """How many words of each row are equal."""
-    bits = np.zeros((len(equal), 16), dtype=np.uint8)
-    bits[:, : -(-SIDE // 8)] = np.packbits(equal, axis=1)
-    return np.bitwise_count(bits.view(np.uint64)).sum(axis=1, dtype=np.uint8)
-
-
 def _runs_of(equal: np.ndarray) -> np.ndarray:
     """Where ``RUN`` words in a row are equal, along the first axis."""
     pairs = equal[1:] & equal[:-1]
@@ -1309,14 +1302,14 @@ def _meet_all(min_words: int, min_equal: int):
 
     def promising(equal: np.ndarray, free: np.ndarray, touch: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Which rows of ``equal``, of the open places ``i``, have words enough and a stretch long enough that may cover more."""
-        at = np.flatnonzero(_counts(equal) >= needed)
-        equal = np.ascontiguousarray(equal[at].T)
+        equal = np.ascontiguousarray(equal.T)
         runs = _runs_of(equal)
-        some = np.flatnonzero((runs & touch[i[at]].T).any(axis=0))
-        if not len(some):
-            return some
-        if len(some) < len(at):
-            at, equal, runs = at[some], equal[:, some], runs[:, some]
+        enough = np.add.reduce(equal.view(np.uint8), axis=0, dtype=np.uint8) >= needed
+        at = np.flatnonzero(enough & (runs & np.ascontiguousarray(touch[i].T)).any(axis=0))
+        if not len(at):
+            return at
+        if len(at) < len(i):
+            equal, runs = equal[:, at], runs[:, at]
         return at[long_enough(equal, runs, np.ascontiguousarray(free[i[at]].T))]
 
     def straight(a, b, free, touch, i, j):

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+CACHED = 1 << 15  # bytes of which sums are made at once
 WORDS_PER_SHINGLE = 5
 
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -98,16 +99,18 @@ def words(texts: list[bytes], lower: bool = True, separators: np.ndarray = SEPAR
     offsets = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
     outside = np.ones(len(data) + 1, dtype=bool)
-    np.take(separators, data, out=outside[1:])
+    outside[1:] = np.frombuffer(joined.translate(separators.tobytes()), dtype=bool)
     edge = np.flatnonzero(outside[1:] != outside[:-1])  # the last byte is a line feed, so every word ends
     start, end = edge[::2], edge[1::2]
     powers, inverses = _tables(len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
-    values = data.astype(np.uint64)
-    values += np.uint64(1)
-    values *= powers[: len(data)]
-    np.cumsum(values, out=sums[1:])
+    for begin in range(0, len(data), CACHED):
+        values = data[begin : begin + CACHED].astype(np.uint64)
+        values += np.uint64(1)
+        values *= powers[begin : begin + len(values)]
+        values[:1] += sums[begin : begin + 1]
+        np.cumsum(values, out=sums[begin + 1 : begin + 1 + len(values)])
     raw = (sums[end] - sums[start]) * inverses[start]
     return Words(data, offsets, start, end, mix(raw), np.searchsorted(start, offsets), sums)
 
