@@ -6,7 +6,9 @@
    others: first inside a block of rows of one task, then the blocks' first ones across tasks. So a seed that a third of
    all documents hold sends its places in one document per block through the shuffle, and every place in a document but
    the very first has a partner. Of two documents all places of a seed meet (``_matches`` says what very many do).
-3. Per pair of documents the matches are chained in order in both texts, with a cost for the gap, through a Fenwick tree.
+   First holders and matches travel packed, all of a seed or of a document in one bucket, many of them in one row.
+3. Per pair of documents the matches are chained in order in both texts, with a cost for the gap: the best of every prefix
+   of the other text is kept, for many pairs at once or, where the texts hold many places, only where it grows.
 4. Chains are aligned word by word along their diagonals, extended, and cut into all their maximal-scoring stretches.
 5. Seeds of one passage may have different first holders, so that no chain holds all of it. Runs of seeds seen earlier
    that no passage covers go through an exact second pass: each of their ``MIN_WORDS``-word windows meets the first
